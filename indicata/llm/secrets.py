@@ -1,0 +1,158 @@
+"""Secret scans: base patterns, and random strings by token efficiency.
+
+Base kinds are an assignment to a name like ``password``, an access key and a long
+run of hex digits. Beyond them, a run of key-like characters is random if a BPE
+vocabulary spells it with few characters per token: words and names compress well,
+random strings don't. Known digests (a run of hex digits as long as one of the usual
+digests), UUIDs, numbers and identifiers (words joined by case, ``_``, ``-`` or ``/``)
+are excluded first, and so is what a base span already covers.
+
+Scale: one pass, no shuffle; a document without any key-like run costs a few
+searches. The vocabulary (a fixed size) goes to the executors once.
+
+Edge cases: null and empty texts have no spans; offsets count code points; texts are
+read whole; equal spans of different kinds are all listed. Repeated rows are each
+scanned.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pyarrow as pa
+import public_tokenizers
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .bpe import rank_file, read_ranks
+from .common import texts_of
+
+KINDS = ("assign", "access", "hex", "random")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{24,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Characters per token below which a run is random.
+EFFICIENCY = 2.2
+DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
+UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+IDENTIFIER = re.compile(r"[A-Za-z]+\d{0,4}([_/=+-]+([A-Za-z]*\d{0,4}|\d+))*|[\d_/=+-]+")
+VOCABULARY = "byte_bpe_50k.tiktoken"
+MASK = "[SECRET]"
+
+Span = tuple[int, int, str]
+
+
+def base_spans(text: str, raw: bytes) -> list[Span]:
+    """(start, end, kind), by start and then kind as listed in KINDS."""
+    out: list[Span] = []
+    low = raw.lower()
+    if any(n in low for n in NAMES):
+        out += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if b"AKIA" in raw:
+        out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    # runs of 24 or more are what leftmost maximal runs leave once shorter ones are dropped
+    out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+    return sorted(out, key=_order)
+
+
+def _order(span: Span) -> tuple[int, int, int]:
+    return span[0], KINDS.index(span[2]), span[1]
+
+
+def excluded(run: str) -> bool:
+    """Whether a run is a digest, a UUID, a number or an identifier."""
+    core = run.strip("=_-+/")
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core) and len(core) in DIGEST_LENGTHS:
+        return True
+    return bool(UUID.fullmatch(core)) or bool(IDENTIFIER.fullmatch(core)) and not re.search(r"[a-z][A-Z].*[a-z][A-Z].*[A-Z]{2}|[A-Z]{2}[a-z].*[A-Z]{2}[a-z]", core)
+
+
+def random_spans(text: str, base: list[Span], encoding, efficiency: float = EFFICIENCY) -> list[Span]:
+    out: list[Span] = []
+    for m in RUN.finditer(text):
+        if any(s < m.end() and m.start() < e for s, e, _ in base) or excluded(m[0]):
+            continue
+        if len(m[0]) < efficiency * len(encoding.encode_ordinary(m[0])):
+            out.append((m.start(), m.end(), "random"))
+    return out
+
+
+class Scanner:
+    def __init__(self, data: bytes, efficiency: float = EFFICIENCY):
+        import tiktoken
+
+        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(data), special_tokens={})
+        self.efficiency = efficiency
+
+    def spans(self, raw: bytes) -> tuple[list[Span], list[Span]]:
+        """Base spans and all spans."""
+        text = raw.decode()
+        base = base_spans(text, raw)
+        return base, sorted(base + random_spans(text, base, self.encoding, self.efficiency), key=_order)
+
+
+def listed(spans: list[Span]) -> str:
+    return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
+
+
+def _vocabulary(df: DataFrame, path: str | None):
+    return df.sparkSession.sparkContext.broadcast(rank_file(path or public_tokenizers.path(VOCABULARY)))
+
+
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, efficiency: float = EFFICIENCY) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
+    data = _vocabulary(docs, path)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        scanner = Scanner(data.value, efficiency)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = [scanner.spans(t) for t in texts_of(batch.column(1))]
+            counts = [pa.array([sum(s[2] == k for s in every) for _, every in found], pa.int64()) for k in KINDS]
+            digest = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts[:3], digest, pa.array([listed(every) for _, every in found], pa.string()), counts[3]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+
+
+def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", path: str | None = None, efficiency: float = EFFICIENCY) -> DataFrame:
+    """``docs`` with every span replaced by a mask (overlapping ones by one); texts without any stay as they are.
+
+    ``length_col``, if there is one, gets the new length of the texts that change.
+    """
+    data = _vocabulary(docs, path)
+    columns = docs.columns
+    sized = length_col if length_col in columns else None
+
+    def run(batches):
+        scanner = Scanner(data.value, efficiency)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.schema.get_field_index(text_col)
+            texts, arrays = batch.column(at).to_pylist(), list(batch.columns)
+            lengths = batch.column(sized).to_pylist() if sized else []
+            for k, text in enumerate(texts):
+                spans = scanner.spans(text.encode())[1] if text else []
+                if spans:
+                    parts, last = [], 0
+                    for start, end, _ in spans:
+                        if start >= last:
+                            parts += [text[last:start], MASK]
+                        last = max(last, end)
+                    texts[k] = "".join([*parts, text[last:]])
+                    if sized:
+                        lengths[k] = len(texts[k])
+            arrays[at] = pa.array(texts, batch.schema.field(at).type)
+            if sized:
+                i = batch.schema.get_field_index(sized)
+                arrays[i] = pa.array(lengths, batch.schema.field(i).type)
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
