@@ -4,8 +4,9 @@ A text is cut into sentences and lines; each is normalised (lower case, everythi
 but letters and digits one space) and compared with licence templates by the Dice
 coefficient of their sets of word bigrams, 2 |A and B| / (|A| + |B|). A coefficient of
 ``t`` needs |A| between t / (2 - t) |B| and (2 - t) / t |B|, so sizes prune the
-templates a segment is compared with, and segments that no template's size fits go
-before their bigrams are even laid out.
+templates a segment is compared with. The same bound gives words of which every match
+must hold one (``anchors``): texts and segments without any go before their bigrams
+are laid out.
 
 Scale: one narrow pass whose only join is with the templates' bigrams (a fixed table
 of a few hundred rows, broadcast). Only matches and ids are shuffled. A hot bigram
@@ -18,7 +19,10 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +61,7 @@ TEMPLATES = (
 )
 #: Ends of sentences, with the marks after them, and of lines.
 CUT = r"[.!?][^\p{L}\p{N} \t\r\n]*[ \t\r\n]+|\n"
-NOT_WORD = r"[^\p{L}\p{N}]+"
+NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 
 def bigrams(notice: str) -> list[str]:
@@ -74,19 +78,47 @@ def template_rows(templates=TEMPLATES) -> list[tuple[int, str, str, int]]:
     return rows
 
 
+def anchors(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every segment that can match holds at least one.
+
+    A match shares at least t / (2 - t) of a template's bigrams, so it holds one of any
+    set that leaves out fewer. Of each template, words are taken that together stand in
+    such a set; long words first, as they are rare.
+    """
+    chosen: set[str] = set()
+    for _, notice in sorted(templates):
+        own = {tuple(g.split()) for g in bigrams(notice)}
+        need = len(own) - math.ceil(threshold / (2 - threshold) * len(own) - 1e-9) + 1
+        covered = {g for g in own if chosen & set(g)}
+        while len(covered) < need:
+            left = own - covered
+            word = max({w for g in left for w in g}, key=lambda w: (len(w) ** 2 * sum(w in g for g in left), w))
+            chosen.add(word)
+            covered |= {g for g in left if word in g}
+    return sorted(chosen)
+
+
+def once(column):
+    """A column to be computed once, for use in several expressions: Catalyst doesn't move them below explode."""
+    return F.explode(F.array(column))
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_matches, licenses (sorted, comma-joined), best_license, best_score."""
     rows = template_rows(templates)
     values = ", ".join("({}, '{}', '{}', {})".format(k, name.replace("'", "''"), g, n) for k, name, g, n in rows)
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     known = docs.sparkSession.sql(f"select * from values {values} as t(template, license, gram, size_b)")
     sizes = [n for *_, n in rows]
+    words = anchors(templates, threshold)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seg = docs.select("doc_id", F.posexplode(F.split("text", CUT)).alias("seg", "raw"))
-    seg = seg.select("doc_id", "seg", F.split(F.trim(F.regexp_replace(F.lower("raw"), NOT_WORD, " ")), " ").alias("w"))
-    seg = seg.where(F.size("w") - 1 >= low * min(sizes))
+    held = docs.select("doc_id", once(F.lower("text")).alias("low")).where(reduce(or_, [F.contains("low", F.lit(w)) for w in words]))
+    flat = F.regexp_replace(F.regexp_replace("low", CUT, "\n"), NOT_WORD, " ")
+    seg = held.select("doc_id", F.posexplode(F.split(flat, "\n")).alias("seg", "raw"))
+    seg = seg.select("doc_id", "seg", once(F.concat(F.lit(" "), F.trim("raw"), F.lit(" "))).alias("raw")).where(reduce(or_, [F.contains("raw", F.lit(f" {w} ")) for w in words]))
+    seg = seg.select("doc_id", "seg", once(F.split(F.trim("raw"), " ")).alias("w")).where(F.size("w") - 1 >= low * min(sizes))
     gram = F.array_distinct(F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1))))
-    seg = seg.select("doc_id", "seg", gram.alias("grams")).withColumn("size_a", F.size("grams")).where(F.col("size_a").between(low * min(sizes), high * max(sizes)))
+    seg = seg.select("doc_id", "seg", once(gram).alias("grams")).withColumn("size_a", F.size("grams")).where(F.col("size_a").between(low * min(sizes), high * max(sizes)))
     hit = seg.select("doc_id", "seg", "size_a", F.explode("grams").alias("gram")).join(F.broadcast(known), "gram")
     hit = hit.where((F.col("size_a") >= low * F.col("size_b")) & (F.col("size_a") <= high * F.col("size_b")))
     both = hit.groupBy("doc_id", "seg", "template", "license", "size_a", "size_b").agg(F.countDistinct("gram").alias("common"))

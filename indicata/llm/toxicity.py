@@ -3,8 +3,7 @@
 The lexicon is learned from labelled documents: whole words, and stems (beginnings
 of words, for words that appear with many endings), that are frequent in toxic and
 practically absent from other documents. It lies in a trie. A document's word is
-read as a Levenshtein automaton of one edit, whose states are kept as two bit sets,
-and the automaton and the trie are walked together: branches of the trie that no
+read as a Levenshtein automaton of one edit, and the automaton and the trie are walked together: branches of the trie that no
 spelling within one edit reaches are never entered. Words shorter than
 ``fuzzy_length`` only match exactly.
 
@@ -15,8 +14,8 @@ features of a logistic regression, whose weights are learned as well.
 
 Scale: the lexicon and weights are fitted on at most ``max_fit`` labelled rows, those
 whose ids have the smallest hashes; the fitted model is a few kilobytes. Scoring is
-one pass without a shuffle; a worker remembers the result for each distinct word, for
-at most ``MEMO`` words at a time.
+one pass without a shuffle, in which the distinct words of a slice of texts walk the
+trie together.
 
 Edge cases: null and empty texts have no matches and get the model's base score.
 Labels that are null, and labelled rows without a document, are left out. Without
@@ -26,18 +25,19 @@ scored. Words of any length are read whole.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, slices, texts_of
 
 MAX_FIT = 20_000
-MEMO = 1_000_000
 CUT = 0.7
 FUZZY_LENGTH = 5
 STEMS = (4, 5, 6, 7)
@@ -51,59 +51,56 @@ FEATURES = 7
 
 @dataclass
 class Trie:
-    """Terms by byte; ``value`` is (term index, whether any word that starts with it matches)."""
+    """Terms by byte; ``stem`` is None where no term ends, else whether any word that starts with it matches."""
 
     child: dict[int, Trie] = field(default_factory=dict)
-    value: tuple[int, bool] | None = None
+    stem: bool | None = None
+    height: int = 0
 
-    def add(self, term: bytes, index: int, stem: bool) -> None:
+    def add(self, term: bytes, stem: bool) -> None:
         node = self
+        self.height = max(self.height, len(term))
         for c in term:
             node = node.child.setdefault(c, Trie())
-        node.value = (index, stem)
+        node.stem = bool(node.stem) or stem
 
 
-def match(trie: Trie, word: bytes, fuzzy_length: int = FUZZY_LENGTH) -> tuple[int, int] | None:
-    """(edits, term) of the best term within one edit of the word; ties go to the longest, then first, term.
+def match(trie: Trie, letters: np.ndarray, lengths: np.ndarray, fuzzy_length: int = FUZZY_LENGTH) -> np.ndarray:
+    """Per word: 0 for no term, 1 for a term as it is, 2 for a term within one edit.
 
-    The automaton's state after part of a term is a pair of bit sets: bit i of the
-    first (second) is set if the first i bytes of the word match that part with no
-    (one) edit.
+    ``letters`` has at least the first ``trie.height + 2`` bytes of each word, then
+    zeros. Each word is an automaton of at most one edit. After d letters of a term
+    its state is whether d letters of the word match them without an edit, and which
+    of d - 1, d and d + 1 letters of the word match them with one. The trie is walked
+    once with the automata of all words; a branch keeps the words that still live.
     """
-    n = len(word)
-    masks: dict[int, int] = {}
-    for i, c in enumerate(word):
-        masks[c] = masks.get(c, 0) | 1 << i
-    full, best = 1 << n, None
-    stack = [(trie, 1, 0b11 & (2 * full - 1), 0)]
-    fuzzy = n >= fuzzy_length
-    if not fuzzy:
-        stack = [(trie, 1, 0, 0)]
+    out = np.zeros(len(letters), np.int8)
+    none = np.zeros(len(letters), bool)
+    fuzzy = lengths >= fuzzy_length
+    stack = [(trie, 0, np.arange(len(letters)), ~none, none, none, fuzzy)]
     while stack:
-        node, zero, one, depth = stack.pop()
-        if node.value:
-            index, stem = node.value
-            edits = None
-            if zero & full or stem and zero:
-                edits = 0
-            elif depth >= fuzzy_length and (one & full or stem and one >> (depth - 1)):
-                edits = 1
-            if edits is not None:
-                key = (edits, -depth, index)
-                if best is None or key < best:
-                    best = key
+        node, d, rows, exact, less, same, more = stack.pop()
+        if node.stem is not None:
+            n = lengths[rows]
+            out[rows[exact if node.stem else exact & (n == d)]] = 1
+            if d >= fuzzy_length:
+                edit = less | same | more if node.stem else less & (n == d - 1) | same & (n == d) | more & (n == d + 1)
+                at = rows[edit]
+                out[at[out[at] == 0]] = 2
+        if not node.child:
+            continue
+        here, after = letters[rows, d], letters[rows, d + 1]
+        before = letters[rows, d - 1] if d else np.zeros(len(rows), np.uint8)
+        free = exact & fuzzy[rows]
+        replaced = free & (here != 0)
         for c, kid in node.child.items():
-            m = masks.get(c, 0)
-            z = (zero & m) << 1
-            if fuzzy:
-                # a match, or a replaced or missing letter of the word; then an added one
-                o = ((one & m) << 1) | (zero << 1) | zero
-                o = (o | (z << 1) | z) & (2 * full - 1)
-            else:
-                o = 0
-            if z or o:
-                stack.append((kid, z, o, depth + 1))
-    return None if best is None else (best[0], best[2])
+            hit = here == c
+            e = exact & hit
+            state = e, less & (before == c) | free, same & hit | replaced, more & (after == c) | free & hit & (after != 0)
+            live = np.flatnonzero(state[0] | state[1] | state[2] | state[3])
+            if len(live):
+                stack.append((kid, d + 1, rows[live], *(x[live] for x in state)))
+    return out
 
 
 @dataclass
@@ -113,16 +110,16 @@ class Model:
 
     def trie(self) -> Trie:
         root = Trie()
-        for i, (term, stem) in enumerate(self.terms):
-            root.add(term, i, stem)
+        for term, stem in self.terms:
+            root.add(term, stem)
         return root
 
 
 class Scanner:
-    """Features of texts under a lexicon, with a bounded memory of words seen."""
+    """Features of texts under a lexicon."""
 
     def __init__(self, trie: Trie):
-        self.trie, self.memo = trie, {}
+        self.trie = trie
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros((len(texts), FEATURES))
@@ -133,18 +130,13 @@ class Scanner:
         return out
 
     def _slice(self, words: Words, texts: list[bytes], out: np.ndarray) -> None:
-        seen, at, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        memo, codes = self.memo, np.zeros(len(seen), np.int8)
-        for k, (h, i) in enumerate(zip(seen.tolist(), at.tolist())):
-            code = memo.get(h)
-            if code is None:
-                found = match(self.trie, words.word(i))
-                code = 0 if found is None else 1 + found[0]
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[h] = code
-            codes[k] = code
-        code = codes[back]
+        _, at, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        lengths = words.ends[at] - words.starts[at]
+        width = self.trie.height + 2
+        padded = np.concatenate([words.low, np.zeros(width, np.uint8)])
+        letters = as_strided(padded, shape=(len(padded) - width + 1, width), strides=(1, 1))[words.starts[at]]
+        letters[np.arange(width) >= lengths[:, None]] = 0
+        code = match(self.trie, letters, lengths)[back]
         hits = np.flatnonzero(code)
         doc = np.searchsorted(words.first, hits, "right") - 1
         offset = np.cumsum([0] + [len(t) + 1 for t in texts])
@@ -190,40 +182,64 @@ def _fit_rows(docs: DataFrame, labels: DataFrame, max_fit: int) -> DataFrame:
     return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select(F.col("text").cast("string"), "y")
 
 
-def learn_lexicon(fit: DataFrame, min_docs: int = 3, min_ratio: float = 30.0, max_terms: int = 400) -> list[tuple[bytes, bool]]:
-    """Terms and stems that mark toxic documents, from counts of documents made on the executors."""
+def _marks(word: bytes) -> list[bytes]:
+    """A word's marks: itself, with a $ at its end, and its stems."""
+    return [word + b"$", *(word[:k] for k in STEMS if len(word) > k)]
 
-    def run(batches):
+
+def learn_lexicon(fit: DataFrame, min_contexts: int = 3, min_ratio: float = 30.0, min_endings: int = 3, max_marks: int = 20_000, max_terms: int = 400) -> list[tuple[bytes, bool]]:
+    """Terms and stems that mark toxic documents, from counts made on the executors.
+
+    A word's or stem's support is the number of different contexts (neighbouring
+    words) it has in toxic documents, so that copies of one document lend it no more
+    than one. It is kept if toxic documents hold it ``min_ratio`` times as often as
+    others, and if not even one mark would be expected to come so far by chance. A
+    stem also needs several words; it stands for them and for all longer stems.
+    """
+
+    def seen(batches):
         for batch in batches:
-            texts, ys = texts_of(batch.column(0)), batch.column(1).to_pylist()
-            terms, flags = [], []
-            for text, y in zip(texts, ys):
+            rows = set()
+            for text in texts_of(batch.column(0)):
                 words = Words([text])
-                own = {words.data[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist()) if 3 <= b - a <= 40}
-                marks = {w + b"$" for w in own} | {w[:k] for w in own for k in STEMS if len(w) > k}
-                terms += [m.decode("latin-1") for m in marks]
-                flags += [int(y > 0)] * len(marks)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(flags, pa.int32())], names=["term", "y"])
+                own = [words.data[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist())]
+                for before, w, after in zip([b"", *own], own, [*own[1:], b""]):
+                    if 3 <= len(w) <= 40:
+                        rows.add((w, before + b" " + after))
+            marks = [(m.decode("latin-1"), w.decode("latin-1"), c.decode("latin-1")) for w, c in rows for m in _marks(w)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*marks)] if marks else [pa.array([], pa.string())] * 3, names=["term", "word", "context"])
 
     sizes = fit.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("y") > 0).cast("int")), F.lit(0)).alias("toxic")).first()
     n_toxic, n_clean = sizes["toxic"], sizes["n"] - sizes["toxic"]
     if not n_toxic:
         return []
-    counts = fit.mapInArrow(run, "term string, y int").groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
-    ratio = (F.col("t") / n_toxic) / ((F.col("c") + 0.5) / max(1, n_clean))
-    rows = counts.where(F.col("t") >= min_docs).where(ratio >= min_ratio).orderBy(F.desc("t"), "term").limit(8 * max_terms).collect()
-    found = {r["term"].encode("latin-1"): r["t"] for r in rows}
-    chosen: list[tuple[bytes, bool]] = []
-    stems = sorted((s for s in found if not s.endswith(b"$")), key=len)
-    taken: list[bytes] = []
-    for s in stems:
-        # a stem has several endings; the shortest that holds them all stands for longer ones
-        endings = [w for w in found if w.endswith(b"$") and w.startswith(s) and len(w) > len(s) + 1]
-        if len(endings) >= 3 and not any(s.startswith(x) for x in taken):
-            taken.append(s)
-    chosen += [(s, True) for s in taken]
-    chosen += [(w[:-1], False) for w in sorted(found, key=lambda w: (-found[w], w)) if w.endswith(b"$") and not any(w.startswith(s) for s in taken)]
-    return chosen[:max_terms]
+    contexts = fit.where("y > 0").mapInArrow(seen, "term string, word string, context string").select("term", "word", F.xxhash64("context").alias("context")).distinct()
+    support = contexts.groupBy("term", "word").agg(F.count("*").alias("t")).groupBy("term").agg(F.sum("t").alias("t"), F.count("*").alias("words"))
+    support = support.where((F.col("t") >= min_contexts) & (F.endswith("term", F.lit("$")) | (F.col("words") >= min_endings)))
+    toxic = {r["term"].encode("latin-1"): r["t"] for r in support.orderBy(F.desc("t"), "term").limit(max_marks).collect()}
+
+    def documents(batches):
+        counts: dict[tuple[bytes, int], int] = {}
+        for batch in batches:
+            for text, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
+                words = Words([text])
+                own = {words.data[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist())}
+                for m in {m for w in own for m in _marks(w) if m in toxic}:
+                    counts[m, int(y > 0)] = counts.get((m, int(y > 0)), 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([m.decode("latin-1") for m, _ in counts], pa.string()), pa.array([y for _, y in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["term", "y", "n"])
+
+    held = {(r["term"].encode("latin-1"), r["y"]): r["n"] for r in fit.mapInArrow(documents, "term string, y int, n long").groupBy("term", "y").agg(F.sum("n").alias("n")).collect()}
+    share = lambda m: held.get((m, 1), 0) / n_toxic / ((held.get((m, 0), 0) + 0.5) / max(1, n_clean))
+    enough = math.log(max(2, len(toxic))) / -math.log(n_toxic / (n_toxic + n_clean + 1))
+    found = {m: t for m, t in toxic.items() if t >= enough and share(m) >= min_ratio}
+    stems: list[bytes] = []
+    for s in sorted((s for s in found if not s.endswith(b"$")), key=lambda s: (len(s), s)):
+        # one word that makes up most of a stem is no stem
+        alone = any(2 * found[w] > found[s] for w in found if w.endswith(b"$") and w.startswith(s))
+        if not alone and not any(s.startswith(x) for x in stems):
+            stems.append(s)
+    words = [w[:-1] for w in sorted(found, key=lambda w: (-found[w], w)) if w.endswith(b"$") and not any(w.startswith(s) for s in stems)]
+    return [*((s, True) for s in stems), *((w, False) for w in words)][:max_terms]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
