@@ -20,16 +20,17 @@ import base64
 import hashlib
 import struct
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import pieces, texts_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MEMO = 500_000
+MEMO = 200_000
 #: Longest pre-token that is remembered.
 MEMO_BYTES = 64
 #: First of 256 consecutive letters that stand for the bytes.
@@ -111,18 +112,16 @@ def rank_file(path: str | None = None) -> bytes:
         return f.read()
 
 
-def _mapped(docs: DataFrame, id_col: str, text_col: str, path: str | None, schema: str, row) -> DataFrame:
+def _mapped(docs: DataFrame, id_col: str, text_col: str, path: str | None, schema: str, row, columns) -> DataFrame:
     data = docs.sparkSession.sparkContext.broadcast(rank_file(path))  # one vocabulary file: under a megabyte
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         codec = Codec(data.value)
-        for batch in batches:
-            if batch.num_rows:
-                rows = [row(codec, t.decode()) for t in texts_of(batch.column(1))]
-                kinds = [pa.int64(), *(pa.list_(pa.int64()) if "array" in schema else pa.string() for _ in rows[0][1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["doc_id", *(c.split()[0] for c in schema.split(", "))])
+        for batch in pieces(batches, 1):
+            rows = [row(codec, t.decode()) for t in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns(rows)], names=["doc_id", *(c.split()[0] for c in schema.split(", "))])
 
     return docs.mapInArrow(run, f"doc_id {kind}, {schema}")
 
@@ -132,25 +131,27 @@ def _digests(codec: Codec, text: str) -> tuple:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
 
 
-def _ids(codec: Codec, text: str) -> tuple:
-    ids = codec.encode(text)
-    return len(ids) // 4, memoryview(ids).cast("I").tolist()
+def _lists(rows: list[bytes]) -> list[pa.Array]:
+    """Counts and lists of ids, without a Python number for each."""
+    sizes = np.array([len(r) // 4 for r in rows], np.int64)
+    ids = np.frombuffer(b"".join(rows), "<u4").astype(np.int32)
+    return [pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids))]
 
 
 def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return _mapped(docs, id_col, text_col, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)
+    return _mapped(docs, id_col, text_col, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digests, lambda rows: [pa.array(c) for c in zip(*rows)])
 
 
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids."""
-    return _mapped(docs, id_col, text_col, path, "n_tokens long, ids array<long>", _ids)
+    return _mapped(docs, id_col, text_col, path, "n_tokens long, ids array<int>", Codec.encode, _lists)
 
 
 def decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """One row per document: doc_id and the bytes that its ids stand for; a null list is empty, an unknown id fails."""
     data = encoded.sparkSession.sparkContext.broadcast(rank_file(path))
-    encoded = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<long>"))
+    encoded = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>"))
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

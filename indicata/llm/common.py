@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,15 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function of one batch; an empty batch yields nothing."""
+def pieces(batches: Iterable[pa.RecordBatch], text: int | str) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in batches of ``SLICE_BYTES`` of text at most (or of one row); never an empty one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
-
-    return df.mapInArrow(run, schema)
+    What a worker holds for a batch - texts, words, results - then stays a small
+    multiple of that, whatever the size of the batches that Spark sends.
+    """
+    for batch in batches:
+        if batch.num_rows:
+            column = batch.column(batch.schema.get_field_index(text) if isinstance(text, str) else text)
+            for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+                yield batch.slice(a, b - a)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

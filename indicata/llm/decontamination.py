@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, settle, slices, texts_of
+from .common import Words, mix, pieces, settle, slices, texts_of
 
 WINDOW = 10
 #: Item words in one broadcast block of patterns.
@@ -144,9 +144,7 @@ def _pass(df: DataFrame, text_col: str, patterns, window: int) -> DataFrame:
 
     def run(batches):
         found = searchers(patterns.value, window)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches, text_col):
             n, bits, items = [], [], []
             old_bits = batch.column(batch.schema.get_field_index("_hits")).to_pylist()
             old_items = batch.column(batch.schema.get_field_index("_items")).to_pylist()

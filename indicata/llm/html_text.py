@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import pieces, texts_of
 
 #: Fixed values of HTML: elements that don't end a block, that hold no page text, that never close.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -240,9 +240,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     tree = train()
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                texts = [main_text(t.decode(), tree) for t in texts_of(batch.column(2))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for batch in pieces(batches, 2):
+            texts = [main_text(t.decode(), tree) for t in texts_of(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, settle, slices, texts_of
+from .common import Words, mix, pieces, settle, slices, texts_of
 
 BITS = 16
 MAX_FIT = 20_000
@@ -83,7 +83,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, *, max_fit: int = MAX_FIT) ->
 
     def run(batches):
         raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             chosen = np.array([i in good.value for i in batch.column(0).to_pylist()], bool)
             for bucket, doc in ngrams(texts_of(batch.column(1))):
                 bucket = bucket.astype(np.int64)
@@ -116,9 +116,7 @@ def score(docs: DataFrame, ratios: np.ndarray, *, seed: int = SEED, span: float
     table = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches, 1):
             n, total = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for bucket, doc in ngrams(texts_of(batch.column(1))):
                 n += np.bincount(doc, minlength=len(n))

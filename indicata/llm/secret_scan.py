@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import rank_file, read_ranks
-from .common import texts_of
+from .common import pieces, texts_of
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -110,9 +110,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
 
     def run(batches):
         scanner = Scanner(data.value, efficiency)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches, 1):
             found = [scanner.spans(t) for t in texts_of(batch.column(1))]
             counts = [pa.array([sum(s[2] == k for s in every) for _, every in found], pa.int64()) for k in KINDS]
             digest = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found])
@@ -132,9 +130,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
 
     def run(batches):
         scanner = Scanner(data.value, efficiency)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches, text_col):
             at = batch.schema.get_field_index(text_col)
             texts, arrays = batch.column(at).to_pylist(), list(batch.columns)
             lengths = batch.column(sized).to_pylist() if sized else []

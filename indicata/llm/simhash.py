@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, texts_of
+from .common import pieces, settle, texts_of
 from .graph import components, reduce_edges
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -59,10 +59,9 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp): the fingerprint as a signed long."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                fp = np.array([fingerprint(t, shingle) for t in texts_of(batch.column(1))], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+        for batch in pieces(batches, 1):
+            fp = np.array([fingerprint(t, shingle) for t in texts_of(batch.column(1))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
 

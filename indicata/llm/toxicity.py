@@ -35,7 +35,7 @@ from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices, texts_of
+from .common import Words, pieces, slices, texts_of
 
 MAX_FIT = 20_000
 CUT = 0.7
@@ -198,7 +198,7 @@ def learn_lexicon(fit: DataFrame, min_contexts: int = 3, min_ratio: float = 30.0
     """
 
     def seen(batches):
-        for batch in batches:
+        for batch in pieces(batches, 0):
             rows = set()
             for text in texts_of(batch.column(0)):
                 words = Words([text])
@@ -220,7 +220,7 @@ def learn_lexicon(fit: DataFrame, min_contexts: int = 3, min_ratio: float = 30.0
 
     def documents(batches):
         counts: dict[tuple[bytes, int], int] = {}
-        for batch in batches:
+        for batch in pieces(batches, 0):
             for text, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
                 words = Words([text])
                 own = {words.data[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist())}
@@ -266,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
 
     def run(batches):
         scanner = Scanner(trie)
-        for batch in batches:
+        for batch in pieces(batches, 0):
             x = scanner.features(texts_of(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["x", "y"])
 
@@ -290,10 +290,9 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         scanner = Scanner(trie)
-        for batch in batches:
-            if batch.num_rows:
-                s = _scores(model, scanner.features(texts_of(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["doc_id", "score"])
+        for batch in pieces(batches, 1):
+            s = _scores(model, scanner.features(texts_of(batch.column(1))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["doc_id", "score"])
 
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -307,9 +306,8 @@ def reject(docs: DataFrame, model: Model, *, text_col: str = "text", cut: float
 
     def run(batches):
         scanner = Scanner(trie)
-        for batch in batches:
-            if batch.num_rows:
-                s = _scores(model, scanner.features(texts_of(batch.column(batch.schema.get_field_index(text_col)))))
-                yield batch.filter(pa.array(s < cut))
+        for batch in pieces(batches, text_col):
+            s = _scores(model, scanner.features(texts_of(batch.column(batch.schema.get_field_index(text_col)))))
+            yield batch.filter(pa.array(s < cut))
 
     return docs.mapInArrow(run, docs.schema)
