@@ -18,12 +18,12 @@ SLICE_BYTES = 4 << 20
 def settle(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) is a folder of our own set.
+    The folder is the one that the session has, or that its ``spark.checkpoint.dir``
+    names. Only where neither is set (local tests) is a folder of our own set.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(f"/tmp/indicata-checkpoints-{uuid.uuid4().hex}")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or f"/tmp/indicata-checkpoints-{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
 
 

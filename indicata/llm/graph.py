@@ -65,8 +65,9 @@ def reduce_edges(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node with an edge to another; component is its smallest reachable node.
+    """(node, component) of every node that reaches a smaller one; component is the smallest it reaches.
 
+    A node that isn't in the result is its own component.
     ``edges`` has long columns u and v in any direction; repeated edges and loops
     are allowed. No edges give an empty table.
     """
