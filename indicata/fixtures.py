@@ -122,3 +122,21 @@ MAIL_RESULTS = values_sql("msg_id, origin, n_hops, spf, dkim, dmarc, source_type
     (5, None, 0, "none", "none", "none", "none", False, None, "", "", "", 1),
     (6, None, 0, "pass", "none", "none", "fallback", False, 2, "b.c", "", "", 0),
 ])
+
+#: Feed snapshots and the indicators that meet them; the results were worked out by hand from the rules.
+FEED_VT = values_sql("ioc, malicious, suspicious, harmless, undetected, last_seen, not_found, error", [
+    ("bad.xyz", 12, 0, 50, 4, 1, False, None), ("https://u.com/a", 3, 0, 9, 9, 5, False, None), ("u.com", 3, 0, 9, 9, None, False, None), ("err.com", None, None, None, None, None, None, "timeout"), ("9.9.9.9", 6, 0, 1, 1, 1, False, None),
+    ("d41d8cd98f00b204e9800998ecf8427e", 30, 0, 10, 20, 1, False, None), ("paypal-verify.netlify.app", 1, 0, 60, 5, 1, False, None),
+])
+FEED_OTX = values_sql("ioc, pulse_count, families, tags, malware_count, recent_activity_days, passive_dns_count, unique_ip_count, asn", [
+    ("9.9.9.9", 7, "Emotet,Hive", "botnet", 0, None, 0, 0, "AS1 Vultr"), ("bad.xyz", 2, "", "phishing", 1, 10, 0, 0, None), ("d41d8cd98f00b204e9800998ecf8427e", 5, "Emotet", "trojan", 0, None, 0, 0, None), ("old.com", 4, "", "", 3, None, 0, 0, None),
+])
+FEED_WHOIS = values_sql("domain, age_days", [("bad.xyz", 5), ("old.com", 5000)])
+FEED_TLS = values_sql("host, tls_age_days, issuer, issuer_cn, error", [("bad.xyz", 3, "LE", "R3", None), ("u.com", None, None, None, "refused")])
+FEED_ABUSE = values_sql("ip, abuse_confidence_score, is_tor, error", [("9.9.9.9", 80, False, None), ("8.8.4.4", 10, True, None)])
+FEED_ROWS = (
+    # row, raw, raw score, severity, verdict, factors, error
+    (1, "bad.xyz", 165, "HIGH", "HIGHLY MALICIOUS", 9, None), (2, "https://u.com/a", 25, "LOW", "LOW THREAT", 1, None), (3, "err.com", 0, "LOW", "LOW THREAT", 0, None), (4, "9.9.9.9", 188, "HIGH", "HIGHLY MALICIOUS", 11, None),
+    (5, "D41D8CD98F00B204E9800998ECF8427E", 100, "HIGH", "HIGHLY MALICIOUS", 5, None), (6, "paypal-verify.netlify.app", 131, "HIGH", "HIGHLY MALICIOUS", 11, None), (7, "8.8.4.4", 25, "LOW", "LOW THREAT", 2, None),
+    (8, "old.com", 0, "LOW", "LOW THREAT", 0, None), (9, "", None, None, None, None, "Empty query"), (10, "what is this", None, None, None, None, "Unrecognised input type"),
+)

@@ -280,6 +280,7 @@ f as (select row_id, list_concat(list_filter([case when es >= 3.8 then 'high_ent
 r as (select row_id, array_to_string(fs, '|') as factors, coalesce(list_sum(list_transform(fs, lambda x: string_split(x, '=')[2]::int)), 0)::int as raw_score from f)
 select row_id, factors, raw_score, case when raw_score <= 25 then 'LOW' when raw_score <= 60 then 'MEDIUM' else 'HIGH' end as severity, case when raw_score <= 25 then 'LOW THREAT' when raw_score <= 60 then 'NEEDS REVIEW' else 'LIKELY MALICIOUS' end as verdict from r
 """
+ORACLE["lookup_feeds"] = fx.values_sql("row_id, raw_score, severity, verdict, n_factors, error", [(r[0], *r[2:]) for r in fx.FEED_ROWS])
 ORACLE["severity_histogram"] = f"select severity, count(*) as n from ({ORACLE['url_risk']}) group by severity"
 ORACLE["checks"] = f"""
 select row_id, case input_type when 'ip' then 'Infrastructure' when 'hash' then '' when 'url' then 'TLD|Entropy|URL Heuristics|Infrastructure' else 'TLD|Entropy|Infrastructure' end as passed,

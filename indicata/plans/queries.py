@@ -182,6 +182,23 @@ def url_risk(spark, sf_dir):
     return out.select("row_id", _joined(F.transform("factors", lambda x: F.concat(x["key"], F.lit("="), x["points"].cast("string")))).alias("factors"), "raw_score", "severity", "verdict")
 
 
+def _feeds(spark) -> dict[str, DataFrame]:
+    listed = lambda c: F.filter(F.split(c, ","), lambda x: x != "").alias(c)
+    otx = spark.sql(fx.FEED_OTX)
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    return {
+        "vt": spark.sql(fx.FEED_VT), "whois": spark.sql(fx.FEED_WHOIS), "tls": spark.sql(fx.FEED_TLS), "abuseipdb": spark.sql(fx.FEED_ABUSE),
+        "otx": otx.select("ioc", "pulse_count", listed("families").alias("malware_families"), listed("tags").alias("high_risk_tags"), none("all_tags", "array<string>"), "malware_count", F.col("recent_activity_days").cast("int"), "passive_dns_count", "unique_ip_count", none("file_score", "double"), "asn", none("error", "string")),
+    }
+
+
+def lookup_feeds(spark, sf_dir):
+    """Indicators of every type against feed snapshots."""
+    rows = spark.sql(fx.values_sql("row_id, raw", [r[:2] for r in fx.FEED_ROWS]))
+    out = lookup(rows, _feeds(spark))
+    return out.select("row_id", "raw_score", "severity", "verdict", F.when(F.col("factors").isNotNull(), F.size("factors")).alias("n_factors"), "error")
+
+
 def severity_histogram(spark, sf_dir):
     return display.severity_histogram(url_risk(spark, sf_dir))
 
@@ -297,7 +314,7 @@ def display_forms(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        url_risk, severity_histogram, input_types, host_context, tld_risk, host_entropy, host_signals, brand_similarity, hostname_brand, url_heuristics, gateway_unwrap, infrastructure, pulse_tiers, verdict_merge,
+        url_risk, lookup_feeds, severity_histogram, input_types, host_context, tld_risk, host_entropy, host_signals, brand_similarity, hostname_brand, url_heuristics, gateway_unwrap, infrastructure, pulse_tiers, verdict_merge,
         ct_summary, dns_summary, passive_dns, risk_scores, checks, text_artifacts, artifact_counts, artifact_scores, calls_by_api, session_timeline, trailing_counts, live_sessions, call_windows, call_classes,
         redirect_chains, redirect_scores, mail_verdicts, mail_hops, mail_flow, auth_records, sender_domains, display_forms,
     )
