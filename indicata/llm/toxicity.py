@@ -35,7 +35,7 @@ from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, pieces, slices, texts_of
+from .common import Words, pieces, settle, slices, texts_of
 
 MAX_FIT = 20_000
 CUT = 0.7
@@ -260,7 +260,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
-    rows = _fit_rows(docs, labels, max_fit)
+    # max_fit documents, written once: the passes below don't read the whole table again
+    rows = settle(_fit_rows(docs, labels, max_fit))
     terms = learn_lexicon(rows)
     trie = Model(terms, []).trie()
 
