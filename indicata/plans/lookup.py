@@ -17,6 +17,8 @@ sorts and merges a large one; skewed hosts are split by adaptive execution.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,14 +84,22 @@ def enrich(rows: DataFrame, feeds: dict[str, DataFrame], *, with_subdomains: boo
     merged = intel.merged_verdict(c("vt_own"), c("vt_host"))
     df = df.withColumn("virustotal", F.when(url, F.struct(merged["malicious"].alias("malicious"), merged["last_seen"].alias("last_seen"), F.when(merged["source"] == "domain", c("vt_host")["error"]).otherwise(c("vt_own")["error"]).alias("error"), merged["source"].alias("source")))
         .otherwise(F.struct(c("vt_own")["malicious"].alias("malicious"), c("vt_own")["last_seen"].alias("last_seen"), c("vt_own")["error"].alias("error"), F.lit("own").alias("source"))))
+    for columns in _checks(rows.sparkSession.sparkContext.applicationId):
+        df = pinned(df.withColumns(columns))
+    return df
+
+
+@lru_cache(maxsize=4)
+def _checks(application: str) -> tuple[dict[str, Column], ...]:
+    """The checks that need no feed of their own, by stage; like the rules of the score, built once for an application."""
+    c = F.col
+    url = c("input_type") == "url"
     named = c("host").isNotNull() & (c("host") != "")
-    df = df.withColumn("host_context", F.when(named, hosts.host_context(c("host"))))
-    df = pinned(df)
     owner = F.when(c("input_type") == "ip", c("otx")["asn"]).otherwise(c("owner")["org"])
-    df = df.withColumn("infrastructure", F.when(c("input_type").isin("ip", "url", "domain"), infra.infrastructure(F.coalesce("host", "clean"), c("dns")["cname_records"], owner, c("tls")["issuer"], c("tls")["issuer_cn"], c("tls")["error"])))
+    place = infra.infrastructure(F.coalesce("host", "clean"), c("dns")["cname_records"], owner, c("tls")["issuer"], c("tls")["issuer_cn"], c("tls")["error"])
+    where = {"host_context": F.when(named, hosts.host_context(c("host"))), "infrastructure": F.when(c("input_type").isin("ip", "url", "domain"), place)}
     on_host = lambda x: F.when(named, x)
-    df = pinned(df)
-    return pinned(df.withColumns({
+    checks = {
         "entropy": on_host(hosts.domain_entropy(c("host_context"))),
         "subdomain_entropy": on_host(hosts.subdomain_entropy(c("host_context"), moderate=False)),
         "subdomain_entropy_v2": on_host(hosts.subdomain_entropy(c("host_context"))),
@@ -101,13 +111,23 @@ def enrich(rows: DataFrame, feeds: dict[str, DataFrame], *, with_subdomains: boo
         "cdn_hosting": on_host(hosts.cdn_hosting(c("host_context"))),
         "abused_hosting": on_host(hosts.abused_hosting(c("host_context"))),
         "url_heuristics": F.when(url, urls.url_heuristics(c("clean"))),
-    }))
+    }
+    return where, checks
 
 
 def scored(enriched: DataFrame) -> DataFrame:
     """Enriched rows with the columns of ``risk.score``."""
+    inputs = _inputs(enriched.sparkSession.sparkContext.applicationId)
+    # two sets of columns share names, so the checks travel in one struct of their own
+    flat = enriched.select(F.struct(*enriched.columns).alias("_checks"), F.col("input_type"), *[v.alias(k) for k, v in inputs.items()])
+    out = risk.score(pinned(flat))
+    return out.select("_checks.*", F.col("otx_tier").alias("confidence_tier"), "factors", "adjustment", "raw_score", "normalized_score", "severity", "verdict", "color")
+
+
+@lru_cache(maxsize=4)
+def _inputs(application: str) -> dict[str, Column]:
+    """What the score reads, from the structs of the checks."""
     c = F.col
-    kept = enriched.columns
     otx, named = c("otx"), c("input_type").isin("domain", "url")
     malware = otx["malware_count"]
     tags = F.coalesce(otx["high_risk_tags"], strings([]))
@@ -116,7 +136,7 @@ def scored(enriched: DataFrame) -> DataFrame:
     counts = intel.verdict_counts(c("vt_own"))
     file_score = F.when(c("input_type") == "hash", intel.derived_file_score(F.when(otx["file_score"] != 0, otx["file_score"]), counts))
     ctx, ent, sub, hb, sim, brand = c("host_context"), c("entropy"), c("subdomain_entropy_v2"), c("hostname_brand"), c("brand_similarity"), c("brand_tokens")
-    inputs = {
+    return {
         "query": c("clean"), "vt_ok": c("virustotal")["malicious"].isNotNull() & c("virustotal")["error"].isNull(), "vt_malicious": c("virustotal")["malicious"],
         "abuse_ok": c("abuse").isNotNull() & c("abuse")["error"].isNull(), "abuse_confidence": c("abuse")["abuse_confidence_score"], "is_tor": c("abuse")["is_tor"],
         "age_days": c("whois")["age_days"], "tls_age_days": F.when(c("tls")["error"].isNull(), c("tls")["tls_age_days"]), "rapid_deploy": c("infrastructure")["rapid_deploy"], "provider": c("infrastructure")["provider"],
@@ -129,10 +149,6 @@ def scored(enriched: DataFrame) -> DataFrame:
         "brand_count": brand["brand_count"], "brands": brand["matched_brands"], "brand_context": brand["context"], "lures": c("lures")["matched_lures"], "cdn_provider": c("cdn_hosting")["cdn_provider"], "abused_platform": c("abused_hosting")["platform"],
         "url_signals": c("url_heuristics")["signals"], "redirect_suspicious": c("redirects")["suspicious"],
     }
-    # two sets of columns share names, so the checks travel in one struct of their own
-    flat = enriched.select(F.struct(*kept).alias("_checks"), c("input_type"), *[v.alias(k) for k, v in inputs.items()])
-    out = risk.score(pinned(flat))
-    return out.select("_checks.*", F.col("otx_tier").alias("confidence_tier"), "factors", "adjustment", "raw_score", "normalized_score", "severity", "verdict", "color")
 
 
 def lookup(rows: DataFrame, feeds: dict[str, DataFrame], *, raw_col: str = "raw", with_subdomains: bool = True) -> DataFrame:

@@ -12,6 +12,8 @@ later one and no generated method grows too large.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,24 +76,36 @@ def with_inputs(df: DataFrame) -> DataFrame:
 
 def score(df: DataFrame) -> DataFrame:
     """``df`` with factors, adjustment, raw_score, normalized_score, severity, verdict and color."""
-    c = F.col
-    no = lambda x: F.coalesce(x, F.lit(False))
     kept = df.columns
+    rules = _rules(df.sparkSession.sparkContext.applicationId)
     df = with_inputs(df)
+    for columns in rules:
+        df = pinned(df.withColumns(columns))
+    return df.select(*kept, "factors", "adjustment", "raw_score", "normalized_score", "severity", "verdict", "color")
+
+
+@lru_cache(maxsize=4)
+def _rules(application: str) -> tuple[dict[str, Column], ...]:
+    """The stages of the score, each a set of named columns over those before it.
+
+    They only name columns, so one set serves every table of an application: building
+    some thousand expressions takes longer than planning them.
+    """
+    c = F.col
+    no = lambda x: F.coalesce(x, F.lit(False))
     empty = F.array().cast("array<string>")
-    df = df.withColumns({
+    base = {
         "_vt": no(c("vt_ok")), "_mal": F.when(no(c("vt_ok")), F.coalesce("vt_malicious", F.lit(0))).otherwise(0),
         "_conf": F.when(no(c("abuse_ok")), F.coalesce("abuse_confidence", F.lit(0))).otherwise(0),
         "_otx": no(c("otx_ok")), "_tags": F.coalesce("otx_tags", empty), "_fam": F.coalesce("otx_families", empty), "_pulses": F.coalesce("otx_pulses", F.lit(0)),
         "_ip": c("input_type") == "ip", "_brands": F.coalesce("brands", empty), "_lures": F.coalesce("lures", empty),
         "_nb": F.coalesce("brand_count", F.size("brands"), F.lit(0)),
-    })
+    }
     # a hash without a usable verdict goes by the rules of names
-    df = df.withColumns({
+    kind = {
         "_hash": (c("input_type") == "hash") & c("_vt"),
         "_tier": F.when(~c("_otx"), "None").when(c("_ip") & (F.coalesce("otx_tier", F.lit("None")) == "None") & (F.size("_tags") > 0), "Suspicious").otherwise(F.coalesce("otx_tier", F.lit("None"))),
-    })
-    df = pinned(df)
+    }
     mal, conf, ip, tier, fam, tags, pulses, otx = (c(x) for x in ("_mal", "_conf", "_ip", "_tier", "_fam", "_tags", "_pulses", "_otx"))
     name = ~ip & (c("input_type") != "hash")
     nfam = F.size(fam)
@@ -126,9 +140,7 @@ def score(df: DataFrame) -> DataFrame:
         factor(tier == "Suspicious", "otx_suspicious", 10, F.when(F.size(tags) > 0, F.concat(F.lit("High-risk tags: "), _words(tags, 4))).otherwise("High-risk threat intelligence tags")),
         factor(tier == "Contextual", "otx_contextual", 3, "Referenced in threat intelligence collections"),
     ]
-    df = df.withColumn("_early", present(F.when(c("_hash"), F.array(*of_hash)).otherwise(F.array(*early))))
-    df = pinned(df)
-    df = df.withColumn("_minus", F.when(~c("_hash") & otx & no(c("otx_reference_only")) & (points(c("_early")) > 3), -7).otherwise(0))
+    stage_early = {"_early": present(F.when(c("_hash"), F.array(*of_hash)).otherwise(F.array(*early)))}
 
     ransom = F.filter(fam, lambda f: contains_any(F.lower(f), lists.RANSOMWARE_WORDS))
     every_tag = F.array_sort(F.array_distinct(F.concat(tags, F.coalesce("otx_all_tags", empty))))
@@ -175,9 +187,12 @@ def score(df: DataFrame) -> DataFrame:
         factor(c("ct_ok") & (c("ct_level") == "High"), "subdomain_explosion_high", 10, F.concat(c("ct_count").cast("string"), F.lit(" subdomains via CT logs"))),
         factor(c("ct_ok") & (c("ct_level") == "Elevated"), "subdomain_explosion_low", 5, F.concat(c("ct_count").cast("string"), F.lit(" subdomains via CT logs"))),
     ]
-    df = df.withColumn("_middle", F.when(c("_hash"), F.array().cast(f"array<{_FACTOR}>")).otherwise(present(F.array(*middle))))
+    none = F.array().cast(f"array<{_FACTOR}>")
+    stage_middle = {
+        "_minus": F.when(~c("_hash") & otx & no(c("otx_reference_only")) & (points(c("_early")) > 3), -7).otherwise(0),
+        "_middle": F.when(c("_hash"), none).otherwise(present(F.array(*middle))),
+    }
 
-    df = pinned(df)
     cdn_hit, abused = c("cdn_provider").isNotNull(), c("abused_platform").isNotNull()
     triple = brand_hit & cdn_hit & lure_hit
     first = F.get("_brands", F.lit(0))
@@ -194,12 +209,13 @@ def score(df: DataFrame) -> DataFrame:
         factor(high & level.isin("Moderate", "High"), "brand_entropy_correlation", 5, F.concat(F.lit("Brand impersonation + "), F.lower(level), F.lit(" entropy domain"))),
         factor(high & strong, "brand_otx_correlation", 10, F.concat(F.lit("Brand impersonation + OTX tier '"), tier, F.lit("'"))),
     ]
-    df = df.withColumn("_late", F.when(c("_hash"), F.array().cast(f"array<{_FACTOR}>")).otherwise(present(F.array(*late))))
-    df = df.withColumn("_all", F.concat("_early", "_middle", "_late"))
-    df = pinned(df)
-    df = df.withColumn("_hidden", F.when(~c("_hash") & abused & brand_hit & ~triple, 8).otherwise(0))
-    df = df.withColumn("_struct", F.when(c("_hash"), F.array().cast(f"array<{_FACTOR}>")).otherwise(F.filter("_all", lambda x: member(x["key"], lists.STRUCTURAL_FACTORS))))
-    df = pinned(df)
+    stage_late = {"_late": F.when(c("_hash"), none).otherwise(present(F.array(*late)))}
+    stage_all = {
+        "_all": F.concat("_early", "_middle", "_late"),
+        "_hidden": F.when(~c("_hash") & abused & brand_hit & ~triple, 8).otherwise(0),
+    }
+    stage_struct = {"_struct": F.when(c("_hash"), none).otherwise(F.filter("_all", lambda x: member(x["key"], lists.STRUCTURAL_FACTORS)))}
+
     total = points(c("_struct"))
     url = c("input_type") == "url"
     last = present(F.array(
@@ -208,16 +224,13 @@ def score(df: DataFrame) -> DataFrame:
     ))
     labels = F.create_map(*[F.lit(x) for k, v in FACTORS.items() if k.startswith("url_") for x in (k, v[1])])
     of_url = F.transform(url_factors(F.coalesce("url_signals", empty)), lambda x: F.struct(x["key"].alias("key"), labels[x["key"]].alias("reason"), x["points"].cast("int").alias("points")))
-    df = df.withColumn("factors", F.concat("_all", last, F.when(url, of_url).otherwise(F.array().cast(f"array<{_FACTOR}>"))))
-    df = pinned(df)
-    df = df.withColumn("adjustment", c("_minus") + c("_hidden"))
-    df = df.withColumn("raw_score", F.when(c("_hash"), F.least(points(c("factors")), F.lit(100))).otherwise(points(c("factors")) + c("adjustment")))
-    df = df.withColumn("normalized_score", F.least("raw_score", F.lit(100)))
-    df = df.withColumn("severity", F.when(c("_hash"), hash_severity(c("normalized_score"))).otherwise(severity(c("normalized_score"))))
+    stage_factors = {"factors": F.concat("_all", last, F.when(url, of_url).otherwise(none)), "adjustment": c("_minus") + c("_hidden")}
+    sums = {"raw_score": F.when(c("_hash"), F.least(points(c("factors")), F.lit(100))).otherwise(points(c("factors")) + c("adjustment"))}
+    capped = {"normalized_score": F.least("raw_score", F.lit(100))}
+    level_of = {"severity": F.when(c("_hash"), hash_severity(c("normalized_score"))).otherwise(severity(c("normalized_score")))}
     seen = otx & ((pulses > 0) | (nfam > 0) | (F.size(tags) > 0))
-    df = df.withColumn("verdict", verdict(c("severity"), (mal >= 1) | seen | (~c("_hash") & (conf > 0))))
-    df = df.withColumn("color", color(c("severity")))
-    return df.select(*kept, "factors", "adjustment", "raw_score", "normalized_score", "severity", "verdict", "color")
+    told = {"verdict": verdict(c("severity"), (mal >= 1) | seen | (~c("_hash") & (conf > 0))), "color": color(c("severity"))}
+    return base, kind, stage_early, stage_middle, stage_late, stage_all, stage_struct, stage_factors, sums, capped, level_of, told
 
 
 def severity(score_: Column) -> Column:
