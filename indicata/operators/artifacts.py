@@ -147,6 +147,15 @@ def long_form(extracted: DataFrame, id_col: str = "doc_id", source: str = "Email
     return extracted.select(id_col, F.explode(every).alias("x")).select(id_col, "x.*")
 
 
+def without(rows: DataFrame, others: DataFrame, id_col: str = "msg_id") -> DataFrame:
+    """Long artifacts without those whose indicator ``others`` has for the same message.
+
+    Body urls give way to the same urls in QR codes and invitations, attachments' urls
+    to those of the body.
+    """
+    return rows.join(others.select(id_col, "ioc").distinct(), [id_col, "ioc"], "left_anti")
+
+
 def qr_type(payload: Column) -> Column:
     """url, domain (any other text with a dot, but for data:) or null."""
     web = F.startswith(payload, F.lit("http://")) | F.startswith(payload, F.lit("https://"))

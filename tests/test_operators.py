@@ -85,6 +85,12 @@ def test_links_and_invitations(spark):
     assert [r.filename for r in artifacts.attachments(messages(spark)).collect()] == ["i.ics"]
 
 
+def test_priority_of_sources(spark):
+    body = spark.createDataFrame([(1, "u"), (1, "v"), (2, "u")], "msg_id long, ioc string")
+    qr = spark.createDataFrame([(1, "u"), (1, "u"), (3, "v")], "msg_id long, ioc string")
+    assert {tuple(r) for r in artifacts.without(body, qr).collect()} == {(1, "v"), (2, "u")}
+
+
 def test_qr_types(spark):
     df = spark.createDataFrame([("http://a.b",), ("upi://a.b",), ("data:x.y",), ("plain",), ("a.com",)], "p string")
     assert [r.t for r in df.select(artifacts.qr_type(F.col("p")).alias("t")).collect()] == ["url", "domain", None, None, "domain"]
