@@ -176,6 +176,29 @@ EXAMPLES = np.array(
         # readers' comments, within the article's element or beside it
         (35, 0.0, 70, 0.0, 2, 0.0, 1, 1, 0, 0, 0), (2, 0.5, 35, 0.0, 50, 0.0, 1, 1, 0, 0, 0), (50, 0.0, 2, 0.5, 1, 1.0, 1, 1, 0, 1, 0), (120, 0.0, 50, 0.0, 80, 0.0, 0, 1, 0, 0, 0),
         (80, 0.02, 120, 0.0, 0, 0.0, 0, 1, 0, 1, 0), (1, 0.0, 60, 0.0, 35, 0.0, 1, 1, 1, 0, 0),
+        # long blocks of text before lists of links, on pages that mark an article and on others
+        (200, 0.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0, 1), (45, 0.0, 30, 0.0, 1, 1.0, 0, 0, 0, 0, 1), (20, 0.1, 40, 0.0, 3, 0.9, 0, 0, 0, 0, 1), (12, 0.0, 50, 0.0, 2, 1.0, 0, 0, 0, 0, 1),
+        (90, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 1), (15, 0.0, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 1), (30, 0.3, 20, 0.0, 1, 1.0, 0, 0, 0, 1, 1), (60, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 1),
+        (80, 0.0, 60, 0.0, 1, 1.0, 1, 0, 0, 0, 1), (4, 0.0, 50, 0.0, 2, 1.0, 1, 0, 0, 0, 1), (3, 0.0, 4, 0.0, 3, 1.0, 1, 0, 0, 1, 1), (2, 0.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0, 1),
+        # short blocks amid text on pages that mark no article
+        (4, 0.0, 50, 0.0, 6, 0.0, 0, 0, 0, 1, 1), (3, 0.0, 4, 0.0, 5, 0.0, 0, 0, 0, 1, 1), (5, 0.0, 3, 0.0, 12, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 30, 0.0, 20, 0.0, 0, 0, 1, 0, 1),
+        (1, 0.0, 5, 0.0, 4, 0.0, 0, 0, 0, 0, 1), (6, 0.0, 2, 1.0, 18, 0.0, 0, 0, 1, 0, 1), (3, 0.0, 0, 0.0, 9, 0.0, 0, 0, 1, 0, 1), (2, 0.0, 0, 0.0, 3, 0.0, 0, 0, 0, 0, 1),
+        (2, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 1, 1), (3, 0.0, 5, 0.0, 2, 1.0, 0, 0, 0, 1, 1), (4, 0.0, 20, 0.0, 1, 1.0, 0, 0, 0, 1, 1),
+        # short titles and blocks after links
+        (2, 0.0, 1, 1.0, 40, 0.0, 0, 0, 1, 0, 1), (3, 0.0, 1, 1.0, 20, 0.0, 0, 0, 1, 0, 1), (2, 0.0, 2, 1.0, 12, 0.0, 0, 0, 0, 0, 1), (1, 0.0, 1, 1.0, 60, 0.0, 0, 0, 1, 0, 1),
+        (2, 0.0, 1, 1.0, 50, 0.0, 1, 0, 1, 0, 1), (3, 0.0, 2, 1.0, 30, 0.0, 1, 0, 0, 0, 1), (2, 0.0, 4, 1.0, 0, 0.0, 1, 0, 0, 0, 1), (3, 0.0, 2, 1.0, 2, 1.0, 1, 0, 0, 0, 1),
+        (9, 0.0, 3, 1.0, 40, 0.0, 0, 0, 1, 0, 1), (30, 0.0, 3, 1.0, 20, 0.0, 0, 0, 0, 0, 1), (40, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 3, 1.0, 5, 0.0, 0, 0, 1, 0, 1),
+        (70, 0.0, 3, 1.0, 0, 0.0, 1, 0, 0, 0, 1), (4, 0.0, 3, 1.0, 0, 0.0, 1, 0, 0, 0, 1), (2, 0.0, 3, 1.0, 8, 0.0, 1, 0, 0, 1, 1), (12, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 1),
+        # the last block of a page without a footer
+        (50, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (14, 0.0, 25, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (120, 0.1, 2, 1.0, 0, 0.0, 0, 0, 0, 0, 1), (25, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 1, 1),
+        (40, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0, 1), (2, 0.0, 3, 0.0, 0, 0.0, 1, 0, 0, 0, 1), (5, 0.0, 80, 0.0, 0, 0.0, 1, 0, 0, 1, 1), (6, 0.0, 2, 1.0, 0, 0.0, 1, 0, 0, 0, 1),
+        (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1),
+        # links before text, alone or the last of a menu, and at a page's end
+        (1, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0, 1, 0), (2, 1.0, 2, 1.0, 8, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 3, 0.0, 0, 0, 0, 0, 0),
+        (2, 1.0, 50, 0.0, 6, 0.0, 0, 0, 0, 0, 0), (4, 1.0, 60, 0.0, 70, 0.0, 0, 0, 0, 0, 0), (15, 0.9, 5, 1.0, 30, 0.0, 0, 0, 0, 0, 0), (25, 1.0, 20, 1.0, 50, 0.0, 0, 0, 0, 1, 0),
+        (3, 1.0, 4, 1.0, 0, 0.0, 0, 0, 0, 1, 0), (2, 1.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (2, 1.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (8, 0.8, 12, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
+        # short blocks over or under lists of links: their titles, a line under a footer's links
+        (2, 0.0, 50, 0.0, 3, 1.0, 0, 0, 1, 0, 0), (3, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (4, 0.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0, 0),
     ]
 )
 
@@ -226,6 +249,14 @@ def train() -> Node:
     return grow(EXAMPLES[:, :-1], EXAMPLES[:, -1])
 
 
+def printed(node: Node, depth: int = 0) -> str:
+    """The tree as lines of tests, the branch where a test holds first."""
+    pad = "  " * depth
+    if node.feature < 0:
+        return f"{pad}{'main' if node.main else 'rest'}\n"
+    return f"{pad}{FEATURES[node.feature]} < {node.cut:g}\n" + printed(node.low, depth + 1) + printed(node.high, depth + 1)
+
+
 def main_text(page: str, tree: Node) -> str:
     found = blocks(page)
     if not found:

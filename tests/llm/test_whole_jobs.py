@@ -1,0 +1,53 @@
+"""Layouts and inputs on which operators once did less than their whole job."""
+
+from indicata.llm import html_text
+
+TREE = """side < 0.5
+  density < 0.65
+    density_after < 0.95
+      density_before < 0.55
+        main
+        words_after < 2.5
+          words < 9
+            main
+            main
+          main
+      words < 8
+        main < 0.5
+          item < 0.5
+            rest
+            main
+          main
+        main
+    main < 0.5
+      rest
+      main
+  rest
+"""
+LONG = "Some plain words of an article that goes on for a while, "
+MENU = "<ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul>"
+
+
+def html(page):
+    return html_text.main_text(page, html_text.train())
+
+
+def test_html_tree():
+    assert html_text.printed(html_text.train()) == TREE
+
+
+def test_html_long_blocks_before_links():
+    for n in (1, 2, 20):
+        assert html(f"<h1>A title of some words</h1><p>{LONG * 3}</p><p>{LONG * n}end</p>{MENU}").endswith(f"{LONG * n}end")
+        assert html(f"<article><p>{LONG * 3}</p><p>{LONG * n}end</p></article>{MENU}").endswith(f"{LONG * n}end")
+    assert html(f"<p>{LONG * 3}</p><h2>Related</h2>{MENU}") == (LONG * 3).strip()
+
+
+def test_html_last_block_of_a_page():
+    assert html("<article><p>two words..</p><p>last paragraph</p></article>") == "two words.. last paragraph"
+    assert html(f"<p>{LONG}</p><p>{LONG}end</p>") == f"{LONG}{LONG}end"
+
+
+def test_html_links_before_text():
+    assert html(f"{MENU}<p>{LONG}end</p>") == f"{LONG}end"
+    assert html(f"{MENU}<h1>Title</h1><p>{LONG}end</p>") == f"Title {LONG}end"
