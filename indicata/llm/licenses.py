@@ -8,6 +8,13 @@ templates a segment is compared with. The same bound gives words of which every
 must hold one (``anchors``): texts and segments without any go before their bigrams
 are laid out.
 
+Licence texts run over lines and sentences. Their clauses (``CLAUSES``, and the longer
+notices) are looked for in spans of words as well, in which ends of lines and sentences
+are white space: spans of as many bigrams as the clause has, from each bigram that it
+shares. There, words that aren't the clause's count each time in |A|. Of spans that
+overlap the best one stays: that with most shared bigrams, less those of one side only.
+A licence that no notice names is one more match if spans name it.
+
 Scale: one narrow pass whose only join is with the templates' bigrams (a fixed table
 of a few hundred rows, broadcast). Only matches and ids are shuffled. A hot bigram
 costs no more than its segments.
@@ -59,6 +66,37 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD3 = " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_AS_IS = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
+#: (licence, clause): whole texts of short licences; notices and marking clauses of long ones.
+CLAUSES = (
+    ("AGPL-3.0", _GNU.format(":", "Affero General Public License", 3)),
+    ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-2-Clause", _BSD + _AS_IS),
+    ("BSD-3-Clause", _BSD + _BSD3),
+    ("BSD-3-Clause", _BSD + _BSD3 + _AS_IS),
+    ("GPL-2.0", _GNU.format(";", "General Public License", 2)),
+    ("GPL-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software to make sure the software is free for all its users"),
+    ("GPL-3.0", _GNU.format(":", "General Public License", 3)),
+    ("GPL-3.0", "The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program to make sure it remains free software for all its users"),
+    ("ISC", _ISC),
+    ("ISC", _ISC + ". THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("LGPL-3.0", _GNU.format(":", "Lesser General Public License", 3)),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below"),
+    ("MIT", _MIT),
+    ("MIT", _MIT + ": The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+)
+#: Notices of at least so many bigrams are looked for in spans like clauses.
+SPAN_BIGRAMS = 11
 #: Ends of sentences, with the marks after them, and of lines.
 CUT = r"[.!?][^\p{L}\p{N} \t\r\n]*[ \t\r\n]+|\n"
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
@@ -98,12 +136,47 @@ def anchors(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
     return sorted(chosen)
 
 
+def clause_rows(clauses) -> list[tuple[int, str, str, int, int]]:
+    """(clause, licence, bigram, number of its bigrams, the same with repeats); notices of few bigrams are left out."""
+    rows = []
+    for k, (name, clause) in enumerate(clauses):
+        own, words = bigrams(clause), len(re.sub(r"[\W_]+", " ", clause.lower()).split())
+        if len(own) >= SPAN_BIGRAMS:
+            rows += [(k, name, g, len(own), words - 1) for g in own]
+    return rows
+
+
+def _values(rows) -> str:
+    return ", ".join("({})".format(", ".join("'{}'".format(v.replace("'", "''")) if isinstance(v, str) else str(v) for v in row)) for row in rows)
+
+
+def spans(docs: DataFrame, clauses, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, license, dice) of the best span of each clause in (doc_id, text), less those that a better one overlaps."""
+    rows = clause_rows(clauses)
+    known = docs.sparkSession.sql(f"select * from values {_values(rows)} as t(clause, license, gram, size_b, length)")
+    words = anchors(tuple(c for c in clauses if len(bigrams(c[1])) >= SPAN_BIGRAMS), threshold)
+    held = docs.select("doc_id", once(F.lower("text")).alias("low")).where(reduce(or_, [F.contains("low", F.lit(w)) for w in words]))
+    flat = held.select("doc_id", F.xxhash64("low").alias("row"), once(F.split(F.trim(F.regexp_replace("low", r"[^\p{L}\p{N}]+", " ")), " ")).alias("w"))
+    gram = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1)))
+    at = flat.select("doc_id", "row", (F.size("w") - 1).alias("n"), F.posexplode(gram).alias("pos", "gram"))
+    hit = at.join(F.broadcast(known), "gram").groupBy("doc_id", "row", "n", "clause", "license", "size_b", "length")
+    hit = hit.agg(F.array_sort(F.collect_set(F.struct("pos", "gram"))).alias("h"), F.countDistinct("gram").alias("c"))
+    # a coefficient of t needs t / (2 - t) of the clause's bigrams
+    hit = hit.where(F.col("c") >= (threshold / (2 - threshold) - 1e-9) * F.col("size_b"))
+    near = "transform(h, (x, i) -> filter(slice(h, i + 1, length), y -> y.pos < x.pos + length))"
+    hit = hit.withColumn("s", F.expr(f"transform({near}, v -> struct(v[0].pos as pos, size(array_distinct(v.gram)) as c, least(length, n - v[0].pos) - size(v) as other))"))
+    hit = hit.withColumn("s", F.expr("array_max(transform(s, x -> struct(2.0D * x.c / (x.c + x.other + size_b) as dice, -x.pos as back, 2 * x.c - x.other - size_b as gain)))")).where(F.col("s.dice") >= threshold)
+    found = hit.groupBy("doc_id", "row").agg(F.collect_list(F.expr("struct(s.dice as dice, s.gain as gain, license, -s.back as first, length - s.back as last)")).alias("m"))
+    better = "y.first < x.last and x.first < y.last and (y.gain > x.gain or y.gain = x.gain and (y.dice > x.dice or y.dice = x.dice and y.license < x.license))"
+    return found.select("doc_id", F.explode(F.expr(f"filter(m, x -> not exists(m, y -> {better}))")).alias("x")).select("doc_id", "x.license", "x.dice")
+
+
 def once(column):
     """A column to be computed once, for use in several expressions: Catalyst doesn't move them below explode."""
     return F.explode(F.array(column))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, clauses=CLAUSES) -> DataFrame:
     """One row per document: doc_id, n_matches, licenses (sorted, comma-joined), best_license, best_score."""
     rows = template_rows(templates)
     values = ", ".join("({}, '{}', '{}', {})".format(k, name.replace("'", "''"), g, n) for k, name, g, n in rows)
@@ -124,7 +197,11 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     both = hit.groupBy("doc_id", "seg", "template", "license", "size_a", "size_b").agg(F.countDistinct("gram").alias("common"))
     dice = both.select("doc_id", "seg", "license", (2.0 * F.col("common") / (F.col("size_a") + F.col("size_b"))).alias("dice")).where(F.col("dice") >= threshold)
     best = dice.groupBy("doc_id", "seg").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("b")).select("doc_id", "b.license", (-F.col("b.d")).alias("dice"))
-    found = best.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("l"), F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("b"))
+    # a licence that notices name has their number and score, whether or not spans name it too
+    text = spans(docs, (*templates, *clauses), threshold).groupBy("doc_id", "license").agg(F.max("dice").alias("dice"))
+    best = best.select("*", F.lit(1).alias("one")).unionByName(text.select("*", F.lit(0).alias("one")))
+    best = best.groupBy("doc_id", "license").agg(F.greatest(F.sum("one"), F.lit(1)).alias("n"), F.coalesce(F.max(F.when(F.col("one") == 1, F.col("dice"))), F.max("dice")).alias("dice"))
+    found = best.groupBy("doc_id").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("l"), F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("b"))
     out = docs.select(F.col("doc_id").alias("_id")).distinct().join(found, F.col("_id").eqNullSafe(F.col("doc_id")), "left")
     return out.select(F.col("_id").alias("doc_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("l", F.lit("")).alias("licenses"), F.col("b.license").alias("best_license"), F.coalesce(-F.col("b.d"), F.lit(0.0)).alias("best_score"))
 

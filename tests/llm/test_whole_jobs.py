@@ -1,6 +1,6 @@
 """Layouts and inputs on which operators once did less than their whole job."""
 
-from indicata.llm import html_text
+from indicata.llm import html_text, licenses
 
 TREE = """side < 0.5
   density < 0.65
@@ -51,3 +51,35 @@ def test_html_last_block_of_a_page():
 def test_html_links_before_text():
     assert html(f"{MENU}<p>{LONG}end</p>") == f"{LONG}end"
     assert html(f"{MENU}<h1>Title</h1><p>{LONG}end</p>") == f"Title {LONG}end"
+
+
+MIT_WRAPPED = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+ISC_WRAPPED = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+BSD_WRAPPED = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice,
+ *    this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+"""
+
+
+def test_license_texts_over_lines(spark):
+    texts = [(1, MIT_WRAPPED), (2, MIT_WRAPPED.replace("\n", " ")), (3, ISC_WRAPPED), (4, ISC_WRAPPED.replace("\n", " ")), (5, BSD_WRAPPED)]
+    texts = [(k, f"Copyright (c) 2020 Somebody\nSome words.\n{t}\nAnd words after it.") for k, t in texts]
+    texts += [(6, texts[0][1] + texts[2][1]), (7, "Released under the MIT License.\n" + MIT_WRAPPED), (8, "a person obtaining a copy of this software " * 2000), (9, MIT_WRAPPED * 50)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_matches, r.best_score) for r in licenses.scan(df).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {1: ("MIT", 1), 2: ("MIT", 1), 3: ("ISC", 1), 4: ("ISC", 1), 5: ("BSD-2-Clause", 1), 6: ("ISC,MIT", 2), 7: ("MIT", 1), 8: ("", 0), 9: ("MIT", 1)}
+    assert all(got[k][2] > 0.99 for k in (1, 2, 3, 4, 7, 9)) and got[5][2] > 0.9
