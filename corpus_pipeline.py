@@ -5,7 +5,7 @@ Parquet and read again as the next stage's documents. All but the last return th
 columns of documents.
 
 1. toxicity: documents that the learned scorer rejects go.
-2. near_duplicates: one document of each SimHash group stays.
+2. near_duplicates: one document of each group stays whose 5-word shingles are 0.8 alike or more.
 3. decontamination: documents that hold a window of a benchmark item go.
 4. secrets: found spans are masked; n_chars follows the new text.
 5. tokens: each document's token ids.
@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indicata.llm import bpe, decontamination, secret_scan, simhash, toxicity
+from indicata.llm import bpe, decontamination, minhash, secret_scan, toxicity
 from indicata.llm.common import table
 
 
@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return minhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

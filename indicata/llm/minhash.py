@@ -1,0 +1,131 @@
+"""Near-duplicates by the Jaccard similarity of word shingles.
+
+Two texts are linked if their sets of shingles of ``SHINGLE`` words have a Jaccard
+similarity of ``SIMILARITY`` or more. Candidates share one of ``BANDS`` keys of
+``ROWS`` MinHash values each, which misses a pair at 0.8 with a chance of 7 in a
+million; every candidate is confirmed by its exact sets.
+
+Scale: equal sets fold into one class before any search. In each cell, members are
+first compared with the smallest one; then only those whose components still differ
+are compared with each other, so a cluster of near copies costs as many comparisons as
+it has members. Sets are made for candidates only.
+
+Edge cases: null and empty texts have the empty set and are one class; texts shorter
+than a shingle are one shingle. Rows without an id are never linked and all stay.
+An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import pieces, settle, texts_of
+from .graph import components
+
+SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
+BANDS, ROWS = 30, 5
+#: Shingles whose MinHash values are made at once.
+BATCH = 1 << 13
+
+
+def _constants(name: str, n: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(f"{name}{k}", SEED) | 1 for k in range(n)], np.uint64)
+
+
+_MIX, _FLIP, _JOIN, _BAND = _constants("mix", BANDS * ROWS), _constants("flip", BANDS * ROWS), _constants("join", ROWS), _constants("band", BANDS)
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted set of a text's shingles as XXH64 values."""
+    # bytes.lower and bytes.split know ASCII only: exactly A-Z and \x20\x09-\x0D
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = memoryview(b" ".join(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(words) - shingle + 1)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[len(ends) - n :].tolist())), np.uint64, n))
+
+
+def key(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED)
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """One key for each band; texts without words share theirs."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(own), BATCH):
+        np.minimum(least, ((own[a : a + BATCH, None] ^ _FLIP) * _MIX).min(axis=0), out=least)
+    joined = (least.reshape(BANDS, ROWS) >> np.uint64(7)) * _JOIN
+    return (joined.sum(axis=1, dtype=np.uint64) ^ _BAND) * _MIX[0]
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).where("doc_id is not null")
+
+
+def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, bands) of every row with an id."""
+
+    def run(batches):
+        for batch in pieces(batches, 1):
+            own = [shingles(t) for t in texts_of(batch.column(1))]
+            keys = np.array([key(s) for s in own], np.uint64).view(np.int64)
+            cells = np.concatenate([bands(s) for s in own]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * BANDS), pa.array(cells))], names=["doc_id", "key", "bands"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, key long, bands array<long>")
+
+
+def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of classes whose sets are as similar as asked."""
+    needed = settle(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(classes.select("key", "rep"), "key"))
+
+    def run(batches):
+        for batch in pieces(batches, 1):
+            own = [shingles(t) for t in texts_of(batch.column(1))]
+            keys = np.array([key(s) for s in own], np.uint64).view(np.int64)
+            offsets = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own).view(np.int64)))], names=["key", "own"])
+
+    sets = docs.join(needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(run, "key long, own array<long>")
+    sets = settle(sets.join(needed.select("key"), "key", "left_semi").groupBy("key").agg(F.any_value("own").alias("own")))
+    both = pairs.join(sets.selectExpr("key as u", "own as a"), "u").join(sets.selectExpr("key as v", "own as b"), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    # rounding aside, common / (size a + size b - common) >= similarity
+    return both.where(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document with an id: doc_id, component_id (the smallest id of its group)."""
+    texts = _texts(docs, id_col, text_col)
+    rows = settle(sketches(docs, id_col=id_col, text_col=text_col))
+    classes = settle(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
+    cells = classes.select("key", F.explode("bands").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("cell", "least")
+    members = settle(cells.join(shared, "cell"))
+    edges = settle(_confirm(texts, classes, settle(members.where("key <> least").selectExpr("least as u", "key as v").distinct()), similarity))
+    rooted = members.join(components(edges).withColumnRenamed("node", "key"), "key", "left").select("cell", "key", F.coalesce("component", "key").alias("root"))
+    apart = rooted.groupBy("cell").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("cell")
+    rooted = settle(rooted.join(apart, "cell"))
+    others = rooted.selectExpr("cell", "key as v", "root as other")
+    pairs = settle(rooted.withColumnRenamed("key", "u").join(others, "cell").where("u < v and root <> other").select("u", "v").distinct())
+    if not pairs.isEmpty():
+        edges = settle(edges.union(_confirm(texts, classes, pairs, similarity)))
+    joined = classes.select("key", "rep").join(components(edges).withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("root"))
+    answer = joined.join(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "component_id")
+    return rows.select("doc_id", "key").join(answer, "key").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each group: that of the smallest id. Rows that repeat an id and text are one."""
+    id_col = options.get("id_col", "doc_id")
+    drop = near_duplicates(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("_drop")).distinct()
+    kept = docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
+    return kept.dropDuplicates([id_col, options.get("text_col", "text")])

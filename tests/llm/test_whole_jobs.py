@@ -1,6 +1,10 @@
 """Layouts and inputs on which operators once did less than their whole job."""
 
-from indicata.llm import html_text, licenses
+import random
+
+import corpus_pipeline
+
+from indicata.llm import graph, html_text, licenses
 
 TREE = """side < 0.5
   density < 0.65
@@ -83,3 +87,26 @@ def test_license_texts_over_lines(spark):
     got = {r.doc_id: (r.licenses, r.n_matches, r.best_score) for r in licenses.scan(df).collect()}
     assert {k: v[:2] for k, v in got.items()} == {1: ("MIT", 1), 2: ("MIT", 1), 3: ("ISC", 1), 4: ("ISC", 1), 5: ("BSD-2-Clause", 1), 6: ("ISC,MIT", 2), 7: ("MIT", 1), 8: ("", 0), 9: ("MIT", 1)}
     assert all(got[k][2] > 0.99 for k in (1, 2, 3, 4, 7, 9)) and got[5][2] > 0.9
+
+
+def test_pipeline_drops_edited_copies(spark):
+    rng = random.Random(7)
+    texts, pairs = [], 0
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        texts.append((1000 + k, " ".join(words)))
+        for c in range(3):
+            edited = list(words)
+            for at in rng.sample(range(len(words)), max(1, len(words) * rng.randrange(1, 4) // 100)):
+                edited[at] = f"x{rng.randrange(10**6)}"
+            texts.append((2000 + 10 * k + c, " ".join(edited)))
+    sets = {i: {tuple(t.split()[a : a + 5]) for a in range(len(t.split()) - 4)} for i, t in texts}
+    forest = graph.Forest()
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and len(a & b) >= 0.8 * len(a | b):
+                forest.link(i, j)
+                pairs += 1
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    assert pairs > 100 and got == {i for i, _ in texts if forest.find(i) == i}
