@@ -7,8 +7,9 @@ million; every candidate is confirmed by its exact sets.
 
 Scale: equal sets fold into one class before any search. In each cell, members are
 first compared with the smallest one; then only those whose components still differ
-are compared with each other, so a cluster of near copies costs as many comparisons as
-it has members. Sets are made for candidates only.
+are compared with each other, so a cluster that one member links costs as many
+comparisons as it has members. A cell of many components costs the square of its members
+(README). Sets are made for candidates only.
 
 Edge cases: null and empty texts have the empty set and are one class; texts shorter
 than a shingle are one shingle. Rows without an id are never linked and all stay.
