@@ -187,7 +187,7 @@ def _marks(word: bytes) -> list[bytes]:
     return [word + b"$", *(word[:k] for k in STEMS if len(word) > k)]
 
 
-def learn_lexicon(fit: DataFrame, min_contexts: int = 3, min_ratio: float = 30.0, min_endings: int = 3, max_marks: int = 20_000, max_terms: int = 400) -> list[tuple[bytes, bool]]:
+def learn_lexicon(fit: DataFrame, min_contexts: int = 3, min_ratio: float = 30.0, min_endings: int = 3) -> list[tuple[bytes, bool]]:
     """Terms and stems that mark toxic documents, from counts made on the executors.
 
     A word's or stem's support is the number of different contexts (neighbouring
@@ -216,22 +216,27 @@ def learn_lexicon(fit: DataFrame, min_contexts: int = 3, min_ratio: float = 30.0
     contexts = fit.where("y > 0").mapInArrow(seen, "term string, word string, context string").select("term", "word", F.xxhash64("context").alias("context")).distinct()
     support = contexts.groupBy("term", "word").agg(F.count("*").alias("t")).groupBy("term").agg(F.sum("t").alias("t"), F.count("*").alias("words"))
     support = support.where((F.col("t") >= min_contexts) & (F.endswith("term", F.lit("$")) | (F.col("words") >= min_endings)))
-    toxic = {r["term"].encode("latin-1"): r["t"] for r in support.orderBy(F.desc("t"), "term").limit(max_marks).collect()}
+    support = settle(support.select("term", "t"))
+    n_marks = support.count()
+    if not n_marks:
+        return []
 
     def documents(batches):
-        counts: dict[tuple[bytes, int], int] = {}
         for batch in pieces(batches, 0):
+            counts: dict[tuple[bytes, int], int] = {}
             for text, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
                 words = Words([text])
                 own = {words.data[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist())}
-                for m in {m for w in own for m in _marks(w) if m in toxic}:
+                for m in {m for w in own for m in _marks(w)}:
                     counts[m, int(y > 0)] = counts.get((m, int(y > 0)), 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([m.decode("latin-1") for m, _ in counts], pa.string()), pa.array([y for _, y in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["term", "y", "n"])
-
-    held = {(r["term"].encode("latin-1"), r["y"]): r["n"] for r in fit.mapInArrow(documents, "term string, y int, n long").groupBy("term", "y").agg(F.sum("n").alias("n")).collect()}
-    share = lambda m: held.get((m, 1), 0) / n_toxic / ((held.get((m, 0), 0) + 0.5) / max(1, n_clean))
-    enough = math.log(max(2, len(toxic))) / -math.log(n_toxic / (n_toxic + n_clean + 1))
-    found = {m: t for m, t in toxic.items() if t >= enough and share(m) >= min_ratio}
+            yield pa.RecordBatch.from_arrays([pa.array([m.decode("latin-1") for m, _ in counts], pa.string()), pa.array([y for _, y in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["term", "y", "n"])
+
+    enough = math.log(max(2, n_marks)) / -math.log(n_toxic / (n_toxic + n_clean + 1))
+    held = fit.mapInArrow(documents, "term string, y int, n long").groupBy("term").agg(*(F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(k) for y, k in ((0, "clean"), (1, "toxic"))))
+    share = F.col("toxic") / F.lit(n_toxic) / ((F.col("clean") + 0.5) / F.lit(max(1, n_clean)))
+    # only marks that pass both tests leave the executors
+    passed = support.where(F.col("t") >= enough).join(held, "term").where(share >= min_ratio).select("term", "t")
+    found = {r["term"].encode("latin-1"): r["t"] for r in passed.collect()}
     stems: list[bytes] = []
     for s in sorted((s for s in found if not s.endswith(b"$")), key=lambda s: (len(s), s)):
         # one word that makes up most of a stem is no stem
@@ -239,7 +244,7 @@ def learn_lexicon(fit: DataFrame, min_contexts: int = 3, min_ratio: float = 30.0
         if not alone and not any(s.startswith(x) for x in stems):
             stems.append(s)
     words = [w[:-1] for w in sorted(found, key=lambda w: (-found[w], w)) if w.endswith(b"$") and not any(w.startswith(s) for s in stems)]
-    return [*((s, True) for s in stems), *((w, False) for w in words)][:max_terms]
+    return [*((s, True) for s in stems), *((w, False) for w in words)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:

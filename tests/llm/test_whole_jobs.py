@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 
-from indicata.llm import graph, html_text, licenses
+from indicata.llm import graph, html_text, licenses, toxicity
 
 TREE = """side < 0.5
   density < 0.65
@@ -110,3 +110,14 @@ def test_pipeline_drops_edited_copies(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
     assert pairs > 100 and got == {i for i, _ in texts if forest.find(i) == i}
+
+
+def test_toxic_lexicon_has_no_cap(spark):
+    """All of many toxic terms are found."""
+    rng = random.Random(9)
+    terms = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(600)]
+    rows = [(" ".join(w for t in (terms[k % 600],) for w in (f"c{rng.randrange(10**6)}", t, f"d{rng.randrange(10**6)}")), 1) for k in range(600 * 20)]
+    rows += [(" ".join(f"c{rng.randrange(10**6)}" for _ in range(3)), 0) for _ in range(12000)]
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"))
+    covered = [t for t in terms if any(t == w.decode() or stem and t.startswith(w.decode()) for w, stem in found)]
+    assert len(covered) == 600
