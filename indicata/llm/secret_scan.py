@@ -34,6 +34,10 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 20
+#: What stands between a run's separators, if it is as long as a run must be.
+PART = re.compile(rf"[A-Za-z0-9]{{{SHORTEST},}}")
+LETTERS = re.compile(r"(?:[a-z]+|[A-Z]+)\d{0,4}")
 #: Characters per token below which a run is random.
 EFFICIENCY = 2.2
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
@@ -70,13 +74,32 @@ def excluded(run: str) -> bool:
     return bool(UUID.fullmatch(core)) or bool(IDENTIFIER.fullmatch(core)) and not re.search(r"[a-z][A-Z].*[a-z][A-Z].*[A-Z]{2}|[A-Z]{2}[a-z].*[A-Z]{2}[a-z]", core)
 
 
+def _uncovered(start: int, end: int, base: list[Span]) -> list[tuple[int, int]]:
+    """What base spans leave of a run."""
+    left = []
+    for s, e, _ in sorted(base):
+        if s < end and start < e:
+            left.append((start, s))
+            start = max(start, e)
+    return [(a, b) for a, b in [*left, (start, end)] if b - a >= SHORTEST]
+
+
 def random_spans(text: str, base: list[Span], encoding, efficiency: float = EFFICIENCY) -> list[Span]:
+    """Runs, or the parts of them between separators, that are random; of runs that base spans touch, the rest."""
+
+    def random(part: str) -> bool:
+        # letters of one case are words only if they compress like words; 20 random ones repeat less than five letters do
+        if excluded(part) and not (LETTERS.fullmatch(part) and len(set(part)) > 5):
+            return False
+        return len(part) < efficiency * len(encoding.encode_ordinary(part))
+
     out: list[Span] = []
     for m in RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, e, _ in base) or excluded(m[0]):
-            continue
-        if len(m[0]) < efficiency * len(encoding.encode_ordinary(m[0])):
-            out.append((m.start(), m.end(), "random"))
+        for start, end in _uncovered(m.start(), m.end(), base):
+            if random(text[start:end]):
+                out.append((start, end, "random"))
+            else:
+                out += [(start + p.start(), start + p.end(), "random") for p in PART.finditer(text[start:end]) if random(p[0])]
     return out
 
 
