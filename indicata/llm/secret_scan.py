@@ -5,10 +5,14 @@ run of hex digits. Beyond them, a run of key-like characters is random if a BPE
 vocabulary spells it with few characters per token: words and names compress well,
 random strings don't. Known digests (a run of hex digits as long as one of the usual
 digests), UUIDs, numbers and identifiers (words joined by case, ``_``, ``-`` or ``/``)
-are excluded first, and so is what a base span already covers.
+are excluded first, and so is what a base span already covers. Identifiers are
+excluded only where their long words compress like words. Runs of fewer than
+``SHORTEST`` characters say too little to judge and are left to the base kinds.
 
 Scale: one pass, no shuffle; a document without any key-like run costs a few
-searches. The vocabulary (a fixed size) goes to the executors once.
+searches. The vocabulary (a fixed size) goes to the executors once. Time is linear in
+a text's length: expressions don't backtrack, spans are swept once, and the tokens of a
+run are counted in steps of ``STEP`` characters.
 
 Edge cases: null and empty texts have no spans; offsets count code points; texts are
 read whole; equal spans of different kinds are all listed. Repeated rows are each
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import public_tokenizers
@@ -37,12 +42,17 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 SHORTEST = 20
 #: What stands between a run's separators, if it is as long as a run must be.
 PART = re.compile(rf"[A-Za-z0-9]{{{SHORTEST},}}")
-LETTERS = re.compile(r"(?:[a-z]+|[A-Z]+)\d{0,4}")
+#: A long word of an identifier.
+WORD = re.compile(r"[A-Za-z]{12,}")
+DIGITS = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Characters per token below which a run is random.
 EFFICIENCY = 2.2
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-IDENTIFIER = re.compile(r"[A-Za-z]+\d{0,4}([_/=+-]+([A-Za-z]*\d{0,4}|\d+))*|[\d_/=+-]+")
+#: Words with a short number after them, and numbers, between separators. Possessive: a text that doesn't match is left after one reading.
+IDENTIFIER = re.compile(r"(?:[A-Za-z]++\d{0,4}+|\d++)(?:[_/=+-]++(?:[A-Za-z]++\d{0,4}+|\d++)?+)*+")
+#: Characters whose tokens are counted at once: what the vocabulary's library does with one long run grows with its square.
+STEP = 4096
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MASK = "[SECRET]"
 
@@ -66,40 +76,63 @@ def _order(span: Span) -> tuple[int, int, int]:
     return span[0], KINDS.index(span[2]), span[1]
 
 
-def excluded(run: str) -> bool:
-    """Whether a run is a digest, a UUID, a number or an identifier."""
+def efficient(part: str, encoding, efficiency: float) -> bool:
+    """Whether the vocabulary spells the part with at least ``efficiency`` characters per token; long ones are counted in steps of ``STEP``."""
+    tokens = sum(len(encoding.encode_ordinary(part[k : k + STEP])) for k in range(0, len(part), STEP))
+    return len(part) >= efficiency * tokens
+
+
+def excluded(run: str, encoding, efficiency: float = EFFICIENCY) -> bool:
+    """Whether a run is a digest, a UUID, a number or an identifier.
+
+    An identifier's long words are words only if they compress like words; where they
+    repeat few letters, any vocabulary spells them badly, and they stay identifiers.
+    """
     core = run.strip("=_-+/")
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core) and len(core) in DIGEST_LENGTHS:
+    if len(core) in DIGEST_LENGTHS and DIGITS.fullmatch(core) or UUID.fullmatch(core):
         return True
-    return bool(UUID.fullmatch(core)) or bool(IDENTIFIER.fullmatch(core)) and not re.search(r"[a-z][A-Z].*[a-z][A-Z].*[A-Z]{2}|[A-Z]{2}[a-z].*[A-Z]{2}[a-z]", core)
+    return bool(IDENTIFIER.fullmatch(core)) and all(len(set(w)) <= 5 or efficient(w, encoding, efficiency) for w in WORD.findall(core))
 
 
-def _uncovered(start: int, end: int, base: list[Span]) -> list[tuple[int, int]]:
-    """What base spans leave of a run."""
-    left = []
+def _merged(base: list[Span]) -> list[tuple[int, int]]:
+    """Base spans as disjoint stretches of text, in order."""
+    out: list[tuple[int, int]] = []
     for s, e, _ in sorted(base):
-        if s < end and start < e:
-            left.append((start, s))
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((s, e))
+    return out
+
+
+def _uncovered(runs: Iterator[tuple[int, int]], base: list[Span]) -> Iterator[tuple[int, int]]:
+    """What base spans leave of runs, both in order; one sweep."""
+    covered, k = _merged(base), 0
+    for start, end in runs:
+        while k < len(covered) and covered[k][0] < end:
+            s, e = covered[k]
+            if s - start >= SHORTEST:
+                yield start, s
             start = max(start, e)
-    return [(a, b) for a, b in [*left, (start, end)] if b - a >= SHORTEST]
+            if e >= end:
+                break  # this stretch may reach into the next run
+            k += 1
+        if end - start >= SHORTEST:
+            yield start, end
 
 
 def random_spans(text: str, base: list[Span], encoding, efficiency: float = EFFICIENCY) -> list[Span]:
     """Runs, or the parts of them between separators, that are random; of runs that base spans touch, the rest."""
 
     def random(part: str) -> bool:
-        # letters of one case are words only if they compress like words; 20 random ones repeat less than five letters do
-        if excluded(part) and not (LETTERS.fullmatch(part) and len(set(part)) > 5):
-            return False
-        return len(part) < efficiency * len(encoding.encode_ordinary(part))
+        return not excluded(part, encoding, efficiency) and not efficient(part, encoding, efficiency)
 
     out: list[Span] = []
-    for m in RUN.finditer(text):
-        for start, end in _uncovered(m.start(), m.end(), base):
-            if random(text[start:end]):
-                out.append((start, end, "random"))
-            else:
-                out += [(start + p.start(), start + p.end(), "random") for p in PART.finditer(text[start:end]) if random(p[0])]
+    for start, end in _uncovered(((m.start(), m.end()) for m in RUN.finditer(text)), base):
+        if random(text[start:end]):
+            out.append((start, end, "random"))
+        else:
+            out += [(start + p.start(), start + p.end(), "random") for p in PART.finditer(text[start:end]) if p.end() - p.start() < end - start and random(p[0])]
     return out
 
 
