@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,15 +17,29 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 4 << 20
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share.
 
-    The folder is the one that the session has, or that its ``spark.checkpoint.dir``
-    names. Only where neither is set (local tests) is a folder of our own set.
+    It is the one that ``spark.checkpoint.dir`` names, or the checkpoint folder the
+    session has. Only a session in a single process (local tests) gets one of its own;
+    on a cluster without either this fails, as a machine's own folder would lose rows.
     """
+    named = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if named:
+        return named
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/indicata-checkpoints-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or f"/tmp/indicata-checkpoints-{uuid.uuid4().hex}")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

@@ -85,3 +85,14 @@ def components(edges: DataFrame) -> DataFrame:
             return state.groupBy("u").agg(F.min("v").alias("v")).selectExpr("u as node", "v as component")
         seen = now
 
+
+def smallest(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, smallest): the smallest ``rep`` of each node's component.
+
+    ``nodes`` has long columns node and rep, ``found`` is what ``components`` gave. Only
+    components of several nodes are joined back; the join stands alone in its stage, so
+    that adaptive execution can split a component that most nodes belong to.
+    """
+    rooted = settle(nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root")))
+    least = settle(rooted.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least"))
+    return rooted.join(least, "root", "left").select("node", F.coalesce("least", "rep").alias("smallest"))

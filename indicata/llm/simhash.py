@@ -1,58 +1,106 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A text's fingerprint has bit k set if more than half of its shingles' XXH64 values
-have it (shingles of ``shingle`` words, repeats included). The 64 bits are cut into
-``SEGMENTS`` = 3 segments. Of two fingerprints that differ in at most 4 bits, some
-segment differs in at most one, so each fingerprint is stored once for each segment
-and looks up its segment's Hamming ball of radius 1; complete distances decide.
-Two segments one bit apart are found by the one whose bit is 0, which halves the
-ball. Segments of 21 or 22 bits make two million cells each.
-
-Scale: equal fingerprints (all exact copies among them) fold into one class before
-any search, by an aggregate that combines before its shuffle. What a cell holds is
-then distinct fingerprints only; the distance is part of the join's condition, and
-adaptive execution splits hot cells. Links shrink to a spanning forest inside each
-task before components are sought. Only fingerprints are shuffled, never texts.
-
-Edge cases: null and empty texts have fingerprint zero and link like any other;
-repeated rows each get a row; a null id takes part in no component but its own (null).
+A text's fingerprint has bit k set if more than half of its shingles' hashes have it.
+Fingerprints are cut into segments; each is stored under the value of every segment,
+and looks up the small Hamming ball around each of its own values. What a lookup
+fetches is verified by complete distance. There are two uses.
+
+``near_duplicates`` links 64-bit fingerprints (XXH64 of shingles of ``shingle`` words,
+repeats included) that differ in at most ``distance`` bits. Of two such fingerprints
+one of m segments differs in at most distance // m bits, so balls of that radius miss
+nothing. Three segments make two million cells each; above ``MANY`` classes two make
+four thousand million, with balls of radius 2.
+
+``similar`` links texts whose sets of shingles have a Jaccard similarity of 0.8 or
+more. SimHash estimates the angle between the sets: at 0.8, 15 % of all bits differ,
+too many for balls that miss nothing. Fingerprints are longer there, and the number and
+width of segments follow from the number of documents (``layout``), so that a cell
+holds less than one unrelated text and a pair at exactly 0.8 shares a ball of radius 1
+with a probability of ``RECALL``; more similar pairs practically always do. Candidates
+are verified by complete distance, and then by their exact sets.
+
+Scale: equal fingerprints (equal sets) fold into one class before any search, by an
+aggregate that combines before its shuffle. Links shrink to a spanning forest inside
+each task before components are sought. ``near_duplicates`` shuffles fingerprints,
+never texts. In ``similar`` a cell of more than ``HOT`` classes can only be a group of
+near copies: its members become candidates of its smallest one, which costs as much as
+it has members, and the exact comparison of a component's members is cut into pieces
+of bounded size. There, pairs that other links join already are passed over. Texts
+are dealt once, if the candidates' ids are too many to send to every task.
+
+Edge cases: null and empty texts have fingerprint zero and link like any other (in
+``similar`` they have the empty set and are one class); texts shorter than a shingle
+are one shingle; repeated rows each get a row. A null id takes part in no component
+but its own (null); ``similar`` leaves such rows out, ``keep_one`` keeps them all.
 An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, settle, texts_of
-from .graph import components, reduce_edges
+from .common import map_groups, pieces, settle, texts_of
+from .graph import FOREST_NODES, Forest, components, reduce_edges, smallest
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: (first bit, bits) of each segment; 3 segments leave one with at most 4 // 3 = 1 differing bit.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: (first bit, bits) of each segment; the second layout is for more than MANY classes.
+SEGMENTS, WIDE_SEGMENTS, MANY = ((0, 22), (22, 21), (43, 21)), ((0, 32), (32, 32)), 16_000_000
 #: Hashes summed up at once.
 BATCH = 1 << 16
+SIMILAR_SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.97
+#: Classes in a cell above which they are candidates of its smallest one only.
+HOT = 8
+#: Bytes of shingle sets, and classes, of one side of a piece of exact comparisons.
+PIECE_BYTES, PIECE_ROWS = 16 << 20, 4096
+
+#: The bits of a byte, each in a byte of its own: sums of up to 255 of them don't overflow.
+_SPREAD = np.array([sum((b >> k & 1) << 8 * k for k in range(8)) for b in range(256)], np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, in order; a text of fewer words is one shingle."""
     # bytes.lower and bytes.split know ASCII only: exactly A-Z and \x20\x09-\x0D
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
-    last = ends[len(ends) - n :]
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for a in range(0, n, BATCH):
-        h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[a : min(a + BATCH, n)].tolist(), last[a : a + BATCH].tolist())], np.uint64)
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[len(ends) - n :].tolist())), np.uint64, n)
+
+
+def _lane(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash made of a hash; the first is the hash itself."""
+    if not k:
+        return h
+    x = h + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    spread = _SPREAD[np.ascontiguousarray(h, "<u8").view(np.uint8).reshape(-1, 8)]
+    sums = np.add.reduceat(spread, np.arange(0, len(h), 255), axis=0)
+    return sums.astype("<u8").view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """64 bits for each lane, by majority; no hashes give zeros."""
+    ones = np.zeros((lanes, 64), np.int64)
+    for a in range(0, len(hashes), BATCH):
+        for k in range(lanes):
+            ones[k] += _ones(_lane(hashes[a : a + BATCH], k))
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -60,30 +108,29 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         for batch in pieces(batches, 1):
-            fp = np.array([fingerprint(t, shingle) for t in texts_of(batch.column(1))], np.uint64).view(np.int64)
+            fp = np.concatenate([fingerprint(shingle_hashes(t, shingle)) for t in texts_of(batch.column(1))]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _segment(fp, first: int, bits: int):
-    return F.shiftrightunsigned(fp, first).bitwiseAND((1 << bits) - 1)
-
-
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, segments=SEGMENTS) -> DataFrame:
     """Links (a, b) between different fingerprints of the column ``fp``; a pair can come more than once."""
-    if distance // len(SEGMENTS) > 1:
-        raise ValueError("the segments are for distances below 6")
-    fp = F.col("fp")
+    radius, fp = distance // len(segments), F.col("fp")
+    if radius > 2:
+        raise ValueError(f"{len(segments)} segments are for distances below {3 * len(segments)}")
 
     def cell(k: int, value, same: bool):
-        return F.struct(F.lit(k).alias("seg"), value.cast("int").alias("cell"), F.lit(same).alias("same"))
+        return F.struct(F.lit(k).alias("seg"), value.cast("long").alias("cell"), F.lit(same).alias("same"))
 
     own, ball = [], []
-    for k, (first, bits) in enumerate(SEGMENTS):
-        value = _segment(fp, first, bits)
+    for k, (first, bits) in enumerate(segments):
+        value = F.shiftrightunsigned(fp, first).bitwiseAND((1 << bits) - 1)
         own.append(cell(k, value, True))
-        ball += [F.when(value.bitwiseAND(1 << b) == 0, cell(k, value.bitwiseOR(1 << b), False)) for b in range(bits)]
+        masks = [1 << b for b in range(bits)] if radius else []
+        masks += [1 << b | 1 << c for b in range(bits) for c in range(b)] if radius > 1 else []
+        # of two values that differ in a mask's bits, the one whose highest of them is 0 looks up the other
+        ball += [F.when(value.bitwiseAND(1 << m.bit_length() - 1) == 0, cell(k, value.bitwiseXOR(F.lit(m)), False)) for m in masks]
     table = fps.select(fp.alias("b"), F.explode(F.array(*own)).alias("c")).select("b", "c.seg", "c.cell")
     probe = fps.select(fp.alias("a"), F.explode(F.array(*own, *ball)).alias("c")).where("c is not null").select("a", "c.*")
     near = f"bit_count(a ^ b) <= {distance} and (a < b or not same)"
@@ -94,20 +141,217 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     fps = settle(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = settle(reduce_edges(links(classes, distance).selectExpr("a as u", "b as v")))
-    by_fp = components(found)
+    segments = SEGMENTS if classes.count() <= MANY else WIDE_SEGMENTS
+    found = settle(reduce_edges(links(classes, distance, segments).selectExpr("a as u", "b as v")))
     # components are over fingerprints; the answer is the smallest document of all of them
-    joined = classes.join(by_fp, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    roots = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    answer = joined.join(roots, "root").select("fp", "component_id")
-    out = fps.join(answer, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest id. Rows that repeat an id and text are one."""
-    id_col = options.get("id_col", "doc_id")
-    found = near_duplicates(docs, **options)
-    drop = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_drop")).distinct()
-    kept = docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
-    return kept.dropDuplicates([id_col, options.get("text_col", "text")])
+    answer = smallest(classes.selectExpr("fp as node", "rep"), components(found))
+    out = fps.join(answer, F.col("fp") == F.col("node"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("smallest")).alias("component_id"))
+
+
+def layout(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int, int, int, int]:
+    """Bits of a segment, number of segments, lanes, and the most differing bits of a lane and of all lanes, for n documents."""
+    # sets of one size with Jaccard similarity j have the cosine 2 j / (1 + j); a bit differs with angle / pi
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = min(32, max(8, math.ceil(math.log2(max(n, 2))) + 1))
+    ball = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    count = max(1, math.ceil(math.log(1 - recall) / math.log(1 - ball)))
+    lanes = math.ceil(bits * count / 64)
+    most = lambda size, wide: math.floor(size * p + wide * math.sqrt(size * p * (1 - p)))
+    return bits, count, lanes, most(64, 3), most(64 * lanes, 4)
+
+
+def _key(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+
+
+def _sketches(texts: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """(doc_id, key, fp): the set's hash and its fingerprint."""
+
+    def run(batches):
+        for batch in pieces(batches, 1):
+            own = [np.unique(shingle_hashes(t, shingle)) for t in texts_of(batch.column(1))]
+            fps = np.concatenate([fingerprint(s, lanes) for s in own]).view(np.int64)
+            offsets = pa.array(np.arange(len(own) + 1, dtype=np.int32) * lanes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array([_key(s) for s in own], np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(fps))], names=["doc_id", "key", "fp"])
+
+    return texts.mapInArrow(run, "doc_id long, key long, fp array<long>")
+
+
+def _fps(column: pa.Array, lanes: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
+
+
+def _segment(fps: np.ndarray, first: int, bits: int) -> np.ndarray:
+    """Bits first to first + bits - 1 of fingerprints of several lanes."""
+    k, at = divmod(first, 64)
+    value = fps[:, k] >> np.uint64(at)
+    if at + bits > 64:
+        value = value | fps[:, k + 1] << np.uint64(64 - at)
+    return value & np.uint64((1 << bits) - 1)
+
+
+def _entries(classes: DataFrame, bits: int, count: int, lanes: int) -> DataFrame:
+    """(cell, probe, key, lane): each class under its segments' values, and its lookups of the values one bit higher."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, fps = batch.column(0).to_numpy(), _fps(batch.column(1), lanes)
+            for k in range(count):
+                value = _segment(fps, k * bits, bits)
+                cells, rows = [value], [np.arange(len(value))]
+                for b in range(bits):
+                    at = np.flatnonzero(value & np.uint64(1 << b) == 0)
+                    cells.append(value[at] | np.uint64(1 << b))
+                    rows.append(at)
+                cell, row = np.concatenate(cells) | np.uint64(k << bits), np.concatenate(rows)
+                probe = np.ones(len(cell), np.int8)
+                probe[: len(value)] = 0
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(probe), pa.array(keys[row]), pa.array(fps[row, 0].view(np.int64))], names=["cell", "probe", "key", "lane"])
+
+    return classes.select("key", "fp").mapInArrow(run, "cell long, probe byte, key long, lane long")
+
+
+def _candidates(entries: DataFrame, most: int) -> DataFrame:
+    """A spanning forest (u, v) of the pairs that some lookup fetches and whose first lanes differ in at most ``most`` bits."""
+
+    def pairs(cell, probe, key, lane, seen: int):
+        """Pairs of rows in order of cell, probe and key; the first cell has ``seen`` members more."""
+        table = np.flatnonzero(probe == 0)
+        cells, first, n = np.unique(cell[table], return_index=True, return_counts=True)
+        hot = n > HOT
+        hot[0] |= n[0] + seen > HOT
+        of = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+        own = cells[of] == cell
+        # a hot cell stands for its smallest class, and links its members to that
+        star = table[hot[of[table]]]
+        yield key[star], key[table[first[of[star]]]]
+        asks = np.flatnonzero(own & ((probe == 1) | ~hot[of]))
+        size = np.where(hot, 1, n)[of[asks]]
+        row = np.repeat(asks, size)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        other = table[first[of[row]] + step]
+        good = (other < row) & (np.bitwise_count(lane[row] ^ lane[other]) <= most)
+        yield key[row[good]], key[other[good]]
+
+    def run(batches):
+        forest, seen = Forest(), 0
+        held = [np.zeros(0, t) for t in (np.int64, np.int8, np.int64, np.uint64)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            new[3] = new[3].view(np.uint64)
+            if len(held[0]) and held[0][0] != new[0][0]:
+                held, seen = [x[:0] for x in held], 0
+            rows = [np.concatenate(x) for x in zip(held, new)]
+            if (rows[1] == 0).any():
+                for u, v in pairs(*rows, seen):
+                    for a, b in zip(u.tolist(), v.tolist()):
+                        forest.link(a, b)
+            if len(forest.parent) > FOREST_NODES:
+                yield forest.edges()
+                forest = Forest()
+            # the last cell's members go with the next batch: all of a small one, the smallest of a hot one
+            last = np.flatnonzero((rows[0] == rows[0][-1]) & (rows[1] == 0))
+            seen = seen * (rows[0][0] == rows[0][-1]) + len(last)
+            last = last[:1] if seen > HOT else last
+            held, seen = [x[last] for x in rows], seen - len(last)
+        if forest.parent:
+            yield forest.edges()
+
+    dealt = entries.repartition("cell").sortWithinPartitions("cell", "probe", "key")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def _sets(texts: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+    """(key, own): the sets of the classes (key, rep)."""
+
+    def run(batches):
+        for batch in pieces(batches, 1):
+            own = [np.unique(shingle_hashes(t, shingle)) for t in texts_of(batch.column(1))]
+            offsets = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_key(s) for s in own], np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own).view(np.int64)))], names=["key", "own"])
+
+    ids = needed.select(F.col("rep").alias("doc_id")).distinct()
+    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(run, "key long, own array<long>")
+    # an id that repeats brings texts that aren't asked for
+    return sets.join(needed.select("key"), "key", "left_semi").groupBy("key").agg(F.any_value("own").alias("own"))
+
+
+def _confirmed(members: DataFrame, lanes: int, most: int, similarity: float) -> DataFrame:
+    """A spanning forest (u, v) of the links among (key, component, fp, own)."""
+    sized = members.groupBy("component").agg(F.sum(8 * F.size("own")).alias("bytes"), F.count("*").alias("n"))
+    cut = sized.select("component", F.ceil(F.greatest(F.col("bytes") / PIECE_BYTES, F.col("n") / PIECE_ROWS)).cast("int").alias("chunks")).where("chunks > 1")
+    placed = members.join(settle(cut), "component", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    placed = placed.withColumn("c", F.pmod(F.xxhash64(F.lit(SEED), "key"), F.col("chunks")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    placed = placed.select("key", "fp", "own", "c", "d", F.xxhash64("component", F.least("c", "d"), F.greatest("c", "d")).alias("piece"))
+
+    def work(group: pa.Table) -> pa.RecordBatch | None:
+        n = group.num_rows
+        if n < 2:
+            return None
+        keys, fps = group.column("key").to_numpy(), _fps(group.column("fp").combine_chunks(), lanes)
+        flat = group.column("own").combine_chunks()
+        at, values = flat.offsets.to_numpy(), flat.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        size = np.diff(at)
+        left, right = (np.flatnonzero(x) for x in ((group.column("c").to_numpy() <= group.column("d").to_numpy()), (group.column("c").to_numpy() >= group.column("d").to_numpy())))
+        part = np.arange(n)  # the part of each row, joined as links are found
+        found = []
+        for i in left.tolist():
+            other = right[part[right] != part[i]]
+            other = other[np.bitwise_count(fps[other] ^ fps[i]).sum(axis=1, dtype=np.int64) <= most]
+            low, high = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
+            for j in other[low >= similarity * high - 1e-9].tolist():
+                if part[i] != part[j]:
+                    common = len(np.intersect1d(values[at[i] : at[i + 1]], values[at[j] : at[j + 1]], assume_unique=True))
+                    # rounding aside, common / (size i + size j - common) >= similarity
+                    if common >= similarity * (size[i] + size[j] - common) - 1e-9:
+                        part[part == part[j]] = part[i]
+                        found.append((keys[i], keys[j]))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["u", "v"]) if found else None
+
+    return map_groups(placed, "piece", work, "u long, v long")
+
+
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row per document with an id: doc_id, component_id (the smallest id of its group)."""
+    texts = _texts(docs, id_col, text_col)
+    bits, count, lanes, of_lane, of_all = layout(texts.count(), similarity, recall)
+    rows = settle(_sketches(texts, shingle, lanes))
+    classes = settle(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("fp").alias("fp")))
+    groups = components(settle(_candidates(_entries(classes, bits, count, lanes), of_lane)))
+    # components() leaves out the smallest node of each
+    groups = settle(groups.union(groups.select("component", "component").distinct()))
+    needed = settle(classes.join(groups.withColumnRenamed("node", "key"), "key"))
+    members = settle(needed.drop("rep").join(_sets(texts, needed.select("key", "rep"), shingle), "key"))
+    edges = settle(_confirmed(members, lanes, of_all, similarity))
+    answer = smallest(classes.select(F.col("key").alias("node"), "rep"), components(edges))
+    return rows.select("doc_id", "key").join(answer, F.col("key") == F.col("node")).select("doc_id", F.col("smallest").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of ``similar``: that of the smallest id.
+
+    Rows that repeat an id and a text are one (the least in the other columns stays);
+    only rows of repeated ids are dealt for that. Rows without an id all stay.
+    """
+    found = settle(similar(docs, id_col=id_col, text_col=text_col, **options))
+    columns, own = docs.columns, f"{id_col}_of_found"
+    while own in columns:
+        own += "_"
+    drop = found.where("component_id <> doc_id").select(F.col("doc_id").alias(own)).distinct()
+    kept = docs.join(drop, F.col(id_col).cast("long") == F.col(own), "left_anti")
+    repeated = settle(found.groupBy(F.col("doc_id").alias(own)).count().where("count > 1").select(own))
+    if repeated.isEmpty():
+        return kept
+    again = F.col(id_col).cast("long") == F.col(own)
+    others = [F.col(f.name) for f in docs.schema.fields if f.name not in (id_col, text_col) and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    least = kept.join(repeated, again, "left_semi").groupBy(id_col, text_col).agg(F.min_by(F.struct(*columns), F.struct(F.lit(0), *others)).alias(own)).select(f"{own}.*")
+    return kept.join(repeated, again, "left_anti").unionByName(least)
