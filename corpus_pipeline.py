@@ -20,8 +20,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indicata.llm import bpe, decontamination, minhash, secret_scan, toxicity
-from indicata.llm.common import table
+from indicata.llm import bpe, decontamination, secret_scan, simhash, toxicity
+from indicata.llm.common import shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,16 +56,28 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is written beside the checkpoints."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or "/tmp/indicata-checkpoints"
+    """All stages over documents; what lies between them is written to the shared folder.
+
+    Each stage's table is deleted once the next one is written; that of the last but one
+    stays, as the result reads it.
+    """
     docs = table(spark, sf_dir, "documents")
-    base = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    base, last = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
+            path = f"{base}/{k}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if last:
+                _delete(spark, last)
+            last = path
     if "ids" in docs.columns:
         docs = docs.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), " "))
     return docs
