@@ -10,6 +10,9 @@ count and a checksum.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +46,16 @@ class Forest:
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["u", "v"])
 
 
+    def packed(self) -> Iterator[pa.RecordBatch]:
+        """The edges as rows of two lists each."""
+        edges = self.edges()
+        for a in range(0, edges.num_rows, PACK):
+            part = edges.slice(a, PACK)
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy()], pa.list_(pa.int64())) for c in part.columns], names=["u", "v"])
+
+
+#: Edges in a packed row.
+PACK = 1 << 16
 #: Nodes that a task holds before it gives out its forest and starts anew.
 FOREST_NODES = 1_000_000
 
@@ -64,6 +77,30 @@ def reduce_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(run, "u long, v long")
 
 
+def merged(packed: DataFrame) -> DataFrame:
+    """One forest (u, v) of many packed ones, which come from as many tasks as a shuffle has.
+
+    Forests of one group repeat its nodes; merging as many as the root of their number
+    in each task leaves as many copies of a node as the root, before anything is dealt
+    by node.
+    """
+    tasks = max(1, math.isqrt(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+    def run(batches):
+        forest = Forest()
+        for batch in batches:
+            for us, vs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for a, b in zip(us, vs):
+                    forest.link(a, b)
+                if len(forest.parent) > FOREST_NODES:
+                    yield forest.edges()
+                    forest = Forest()
+        if forest.parent:
+            yield forest.edges()
+
+    return packed.repartition(tasks).mapInArrow(run, "u long, v long").where("u <> v")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that reaches a smaller one; component is the smallest it reaches.
 

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_groups, pieces, settle, texts_of
-from .graph import FOREST_NODES, Forest, components, reduce_edges, smallest
+from .graph import FOREST_NODES, Forest, components, merged, reduce_edges, smallest
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: (first bit, bits) of each segment; the second layout is for more than MANY classes.
@@ -56,8 +56,10 @@ BATCH = 1 << 16
 SIMILAR_SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.97
 #: Classes in a cell above which they are candidates of its smallest one only.
 HOT = 8
+#: Lanes that go with a lookup; they decide what becomes a candidate.
+SHIPPED = 2
 #: Bytes of shingle sets, and classes, of one side of a piece of exact comparisons.
-PIECE_BYTES, PIECE_ROWS = 16 << 20, 4096
+PIECE_BYTES, PIECE_ROWS = 16 << 20, 2048
 
 #: The bits of a byte, each in a byte of its own: sums of up to 255 of them don't overflow.
 _SPREAD = np.array([sum((b >> k & 1) << 8 * k for k in range(8)) for b in range(256)], np.uint64)
@@ -150,15 +152,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def layout(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int, int, int, int]:
-    """Bits of a segment, number of segments, lanes, and the most differing bits of a lane and of all lanes, for n documents."""
+    """For n documents: bits of a segment, number of segments, lanes, and the most differing bits of the shipped lanes and of all."""
     # sets of one size with Jaccard similarity j have the cosine 2 j / (1 + j); a bit differs with angle / pi
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = min(32, max(8, math.ceil(math.log2(max(n, 2))) + 1))
+    bits = min(32, max(8, math.ceil(math.log2(max(n, 2)))))
     ball = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
     count = max(1, math.ceil(math.log(1 - recall) / math.log(1 - ball)))
-    lanes = math.ceil(bits * count / 64)
+    lanes = max(SHIPPED, math.ceil(bits * count / 64))
     most = lambda size, wide: math.floor(size * p + wide * math.sqrt(size * p * (1 - p)))
-    return bits, count, lanes, most(64, 3), most(64 * lanes, 4)
+    return bits, count, lanes, most(64 * SHIPPED, 3), most(64 * lanes, 4)
 
 
 def _key(own: np.ndarray) -> int:
@@ -196,7 +198,7 @@ def _segment(fps: np.ndarray, first: int, bits: int) -> np.ndarray:
 
 
 def _entries(classes: DataFrame, bits: int, count: int, lanes: int) -> DataFrame:
-    """(cell, probe, key, lane): each class under its segments' values, and its lookups of the values one bit higher."""
+    """(cell, probe, key, lanes): each class under its segments' values, and its lookups of the values one bit higher; with its first ``SHIPPED`` lanes."""
 
     def run(batches):
         for batch in batches:
@@ -213,16 +215,18 @@ def _entries(classes: DataFrame, bits: int, count: int, lanes: int) -> DataFrame
                 cell, row = np.concatenate(cells) | np.uint64(k << bits), np.concatenate(rows)
                 probe = np.ones(len(cell), np.int8)
                 probe[: len(value)] = 0
-                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(probe), pa.array(keys[row]), pa.array(fps[row, 0].view(np.int64))], names=["cell", "probe", "key", "lane"])
+                shipped = [pa.array(fps[row, x].view(np.int64)) for x in range(SHIPPED)]
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(probe), pa.array(keys[row]), *shipped], names=names)
 
-    return classes.select("key", "fp").mapInArrow(run, "cell long, probe byte, key long, lane long")
+    names = ["cell", "probe", "key", *(f"lane{x}" for x in range(SHIPPED))]
+    return classes.select("key", "fp").mapInArrow(run, ", ".join(f"{x} {'byte' if x == 'probe' else 'long'}" for x in names))
 
 
 def _candidates(entries: DataFrame, most: int) -> DataFrame:
-    """A spanning forest (u, v) of the pairs that some lookup fetches and whose first lanes differ in at most ``most`` bits."""
+    """A spanning forest (u, v) of the pairs that some lookup fetches and whose first ``SHIPPED`` lanes differ in at most ``most`` bits."""
 
-    def pairs(cell, probe, key, lane, seen: int):
-        """Pairs of rows in order of cell, probe and key; the first cell has ``seen`` members more."""
+    def pairs(cell, probe, seen: int):
+        """Positions of pairs of rows in order of cell, probe and key, and whether their cell is hot; the first cell has ``seen`` members more."""
         table = np.flatnonzero(probe == 0)
         cells, first, n = np.unique(cell[table], return_index=True, return_counts=True)
         hot = n > HOT
@@ -231,43 +235,44 @@ def _candidates(entries: DataFrame, most: int) -> DataFrame:
         own = cells[of] == cell
         # a hot cell stands for its smallest class, and links its members to that
         star = table[hot[of[table]]]
-        yield key[star], key[table[first[of[star]]]]
+        yield star, table[first[of[star]]], True
         asks = np.flatnonzero(own & ((probe == 1) | ~hot[of]))
         size = np.where(hot, 1, n)[of[asks]]
         row = np.repeat(asks, size)
         step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
         other = table[first[of[row]] + step]
-        good = (other < row) & (np.bitwise_count(lane[row] ^ lane[other]) <= most)
-        yield key[row[good]], key[other[good]]
+        good = other < row
+        yield row[good], other[good], False
 
     def run(batches):
         forest, seen = Forest(), 0
-        held = [np.zeros(0, t) for t in (np.int64, np.int8, np.int64, np.uint64)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int8), *(np.zeros(0, np.int64) for _ in range(1 + SHIPPED))]
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            new[3] = new[3].view(np.uint64)
             if len(held[0]) and held[0][0] != new[0][0]:
                 held, seen = [x[:0] for x in held], 0
-            rows = [np.concatenate(x) for x in zip(held, new)]
-            if (rows[1] == 0).any():
-                for u, v in pairs(*rows, seen):
-                    for a, b in zip(u.tolist(), v.tolist()):
-                        forest.link(a, b)
+            rows = cell, probe, key, *lanes = [np.concatenate(x) for x in zip(held, new)]
+            if (probe == 0).any():
+                for i, j, hot in pairs(cell, probe, seen):
+                    if not hot:
+                        near = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in lanes) <= most
+                        i, j = i[near], j[near]
+                    for u, v in zip(key[i].tolist(), key[j].tolist()):
+                        forest.link(u, v)
             if len(forest.parent) > FOREST_NODES:
-                yield forest.edges()
+                yield from forest.packed()
                 forest = Forest()
             # the last cell's members go with the next batch: all of a small one, the smallest of a hot one
-            last = np.flatnonzero((rows[0] == rows[0][-1]) & (rows[1] == 0))
-            seen = seen * (rows[0][0] == rows[0][-1]) + len(last)
+            last = np.flatnonzero((cell == cell[-1]) & (probe == 0))
+            seen = seen * (cell[0] == cell[-1]) + len(last)
             last = last[:1] if seen > HOT else last
             held, seen = [x[last] for x in rows], seen - len(last)
-        if forest.parent:
-            yield forest.edges()
+        yield from forest.packed()
 
     dealt = entries.repartition("cell").sortWithinPartitions("cell", "probe", "key")
-    return dealt.mapInArrow(run, "u long, v long")
+    return merged(dealt.mapInArrow(run, "u array<long>, v array<long>"))
 
 
 def _sets(texts: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
@@ -323,10 +328,10 @@ def _confirmed(members: DataFrame, lanes: int, most: int, similarity: float) ->
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """One row per document with an id: doc_id, component_id (the smallest id of its group)."""
     texts = _texts(docs, id_col, text_col)
-    bits, count, lanes, of_lane, of_all = layout(texts.count(), similarity, recall)
+    bits, count, lanes, of_shipped, of_all = layout(texts.count(), similarity, recall)
     rows = settle(_sketches(texts, shingle, lanes))
     classes = settle(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("fp").alias("fp")))
-    groups = components(settle(_candidates(_entries(classes, bits, count, lanes), of_lane)))
+    groups = components(settle(_candidates(_entries(classes, bits, count, lanes), of_shipped)))
     # components() leaves out the smallest node of each
     groups = settle(groups.union(groups.select("component", "component").distinct()))
     needed = settle(classes.join(groups.withColumnRenamed("node", "key"), "key"))
