@@ -5,10 +5,14 @@ Vectors are normalised, so cosine c is Euclidean distance sqrt(2 - 2c). A hash i
 table's bucket is the tuple of ``hashes`` such values, and there are ``tables`` of
 them, all fixed by ``seed``. Two vectors are compared, by exact cosine in double
 precision, if they share a bucket of at least one table and have the same label.
-With the defaults a pair at cosine 0.93 is missed with a probability of 6e-3, one at
-0.95 with 1e-3, and one at 0.98 practically never.
-
-Scale: a bucket's members are dealt into chunks of ``chunk`` vectors by row number,
+Hashes and tables follow from the number of vectors (``layout``): enough hashes that an
+unrelated vector shares a bucket with a probability of 1 / (``SPARSE`` n), and enough
+tables that a pair at the threshold shares one with a probability of ``RECALL``; at
+cosine 0.95 a pair is missed about once in a thousand, at 0.98 practically never.
+
+Scale: what a bucket holds by chance doesn't grow with the number of vectors n, so
+comparisons of unrelated vectors grow with the number of tables only, as n ** 0.22.
+Members alone in their bucket go before vectors are sent. A bucket's members are dealt into chunks of ``chunk`` vectors by row number,
 and each pair of chunks is a task-sized piece of work of its own, so a hot bucket
 (a third of all rows that are nearly alike) spreads over the cluster. A pair that
 shares buckets of several tables is counted in the first of them only. Pieces give
@@ -24,6 +28,8 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,11 +40,25 @@ from .common import map_groups, matrix, settle
 from .graph import Forest, components
 
 THRESHOLD = 0.93
-TABLES, HASHES, WIDTH, SEED, CHUNK = 16, 8, 2.0, 20240, 512
+WIDTH, SEED, CHUNK = 2.0, 20240, 512
+RECALL, SPARSE = 0.97, 16
 #: Rows and columns of a product computed at once.
 BLOCK = 512
 
 
+def collision(distance: float, width: float) -> float:
+    """Probability that one hash of two vectors at a distance is equal."""
+    r = width / distance
+    return math.erf(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))
+
+
+def layout(n: int, threshold: float = THRESHOLD, width: float = WIDTH, recall: float = RECALL) -> tuple[int, int]:
+    """Tables and hashes for n vectors; unrelated ones are at right angles."""
+    near, far = collision(math.sqrt(2 - 2 * min(threshold, 0.9999)), width), collision(math.sqrt(2), width)
+    hashes = max(1, math.ceil(math.log(SPARSE * max(n, 2)) / -math.log(far)))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**hashes))), hashes
+
+
 def projections(dim: int, tables: int, hashes: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([seed, dim])
     return rng.standard_normal((dim, tables * hashes)), rng.uniform(0, width, tables * hashes)
@@ -93,13 +113,15 @@ def compare(left: np.ndarray, right: np.ndarray, left_keys: np.ndarray, right_ke
     return near
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tables: int | None = None, hashes: int | None = None, width: float = WIDTH, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).cast("string").alias("label"))
     # adding 0 makes -0.0 and 0.0 one value
     usable = _usable(rows).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
     member = settle(usable.groupBy("id").agg(F.min(F.struct("label", "vec")).alias("m")).select("id", "m.*", F.xxhash64("m.label", "m.vec").alias("h")))
     classes = member.groupBy("h", "label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
+    if tables is None or hashes is None:
+        tables, hashes = layout(member.count(), threshold, width)
     classes = settle(_hashed(classes, tables, hashes, width, seed))
     keyed = classes.select("rep", F.posexplode("keys").alias("t", "key"), "label").select("rep", "t", F.xxhash64("t", "key", "label").alias("bucket"))
     counts = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
