@@ -12,9 +12,12 @@ make one Wu-Manber searcher whose symbols are words:
   suffix block and the prefix block, and
 * the window's words are compared directly with the patterns of the bucket.
 
-Scale: texts are searched where they lie (no shuffle). The patterns go to the
-executors in blocks of ``block_words`` item words; more blocks than one mean more
-passes, cut by checkpoints, so memory in a task doesn't grow with the benchmark.
+Scale: texts are searched where they lie. The patterns go to the executors in blocks of
+``block_words`` item words (some 250 MB in a Python worker, which keeps one block's
+tables for all its tasks); more blocks mean more passes, so memory doesn't grow with the
+benchmark. One block needs no shuffle. Of several, each pass gives out only what it found,
+keyed by two hashes of the text, as equal texts have equal findings; these are joined to
+the documents' ids, and where documents are to be removed, once to the documents.
 
 Edge cases: null or empty texts have no words and are clean; an item without
 words, or with a null id, never matches; an item id that repeats counts once;
@@ -24,8 +27,10 @@ repeated documents each get their row; an empty benchmark leaves all clean.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +41,13 @@ from .common import Words, mix, pieces, settle, slices, texts_of
 
 WINDOW = 10
 #: Item words in one broadcast block of patterns.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 600_000
 
 
 class Searcher:
     """Wu-Manber tables for patterns of one length in words."""
 
-    def __init__(self, length: int, patterns: dict[bytes, set[str]]):
+    def __init__(self, length: int, patterns: dict[bytes, Sequence[str]]):
         self.length, self.patterns = length, patterns
         self.block = min(2, length)
         self.span = length - self.block + 1
@@ -63,7 +68,7 @@ class Searcher:
         k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return h, np.where(self.keys[k] == h, self.shift[k], self.span)
 
-    def find(self, words: Words) -> Iterator[tuple[int, set[str]]]:
+    def find(self, words: Words) -> Iterator[tuple[int, Sequence[str]]]:
         """The first word and the items of every occurrence in the buffer; it may cross texts."""
         n = len(words.starts)
         if n < self.length:
@@ -94,15 +99,32 @@ class Searcher:
 
 
 def searchers(items: list[tuple[str, bytes]], window: int) -> list[Searcher]:
-    by_length: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
+    by_length: dict[int, dict[bytes, Sequence[str]]] = defaultdict(dict)
     for item_id, text in items:
-        words = Words([text])
+        words, own = Words([text]), (item_id,)  # one tuple for all windows that only this item has
         n = len(words.starts)
         if n:
             length = min(n, window)
+            known = by_length[length]
             for i in range(n - length + 1):
-                by_length[length][words.phrase(i, i + length)].add(item_id)
-    return [Searcher(k, dict(v)) for k, v in sorted(by_length.items())]
+                had = known.setdefault(words.phrase(i, i + length), own)
+                if had[-1] != item_id:
+                    if isinstance(had, tuple):
+                        known[words.phrase(i, i + length)] = [*had, item_id]
+                    else:
+                        had.append(item_id)
+    return [Searcher(k, v) for k, v in sorted(by_length.items())]
+
+
+_BUILT: dict[tuple[str, int], list[Searcher]] = {}
+
+
+def _built(patterns, window: int) -> list[Searcher]:
+    """The searchers of a broadcast block, kept by this worker until it gets another block."""
+    if (patterns.id, window) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[patterns.id, window] = searchers(patterns.value, window)
+    return _BUILT[patterns.id, window]
 
 
 def _search(found: list[Searcher], texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, set[str]]]:
@@ -118,7 +140,7 @@ def _search(found: list[Searcher], texts: list[bytes]) -> Iterator[tuple[int, np
                 if i + s.length <= bounds[doc + 1]:
                     marks[i] += 1
                     marks[i + s.length] -= 1
-                    items[doc] |= ids
+                    items[doc].update(ids)
         hit = np.cumsum(marks[:-1]) > 0
         for k in range(b - a):
             yield int(bounds[k + 1] - bounds[k]), hit[bounds[k] : bounds[k + 1]], items.get(k, set())
@@ -139,65 +161,102 @@ def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words
     yield block
 
 
-def _pass(df: DataFrame, text_col: str, patterns, window: int) -> DataFrame:
-    """Adds the findings of one block of items to the columns _n, _hits (bits) and _items."""
-
-    def run(batches):
-        found = searchers(patterns.value, window)
-        for batch in pieces(batches, text_col):
-            n, bits, items = [], [], []
-            old_bits = batch.column(batch.schema.get_field_index("_hits")).to_pylist()
-            old_items = batch.column(batch.schema.get_field_index("_items")).to_pylist()
-            texts = texts_of(batch.column(batch.schema.get_field_index(text_col)))
-            for (count, hit, ids), was, had in zip(_search(found, texts), old_bits, old_items):
-                if was:
-                    hit = hit | np.unpackbits(np.frombuffer(was, np.uint8), count=count).astype(bool)
-                n.append(count)
-                bits.append(np.packbits(hit).tobytes() if hit.any() else b"")
-                items.append(sorted(ids | set(had or ())))
-            keep = [c for c in batch.schema.names if c not in ("_n", "_hits", "_items")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))],
-                names=[*keep, "_n", "_hits", "_items"],
-            )
-
-    return df.mapInArrow(run, df.schema)
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with ``_n`` words, ``_hits`` (packed bit per word; empty: none) and ``_items`` (ids found)."""
-    sc = docs.sparkSession.sparkContext
-    state = docs.withColumns({"_n": F.lit(0).cast("long"), "_hits": F.lit(b""), "_items": F.array().cast("array<string>")})
-    # nullability has to be that of what Arrow gives back
-    state = state.withColumns({c: F.when(F.lit(True), F.col(c)) for c in ("_n", "_hits", "_items")})
-    for k, block in enumerate(_item_blocks(benchmark, item_col, item_text_col, block_words)):
-        if k:
-            state = settle(state)
-        state = _pass(state, text_col, sc.broadcast(block), window)
-    return state
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+class _Block:
+    """A broadcast block of items, and its number."""
+
+    def __init__(self, df: DataFrame, number: int, block: list[tuple[str, bytes]]):
+        self._sent = df.sparkSession.sparkContext.broadcast(block)
+        self.id = f"{number}-{uuid.uuid4().hex}"
+
+    @property
+    def value(self):
+        return self._sent.value
+
+
+def _rows(ids: pa.Array, n: list[int], hits: list[np.ndarray], items: list[set[str]]) -> pa.RecordBatch:
+    hit = [int(h.sum()) for h in hits]
+    digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], names=REPORT)
+
+
+REPORT = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+#: Two hashes of a text.
+KEY = ["h", "g"]
+
+
+def _keyed(docs: DataFrame, text_col: str) -> list:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit("second"), text).alias("g")]
+
+
+def _findings(docs: DataFrame, blocks: list[_Block], text_col: str, window: int) -> DataFrame:
+    """(h, g, block, bits, items) of each text in which a block's items occur; bits has one bit for each of its words."""
+    texts = docs.select(*_keyed(docs, text_col), F.col(text_col).cast("string").alias("t"))
+
+    def search(block: _Block):
+        def run(batches):
+            for batch in pieces(batches, 2):
+                rows = [(k, np.packbits(hit).tobytes(), sorted(ids)) for k, (_, hit, ids) in enumerate(_search(_built(block, window), texts_of(batch.column(2)))) if ids]
+                at = pa.array([k for k, _, _ in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([b for _, b, _ in rows], pa.binary()), pa.array([i for _, _, i in rows], pa.list_(pa.string()))], names=["h", "g", "bits", "items"])
+
+        return texts.mapInArrow(run, "h long, g long, bits binary, items array<string>")
+
+    found = reduce(DataFrame.union, [search(b).withColumn("block", F.lit(k)) for k, b in enumerate(blocks)])
+    # equal texts have equal findings
+    return found.groupBy("h", "g", "block").agg(F.any_value("bits").alias("bits"), F.any_value("items").alias("items"))
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int) -> list[_Block]:
+    return [_Block(docs, k, b) for k, b in enumerate(_item_blocks(benchmark, item_col, item_text_col, block_words))]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: counts of its words, hit words and items, the items' digest, and the verdict."""
+    blocks = _blocks(docs, benchmark, item_col, item_text_col, block_words)
+    kind = docs.select(F.col(id_col).alias("i")).schema["i"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    if len(blocks) == 1:
+
+        def run(batches):
+            for batch in pieces(batches, 1):
+                n, hits, items = zip(*_search(_built(blocks[0], window), texts_of(batch.column(1))))
+                yield _rows(batch.column(0), n, hits, items)
+
+        return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
+
+    def count(batches):
+        for batch in pieces(batches, 1):
+            words = Words(texts_of(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(words.first)), batch.column(2), batch.column(3)], names=["i", "n", *KEY])
 
-    def report(batches):
+    def join(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, hits, items = (batch.column(k) for k in (1, 2, 3))
-            hit = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) for x in hits.to_pylist()]
-            ids = items.to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), n, pa.array(hit, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in ids]), pa.array([h > 0 for h in hit])],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    found = scan(docs, benchmark, text_col="_text", **options)
-    kind = docs.schema["_id"].dataType.simpleString()
-    return found.select("_id", "_n", "_hits", "_items").mapInArrow(report, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without those that hold a window of the benchmark; no shuffle."""
-    return scan(docs, benchmark, text_col=text_col, **options).where("length(_hits) = 0").select(*docs.columns)
+            if batch.num_rows:
+                hits, items = [], []
+                for n, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    bits = [np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=n) for x in found or ()]
+                    hits.append(reduce(np.bitwise_or, bits, np.zeros(n, np.uint8)))
+                    items.append({i for x in found or () for i in x["items"]})
+                yield _rows(batch.column(0), batch.column(1).to_pylist(), hits, items)
+
+    counted = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), *_keyed(docs, text_col)).mapInArrow(count, f"i {kind}, n long, h long, g long")
+    # one entry for each block at most
+    found = _findings(docs, blocks, text_col, window).groupBy(*KEY).agg(F.collect_list(F.struct("bits", "items")).alias("found"))
+    return counted.join(settle(found), KEY, "left").select("i", "n", "found").mapInArrow(join, schema)
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without those that hold a window of the benchmark; no shuffle if the benchmark is one block."""
+    blocks = _blocks(docs, benchmark, item_col, item_text_col, block_words)
+    if len(blocks) == 1:
+
+        def run(batches):
+            for batch in pieces(batches, text_col):
+                texts = texts_of(batch.column(batch.schema.get_field_index(text_col)))
+                yield batch.filter(pa.array([not ids for _, _, ids in _search(_built(blocks[0], window), texts)]))
+
+        return docs.mapInArrow(run, docs.schema)
+    bad = settle(_findings(docs, blocks, text_col, window).select(*KEY).distinct())
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return docs.join(bad, (F.xxhash64(text) == bad["h"]) & (F.xxhash64(F.lit("second"), text) == bad["g"]), "left_anti")
