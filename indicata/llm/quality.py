@@ -25,6 +25,7 @@ key like any other.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -160,12 +161,15 @@ def resample(docs: DataFrame, labels: DataFrame, *, share: float | None = None,
     """One row per document: doc_id, n_ngrams, score, log_weight, key, kept.
 
     ``share`` of the documents are drawn; by default, the share of good ones among
-    all labelled documents.
+    all labelled documents. A part of a document counts as one, in exact numbers.
     """
     if share is None:
-        share = labels.where("quality is not null").agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0] or 0.0
+        good, known = labels.where("quality is not null").agg(F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0)), F.count("*")).first()
+        part = Fraction(good, max(known, 1))
+    else:
+        part = Fraction(repr(share))
     scored = settle(score(docs, log_ratios(docs, labels, max_fit=max_fit), seed=seed, span=span))
-    last = kth_largest(scored.select("key", "doc_id"), math.ceil(share * scored.count()))
+    last = kth_largest(scored.select("key", "doc_id"), math.ceil(part * scored.count()))
     if last is None:
         return scored.withColumn("kept", F.lit(False))
     key, doc_id = last

@@ -20,7 +20,8 @@ trie together.
 Edge cases: null and empty texts have no matches and get the model's base score.
 Labels that are null, and labelled rows without a document, are left out. Without
 toxic labels the lexicon is empty, and all scores are low. Repeated rows are each
-scored. Words of any length are read whole.
+scored. Words of any length are read whole; words below ``SHORTEST`` bytes are read but
+not learned as terms.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ MAX_FIT = 20_000
 CUT = 0.7
 FUZZY_LENGTH = 5
 STEMS = (4, 5, 6, 7)
+#: Bytes of the shortest word that is learned.
+SHORTEST = 3
 #: Words to either side of a match that are its context.
 CONTEXT = 6
 QUOTES = re.compile("[\"“”„«»‹›]")
@@ -179,7 +182,8 @@ def _fit_rows(docs: DataFrame, labels: DataFrame, max_fit: int) -> DataFrame:
     some = some.orderBy(F.xxhash64("_id"), "_id").limit(max_fit)
     ids = docs.sparkSession.createDataFrame(some.collect() or [], "_id long, y int")
     # max_fit rows of two numbers: small enough to send to every task
-    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select(F.col("text").cast("string"), "y")
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(ids), "_id").select("text", "y")
 
 
 def _marks(word: bytes) -> list[bytes]:
@@ -204,7 +208,7 @@ def learn_lexicon(fit: DataFrame, min_contexts: int = 3, min_ratio: float = 30.0
                 words = Words([text])
                 own = [words.data[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist())]
                 for before, w, after in zip([b"", *own], own, [*own[1:], b""]):
-                    if 3 <= len(w) <= 40:
+                    if len(w) >= SHORTEST:
                         rows.add((w, before + b" " + after))
             marks = [(m.decode("latin-1"), w.decode("latin-1"), c.decode("latin-1")) for w, c in rows for m in _marks(w)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*marks)] if marks else [pa.array([], pa.string())] * 3, names=["term", "word", "context"])

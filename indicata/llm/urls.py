@@ -9,10 +9,11 @@ these keys are looked up by vectorised binary search, and a hit counts only if t
 stored string is equal, so that collisions do no harm. A url that no rule fits gets
 the method's verdict: allow.
 
-Scale: one pass, no shuffle. The array goes to the executors as bytes, up to
-``MAX_BYTES`` (checked); each worker writes it to an unlinked file and maps that, so
-nothing stays behind. A larger rule list must be split by the caller into several
-arrays (``build`` fails otherwise).
+Scale: no shuffle. An array goes to the executors as bytes, up to ``MAX_BYTES``; each
+worker writes it to an unlinked file and maps that, so nothing stays behind. A larger
+rule list makes several arrays; a url is judged by one after another, and the longest
+rule of all wins. Only as many of a host's suffixes are tried as some rule has labels,
+so time and memory are linear in a url's length.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and no
 rule. Ports and user parts belong to the host. Repeated rows are each judged. An
@@ -50,27 +51,41 @@ def parts(url: str | None) -> tuple[str, str]:
 
 def build(rules: Iterable[tuple[str, str, str]]) -> bytes:
     """Header, path lengths, sorted keys, string offsets and strings (each rule with its verdict's first letter before it)."""
+    rules = list(rules)
     known = sorted({(xxhash.xxh64_intdigest((h + p).encode()), (v[0] + h + p).encode()) for h, p, v in rules})
     lengths = np.array(sorted({len(p) for _, p, _ in rules}), np.int64)
     keys = np.array([k for k, _ in known], np.uint64)
     offsets = np.cumsum([0] + [len(s) for _, s in known]).astype(np.int64)
-    out = np.array([len(lengths), len(keys)], np.int64).tobytes() + lengths.tobytes() + keys.tobytes() + offsets.tobytes() + b"".join(s for _, s in known)
-    if len(out) > MAX_BYTES:
-        raise ValueError(f"the rules take {len(out)} bytes; at most {MAX_BYTES} go into one array")
+    labels = max((h.count(".") + 1 for h, _, _ in rules), default=0)
+    out = np.array([len(lengths), len(keys), labels], np.int64).tobytes() + lengths.tobytes() + keys.tobytes() + offsets.tobytes() + b"".join(s for _, s in known)
     return out
 
 
+def arrays(rules: Iterable[tuple[str, str, str]], max_bytes: int = MAX_BYTES) -> list[bytes]:
+    """The arrays of a rule list, none of more than ``max_bytes`` (but for a single longer rule)."""
+    out, part, size = [], [], 0
+    for rule in rules:
+        # key, offset, verdict and string; the lengths of paths count as if each were another
+        n = 25 + len((rule[0] + rule[1]).encode())
+        if part and size + n > max_bytes - 24:
+            out.append(build(part))
+            part, size = [], 0
+        part.append(rule)
+        size += n
+    return [*out, build(part)]
+
+
 class Filter:
     def __init__(self, data: bytes):
         with tempfile.TemporaryFile() as f:
             f.write(data)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        m, n = np.frombuffer(self.map, np.int64, 2)
-        self.lengths = np.frombuffer(self.map, np.int64, m, 16).tolist()
-        self.keys = np.frombuffer(self.map, np.uint64, n, 16 + 8 * m)
-        self.offsets = np.frombuffer(self.map, np.int64, n + 1, 16 + 8 * (m + n))
-        self.base = 16 + 8 * (m + 2 * n + 1)
+        m, n, self.labels = np.frombuffer(self.map, np.int64, 3).tolist()
+        self.lengths = np.frombuffer(self.map, np.int64, m, 24).tolist()
+        self.keys = np.frombuffer(self.map, np.uint64, n, 24 + 8 * m)
+        self.offsets = np.frombuffer(self.map, np.int64, n + 1, 24 + 8 * (m + n))
+        self.base = 24 + 8 * (m + 2 * n + 1)
 
     def _stored(self, k: int) -> bytes:
         return self.map[self.base + int(self.offsets[k]) : self.base + int(self.offsets[k + 1])]
@@ -79,7 +94,9 @@ class Filter:
         split = [parts(u) for u in urls]
         owner, tries = [], []
         for i, (host, path) in enumerate(split):
-            suffix = host
+            # the suffixes that some rule can equal, longest first
+            cut = host.rsplit(".", self.labels)
+            suffix = ".".join(cut[-self.labels :]) if self.labels else ""
             while suffix:
                 for n in self.lengths:
                     if n <= len(path):
@@ -101,20 +118,31 @@ class Filter:
         return [(h, p, best[i][2] if i in best else None, best[i][3] if i in best else "allow") for i, (h, p) in enumerate(split)]
 
 
-def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, *, id_col: str = "page_id", url_col: str = "url", max_bytes: int = MAX_BYTES) -> DataFrame:
     """One row per page: page_id, host, path, rule (or null), verdict."""
-    data = pages.sparkSession.sparkContext.broadcast(build(list(rules)))
-    pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string"))
+    pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     kind = pages.schema["page_id"].dataType.simpleString()
 
-    def run(batches):
-        judged = Filter(data.value)
-        for batch in batches:
-            if batch.num_rows:
-                rows = judged.judge(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in zip(*rows))], names=["page_id", "host", "path", "rule", "verdict"])
+    def with_array(df: DataFrame, data) -> DataFrame:
+        def run(batches):
+            judged = Filter(data.value)
+            for batch in batches:
+                if batch.num_rows:
+                    host, path, rule, verdict = map(list, zip(*judged.judge(batch.column(1).to_pylist())))
+                    for k, (had, said) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                        if had is not None and (rule[k] is None or (len(had), _host(had)) > (len(rule[k]), _host(rule[k]))):
+                            rule[k], verdict[k] = had, said
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in (rule, verdict, host, path))], names=["page_id", "url", "rule", "verdict", "host", "path"])
+
+        return df.select("page_id", "url", "rule", "verdict").mapInArrow(run, f"page_id {kind}, url string, rule string, verdict string, host string, path string")
+
+    for array in arrays(rules, max_bytes):
+        pages = with_array(pages, pages.sparkSession.sparkContext.broadcast(array))
+    return pages.select("page_id", "host", "path", "rule", "verdict")
+
 
-    return pages.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
+def _host(rule: str) -> int:
+    return len(rule.partition("/")[0])
 
 
 #: The same in DuckDB, for tests: rules as rows, no digests.
