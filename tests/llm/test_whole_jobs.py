@@ -5,9 +5,10 @@ import string
 import time
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 
-from indicata.llm import graph, html_text, licenses, secret_scan, toxicity
+from indicata.llm import decontamination, embeddings, graph, html_text, licenses, quality, secret_scan, simhash, toxicity, urls
 
 TREE = """side < 0.5
   density < 0.65
@@ -209,3 +210,105 @@ def test_random_spans_by_brute_force():
         assert sorted(x for x in every if x not in base) == sorted(want), text
         total += len(want)
     assert total > 500
+
+
+def test_removal_by_several_blocks(spark):
+    items = [(f"i{k}", " ".join(f"w{(k * 7 + j) % 997}" for j in range(14))) for k in range(40)]
+    rows = [(k, f"before {items[k][1]} after" if k % 3 == 0 else f"clean text {k}", 4, "x", None, k) for k in range(40)] + [(99, None, 4, "x", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _n long, _hits string, h string, g long")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for block_words in (10**6, 40):
+        got = decontamination.remove_contaminated(df, bench, block_words=block_words)
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect()), key=str) == sorted((r for r in rows if r[0] % 3 or r[0] == 99), key=str)
+
+
+def test_clashing_column_names(spark):
+    df = spark.createDataFrame([(k, f"some words of text number {k}", 1, 2, 3, 4) for k in range(6)], "doc_id long, text string, _id long, y int, _drop long, doc_id_of_found long")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(6)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(df, toxicity.fit(df, labels)).count() == 6
+    assert simhash.keep_one(df).columns == df.columns
+
+
+def test_keep_one_of_repeated_ids_is_the_same_each_time(spark):
+    rows = [(1, "a text of some words", "b"), (1, "a text of some words", "a"), (1, "another text", "z"), (2, "a text of some words", "c"), (None, "x", "n"), (None, "x", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for _ in range(2):
+        got = sorted(map(tuple, simhash.keep_one(df.repartition(3)).collect()), key=str)
+        assert got == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
+
+
+def test_wide_segments_lose_nothing(spark):
+    rng = random.Random(13)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    near = [b ^ sum(1 << k for k in rng.sample(range(64), d)) for b in base for d in (1, 2, 3, 4, 5)]
+    fps = np.array(base + near, np.uint64).view(np.int64).tolist()
+    want = {tuple(sorted((a, b))) for i, a in enumerate(fps) for b in fps[:i] if a != b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 4}
+    df = spark.createDataFrame([(f,) for f in set(fps)], "fp long")
+    for segments in (simhash.SEGMENTS, simhash.WIDE_SEGMENTS):
+        assert {tuple(sorted(r)) for r in simhash.links(df, 4, segments).collect()} == want
+
+
+def test_hot_cells_and_pieces(spark, monkeypatch):
+    """A large group of near copies, with cells above the limit and comparisons cut to pieces."""
+    rng = random.Random(14)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for k in range(150):
+        words = list(base)
+        for at in rng.sample(range(300), rng.randrange(2, 6)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append((k, " ".join(words)))
+    texts += [(1000 + k, " ".join(f"y{rng.randrange(10**6)}" for _ in range(50))) for k in range(50)]
+    monkeypatch.setattr(simhash, "PIECE_ROWS", 20)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in texts}
+    forest = graph.Forest()
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and len(a & b) >= 0.8 * len(a | b):
+                forest.link(i, j)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    assert got == {i: forest.find(i) for i in sets} and len(set(got.values())) < 200
+
+
+def test_embedding_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(15)
+    rows, n = [], 1500
+    for k in range(n):
+        v = rng.standard_normal(48)
+        v /= np.linalg.norm(v)
+        w = rng.standard_normal(48)
+        w -= (w @ v) * v
+        w /= np.linalg.norm(w)
+        c = rng.uniform(0.931, 0.95)
+        rows += [(2 * k, v.tolist(), "a"), (2 * k + 1, (c * v + np.sqrt(1 - c * c) * w).tolist(), "a")]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert sum(got.values()) / (2 * n) > 0.95
+    # comparisons of unrelated vectors stay in proportion
+    share = [embeddings.collision(2**0.5, embeddings.WIDTH) ** embeddings.layout(m)[1] * m * embeddings.layout(m)[0] for m in (10**4, 10**6, 10**8)]
+    assert max(share) < 30
+
+
+def test_share_is_exact(spark):
+    df = spark.createDataFrame([(k, f"words {k} and {k * 7}") for k in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(10)], "doc_id long, quality int, toxic int")
+    assert quality.resample(df, labels, share=0.55).where("kept").count() == 55
+
+
+def test_urls_of_several_arrays_and_long_hosts(spark):
+    rng = random.Random(16)
+    name = lambda: rng.choice(("a", "b", "cc"))
+    rules = [(".".join(name() for _ in range(rng.randrange(1, 4))), rng.choice(("/", "/x/", "/x/y/")), rng.choice(("block", "allow"))) for _ in range(60)]
+    rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
+    pages = [(k, f"http://{'.'.join(name() for _ in range(rng.randrange(1, 6)))}{rng.choice(('/', '/x/', '/x/y/z', '', '/q?x'))}") for k in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    whole = sorted(map(tuple, urls.judge(df, rules).collect()))
+    assert len(urls.arrays(rules, 400)) > 3
+    assert sorted(map(tuple, urls.judge(df, rules, max_bytes=400).collect())) == whole
+    for page_id, host, path, rule, verdict in whole:
+        fit = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (rule, verdict) == (max(fit)[2:] if fit else (None, "allow"))
+    began = time.time()
+    urls.Filter(urls.build(rules)).judge(["http://" + "a." * 500_000 + "net/"])
+    assert time.time() - began < 2
