@@ -3,7 +3,10 @@
 A page becomes a flat list of text blocks: block-level tags end a block, inline tags
 don't, and scripts, styles, comments, forms' controls and the head hold no text. Each
 block has shallow features (words, link density, those of its neighbours) and what its
-enclosing tags and their class and id names say. A decision tree, trained here on the
+enclosing tags and their class and id names say: whether it stands in a main part, and
+whether beside it. A name denied (``no-sidebar``) says nothing, a compound is named by its
+last word (``related-work`` is work), and what may be a side part (a form, a name like
+``search``) is none if it holds an article or most of the page's words. A decision tree, trained here on the
 small labelled table ``EXAMPLES``, tells main text from the rest.
 
 Scale: one pass, no shuffle; time and memory are linear in a page's length.
@@ -31,20 +34,34 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SILENT = frozenset("script style head noscript template svg math iframe object canvas select textarea button title audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title"))
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 #: Elements that close an open element of the same kind (``p`` closes at any block).
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 
+#: Elements of a head, which any other one ends.
+HEAD_TAGS = frozenset("base link meta title script style noscript template".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
 MAIN_TAGS = frozenset(("article", "main"))
-SIDE_TAGS = frozenset("nav header footer aside form menu dialog".split())
-MAIN_NAMES = re.compile(r"\b(article|content|main|post|entry|story|body|text)\b")
-SIDE_NAMES = re.compile(
-    r"\b(ad|ads|advert|advertisement|adverts|banner|sponsor|sponsored|promo|promotion|sidebar|side|aside|widget|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|crumbs|header|masthead|footer|foot|cookie|cookies|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|teaser|tags|pagination|pager|comment|comments|disqus|reply|replies|respond|discussion|reader|readers|copyright|legal|disclaimer|toolbar|form|search|alert)\b"
+SIDE_TAGS = frozenset("nav header footer aside menu dialog".split())
+MAIN_NAMES = frozenset("article content main post entry story body text".split())
+#: Words that name parts beside the main text, and words that may also name parts of it.
+SIDE_NAMES = frozenset(
+    "ad ads advert advertisement adverts banner sponsor sponsored promo promotion sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs crumbs masthead footer foot cookie cookies consent notice gdpr popup modal overlay newsletter subscribe signup login share sharing social recommended teaser pagination pager comment comments disqus reply replies respond readers copyright disclaimer toolbar alert".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+WEAK_NAMES = frozenset("form search legal tags side related discussion reader header".split())
+#: Words after such a word that change nothing (``comments-list``), and those before it that deny it (``no-sidebar``).
+PART_WORDS = frozenset("area bar block bottom box buttons col column container desktop fixed group holder inner item items left line link links list mobile module outer panel posts region right row section slot sticky title top unit widget wrap wrapper".split())
+TEXT_WORDS = frozenset("body content text".split())
+DENYING = frozenset("no not has have with without hide hides".split())
+#: Share of a page's words, and number of them, with which an element that a weak name or a form marks is no side part.
+MOST, MANY = 0.5, 30
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 NAME_CUT = re.compile(r"[^a-z0-9]+")
 SPACE = re.compile(r"\s+")
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+MARK = re.compile("[>\"']")
 
 
 @dataclass
@@ -58,86 +75,193 @@ class Block:
     item: bool
 
 
-def _names(attributes: str) -> str:
-    found = " ".join(a or b or c for a, b, c in ATTR.findall(attributes))
-    return NAME_CUT.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower())
+def _kind(attributes: str) -> tuple[int, bool]:
+    """What class, id and role names say: 2 for a side part, 1 for what may be one, else 0; and whether one is a main name."""
+    side, main = 0, False
+    for found in ATTR.findall(attributes):
+        for name in "".join(found).split():
+            words = [w for w in NAME_CUT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w and not w.isdigit()]
+            main |= not MAIN_NAMES.isdisjoint(words)
+            if not DENYING.isdisjoint(words):
+                continue
+            # a compound is named by its last word that means something
+            k = len(words)
+            while k > 1 and words[k - 1] in PART_WORDS and words[k - 1] not in SIDE_NAMES:
+                k -= 1
+            while k > 1 and words[k - 1] in TEXT_WORDS and words[k - 2] in SIDE_NAMES:
+                k -= 1
+            head = words[k - 1] if words else ""
+            side = max(side, 2 if head in SIDE_NAMES else head in WEAK_NAMES)
+    return side, main
+
+
+class _Tags:
+    """The tags of a page, each once: linear in its length, however broken."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, {'"', "'"}
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose attributes start at ``at``, past its ``>``; -1 if it doesn't."""
+        page, start = self.page, at
+        while self.quotes:
+            m = MARK.search(page, at)
+            if m is None:
+                # quotes that swallow the rest of a page are no quotes
+                self.quotes = set()
+                break
+            if m[0] == ">":
+                return m.end()
+            at = m.end()
+            if m[0] in self.quotes:
+                close = page.find(m[0], at)
+                if close < 0:
+                    self.quotes = self.quotes - {m[0]}
+                else:
+                    at = close + 1
+        return page.find(">", start) + 1 or -1
+
+    def __iter__(self):
+        """(start, end, name, closing, attributes) of tags, and (start, end, "", False, text) of comments and the like."""
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith(("!", "?"), at):
+                if page.startswith("!--", at):
+                    close, text = page.find("-->", at + 3), ""
+                    stop = close + 3
+                elif page.startswith("![CDATA[", at):
+                    close = page.find("]]>", at + 8)
+                    stop, text = close + 3, page[at + 8 : close if close >= 0 else len(page)]
+                else:
+                    close, text = page.find(">", at), ""
+                    stop = close + 1
+                at = stop if close >= 0 else len(page)
+                at = max(at, (yield start, at, "", False, text) or 0)
+                continue
+            closing = page.startswith("/", at)
+            name = NAME.match(page, at + closing)
+            if name is None:
+                continue
+            if (stop := self.end(name.end())) < 0:
+                return  # no tag ends after this
+            at = stop
+            at = max(at, (yield start, at, name[0].lower(), closing, page[name.end() : stop - 1]) or 0)
+
+
+class _Page:
+    """Blocks of a page, and the elements that they stand in."""
+
+    def __init__(self):
+        self.blocks: list[tuple[str, int, int, bool, bool, int]] = []  # text, words, linked words, heading, item, element
+        self.above, self.side, self.main, self.tag = [-1], [0], [False], [""]  # by element; the first is the page
+        self.stack: list[tuple[str, int, int]] = []  # tag, element, whether it is silent
+        self.open: dict[str, list[int]] = {}  # depths of open tags, by tag
+        self.walls: list[int] = []  # depths of open tags that aren't inline
+        self.silent = self.inside = 0
+        self.parts: list[tuple[str, bool]] = []
+
+    def say(self, text: str) -> None:
+        if text and not self.silent:
+            self.parts.append((_entities.unescape(text), bool(self.open.get("a"))))
+
+    def flush(self) -> None:
+        if self.parts:
+            text = SPACE.sub(" ", "".join(t for t, _ in self.parts)).strip()
+            if text:
+                linked = sum(len(t.split()) for t, link in self.parts if link)
+                top = self.stack[-1][:2] if self.stack else ("", 0)
+                self.blocks.append((text, len(text.split()), linked, top[0] in HEADINGS, bool(self.open.get("li")), top[1]))
+            self.parts.clear()
+
+    def close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            tag, element, silent = self.stack.pop()
+            self.open[tag].pop()
+            if self.walls and self.walls[-1] == len(self.stack):
+                self.walls.pop()
+            self.silent -= silent
+            self.inside -= self.main[element] and tag not in INLINE
+
+    def end(self, tag: str) -> None:
+        at = self.open.get(tag)
+        # an inline element is closed only within its block
+        if at and (tag not in INLINE or not self.walls or at[-1] > self.walls[-1]):
+            self.close(at[-1])
+
+    def start(self, tag: str, attributes: str) -> None:
+        if self.walls:
+            # a block ends an open paragraph or one of its kind, and inline elements left open in it
+            last = self.stack[self.walls[-1]][0]
+            if tag not in INLINE and (last == "p" or tag in SELF_CLOSING and last == tag):
+                self.close(self.walls[-1])
+        if tag not in HEAD_TAGS and self.open.get("head"):
+            self.close(self.open["head"][-1])
+        side, named = _kind(attributes) if attributes else (0, False)
+        if tag in SIDE_TAGS and not (tag == "header" and self.inside):
+            side = 2
+        elif tag == "form":
+            side = max(side, 1)
+        if tag in ("body", "html", "main"):
+            side = 0
+        silent = tag in SILENT or bool(attributes and HIDDEN.search(attributes))
+        self.above.append(self.stack[-1][1] if self.stack else 0)
+        self.side.append(side)
+        self.main.append(tag in MAIN_TAGS or named and tag not in INLINE)
+        self.tag.append(tag)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.walls.append(len(self.stack))
+        self.stack.append((tag, len(self.above) - 1, int(silent)))
+        self.silent += silent
+        self.inside += self.main[-1] and tag not in INLINE
+
+    def found(self) -> list[Block]:
+        """The blocks, once it is known what each element holds."""
+        n = len(self.above)
+        plain, holds = [0] * n, [0] * n  # words outside links; 1 for an article within, 2 for the page's main element
+        for _, words, linked, _, _, element in self.blocks:
+            plain[element] += words - linked
+        for e in range(n - 1, 0, -1):
+            up = self.above[e]
+            plain[up] += plain[e]
+            holds[up] = max(holds[up], holds[e], 2 if self.tag[e] == "main" else self.tag[e] == "article" and self.side[e] < 2)
+        beside, main = [False] * n, [False] * n
+        for e in range(1, n):
+            side = self.side[e]
+            # a side part doesn't hold the main element; one that may be a side part holds no article and not most of the words
+            out = side == 2 and holds[e] < 2 or side == 1 and not holds[e] and not (plain[e] >= MANY and plain[e] >= MOST * plain[0])
+            beside[e], main[e] = beside[self.above[e]] or out, main[self.above[e]] or self.main[e]
+        return [Block(text, words, linked, main[e], beside[e], heading, item) for text, words, linked, heading, item, e in self.blocks]
 
 
 def blocks(page: str) -> list[Block]:
-    out: list[Block] = []
-    stack: list[tuple[str, int, int, int]] = []  # tag, and how much silent, side and main it adds
-    silent = side = main = links = 0
-    parts: list[tuple[str, bool]] = []
-
-    def flush() -> None:
-        if parts:
-            text = SPACE.sub(" ", "".join(t for t, _ in parts)).strip()
-            if text:
-                tags = [s[0] for s in stack]
-                linked = sum(len(t.split()) for t, link in parts if link)
-                out.append(Block(text, len(text.split()), linked, main > 0, side > 0, bool(tags) and tags[-1] in ("h1", "h2", "h3", "h4", "h5", "h6"), "li" in tags))
-            parts.clear()
-
-    def close(depth: int) -> None:
-        nonlocal silent, side, main, links
-        while len(stack) > depth:
-            tag, a, b, c = stack.pop()
-            silent, side, main, links = silent - a, side - b, main - c, links - (tag == "a")
-
-    def say(text: str) -> None:
-        if text and not silent:
-            parts.append((_entities.unescape(text), links > 0))
-
-    at = 0
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        if m is None:
-            say(page[at:])
+    out, tags, at = _Page(), iter(_Tags(page)), 0
+    skip = None
+    while True:
+        try:
+            start, stop, tag, closing, attributes = tags.send(skip)
+        except StopIteration:
             break
-        say(page[at : m.start()])
-        at = m.end()
-        if m[1]:
-            say(m[1])
-        tag = (m[3] or "").lower()
+        skip = None
+        out.say(page[at:start])
+        at = stop
         if not tag:
+            out.say(attributes)
             continue
         if tag not in INLINE:
-            flush()
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
-            continue
-        if tag in VOID:
-            continue
-        if tag in SELF_CLOSING or tag not in INLINE:
-            # a block ends an open paragraph and inline elements left open in it
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or tag in SELF_CLOSING and stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        attributes = m[4] or ""
-        if attributes.endswith("/") and tag in ("script", "style", "svg", "math", "iframe"):
-            continue
-        names = _names(attributes) if attributes else ""
-        is_main = tag in MAIN_TAGS or bool(names and MAIN_NAMES.search(names)) and tag not in INLINE
-        is_side = (tag in SIDE_TAGS or bool(names and SIDE_NAMES.search(names))) and tag not in ("body", "html", "main")
-        if tag == "header" and main or tag == "article" and not SIDE_NAMES.search(names.replace("side", "")):
-            is_side = bool(names and SIDE_NAMES.search(NAME_CUT.sub(" ", names).replace("header", "")))
-        is_silent = tag in SILENT or bool(attributes and HIDDEN.search(attributes))
-        stack.append((tag, int(is_silent), int(is_side), int(is_main)))
-        silent, side, main, links = silent + is_silent, side + is_side, main + is_main, links + (tag == "a")
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            close(len(stack) - 1)
-            at = end.end() if end else len(page)
-    flush()
-    return out
+            out.flush()
+        if closing:
+            out.end(tag)
+        elif tag not in VOID and not (attributes.endswith("/") and tag in ("script", "style", "svg", "math", "iframe")):
+            out.start(tag, attributes)
+            if tag in RAW:
+                end = RAW_END[tag].search(page, at)
+                out.end(tag)
+                skip = at = end.end() if end else len(page)
+    out.say(page[at:])
+    out.flush()
+    return out.found()
 
 
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "main", "side", "heading", "item")

@@ -312,3 +312,52 @@ def test_urls_of_several_arrays_and_long_hosts(spark):
     began = time.time()
     urls.Filter(urls.build(rules)).judge(["http://" + "a." * 500_000 + "net/"])
     assert time.time() - began < 2
+
+
+def test_html_side_names():
+    text = f"<p>{LONG * 3}</p><p>{LONG * 3}end</p>"
+    want = f"{(LONG * 3).strip()} {LONG * 3}end"
+    wrapped = ["<form id='aspnetForm'><div class=content>%s</div></form>", "<html><head><title>x</title><meta name=x>%s</html>", "<div class='search-results'>%s</div>"]
+    wrapped += [f"<div class='{c}'>%s</div>" for c in ("content no-sidebar", "has-sidebar", "legal-text", "sidebar-layout")] + [f"<article class='{c}'>%s</article>" for c in ("related-work", "form-factor", "tags-article", "side-quote")]
+    for page in wrapped:
+        assert html(page % text) == want, page
+    beside = ["<section id=comments><article class=comment>%s</article></section>", "<nav>%s</nav>", "<form>%s</form>", "<aside>%s</aside>"] + [f"<div class='{c}'>%s</div>" for c in ("sidebar-left", "site-footer", "cookie-banner", "comment-text", "newsletter-signup", "comments-list", "adSlot")]
+    for page in beside:
+        assert html(f"<article>{text}</article>" + page % f"<p>{LONG * 2}</p>") == want, page
+
+
+def test_html_is_linear():
+    pages = ["<a " * 333_333, "<a \"'>" * 160_000, "</p></div>" * 100_000, "<div>" * 200_000, "<div><a>" + "<b>" * 100_000 + "</i></a>" * 100_000, "<!--" * 250_000, "<p " + "class = " * 120_000 + ">", "<p title='" * 100_000, "<title>" * 100_000]
+    for page in pages:
+        began = time.time()
+        html(page)
+        assert time.time() - began < 5, page[:20]
+
+
+def test_html_generated_pages():
+    """Pages put together from known parts, with telling tags and without; the main text is what went in."""
+    rng = random.Random(17)
+
+    def words(low, high):
+        return " ".join(rng.choice(("river", "stone", "market", "of", "the", "and", "letter", "winter", "Größe", "été")) for _ in range(rng.randrange(low, high)))
+
+    def menu(n):
+        return "<ul>" + "".join(f"<li><a href='/{k}'>{words(1, 3)}</a></li>" for k in range(n)) + "</ul>"
+
+    for k in range(300):
+        title = words(3, 9)
+        paragraphs = [words(25, 90) for _ in range(rng.randrange(2, 7))]
+        marked = [f"<h1>{title}</h1>"]
+        want = [title]
+        for p in paragraphs:
+            cut = p.split()
+            at = rng.randrange(len(cut) - 3)
+            marked.append("<p>" + " ".join([*cut[:at], f"<a href='/x'>{cut[at]}</a>", f"<em>{cut[at + 1]}</em>", *cut[at + 2 :]]) + "</p>\n")
+            want.append(p)
+        body = "".join(marked)
+        if k % 2:
+            side = f"<div class='sidebar'><p>{words(20, 60)}</p></div>" + f"<section class='comments-list'><p>{words(20, 90)}</p></section>" * (k % 3)
+            page = f"<header><p>{words(3, 12)}</p></header><nav>{menu(5)}</nav><main><article class='post-body'>{body}</article></main>{side}<footer><p>{words(4, 20)}</p></footer>"
+        else:
+            page = f"<div>{menu(rng.randrange(3, 8))}</div><div>{body}</div>" + (f"<div>{menu(4)}</div>" if k % 4 else "")
+        assert html(f"<!doctype html><html><head><title>t</title><style>p {{}}</style></head><body>{page}</body></html>") == " ".join(want), page
