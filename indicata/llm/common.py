@@ -167,6 +167,29 @@ def map_groups(df: DataFrame, group: str, fn: Callable[[pa.Table], pa.RecordBatc
     return df.repartition(group).sortWithinPartitions(group).mapInArrow(run, schema)
 
 
+def map_whole_groups(df: DataFrame, group: str, fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """As ``map_groups``, but ``fn`` gets many groups at once, sorted by ``group``, each of them whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(batch.schema.get_field_index(group)).to_numpy(zero_copy_only=False)
+            last = int(np.searchsorted(ids, ids[-1]))
+            if held and (last or held[-1].column(batch.schema.get_field_index(group))[0].as_py() != ids[0]):
+                if (out := fn(pa.Table.from_batches([*held, batch.slice(0, last)]))) is not None:
+                    yield out
+                held = []
+            elif last and (out := fn(pa.Table.from_batches([batch.slice(0, last)]))) is not None:
+                yield out
+            held.append(batch.slice(last))
+        if held and (out := fn(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return df.repartition(group).sortWithinPartitions(group).mapInArrow(run, schema)
+
+
 def matrix(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
     """Lists of one length as a matrix."""
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)

@@ -29,14 +29,17 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_groups, matrix, settle
+from .common import map_whole_groups, matrix, settle, slices
 from .graph import Forest, components
 
 THRESHOLD = 0.93
@@ -44,6 +47,8 @@ WIDTH, SEED, CHUNK = 2.0, 20240, 512
 RECALL, SPARSE = 0.97, 16
 #: Rows and columns of a product computed at once.
 BLOCK = 512
+#: Rows of a group that is compared together with others, and pairs compared so at once.
+SMALL, PAIRS = 64, 1 << 15
 
 
 def collision(distance: float, width: float) -> float:
@@ -113,6 +118,72 @@ def compare(left: np.ndarray, right: np.ndarray, left_keys: np.ndarray, right_ke
     return near
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _small(first: np.ndarray, size: np.ndarray, x: np.ndarray, keys: np.ndarray, t: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked rows (i, j) of many small groups at once; ``size`` rows from ``first`` on make a group."""
+    row = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    after = np.repeat(first + size, size) - 1 - row
+    for a, b in slices(after.tolist(), PAIRS):
+        n = after[a:b]
+        i = np.repeat(row[a:b], n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+        i, j = i[near], j[near]
+        same = keys[i] == keys[j]
+        at = t[i]
+        good = same[np.arange(len(i)), at] & ~(same & (np.arange(keys.shape[1]) < at[:, None])).any(axis=1)
+        yield i[good], j[good]
+
+
+def _large(rows: np.ndarray, c: np.ndarray, d: np.ndarray, ids: np.ndarray, x: np.ndarray, keys: np.ndarray, t: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked rows (i, j) of one group: of its two chunks, or within one."""
+    left, right, within = rows[c[rows] <= d[rows]], rows[c[rows] >= d[rows]], bool((c[rows] == d[rows]).all())
+    for a in range(0, len(left), BLOCK):
+        for b in range(0, len(right), BLOCK):
+            i, j = left[a : a + BLOCK], right[b : b + BLOCK]
+            near = compare(x[i], x[j], keys[i], keys[j], int(t[rows[0]]), threshold)
+            if within:
+                near &= ids[i][:, None] < ids[j][None, :]
+            u, v = np.nonzero(near)
+            yield i[u], j[v]
+
+
+def _linked(rows: pa.Table, threshold: float) -> pa.RecordBatch | None:
+    """(u, v, n) for the vectors of whole groups: a vector, the smallest one it is joined to here, how many vectors it links to."""
+    ids, t, size, piece, c, d = (rows.column(k).to_numpy() for k in ("rep", "t", "size", "piece", "c", "d"))
+    label = np.unique(np.asarray(rows.column("label").to_pylist(), object), return_inverse=True)[1]
+    dims = pc.list_value_length(rows.column("vec")).to_numpy()
+    keys = matrix(rows.column("keys"), np.int64)
+    forest, links = Forest(), np.zeros(len(ids), np.int64)
+    first = np.flatnonzero(np.diff(piece, prepend=piece[0] - 1))
+    n = np.diff(np.append(first, len(piece)))
+    small = (n <= SMALL) & (np.maximum.reduceat(c, first) == 0) & (np.maximum.reduceat(d, first) == 0)
+    for dim in np.unique(dims).tolist():
+        own = np.flatnonzero(dims == dim)
+        x = np.zeros((len(ids), dim))
+        x[own] = _unit(matrix(rows.column("vec").take(pa.array(own)), np.float64))
+        # a bucket holds vectors of one length, unless two hashes fall together
+        here = dims[first] == dim
+        todo = [_small(first[small & here & (n > 1)], n[small & here & (n > 1)], x, keys, t, threshold)]
+        todo += [_large(np.arange(a, a + k), c, d, ids, x, keys, t, threshold) for a, k in zip(first[~small & here].tolist(), n[~small & here].tolist())]
+        for i, j in chain.from_iterable(todo):
+            ok = (label[i] == label[j]) & (dims[i] == dims[j])
+            i, j = i[ok], j[ok]
+            np.add.at(links, i, size[j])
+            np.add.at(links, j, size[i])
+            for u, v in zip(ids[i].tolist(), ids[j].tolist()):
+                forest.link(u, v)
+    at = np.flatnonzero(links)
+    if not len(at):
+        return None
+    roots = [forest.find(z) for z in ids[at].tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(roots, pa.int64()), pa.array(links[at], pa.int64())], names=["u", "v", "n"])
+
+
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tables: int | None = None, hashes: int | None = None, width: float = WIDTH, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).cast("string").alias("label"))
@@ -132,41 +203,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     pieces = pieces.select("rep", "t", F.xxhash64("bucket", F.least("c", "d"), F.greatest("c", "d")).alias("piece"), F.col("c").alias("c"), F.col("d").alias("d"))
     full = pieces.join(classes.select("rep", "label", "vec", "keys", "size"), "rep")
 
-    def work(group: pa.Table) -> pa.RecordBatch | None:
-        if group.num_rows < 2:
-            return None
-        ids, t, size = (group.column(c).to_numpy() for c in ("rep", "t", "size"))
-        x, keys = matrix(group.column("vec"), np.float64), matrix(group.column("keys"), np.int64)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        c, d = group.column("c").to_numpy(), group.column("d").to_numpy()
-        left, right = np.flatnonzero(c <= d), np.flatnonzero(c >= d)
-        same = bool((c == d).all())
-        label = group.column("label").to_pylist()
-        one_label = len(set(label)) == 1
-        forest, links = Forest(), np.zeros(len(ids), np.int64)
-        for a in range(0, len(left), BLOCK):
-            for b in range(0, len(right), BLOCK):
-                i, j = left[a : a + BLOCK], right[b : b + BLOCK]
-                near = compare(x[i], x[j], keys[i], keys[j], int(t[0]), threshold)
-                if same:
-                    near &= ids[i][:, None] < ids[j][None, :]
-                u, v = np.nonzero(near)
-                u, v = i[u], j[v]
-                if not one_label:  # two buckets whose hashes fall together
-                    ok = np.array([label[p] == label[q] for p, q in zip(u.tolist(), v.tolist())], bool)
-                    u, v = u[ok], v[ok]
-                np.add.at(links, u, size[v])
-                np.add.at(links, v, size[u])
-                for r, s in zip(ids[u].tolist(), ids[v].tolist()):
-                    forest.link(r, s)
-        at = np.flatnonzero(links)
-        if not len(at):
-            return None
-        roots = [forest.find(z) for z in ids[at].tolist()]
-        return pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(roots, pa.int64()), pa.array(links[at], pa.int64())], names=["u", "v", "n"])
-
-    found = settle(map_groups(full, "piece", work, "u long, v long, n long"))
+    found = settle(map_whole_groups(full, "piece", lambda rows: _linked(rows, threshold), "u long, v long, n long"))
     links = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("other"))
     comp = components(found.where("u <> v").select("u", "v"))
     of_class = classes.select("h", "label", "vec", "rep", "size").join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
