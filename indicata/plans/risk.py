@@ -6,8 +6,8 @@ adjustments that have no factor and stand in ``adjustment``: 7 points off for
 domains that are only referenced, and the 8 points of a hosting factor that gives way
 to a stronger one but keeps its points. The score isn't clamped below 0.
 
-The projection comes in pinned stages, so that no expression is repeated inside a
-later one and no generated method grows too large.
+The projection comes in stages; Spark leaves an expensive expression that a later stage
+uses more than once in a projection of its own.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lists
-from ..functions.text import contains_any, member, pinned, present, strings, text_or_empty
+from ..functions.text import contains_any, member, present, strings, text_or_empty
 from ..functions.urls import url_factors
 from .factors import FACTORS
 
@@ -80,7 +80,7 @@ def score(df: DataFrame) -> DataFrame:
     rules = _rules(df.sparkSession.sparkContext.applicationId)
     df = with_inputs(df)
     for columns in rules:
-        df = pinned(df.withColumns(columns))
+        df = df.withColumns(columns)
     return df.select(*kept, "factors", "adjustment", "raw_score", "normalized_score", "severity", "verdict", "color")
 
 
