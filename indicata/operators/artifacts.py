@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import DOMAIN as NAME
 from ..functions.text import any_of, ends_with_any, member, percent_decoded, pinned, text_or_empty
 from ..functions.urls import gateway_name, is_wrapper, unwrapped_once, url_host, url_parts
 
@@ -44,7 +45,7 @@ IPV6 = (
     rf"(?<![:\w])(?:(?:{_GROUP}:){{2,7}}{_GROUP}|(?:{_GROUP}:){{2,6}}:|(?:{_GROUP}:){{1,5}}(?::{_GROUP}){{1,5}}"
     rf"|{_GROUP}::(?:{_GROUP}:?){{0,6}}|::(?:ffff(?::0{{1,4}})?:)?{_OCTET}(?:\.{_OCTET}){{3}}|::1)(?![:\w])"
 )
-DOMAIN = r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}\b"
+DOMAIN = rf"\b{NAME}\b"
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -137,14 +138,14 @@ def extract(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ht
 
 
 def long_form(extracted: DataFrame, id_col: str = "doc_id", source: str = "Email Body") -> DataFrame:
-    """(id, ioc, ioc_type, source, original, displayed): one row per indicator."""
+    """(id, pos, ioc, ioc_type, source, original, displayed): one row per indicator, in order."""
     one = lambda ioc, kind, original=None, shown=None: F.struct(ioc.alias("ioc"), F.lit(kind).alias("ioc_type"), F.lit(source).alias("source"), (ioc if original is None else original).alias("original"), (F.lit(True) if shown is None else shown).alias("displayed"))
     every = F.concat(
         F.transform("urls", lambda u: one(u["url"], "url", u["original"], u["displayed"])),
         F.transform("domains", lambda d: one(d, "domain")),
         F.transform("ips", lambda i: one(i, "ip")),
     )
-    return extracted.select(id_col, F.explode(every).alias("x")).select(id_col, "x.*")
+    return extracted.select(id_col, F.posexplode(every).alias("pos", "x")).select(id_col, "pos", "x.*")
 
 
 def without(rows: DataFrame, others: DataFrame, id_col: str = "msg_id") -> DataFrame:

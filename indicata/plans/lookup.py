@@ -48,14 +48,21 @@ def classify(rows: DataFrame, raw_col: str = "raw") -> DataFrame:
 
 
 def _feed(df: DataFrame, feeds: dict[str, DataFrame], name: str, key: Column, alias: str) -> DataFrame:
-    """Left join with one struct of a feed; null where it has no record."""
+    """Left join with one struct of a feed; null where it has no record.
+
+    Of a key's records the newest counts, by ``as_of`` where the feed has that column,
+    then by ``last_seen``; of equally new ones one without an error, then the greatest
+    by its fields. Rows without a key are spread over all tasks.
+    """
     names = [f.split()[0] for f in SCHEMAS[name].split(", ")]
     if name not in feeds:
         kind = "struct<" + ",".join(f.replace(" ", ":", 1) for f in SCHEMAS[name].split(", ")[1:]) + ">"
         return df.withColumn(alias, F.lit(None).cast(kind))
-    one = feeds[name].select(*names).dropDuplicates([names[0]])
-    one = one.select(F.col(names[0]).alias(f"_key_{alias}"), F.struct(*names[1:]).alias(alias))
-    return df.join(one, key == F.col(f"_key_{alias}"), "left").drop(f"_key_{alias}")
+    feed, own = feeds[name].where(F.col(names[0]).isNotNull()), f"_key_{alias}"
+    newest = [F.col(x) for x in ("as_of", "last_seen") if x in feed.columns] + ([F.col("error").isNull()] if "error" in names else [])
+    one = feed.groupBy(F.col(names[0]).alias(own)).agg(F.max_by(F.struct(*names[1:]), F.struct(*newest, *names[1:])).alias(alias))
+    spread = F.coalesce(key, F.concat(F.lit("\0"), F.xxhash64("clean").cast("string")))
+    return df.join(one, spread == F.col(own), "left").drop(own)
 
 
 def enrich(rows: DataFrame, feeds: dict[str, DataFrame], *, with_subdomains: bool = True) -> DataFrame:

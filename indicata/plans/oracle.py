@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from .. import fixtures as fx
 from .. import lists
-from ..operators import artifacts
+from ..operators import artifacts, mail
+from .factors import FACTORS
 from .queries import RISK_INPUT
 
 
@@ -46,26 +47,26 @@ _BRANDS = f"brand as (select o, b, {_GLYPH.format('b')} as f from (values {_bran
 
 _SIMILAR = f"""
 {_BRANDS},
-tok as (select host_id, unnest(list_filter(string_split_regex(string_split(regexp_replace(lower(host), '^www\\.', ''), '.')[1], '[-_]+'), lambda x: x <> '')) as t, generate_subscripts(list_filter(string_split_regex(string_split(regexp_replace(lower(host), '^www\\.', ''), '.')[1], '[-_]+'), lambda x: x <> ''), 1) as i, len(list_filter(string_split_regex(string_split(regexp_replace(lower(host), '^www\\.', ''), '.')[1], '[-_]+'), lambda x: x <> '')) as n from ({fx.HOSTS})),
-exact as (select host_id, arg_min(b, i * 1000 + o) as b, arg_min(t = b, i * 1000 + o) as same from tok join brand on {_GLYPH.format('t')} = f where t <> b or n > 1 group by host_id),
-near as (select host_id, i, o, b, levenshtein(t, b) as d from tok, brand where t not in {_set(lists.INFRA_TOKENS)} and length(t) >= 5 and length(b) >= 4 and t <> b
+tok as (select key, unnest(list_filter(string_split_regex(string_split(regexp_replace(lower(host), '^www\\.', ''), '.')[1], '[-_]+'), lambda x: x <> '')) as t, generate_subscripts(list_filter(string_split_regex(string_split(regexp_replace(lower(host), '^www\\.', ''), '.')[1], '[-_]+'), lambda x: x <> ''), 1) as i, len(list_filter(string_split_regex(string_split(regexp_replace(lower(host), '^www\\.', ''), '.')[1], '[-_]+'), lambda x: x <> '')) as n from raw),
+exact as (select key, arg_min(b, i * 1000 + o) as b, arg_min(t = b, i * 1000 + o) as same from tok join brand on {_GLYPH.format('t')} = f where t <> b or n > 1 group by key),
+near as (select key, i, o, b, levenshtein(t, b) as d from tok, brand where t not in {_set(lists.INFRA_TOKENS)} and length(t) >= 5 and length(b) >= 4 and t <> b
   and len(list_intersect(list_distinct(string_split(t, '')), list_distinct(string_split(b, ''))))::double / greatest(len(list_distinct(string_split(t, ''))), len(list_distinct(string_split(b, '')))) >= 0.5
   and levenshtein(t, b)::double / greatest(length(t), length(b)) < 0.25),
-best as (select host_id, arg_min(b, d * 1000000 + i * 1000 + o) as b, min(d) as d from near group by host_id),
-first as (select host_id, t from tok where i = 1),
-fuzzy as (select host_id, b, d from best join first using (host_id) where d = 1 and length(t) >= greatest(3, length(b) - 1) or d = 2 and length(t) >= length(b) - 1)
+best as (select key, arg_min(b, d * 1000000 + i * 1000 + o) as b, min(d) as d from near group by key),
+first as (select key, t from tok where i = 1),
+fuzzy as (select key, b, d from best join first using (key) where d = 1 and length(t) >= greatest(3, length(b) - 1) or d = 2 and length(t) >= length(b) - 1)
 """
 
 _HOSTNAME = f"""
 {_BRANDS},
-hp as (select host_id, string_split(regexp_replace(lower(trim(host)), '^www\\.', ''), '.') as p from ({fx.HOSTS})),
-lab as (select host_id, p, unnest(case when len(p) > 2 then p[:len(p) - 2] else []::varchar[] end) as label, generate_subscripts(case when len(p) > 2 then p[:len(p) - 2] else []::varchar[] end, 1) as li from hp),
-pt as (select host_id, p, label, li, unnest(string_split_regex(label, '[-_]+')) as t, generate_subscripts(string_split_regex(label, '[-_]+'), 1) as ti from lab),
-tk as (select host_id, p[-2] as owner, p[-2] || '.' || p[-1] as root, label, t, li * 100 + ti as spot from pt where length(t) >= 4 and t not in {_set(lists.INFRA_TOKENS)}),
-hit as (select host_id, root, arg_min(b, spot * 1000 + o) as b, arg_min(label, spot * 1000 + o) as label, arg_min(t, spot * 1000 + o) as t, 0 as d from tk join brand on {_GLYPH.format('t')} = f where not (t = b and owner = b) group by host_id, root),
-near as (select host_id, root, label, t, b, levenshtein(t, b) as d, levenshtein(t, b) * 10000000 + spot * 1000 + o as rank from tk, brand where {_GLYPH.format('t')} <> f and length(t) >= 5 and length(b) >= 5 and abs(length(t) - length(b)) <= 2 and length(t) >= length(b) - 1 and 1 - levenshtein(t, b)::double / greatest(length(t), length(b)) >= 0.8),
-best as (select host_id, root, arg_min(b, rank) as b, arg_min(label, rank) as label, arg_min(t, rank) as t, min(d) as d from near group by host_id, root having min(d) <= 2),
-one as (select * from hit union all select * from best where host_id not in (select host_id from hit))
+hp as (select key, string_split(regexp_replace(lower(trim(host)), '^www\\.', ''), '.') as p from raw),
+lab as (select key, p, unnest(case when len(p) > 2 then p[:len(p) - 2] else []::varchar[] end) as label, generate_subscripts(case when len(p) > 2 then p[:len(p) - 2] else []::varchar[] end, 1) as li from hp),
+pt as (select key, p, label, li, unnest(string_split_regex(label, '[-_]+')) as t, generate_subscripts(string_split_regex(label, '[-_]+'), 1) as ti from lab),
+tk as (select key, p[-2] as owner, p[-2] || '.' || p[-1] as root, label, t, li * 100 + ti as spot from pt where length(t) >= 4 and t not in {_set(lists.INFRA_TOKENS)}),
+hit as (select key, root, arg_min(b, spot * 1000 + o) as b, arg_min(label, spot * 1000 + o) as label, arg_min(t, spot * 1000 + o) as t, 0 as d from tk join brand on {_GLYPH.format('t')} = f where not (t = b and owner = b) group by key, root),
+near as (select key, root, label, t, b, levenshtein(t, b) as d, levenshtein(t, b) * 10000000 + spot * 1000 + o as rank from tk, brand where {_GLYPH.format('t')} <> f and length(t) >= 5 and length(b) >= 5 and abs(length(t) - length(b)) <= 2 and length(t) >= length(b) - 1 and 1 - levenshtein(t, b)::double / greatest(length(t), length(b)) >= 0.8),
+best as (select key, root, arg_min(b, rank) as b, arg_min(label, rank) as label, arg_min(t, rank) as t, min(d) as d from near group by key, root having min(d) <= 2),
+one as (select * from hit union all select * from best where key not in (select key from hit))
 """
 
 _URL = f"""
@@ -202,10 +203,10 @@ z as (select *, list_filter(labels, lambda l: list_contains(string_split_regex(l
 select key, array_to_string(bs, '|') as brands, case when len(bs) = 0 then null when len(spot) > 0 then case when cdn then 'cdn_subdomain' else 'subdomain' end when list_contains(string_split_regex(root, '[._-]+'), bs[1]) then 'root' else 'subdomain' end as brand_context,
   case when len(bs) = 0 then null when len(spot) > 0 then spot[1] when list_contains(string_split_regex(root, '[._-]+'), bs[1]) then root end as source_label, array_to_string(ls, '|') as lures, case when cdn then registrable_domain end as cdn_provider,
   case when registrable_domain in {_set(lists.ABUSED_HOSTING)} then registrable_domain else d end as platform from z""",
-    "brand_similarity": f"""with {_SIMILAR} select h.host_id, e.b is not null or f.b is not null as brand_impersonation_flag, coalesce(e.b, f.b) as matched_brand, case when e.b is not null or f.d = 1 then 'High' when f.d = 2 then 'Medium' end as confidence,
-case when e.same then 'Brand token in compound domain' when e.b is not null then 'Homoglyph substitution' when f.b is not null then 'Levenshtein distance' end as method from ({fx.HOSTS}) h left join exact e on h.host_id = e.host_id left join fuzzy f on h.host_id = f.host_id""",
-    "hostname_brand": f"""with {_HOSTNAME} select h.host_id, o.b is not null as brand_match_hostname, o.b as matched_brand, o.label as matched_label, o.t as matched_token, case when o.b is null then null when root in {_set(lists.BRAND_CDNS)} then 'cdn_subdomain' else 'subdomain' end as context,
-case when o.d <= 1 then 'High' when o.d = 2 then 'Medium' end as confidence from ({fx.HOSTS}) h left join one o on h.host_id = o.host_id""",
+    "brand_similarity": f"""with {HOSTS}, {_SIMILAR} select h.key, e.b is not null or f.b is not null as brand_impersonation_flag, coalesce(e.b, f.b) as matched_brand, case when e.b is not null or f.d = 1 then 'High' when f.d = 2 then 'Medium' end as confidence,
+case when e.same then 'Brand token in compound domain' when e.b is not null then 'Homoglyph substitution' when f.b is not null then 'Levenshtein distance' end as method from raw h left join exact e on h.key = e.key left join fuzzy f on h.key = f.key""",
+    "hostname_brand": f"""with {HOSTS}, {_HOSTNAME} select h.key, o.b is not null as brand_match_hostname, o.b as matched_brand, o.label as matched_label, o.t as matched_token, case when o.b is null then null when root in {_set(lists.BRAND_CDNS)} then 'cdn_subdomain' else 'subdomain' end as context,
+case when o.d <= 1 then 'High' when o.d = 2 then 'Medium' end as confidence from raw h left join one o on h.key = o.key""",
     "url_heuristics": f"with {_URL} select url_id, array_to_string(list_filter(s, lambda x: x is not null), '|') as signals, array_to_string(ks, '|') as path_keywords, length(path) as path_length, coalesce({_POINTS}, 0) as score from sig",
     "gateway_unwrap": f"select url_id, destination, gateway, is_wrapper from ({fx.WRAPPED})",
     "infrastructure": f"""with x as (select *, case when cname is not null then rtrim(lower(cname), '.') end as c, lower(coalesce(org, '')) as o from ({fx.INFRA})),
@@ -237,8 +238,10 @@ coalesce(arg_min(value, pos) filter (rtype = 'TXT' and regexp_matches(value, '(?
 select ioc, count(*) as passive_dns_count, count(distinct a) as unique_ip_count, min(least(coalesce(f, l), coalesce(l, f))) as first_seen, max(greatest(coalesce(f, l), coalesce(l, f))) as last_seen from p group by ioc""",
     "risk_scores": _RISK,
     "text_artifacts": f"with {_ART} select doc_id, len(urls) as n_urls, coalesce(array_to_string(ds, '|'), '') as domains, coalesce(array_to_string(xs, '|'), '') as ips from url left join doms using (doc_id) left join ips using (doc_id)",
-    "artifact_counts": f"""with {_ART}, n as (select doc_id, len(urls) as n_url, coalesce(len(ds), 0) as n_domain, coalesce(len(xs), 0) as n_ip from url left join doms using (doc_id) left join ips using (doc_id))
-select doc_id, n_url, n_domain, n_ip, 0 as total_high from n where n_url + n_domain + n_ip > 0""",
+    "artifact_counts": f"""with {_ART}, n as (select doc_id, len(urls) as n_url, coalesce(len(ds), 0) as n_domain, coalesce(len(xs), 0) as n_ip from url left join doms using (doc_id) left join ips using (doc_id)),
+s as (select doc_id, string_split(ip, '.')[-1]::int % 100 as score from (select doc_id, unnest(xs) as ip from ips)),
+m as (select doc_id, count_if(score > 60) as high, count_if(score between 26 and 60) as medium, max(score) as top from s group by doc_id)
+select doc_id, n_url, n_domain, n_ip, coalesce(high, 0)::bigint as total_high, coalesce(medium, 0)::bigint as total_medium, coalesce(top, 0)::int as max_score, (n_url + n_domain + n_ip)::bigint as total_artifacts from n left join m using (doc_id) where n_url + n_domain + n_ip > 0""",
     "artifact_scores": f"with {_ART} select doc_id, ip as ioc, 'ip' as ioc_type, 0 as score, 'LOW' as severity from pub",
     "calls_by_api": f"""with {_CALLS}, m as (select session_id, api, method, count(*) as n from calls group by all), s as (select session_id, api, sum(n)::bigint as calls, string_agg(method || '=' || n, ',' order by method) as methods from m group by all)
 select *, row_number() over (partition by session_id order by (api = 'violation')::int, calls desc, api) as ord from s""",
@@ -291,3 +294,60 @@ select row_id, case when input_type = 'ip' then 'https://www.abuseipdb.com/check
 case when regexp_matches(clean, '(?i)^https?://') then 'url' when regexp_full_match(clean, '(\\d{{1,3}}\\.){{3}}\\d{{1,3}}') then 'ip' else 'domain' end as guess, case when length(clean) <= 8 then repeat('•', length(clean)) else left(clean, 4) || repeat('•', length(clean) - 8) || right(clean, 4) end as masked,
 case when row_id * 1000 < 1024 then row_id * 1000 || ' B' else printf('%.1f KB', row_id * 1000 / 1024.0::double) end as size from ({ORACLE['input_types']}) where input_type <> 'unknown' and row_id < 1000
 """
+
+_LABEL = "case verdict when 'HIGHLY MALICIOUS' then 'Highly Malicious' when 'LIKELY MALICIOUS' then 'Likely Malicious' when 'NEEDS REVIEW' then 'Needs Review' when 'LOW THREAT' then 'Low Threat' else verdict end"
+_SEVERITY = "case when {0} <= 25 then 'LOW' when {0} <= 60 then 'MEDIUM' else 'HIGH' end"
+_GATEWAY_ROWS = ", ".join(f"({k}, {fx.literal(g)}, {fx.literal(n)})" for k, (g, n, _) in enumerate(mail.GATEWAYS))
+_MAXIMA = "map {" + ", ".join(f"{fx.literal(k)}: {m}" for k, (m, _) in FACTORS.items()) + "}"
+_CHAINED = """chained as (select page_id as pos, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, 'dest' || page_id % 5 || case when page_id % 5 < 2 then '.xyz' else '.com' end as last, page_id % 4 <> 0 as leads from pages)"""
+
+#: Queries of ``artifact_queries``: their inputs are made from keys, and so are these results.
+ORACLE |= {
+    "mail_parts": """select doc_id as msg_id, 'doc-' || doc_id || '.txt' as filename, octet_length(encode(coalesce(text, '')))::bigint as size, sha256(coalesce(text, '')) as sha256, sha256(coalesce(text, '')) as body_sha256 from documents""",
+    "mail_scores": f"""with {_ART}, s as (select doc_id, string_split(ip, '.')[-1]::int as c from (select doc_id, unnest(xs) as ip from ips)),
+p as (select doc_id, case when c > 50 then 30 when c > 20 then 20 when c >= 5 then 10 else 0 end as score from s union all select doc_id, 0 from documents)
+select doc_id as msg_id, max(score) as overall_score, {_SEVERITY.format("max(score)")} as severity, 0::bigint as n_high, count_if(score > 25) as n_medium from p group by doc_id""",
+    "mail_links": """select page_id as msg_id, 'www.other' || page_id % 7 || '.org now' as display, 'www.other' || page_id % 7 || '.org' as display_domain, 'site' || page_id % 50 || '.com' as href_domain,
+case when page_id % 2 = 0 then '' else 'https://site' || page_id % 50 || '.com/p' end as unwrapped_href from pages where page_id % 3 = 1""",
+    "received_addresses": """with x as (select o_orderkey, o_orderkey % 256 || '.7.1.' || o_orderkey % 3 as one, o_orderkey % 5 + 1 || '.7.1.' || o_orderkey % 3 as two from orders)
+select o_orderkey, array_to_string(list_filter([case when not starts_with(one, '127.') then one end, case when two <> one then two end], lambda x: x is not null), '|') as ips from x""",
+    "relay_contexts": """with x as (select c_custkey as msg_id, c_custkey % 3 as k, case when c_custkey % 2 = 0 then 'Microsoft 365' else 'Proofpoint' end as own, c_custkey % 2 = 0 as plain from customer)
+select msg_id, k <> 0 as has_mismatch, case when k = 1 then 'Proofpoint' else own end as eval_gateway, case when k = 2 then 'Proofpoint' else '' end as relay_chain, case when plain then 'Microsoft 365 — Local Evaluation' else 'Trusted Gateway Policy Decision (Proofpoint)' end as context_label from x""",
+    "gateway_keys": f"""with g as (select * from (values {_GATEWAY_ROWS}) as t(o, k, n)), s as (select r_regionkey, case r_regionkey % 3 when 0 then upper(n) when 1 then '  ' || k || ' gateway ' else left(n, 7) end as spelling from region, g),
+c as (select distinct spelling, lower(trim(spelling)) as v from s), h as (select spelling, v, arg_min(k, o + case when contains(v, k) or contains(k, v) then 0 else 100 end) as k from c join g on contains(v, k) or contains(k, v) or contains(lower(n), v) or contains(v, lower(n)) group by all)
+select r_regionkey, spelling, k as gateway from s join h using (spelling)""",
+    "invitation_urls": "select page_id, 'https://u' || page_id || '.net/a|https://meet.io/' || page_id || '|https://alt.io/' || page_id % 9 as urls from pages",
+    "source_priority": """with o as (select o_custkey as msg_id, o_orderkey, 'u' || o_orderkey % 10 as ioc, case when o_orderkey % 3 = 0 then 'u' || o_orderkey % 7 end as other from orders)
+select msg_id, ioc, o_orderkey from o where not exists (select 1 from o as p where p.msg_id = o.msg_id and p.other = o.ioc)""",
+    "url_overflow": """select c_custkey as doc_id, c_custkey % 16 as n_urls, least(10, c_custkey % 16) as n_displayed, (c_custkey % 16) // 2 as n_wrapped, 'https://h' || c_custkey % 16 || '.com/p' as last_url from customer where c_custkey % 16 > 0""",
+    "code_types": """select page_id, case page_id % 5 when 0 then 'url' when 1 then 'domain' when 4 then case when contains(url, '.') then 'domain' end end as kind,
+case page_id % 5 when 0 then 'url' when 4 then 'url' when 1 then 'domain' else 'unknown' end as typed from pages""",
+    "file_reads": """with x as (select doc_id, doc_id % 3 as k, 'see https://s' || doc_id || '.org/a, and www.t' || doc_id || '.net/x but logo.png ' || case when doc_id % 3 = 0 then '<html><img src=''https://img' || doc_id || '.net/p''>' else '' end as said from documents)
+select 'f' || doc_id || case k when 0 then '.html' when 1 then '.csv' else '.TXT' end as filename, case k when 0 then 'html' else 'text' end as extractor, length(said) as size, sha256(said) as sha256, 'https://s' || doc_id || '.org/a|' || case k when 0 then 'https://img' || doc_id || '.net/p|' else '' end || 'www.t' || doc_id || '.net/x' as urls from x""",
+    "pasted_lines": "select page_id, 0 as pos, trim(url) as raw from pages where regexp_matches(trim(url), '(?i)^https?://') union all select page_id, 3, '1.2.3.4' from pages union all select page_id, 4, sha256(url) from pages where url is not null",
+    "listed_names": "select n_nationkey, 0 as ord, lower(n_name) as item from nation where n_nationkey % 5 <> 4 union all select n_nationkey, 1, 'x' || n_nationkey from nation where n_nationkey % 5 <> 4",
+    "json_rows": "select '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' as value from nation",
+    "hop_view": f"""with {_CHAINED}, h as (select pos as page_id, unnest(case when leads then [host, 'mid.net', last] else [host] end) as domain, unnest(case when leads then [0, 1, 2] else [0] end) as ix, leads from chained)
+select page_id, ix, domain, ix = 0 as is_first, ix = case when leads then 2 else 0 end as is_final from h""",
+    "final_hosts": f"""with {_CHAINED} select pos, case when ends_with(last, '.xyz') then 15 else 0 end as final_score, case when ends_with(last, '.xyz') then 'High' else 'Low' end as final_tld_level, ends_with(last, '.xyz') as chain_suspicious from chained where leads""",
+    "redirect_totals": """with p as (select page_id as pos, page_id % 70 > 25 as live, regexp_extract(url, '^[a-z]+://[^/?#]*') as origin from pages), c as (select origin, min(pos) % 5 as k from p where live group by origin)
+select count(distinct case when live then origin end) as analysed, count_if(not live) as skipped, count(*) as total_url_results, count_if(live and (20 * k >= 60 or k = 1)) as suspicious_chains from p left join c using (origin)""",
+    "source_badges": f"""with x as (select o_custkey % 100 as msg_id, case o_orderkey % 3 when 0 then 'QR Code' when 1 then 'Email Body' else 'Attachment' end as source, {_SEVERITY.format("o_orderkey * 37 % 101")} as s from orders)
+select msg_id, source, count(*) as n, count_if(s = 'HIGH') as n_high, count_if(s = 'MEDIUM') as n_medium, case when bool_or(s = 'HIGH') then 'HIGH' when bool_or(s = 'MEDIUM') then 'MEDIUM' else 'LOW' end as worst from x group by all""",
+    "signal_chips": f"""with h as (select url_id - 1000 as page_id, string_split(signals, '|') as s from ({ORACLE["url_heuristics"]}) where url_id >= 1000)
+select page_id, array_to_string(list_filter([case page_id % 3 when 1 then 'entropy:Moderate' when 2 then 'entropy:High' end, case when page_id % 4 = 0 then 'resembles:paypal' end, case when page_id % 5 = 0 then 'rapid_deploy' end,
+  case when list_has_any(s, ['path_keywords_high', 'path_keywords_present']) then 'path_keywords' end, case when list_contains(s, 'open_redirect_param') then 'open_redirect' end, case when list_has_any(s, ['encoded_params', 'base64_in_query']) then 'encoded_params' end,
+  case when list_has_any(s, ['double_slash_path', 'brand_in_path']) then 'path_confusion' end, case when list_contains(s, 'ip_host') then 'ip_host' end, case when list_has_any(s, ['very_long_path', 'long_path']) then 'long_path' end], lambda x: x is not null), '|') as chips from h""",
+    "factor_rows": f"""with r as (select row_id, factors from ({ORACLE["url_risk"]})), f as (select row_id, unnest(string_split(factors, '|')) as f, generate_subscripts(string_split(factors, '|'), 1) as i from r where factors <> ''),
+p as (select row_id, i, string_split(f, '=')[1] as k, string_split(f, '=')[2]::int as n from f), t as (select *, least(100, floor(100.0 * n / {_MAXIMA}[k] + 0.5))::int as pct from p),
+s as (select row_id, string_agg(k || ':' || n || ':' || pct || ':' || case when n >= 15 then 'high' when n >= 8 then 'medium' else 'low' end, '|' order by n desc, i) as shown, max(case when k = 'moderate_entropy' then n end) as entropy_points from t group by row_id)
+select row_id, coalesce(shown, '') as shown, entropy_points from r left join s using (row_id)""",
+    "verdict_labels": f"""with x as (select o_orderkey, o_orderkey * 37 % 101 as s from orders), v as (select o_orderkey, case when o_orderkey % 7 = 0 then 'OTHER' when s <= 25 then 'LOW THREAT' when s <= 60 then 'NEEDS REVIEW' when o_orderkey % 2 = 0 then 'HIGHLY MALICIOUS' else 'LIKELY MALICIOUS' end as verdict from x)
+select o_orderkey, {_LABEL} as label from v""",
+    "escaped_pages": """select page_id, sha256(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) as escaped_sha256 from pages""",
+    "shown_formats": """with x as (select o_orderkey, o_orderdate, o_orderkey * 997 as b, o_orderkey * 997 / 1024.0::double as kb from orders)
+select o_orderkey, case o_orderkey % 3 when 0 then strftime(make_timestamp((o_orderkey * 1000 + 1600000000) * 1000000), '%Y-%m-%d') when 1 then strftime(o_orderdate, '%Y-%m-%d') else 'n/a' end as shown_date,
+case when b < 1024 then b || ' B' when kb < 1024 then printf('%.1f KB', floor(kb * 10 + 0.5) / 10) else printf('%.1f MB', floor(kb / 1024 * 10 + 0.5) / 10) end as shown_size from x""",
+    "newest_reports": """with x as (select '9.9.9.' || o_custkey % 200 as ip, arg_max(o_orderkey % 101, o_orderkey)::int as confidence from orders group by all)
+select ip, confidence, case when confidence > 50 then 30 when confidence > 20 then 20 when confidence >= 5 then 10 else 0 end as raw_score from x""",
+}

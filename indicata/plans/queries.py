@@ -12,7 +12,7 @@ from ..functions import brands, hosts, infra, intel, text, urls
 from ..operators import artifacts, display, mail, redirects
 from ..sources.tables import table
 from ..streaming import calls as call_log
-from . import risk
+from . import artifact_queries, risk
 from .lookup import check_status, classify, enrich, lookup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,11 +57,11 @@ def host_signals(spark, sf_dir):
 
 
 def brand_similarity(spark, sf_dir):
-    return spark.sql(fx.HOSTS).withColumn("b", brands.brand_similarity(F.col("host"))).select("host_id", "b.*")
+    return _hosts(spark, sf_dir).withColumn("b", brands.brand_similarity(F.col("host"))).select("key", "b.*")
 
 
 def hostname_brand(spark, sf_dir):
-    return spark.sql(fx.HOSTS).withColumn("b", brands.hostname_brand(F.col("host"))).select("host_id", "b.*")
+    return _hosts(spark, sf_dir).withColumn("b", brands.hostname_brand(F.col("host"))).select("key", "b.*")
 
 
 def _urls(spark, sf_dir):
@@ -214,10 +214,12 @@ def text_artifacts(spark, sf_dir):
 
 
 def artifact_counts(spark, sf_dir):
-    """Counts by type of the hosts and addresses of documents; addresses are found in many of them."""
+    """Counts by type and severity of the addresses of documents, whose scores are drawn from their last octets."""
     found = artifacts.extract(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = artifacts.long_form(found).withColumns({"severity": F.lit("LOW"), "score": F.lit(0)})
-    return artifacts.artifact_counts(rows, "doc_id").select("doc_id", "n_url", "n_domain", "n_ip", "total_high")
+    score = F.coalesce(F.substring_index("ioc", ".", -1).try_cast("int") % 100, F.lit(0))
+    rows = artifacts.long_form(found).withColumn("score", score).withColumn("severity", risk.severity(F.col("score")))
+    counts = display.artifact_total(artifacts.artifact_counts(rows, "doc_id"))
+    return counts.select("doc_id", "n_url", "n_domain", "n_ip", "total_high", "total_medium", "max_score", "total_artifacts")
 
 
 def artifact_scores(spark, sf_dir):
@@ -264,17 +266,25 @@ def redirect_chains(spark, sf_dir):
     return out.select("url", _joined("url_chain").alias("chain"), _joined("domains").alias("hosts"), "final_url")
 
 
-def redirect_scores(spark, sf_dir):
+def _elevated(spark, sf_dir):
     """Pages' urls whose origins lead to one of five destinations; scores by hand."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), F.col("url").alias("ioc"), (F.col("page_id") % 70).cast("int").alias("score"))
     rows = pages.withColumns({"severity": risk.severity(F.col("score")), "verdict": F.lit("NEEDS REVIEW")})
     hop = F.concat(F.lit("dest"), (F.col("pos") % 5).cast("string"), F.lit(".com"))
     chains = rows.select(F.col("ioc").alias("url"), F.array(urls.url_host(F.col("ioc")), hop).alias("domains"), (F.col("pos") % 2 == 0).alias("has_redirects"))
     scored = spark.sql(fx.values_sql("domain, score, tld_level", [(f"dest{k}.com", 20 * k, "High" if k == 1 else "Low") for k in range(5)]))
-    out = redirects.elevated(rows, redirects.chain_verdicts(chains.dropDuplicates(["url"]), scored))
+    return redirects.elevated(rows, redirects.chain_verdicts(chains.dropDuplicates(["url"]), scored))
+
+
+def redirect_scores(spark, sf_dir):
+    out = _elevated(spark, sf_dir)
     return out.select("pos", "score", "severity", F.coalesce("chain_suspicious", F.lit(False)).alias("chain_suspicious"), F.col("elevation").isNotNull().alias("elevated"))
 
 
+def redirect_totals(spark, sf_dir):
+    return redirects.redirect_summary(_elevated(spark, sf_dir))
+
+
 def _mails(spark):
     rows = spark.sql(fx.MAILS)
     return rows.groupBy("msg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "value"))), lambda h: F.struct(h["name"].alias("name"), h["value"].alias("value"))).alias("headers"))
@@ -316,6 +326,6 @@ QUERIES: dict[str, Query] = {
     for f in (
         url_risk, lookup_feeds, severity_histogram, input_types, host_context, tld_risk, host_entropy, host_signals, brand_similarity, hostname_brand, url_heuristics, gateway_unwrap, infrastructure, pulse_tiers, verdict_merge,
         ct_summary, dns_summary, passive_dns, risk_scores, checks, text_artifacts, artifact_counts, artifact_scores, calls_by_api, session_timeline, trailing_counts, live_sessions, call_windows, call_classes,
-        redirect_chains, redirect_scores, mail_verdicts, mail_hops, mail_flow, auth_records, sender_domains, display_forms,
+        redirect_chains, redirect_scores, redirect_totals, mail_verdicts, mail_hops, mail_flow, auth_records, sender_domains, display_forms,
     )
-}
+} | artifact_queries.QUERIES

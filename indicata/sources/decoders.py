@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 #: What an extracted url looks like.
 URL = re.compile(r"https?://[^\s\"'<>\)\]]+", re.I)
 BARE = re.compile(r"\b(?:www\.)?(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,6}(?:/[^\s\"'<>\)\]]*)?", re.I)
-DOMAIN = re.compile(r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}\b")
 OFFICE_ZIP = (".docx", ".dotx", ".docm", ".xlsx", ".xlsm", ".xltx", ".pptx", ".ppsx", ".pptm")
 LINK_CAP = 50
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest mail and file, and the endings of files that are read.
@@ -18,17 +18,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def json_list(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """(ord, item) of a JSON array of strings, or of one under a key: lower case, trimmed, the first of equals.
-
-    A file that is absent or holds something else gives no rows.
-    """
-    raw = spark.read.text(path, wholetext=True).select(F.col("value"))
-    kind = "array<string>" if key is None else f"struct<{key}:array<string>>"
-    items = F.from_json("value", kind)
+def listed(value: Column, key: str | None = None) -> Column:
+    """Items of a JSON array of strings, or of one under a key: lower case, trimmed, the first of equals; none of anything else."""
+    items = F.from_json(value, "array<string>" if key is None else f"struct<{key}:array<string>>")
     items = items if key is None else items[key]
     clean = F.array_distinct(F.filter(F.transform(items, lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != "")))
-    return raw.select(F.posexplode(F.coalesce(clean, F.array().cast("array<string>"))).alias("ord", "item"))
+    return F.coalesce(clean, F.array().cast("array<string>"))
+
+
+def json_list(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """(ord, item) of the items ``listed`` in a file; one that holds no list gives no rows."""
+    raw = spark.read.text(path, wholetext=True)
+    return raw.select(F.posexplode(listed(F.col("value"), key)).alias("ord", "item"))
 
 
 def list_values(spark: SparkSession, path: str, key: str | None = None, most: int = 100_000) -> tuple[str, ...]:
@@ -58,11 +59,11 @@ def uploaded_files(spark: SparkSession, folder: str, max_bytes: int = MAX_FILE)
     return found.select(F.substring_index("path", "/", -1).alias("filename"), F.lit("").alias("content_type"), F.col("content").alias("payload"))
 
 
-def pasted(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(pos, raw): a pasted list's lines, trimmed, those of a known type only."""
+def pasted(df: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
+    """(pos, raw) and the columns to keep: a pasted list's lines, trimmed, those of a known type only."""
     from ..functions.text import client_input_type
 
-    lines = df.select(F.posexplode(F.split(text_col, "\n")).alias("pos", "raw")).select("pos", F.trim("raw").alias("raw"))
+    lines = df.select(*keep, F.posexplode(F.split(text_col, "\n")).alias("pos", "raw")).select(*keep, "pos", F.trim("raw").alias("raw"))
     return lines.where(client_input_type(F.col("raw")) != "unknown")
 
 

@@ -55,10 +55,11 @@ def calls_by_api(calls: DataFrame) -> DataFrame:
 
 
 def session_timeline(calls: DataFrame) -> DataFrame:
-    """Calls with t, the seconds since their session's first, to two decimals."""
-    first = calls.groupBy("session_id").agg(F.min("ts").alias("_t0"))
+    """Calls with t, the seconds since their session's first, to two decimals; calls without a session are one session."""
+    first = calls.groupBy(F.col("session_id").alias("_session")).agg(F.min("ts").alias("_t0"))
     t = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_t0").cast("timestamp"))) / F.lit(1e6)
-    return calls.join(first, "session_id").withColumn("t", F.bround(t, 2)).drop("_t0")
+    same = F.col("session_id").eqNullSafe(F.col("_session"))
+    return calls.join(first, same).withColumn("t", F.bround(t, 2)).drop("_t0", "_session")
 
 
 def trailing_counts(calls: DataFrame, as_of: Column, seconds=(60, 3600, 86400)) -> DataFrame:
