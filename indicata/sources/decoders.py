@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import pdf
+
 #: What an extracted url looks like.
 URL = re.compile(r"https?://[^\s\"'<>\)\]]+", re.I)
 BARE = re.compile(r"\b(?:www\.)?(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,6}(?:/[^\s\"'<>\)\]]*)?", re.I)
@@ -156,11 +158,17 @@ def text_urls(payload: bytes, cap: int = LINK_CAP) -> list[str]:
     return list(dict.fromkeys(found))[:cap]
 
 
-def _members(payload: bytes):
+def _members(payload: bytes, budget: int = pdf.BUDGET):
+    """Names and contents of an archive, as long as the contents fit the budget together."""
     try:
         with zipfile.ZipFile(io.BytesIO(payload)) as archive:
             for name in sorted(archive.namelist()):
-                yield name, archive.read(name)
+                with archive.open(name) as member:
+                    data = member.read(budget)
+                budget -= len(data)
+                yield name, data
+                if budget <= 0:
+                    return
     except (zipfile.BadZipFile, OSError, RuntimeError, zlib.error):
         return
 
@@ -184,38 +192,16 @@ def office_text(payload: bytes) -> str:
     return re.sub(r"\s+", " ", " ".join(texts)).strip()
 
 
-_PDF_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
-_PDF_URI = re.compile(rb"/URI\s*\(((?:[^()\\]|\\.)*)\)")
-_PDF_SHOW = re.compile(rb"\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|')|\[((?:[^\]\\]|\\.)*)\]\s*TJ", re.S)
-
-
-def _pdf_streams(payload: bytes) -> list[bytes]:
-    out = []
-    for m in _PDF_STREAM.finditer(payload):
-        try:
-            out.append(zlib.decompressobj().decompress(m.group(1)))
-        except zlib.error:
-            continue
-    return out
-
-
-def pdf_links(payload: bytes, cap: int = LINK_CAP) -> list[str]:
-    """Targets of a PDF's link annotations, then urls in its bytes."""
-    found = []
-    for data in (payload, *_pdf_streams(payload)):
-        found += [re.sub(rb"\\(.)", rb"\1", m.group(1)).decode("latin-1") for m in _PDF_URI.finditer(data)]
-    found = [u for u in found if u.startswith("http")] + [m.group().rstrip(".,;)>\"'") for m in URL.finditer(payload.decode("latin-1"))]
+def pdf_links(payload: bytes, cap: int = LINK_CAP, budget: int = pdf.BUDGET) -> list[str]:
+    """Web targets of a PDF's actions, then urls in its bytes."""
+    found = [u for u in pdf.Document(payload, budget).uris() if u.lower().startswith("http")]
+    found += [m.group().rstrip(".,;)>\"'") for m in URL.finditer(payload.decode("latin-1"))]
     return list(dict.fromkeys(u for u in found if u))[:cap]
 
 
-def pdf_text(payload: bytes) -> str:
-    """Strings that a PDF's inflated content streams show."""
-    parts = []
-    for data in _pdf_streams(payload):
-        for one, many in _PDF_SHOW.findall(data):
-            pieces = [one] if one else [m.group(1) for m in re.finditer(rb"\(((?:[^()\\]|\\.)*)\)", many)]
-            parts.append(b"".join(re.sub(rb"\\([()\\])", rb"\1", p) for p in pieces).decode("latin-1"))
-    return " ".join(parts)
+def pdf_text(payload: bytes, budget: int = pdf.BUDGET) -> str:
+    """What a PDF's content shows, else its printable runs."""
+    return pdf.Document(payload, budget).text() or pdf.printable(payload)
 
 
 def carved_images(data: bytes) -> list[bytes]:
@@ -266,6 +252,7 @@ def read_file(payload: bytes, filename: str, content_type: str, noise_tlds: froz
         qr = qr_payloads(payload)
     elif kind == "pdf":
         urls, text = pdf_links(payload), pdf_text(payload)
+        qr = [q for image in carved_images(payload) for q in qr_payloads(image)]
     elif kind == "office":
         urls, text = office_links(payload), office_text(payload)
         qr = [q for n, d in _members(payload) if "/media/" in n for q in qr_payloads(d)]
