@@ -184,6 +184,8 @@ def link_mismatches(links: DataFrame, id_col: str = "msg_id") -> DataFrame:
 def score_fan_out(artifacts: DataFrame, feeds: dict[str, DataFrame], id_col: str = "msg_id") -> DataFrame:
     """Long artifacts with the score of their indicator: distinct indicators are scored once and joined back.
 
+    Artifacts are read twice, for the distinct ones and for the join: write those that
+    come from decoders to a table first.
     Certificate-log counts are left out, as they are for mail.
     """
     from ..plans.lookup import lookup

@@ -54,7 +54,7 @@ def mail_parts(spark, sf_dir):
 def mail_scores(spark, sf_dir):
     """From the bytes of messages to the highest score of their indicators; reports of addresses are drawn from their last octets."""
     rows = artifacts.long_form(artifacts.extract(_messages(spark, sf_dir), id_col="msg_id", text_col="plain_text", html_col="html_text"), "msg_id")
-    reports = rows.where("ioc_type = 'ip' and ioc like '%.%'").select(F.col("ioc").alias("ip")).distinct()
+    reports = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(artifacts.IPV4), F.lit(0))).alias("ip")).distinct()
     reports = reports.select("ip", F.substring_index("ip", ".", -1).cast("int").alias("abuse_confidence_score"), F.lit(False).alias("is_tor"), F.lit(None).cast("string").alias("error"))
     scored = artifacts.score_fan_out(rows, {"abuseipdb": reports})
     return mail.message_scores(scored).select("msg_id", "overall_score", "severity", "n_high", "n_medium")

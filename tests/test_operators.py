@@ -214,3 +214,27 @@ def test_streaming_sessions(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r.session_id, r.total, r.violations) for r in spark.sql("select * from s where not expired").collect()} == {("s1", 2, 1), ("s2", 1, 0)}
+
+
+def test_newest_record_of_a_feed(spark):
+    rows = [("9.9.9.9", 80, False, None, 1), ("9.9.9.9", 10, False, None, 3), ("9.9.9.9", None, None, "timeout", 3), ("9.9.9.9", 60, False, None, 2), (None, 99, True, None, 9)]
+    schema = lookup.SCHEMAS["abuseipdb"] + ", as_of int"
+    asked = spark.createDataFrame([("9.9.9.9",), ("",), ("a.com",), ("a.com",)], "raw string")
+    for order in (rows, rows[::-1]):
+        out = lookup.lookup(asked, {"abuseipdb": spark.createDataFrame(order, schema)}).collect()
+        assert [r.abuse.abuse_confidence_score for r in out if r.raw == "9.9.9.9"] == [10] and len(out) == 4
+        assert all(r.abuse is None for r in out if r.raw != "9.9.9.9")
+
+
+def test_calls_without_a_session(spark):
+    rows = [("2024-01-01 00:00:01", None), ("2024-01-01 00:00:03", None), ("2024-01-01 00:00:05", "s")]
+    log = spark.createDataFrame(rows, "ts string, session_id string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted((r.session_id or "", r.t) for r in calls.session_timeline(log).collect()) == [("", 0.0), ("", 2.0), ("s", 0.0)]
+
+
+def test_archives_are_bounded():
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(5):
+            z.writestr(f"word/{k}.xml", "x" * 1000)
+    assert [len(d) for _, d in decoders._members(buffer.getvalue(), 2500)] == [1000, 1000, 500]

@@ -37,3 +37,14 @@ def test_query_equals_oracle(spark, duck, name):
 def test_contract(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_only_the_deleted_folder_may_be_absent():
+    """A package that the corpus operators need and that is missing is an error, not an empty list of queries."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules[{!r}] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    run = lambda name: subprocess.run([sys.executable, "-c", code.format(name)], cwd=__spark_entry__.__file__.rsplit("/", 1)[0], capture_output=True, text=True)
+    assert run("indicata.llm").stdout.strip() == str(len(core.QUERIES))
+    assert run("numpy").returncode != 0 or len(__spark_entry__.queries()) == len(core.QUERIES)
