@@ -84,7 +84,8 @@ class Document:
         for head, data in list(self.objects.values()):
             if b"/ObjStm" in head:
                 self._unpack(head, data)
-        if not places:  # no object is left whole: take the streams alone
+        if not places:  # no object is left whole: take the file as one dictionary, and the streams alone
+            self.objects[0] = (payload, b"")
             starts = [m.start() for m in _STREAM.finditer(payload)]
             for number, (begin, end) in enumerate(zip(starts, [*starts[1:], len(payload)])):
                 self._add(-number - 1, payload[begin:end], guess=True)
@@ -120,7 +121,8 @@ class Document:
     def uris(self) -> list[str]:
         """Targets of link, button and additional actions, in the order of the objects."""
         found = []
-        for head, data in self.objects.values():
+        # of streams without objects nothing is known, so theirs may hold objects
+        for head in (data if number < 0 else head for number, (head, data) in self.objects.items()):
             for m in _URI.finditer(head):
                 if head[m.end() : m.end() + 1] == b"(":
                     found.append(as_text(string_at(head, m.end())[0]))
