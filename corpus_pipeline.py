@@ -52,7 +52,8 @@ STAGES = [
     ("tokens", tokenise),
 ]
 
-#: No stage can be expressed in SQL as a whole; tests hold run() against a plain version.
+#: No stage can be expressed in SQL as a whole; tests hold the ids that run() keeps against the stages'
+#: own operators, its token ids against the tokenizer's library, and near-duplicates against brute force.
 ORACLE_SQL = None
 
 
