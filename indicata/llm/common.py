@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -167,8 +167,8 @@ def map_groups(df: DataFrame, group: str, fn: Callable[[pa.Table], pa.RecordBatc
     return df.repartition(group).sortWithinPartitions(group).mapInArrow(run, schema)
 
 
-def map_whole_groups(df: DataFrame, group: str, fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """As ``map_groups``, but ``fn`` gets many groups at once, sorted by ``group``, each of them whole."""
+def map_whole_groups(df: DataFrame, group: str, fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str, order: Sequence[str] = ()) -> DataFrame:
+    """As ``map_groups``, but ``fn`` gets many groups at once, sorted by ``group`` and then ``order``, each of them whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -187,7 +187,7 @@ def map_whole_groups(df: DataFrame, group: str, fn: Callable[[pa.Table], pa.Reco
         if held and (out := fn(pa.Table.from_batches(held))) is not None:
             yield out
 
-    return df.repartition(group).sortWithinPartitions(group).mapInArrow(run, schema)
+    return df.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, schema)
 
 
 def matrix(column: pa.ChunkedArray, dtype: type) -> np.ndarray:

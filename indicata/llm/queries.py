@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, embeddings, html_text, licenses, quality, secret_scan, simhash, toxicity, urls
+from . import bpe, decontamination, embeddings, fill_middle, html_text, licenses, quality, secret_scan, sharding, simhash, spelling, toxicity, urls
 from .common import table
 
 
@@ -51,12 +51,27 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_decontamination, op2_embeddings, op3_toxicity, op4_html, op5_quality, op6_urls, op7_simhash, op8_licenses, op9_bpe, op10_secrets)
+    own = (op1_decontamination, op2_embeddings, op3_toxicity, op4_html, op5_quality, op6_urls, op7_simhash, op8_licenses, op9_bpe, op10_secrets, op11_sharding, op12_fill_middle, op13_spelling)
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_urls": urls.ORACLE_SQL, "op8_licenses": licenses.oracle_sql()}
+    return {
+        "op6_urls": urls.ORACLE_SQL, "op8_licenses": licenses.oracle_sql(),
+        "op11_sharding": sharding.ORACLE_SQL, "op12_fill_middle": fill_middle.ORACLE_SQL, "op13_spelling": spelling.ORACLE_SQL,
+    }
