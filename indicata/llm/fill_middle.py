@@ -6,9 +6,9 @@ cuts among the boundaries; each is one select in the list. The parts are then pu
 order of the document's form: ``plain`` (the text), ``psm`` (prefix, suffix, middle) or
 ``spm`` (suffix, prefix, middle), with a marker before each.
 
-Groups are keyed by two 64-bit hashes and the length, and verified by content: the least and
-the greatest text of a key are compared. Should they ever differ, the job fails with a
-message; it never gives a document another one's text.
+Groups are keyed by two 64-bit hashes and the length, and verified by content: the SHA-256 of each
+document's own text goes along with its id, and is held against that of its group's text. Should
+they ever differ, the job fails with a message; it never gives a document another one's text.
 
 Scale: texts are dealt once, by key, after copies within a task are folded into one
 (an aggregate's partial step); documents join their group by narrow rows of id and key. A
@@ -110,20 +110,19 @@ def restore(output: bytes, form: str) -> bytes:
 
 
 def _paired(docs: DataFrame, id_col: str, text_col: str, hot: int) -> DataFrame:
-    """(doc_id, text): each document with its group's text, the documents of a text one after another."""
+    """(doc_id, text, sha): each document with its group's text and the digest of its own, the documents of a text one after another."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     every = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"), F.xxhash64(F.lit(7), text).alias("second"), F.octet_length(text).alias("bytes"))
     key = ["hash", "second", "bytes"]
-    ids = every.select("doc_id", *key)
+    ids = every.select("doc_id", *key, F.unhex(F.sha2("text", 256)).alias("sha"))
     large = settle(ids.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(*key, F.ceil(F.col("n") / hot).cast("int").alias("parts")))
-    one = F.when(F.col("text") == F.col("other"), F.col("text")).otherwise(F.raise_error(F.lit("two texts have the same length and the same 128 bits of hash")))
-    groups = every.groupBy(*key).agg(F.min("text").alias("text"), F.max("text").alias("other")).select(*key, one.alias("text"))
-    few = ids.join(large, key, "left_anti").join(groups.hint("merge"), key).select("doc_id", "text")
+    groups = every.groupBy(*key).agg(F.min("text").alias("text"))
+    few = ids.join(large, key, "left_anti").join(groups.hint("merge"), key).select("doc_id", "text", "sha")
     # an id can repeat as often as a text does, so rows are salted by where they lie as well
     salted = ids.withColumn("salt", F.monotonically_increasing_id()).join(large, key)
-    salted = salted.select("doc_id", *key, F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "salt"), F.col("parts")).cast("int").alias("part"))
+    salted = salted.select("doc_id", *key, "sha", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "salt"), F.col("parts")).cast("int").alias("part"))
     texts = groups.join(large, key).select(*key, "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return few.unionByName(salted.join(texts.hint("merge"), [*key, "part"]).select("doc_id", "text"))
+    return few.unionByName(salted.join(texts.hint("merge"), [*key, "part"]).select("doc_id", "text", "sha"))
 
 
 def _mapped(docs: DataFrame, schema: str, row, *, id_col: str, text_col: str, hot: int) -> DataFrame:
@@ -133,12 +132,14 @@ def _mapped(docs: DataFrame, schema: str, row, *, id_col: str, text_col: str, ho
     types = types[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, index = None, None
+        last, index, digest = None, None, None
         for batch in pieces(batches, 1):
             out = []
-            for text, key in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+            for text, own, key in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if text != last:
-                    last, index = text, Boundaries(text)
+                    last, index, digest = text, Boundaries(text), hashlib.sha256(text).digest()
+                if own != digest:
+                    raise ValueError("two texts have the same length and the same 128 bits of hash")
                 out.append(row(text, index, key))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*out), types)], names=names)
 
