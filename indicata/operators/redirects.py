@@ -112,3 +112,46 @@ def redirect_summary(elevated_urls: DataFrame) -> DataFrame:
     p = url_parts(F.col("ioc"))
     origin = F.concat(p["scheme"], F.lit("://"), p["hostname"])
     return elevated_urls.agg(F.countDistinct(F.when(F.col("_live"), origin)).alias("analysed"), F.count_if(~F.col("_live")).alias("skipped"), F.count("*").alias("total_url_results"), F.count_if("chain_suspicious").alias("suspicious_chains"))
+
+
+#: Fixed value: urls of a chain at most.
+MAX_CHAIN = 10
+
+
+def _next_hops(edges: DataFrame) -> DataFrame:
+    usable = edges.where(F.col("url").isNotNull() & F.col("target").isNotNull() & (F.col("url") != F.col("target")))
+    return usable.groupBy("url").agg(F.min_by("target", F.struct("ord", "target")).alias("target"))
+
+
+def _longer(ahead: DataFrame, further: DataFrame) -> DataFrame:
+    """Paths (url, path), each followed by the path of its last url, if there is one."""
+    more = further.select(F.col("url").alias("_last"), F.col("path").alias("_more"))
+    joined = ahead.withColumn("_last", F.element_at("path", -1)).join(more, "_last", "left")
+    return joined.select("url", F.concat("path", F.coalesce("_more", F.array().cast("array<string>"))).alias("path"))
+
+
+def followed_chains(edges: DataFrame, cap: int = MAX_CHAIN) -> DataFrame:
+    """All chains of a table of single hops at once: url, chain, final_url, n_hops, cyclic, capped.
+
+    ``edges`` has the columns url, target and ord; of several hops from a url, the one of the
+    least ord (then target) is taken, and one to itself is none. A chain ends
+    where no hop leads on, before it meets one of its own urls again (``cyclic``), or with
+    ``cap`` urls (``capped``). One row for each url that a hop starts from.
+
+    Paths double in each round, as in binary powers of a step, so ``cap`` urls take about
+    as many joins as its binary digits. A target that very many urls lead to is an ordinary skewed key of
+    a join whose other side holds it once.
+    """
+    step = _next_hops(edges)
+    power = step.select("url", F.array("target").alias("path"))
+    walked, left = None, cap
+    while left:
+        if left & 1:
+            walked = power if walked is None else _longer(walked, power)
+        left >>= 1
+        power = _longer(power, power) if left else power
+    # cap hops were walked: one more than the chain may have, which tells whether it goes on
+    every = F.concat(F.array("url"), "path")
+    own = F.array_distinct(every)
+    out = walked.select("url", every.alias("_every"), own.alias("_own")).withColumns({"cyclic": F.size("_own") < F.size("_every"), "capped": F.size("_own") > cap, "chain": F.slice("_own", 1, cap)})
+    return out.select("url", "chain", F.element_at("chain", -1).alias("final_url"), (F.size("chain") - 1).alias("n_hops"), "cyclic", "capped")
