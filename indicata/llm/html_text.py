@@ -2,12 +2,14 @@
 
 A page becomes a flat list of text blocks: block-level tags end a block, inline tags
 don't, and scripts, styles, comments, forms' controls and the head hold no text. Each
-block has shallow features (words, link density, those of its neighbours) and what its
-enclosing tags and their class and id names say: whether it stands in a main part, and
-whether beside it. A name denied (``no-sidebar``) says nothing, a compound is named by its
-last word (``related-work`` is work), and what may be a side part (a form, a name like
-``search``) is none if it holds an article or most of the page's words. A decision tree, trained here on the
-small labelled table ``EXAMPLES``, tells main text from the rest.
+block has shallow features: words, link density and links, those of its neighbours, how much plain text
+lies before and after it, the link density around it, whether it stands in the page's main column
+(the innermost element that holds most plain words), and what its enclosing tags and their class and
+id names say. A name denied (``no-sidebar``) says nothing, and a compound is named by its
+last word (``related-work`` is work). What is named like a side part is none if it holds most of the page's
+words and all of its articles, so wrappers lose nothing; forms and vague names count still less. Readers' comments are
+also known by their title ("3 Comments") and by repeated links to reply. A decision tree, trained
+here on the small labelled table ``EXAMPLES``, tells main text from the rest.
 
 Scale: one pass, no shuffle; time and memory are linear in a page's length.
 
@@ -47,17 +49,30 @@ SIDE_TAGS = frozenset("nav header footer aside menu dialog".split())
 MAIN_NAMES = frozenset("article content main post entry story body text".split())
 #: Words that name parts beside the main text, and words that may also name parts of it.
 SIDE_NAMES = frozenset(
-    "ad ads advert advertisement adverts banner sponsor sponsored promo promotion sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs crumbs masthead footer foot cookie cookies consent notice gdpr popup modal overlay newsletter subscribe signup login share sharing social recommended teaser pagination pager comment comments disqus reply replies respond readers copyright disclaimer toolbar alert".split()
+    "ad ads advert advertisement adverts banner sponsor sponsored promo promotion sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs crumbs masthead footer foot cookie cookies consent notice gdpr popup modal overlay newsletter subscribe signup login share sharing social recommended teaser pagination pager comment comments disqus reply replies respond responses readers copyright disclaimer toolbar alert".split()
 )
-WEAK_NAMES = frozenset("form search legal tags side related discussion reader header".split())
+WEAK_NAMES = frozenset("form search legal tags side related discussion reader header rail".split())
+#: Words of names for readers' comments.
+READER_NAMES = frozenset("comment comments disqus reply replies respond responses readers".split())
+#: Words that make a column of no other name one that may be a side part (``col-right``).
+EDGES, COLUMNS = frozenset(("left", "right")), frozenset("bar block box col column container panel".split())
+#: What titles of readers' comments say, without numbers, and the links below each of them.
+READER_TITLES = frozenset(("comments", "comment", "responses", "replies", "reader comments", "readers comments", "readers' comments", "leave a comment", "leave a reply", "kommentare", "kommentar", "leserkommentare", "commentaires", "commentaire", "comentarios", "comentario"))
+REPLY_WORDS = frozenset("reply antworten répondre responder".split())
 #: Words after such a word that change nothing (``comments-list``), and those before it that deny it (``no-sidebar``).
 PART_WORDS = frozenset("area bar block bottom box buttons col column container desktop fixed group holder inner item items left line link links list mobile module outer panel posts region right row section slot sticky title top unit widget wrap wrapper".split())
 TEXT_WORDS = frozenset("body content text".split())
 DENYING = frozenset("no not has have with without hide hides".split())
-#: Share of a page's words, and number of them, with which an element that a weak name or a form marks is no side part.
-MOST, MANY = 0.5, 30
-ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: Share of a page's words, and number of them, with which an element that a name or a form marks is no side part; share that the main column holds.
+MOST, MANY, COLUMN = 0.5, 30, 0.6
+#: Share of its column's words that an article holds at least to be the main text by itself.
+TEASER = 0.15
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
+#: Elements that don't stand for a part of the page by themselves.
+NO_PART = frozenset("p li ul ol dl dt dd table thead tbody tfoot tr td th blockquote h1 h2 h3 h4 h5 h6".split()) | INLINE
+#: Words of text before and after a block that are told apart.
+FAR = 100
 NAME_CUT = re.compile(r"[^a-z0-9]+")
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
@@ -69,30 +84,47 @@ class Block:
     text: str
     words: int
     linked: int
+    links: int
     main: bool
     side: bool
     heading: bool
     item: bool
+    column: int = 2  # 2 in the main column, 1 between the page's title and it, else 0
+    around: float = 0.0
+    before: int = 0
+    after: int = 0
 
 
-def _kind(attributes: str) -> tuple[int, bool]:
-    """What class, id and role names say: 2 for a side part, 1 for what may be one, else 0; and whether one is a main name."""
-    side, main = 0, False
-    for found in ATTR.findall(attributes):
-        for name in "".join(found).split():
-            words = [w for w in NAME_CUT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w and not w.isdigit()]
-            main |= not MAIN_NAMES.isdisjoint(words)
-            if not DENYING.isdisjoint(words):
-                continue
-            # a compound is named by its last word that means something
-            k = len(words)
-            while k > 1 and words[k - 1] in PART_WORDS and words[k - 1] not in SIDE_NAMES:
-                k -= 1
-            while k > 1 and words[k - 1] in TEXT_WORDS and words[k - 2] in SIDE_NAMES:
-                k -= 1
-            head = words[k - 1] if words else ""
-            side = max(side, 2 if head in SIDE_NAMES else head in WEAK_NAMES)
-    return side, main
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes by lower-case name; the first of equal names counts."""
+    out: dict[str, str] = {}
+    for name, double, single, bare in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), double or single or bare)
+    return out
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(HIDDEN_STYLE.search(attributes.get("style", "")))
+
+
+def _kind(attributes: dict[str, str]) -> tuple[int, bool, bool]:
+    """What class, id and role names say: 2 for a side part, 1 for what may be one, else 0; whether one is a main name, and one for readers' comments."""
+    side, main, reader = 0, False, False
+    for name in " ".join(attributes.get(a, "") for a in ("class", "id", "role")).split():
+        words = [w for w in NAME_CUT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w and not w.isdigit()]
+        main |= not MAIN_NAMES.isdisjoint(words)
+        if not words or not DENYING.isdisjoint(words):
+            continue
+        # a compound is named by its last word that means something
+        k = len(words)
+        while k > 1 and words[k - 1] in PART_WORDS and words[k - 1] not in SIDE_NAMES:
+            k -= 1
+        while k > 1 and words[k - 1] in TEXT_WORDS and words[k - 2] in SIDE_NAMES:
+            k -= 1
+        edge = not EDGES.isdisjoint(words) and not COLUMNS.isdisjoint(words) and PART_WORDS.issuperset(words)
+        side = max(side, 2 if words[k - 1] in SIDE_NAMES else words[k - 1] in WEAK_NAMES or edge)
+        reader |= words[k - 1] in READER_NAMES
+    return side, main, reader
 
 
 class _Tags:
@@ -153,12 +185,12 @@ class _Page:
     """Blocks of a page, and the elements that they stand in."""
 
     def __init__(self):
-        self.blocks: list[tuple[str, int, int, bool, bool, int]] = []  # text, words, linked words, heading, item, element
-        self.above, self.side, self.main, self.tag = [-1], [0], [False], [""]  # by element; the first is the page
+        self.blocks: list[tuple[str, int, int, int, str, bool, int]] = []  # text, words, linked words, links, tag, item, element
+        self.above, self.side, self.main, self.tag, self.named, self.reader = [-1], [0], [False], [""], [False], [False]  # by element; the first is the page
         self.stack: list[tuple[str, int, int]] = []  # tag, element, whether it is silent
         self.open: dict[str, list[int]] = {}  # depths of open tags, by tag
         self.walls: list[int] = []  # depths of open tags that aren't inline
-        self.silent = self.inside = 0
+        self.silent = self.inside = self.anchors = 0
         self.parts: list[tuple[str, bool]] = []
 
     def say(self, text: str) -> None:
@@ -171,8 +203,9 @@ class _Page:
             if text:
                 linked = sum(len(t.split()) for t, link in self.parts if link)
                 top = self.stack[-1][:2] if self.stack else ("", 0)
-                self.blocks.append((text, len(text.split()), linked, top[0] in HEADINGS, bool(self.open.get("li")), top[1]))
+                self.blocks.append((text, len(text.split()), linked, max(self.anchors, linked > 0), top[0], bool(self.open.get("li")), top[1]))
             self.parts.clear()
+        self.anchors = 0
 
     def close(self, depth: int) -> None:
         while len(self.stack) > depth:
@@ -197,18 +230,23 @@ class _Page:
                 self.close(self.walls[-1])
         if tag not in HEAD_TAGS and self.open.get("head"):
             self.close(self.open["head"][-1])
-        side, named = _kind(attributes) if attributes else (0, False)
+        given = _attributes(attributes) if attributes else {}
+        side, named, reader = _kind(given) if given else (0, False, False)
+        by_name = side == 2
         if tag in SIDE_TAGS and not (tag == "header" and self.inside):
-            side = 2
+            side, by_name = 2, False
         elif tag == "form":
             side = max(side, 1)
         if tag in ("body", "html", "main"):
             side = 0
-        silent = tag in SILENT or bool(attributes and HIDDEN.search(attributes))
+        self.anchors += tag == "a"
+        silent = tag in SILENT or bool(given) and _hidden(given)
         self.above.append(self.stack[-1][1] if self.stack else 0)
         self.side.append(side)
         self.main.append(tag in MAIN_TAGS or named and tag not in INLINE)
         self.tag.append(tag)
+        self.named.append(by_name)
+        self.reader.append(reader)
         self.open.setdefault(tag, []).append(len(self.stack))
         if tag not in INLINE:
             self.walls.append(len(self.stack))
@@ -216,23 +254,125 @@ class _Page:
         self.silent += silent
         self.inside += self.main[-1] and tag not in INLINE
 
+    def _sums(self, values: list[int]) -> list[int]:
+        """Sums over elements and all within them."""
+        for e in range(len(values) - 1, 0, -1):
+            values[self.above[e]] += values[e]
+        return values
+
+    def _within(self, flags: list[bool]) -> list[bool]:
+        """Flags of elements, and of all within flagged ones."""
+        for e in range(1, len(flags)):
+            flags[e] = flags[e] or flags[self.above[e]]
+        return flags
+
+    def _beside(self, plain: list[int], titles: list[int]) -> list[bool]:
+        """Elements that tags and names put beside the main text, once it is known what each of them holds."""
+        n = len(self.above)
+        articles = self._sums([int(self.tag[e] in MAIN_TAGS and self.side[e] < 2) for e in range(n)])
+        mains = self._sums([int(t == "main") for t in self.tag])
+        out = [False] * n
+        for e in range(1, n):
+            most = plain[e] >= MANY and plain[e] >= MOST * plain[0]
+            if self.side[e] == 2:
+                # a wrapper holds most of the page and no article is left outside; one named for readers' comments the title, too, or at least the article
+                wrapper = self.named[e] and most and articles[e] == articles[0] and (not self.reader[e] or (titles[e] > 0 if titles[0] else articles[e] > 0))
+                out[e] = not mains[e] and not wrapper
+            elif self.side[e] == 1:
+                out[e] = not articles[e] and not most
+        return self._within(out)
+
+    def _replies(self, titles: list[int]) -> list[bool]:
+        """Elements of readers' comments that only links to reply tell."""
+        n = len(self.above)
+        count = [0] * n
+        for text, words, linked, _, _, _, e in self.blocks:
+            count[e] += linked == words and text.lower() in REPLY_WORDS
+        count, out = self._sums(count), [False] * n
+        if count[0] < 2:
+            return out
+        below: dict[int, list[int]] = {}
+        for e in range(1, n):
+            if count[e]:
+                below.setdefault(self.above[e], []).append(e)
+        top = 0
+        while len(below.get(top, ())) == 1 and count[below[top][0]] == count[0]:
+            top = below[top][0]
+        # the innermost element of all replies, or its parts, if it holds more than readers' comments
+        whole = top and self.tag[top] not in ("body", "html", *MAIN_TAGS) and not titles[top] and not self.main[top]
+        for e in [top] if whole else below.get(top, []):
+            out[e] = not titles[e]
+        return self._within(out)
+
+    def _titled(self, skip: list[bool]) -> list[bool]:
+        """Blocks from a title of readers' comments on to the end of the element that it stands in."""
+        last = list(range(len(self.above)))  # elements are numbered as they open, so those within one follow it
+        for e in range(len(last) - 1, 0, -1):
+            last[self.above[e]] = max(last[self.above[e]], last[e])
+        out, until, said = [False] * len(self.blocks), None, 0
+        for k, (text, words, linked, _, tag, _, e) in enumerate(self.blocks):
+            if until is not None:
+                if until <= e <= last[until]:
+                    out[k] = True
+                    continue
+                until = None
+            if tag in HEADINGS and said and " ".join(re.sub(r"[\d().,:|]+", " ", text).lower().split()) in READER_TITLES:
+                until, out[k] = self.above[e], True
+            said += 0 if skip[e] else words - linked
+        return out
+
     def found(self) -> list[Block]:
         """The blocks, once it is known what each element holds."""
         n = len(self.above)
-        plain, holds = [0] * n, [0] * n  # words outside links; 1 for an article within, 2 for the page's main element
-        for _, words, linked, _, _, element in self.blocks:
+        plain, titles = [0] * n, [0] * n  # words outside links, titles of the page
+        for _, words, linked, _, tag, _, element in self.blocks:
             plain[element] += words - linked
-        for e in range(n - 1, 0, -1):
-            up = self.above[e]
-            plain[up] += plain[e]
-            holds[up] = max(holds[up], holds[e], 2 if self.tag[e] == "main" else self.tag[e] == "article" and self.side[e] < 2)
-        beside, main = [False] * n, [False] * n
+            titles[element] += tag == "h1"
+        plain, titles = self._sums(plain), self._sums(titles)
+        beside, main = self._beside(plain, titles), self._within(list(self.main))
+        for e, out in enumerate(self._replies(titles)):
+            beside[e] |= out
+        titled = self._titled(beside)
+        side = [beside[b[6]] or t for b, t in zip(self.blocks, titled)]
+
+        # the innermost part that holds most of what isn't beside
+        own, every, linked_in = [0] * n, [0] * n, [0] * n
+        for (_, words, linked, _, _, _, e), out in zip(self.blocks, side):
+            own[e] += 0 if out else words - linked
+            every[e] += words
+            linked_in[e] += linked
+        own, every, linked_in = self._sums(own), self._sums(every), self._sums(linked_in)
+        column = 0
+        for e in range(1, n):
+            if self.above[e] == column and self.tag[e] not in NO_PART and own[e] >= COLUMN * own[0] > 0:
+                column = e
+        # the only article in it is meant, where it isn't a mere teaser
+        held = self._within([e == column for e in range(n)])
+        for tag in ("main", "article"):
+            only = [e for e in range(1, n) if self.tag[e] == tag and held[e] and not beside[e]]
+            if len(only) == 1 and own[only[0]] >= TEASER * own[column]:
+                column = only[0]
+        inside = self._within([e == column for e in range(n)])
+        part = list(range(n))
         for e in range(1, n):
-            side = self.side[e]
-            # a side part doesn't hold the main element; one that may be a side part holds no article and not most of the words
-            out = side == 2 and holds[e] < 2 or side == 1 and not holds[e] and not (plain[e] >= MANY and plain[e] >= MOST * plain[0])
-            beside[e], main[e] = beside[self.above[e]] or out, main[self.above[e]] or self.main[e]
-        return [Block(text, words, linked, main[e], beside[e], heading, item) for text, words, linked, heading, item, e in self.blocks]
+            if self.tag[e] in NO_PART:
+                part[e] = part[self.above[e]]
+
+        first = next((k for k, b in enumerate(self.blocks) if inside[b[6]]), 0)
+        head = [k for k, b in enumerate(self.blocks[:first]) if b[4] in HEADINGS and not side[k]]
+        title = next((k for k in head if self.blocks[k][4] == "h1"), None)
+        if title is None and head and not any(b[4] in HEADINGS for b in self.blocks if inside[b[6]]):
+            title = head[-1]
+        lead = range(first if title is None else title, first)
+        text = np.array([0 if out or 2 * b[2] > b[1] or not (inside[b[6]] or k in lead) else b[1] - b[2] for k, (b, out) in enumerate(zip(self.blocks, side))], np.int64)
+        before = np.cumsum(text) - text
+        after = text.sum() - before - text
+        out = []
+        for k, (shown, words, linked, links, tag, item, e) in enumerate(self.blocks):
+            place = 2 if inside[e] else int(k in lead)
+            around = linked_in[part[e]] / every[part[e]] if every[part[e]] else 0.0
+            out.append(Block(shown, words, linked, links, main[e], side[k], tag in HEADINGS, item, place, around, min(FAR, int(before[k])), min(FAR, int(after[k]))))
+        return out
 
 
 def blocks(page: str) -> list[Block]:
@@ -264,18 +404,18 @@ def blocks(page: str) -> list[Block]:
     return out.found()
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "main", "side", "heading", "item")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "main", "side", "heading", "item", "column", "around", "text_before", "text_after", "links")
 
 
 def features(found: list[Block]) -> np.ndarray:
     words = np.array([0, *(b.words for b in found), 0], float)
     density = np.array([0, *(b.linked / b.words if b.words else 0 for b in found), 0], float)
-    flags = np.array([[b.main, b.side, b.heading, b.item] for b in found], float).reshape(-1, 4)
+    flags = np.array([[b.main, b.side, b.heading, b.item, b.column, b.around, b.before, b.after, b.links] for b in found], float).reshape(-1, 9)
     return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], flags])
 
 
-#: The labelled table: features as named in FEATURES, then 1 for main text. Made by hand from usual page layouts.
-EXAMPLES = np.array(
+#: The labelled table: the first ten FEATURES, then 1 for main text. Made by hand from usual page layouts.
+SHAPES = np.array(
     [
         # articles: headings, long and short paragraphs, lists, links in running text
         (8, 0.0, 9, 0.0, 60, 0.0, 1, 0, 1, 0, 1), (9, 0.0, 1, 1.0, 45, 0.0, 1, 0, 1, 0, 1), (60, 0.0, 8, 0.0, 75, 0.02, 1, 0, 0, 0, 1), (75, 0.02, 60, 0.0, 40, 0.0, 1, 0, 0, 0, 1),
@@ -327,6 +467,45 @@ EXAMPLES = np.array(
 )
 
 
+#: Where such blocks stand: column, around, text_before, text_after, links.
+_TEXT_PLACES = ((2, 0.05, 0, 100), (2, 0.05, 100, 0), (2, 0.3, 100, 100), (2, 0.0, 40, 30))
+_LINK_PLACES = ((0, 1.0, 0, 100), (0, 1.0, 100, 0), (0, 0.9, 100, 100), (2, 0.9, 0, 100), (2, 0.7, 100, 0), (2, 0.1, 0, 100), (2, 0.1, 100, 0))
+_NOTE_PLACES = ((0, 0.8, 100, 0), (0, 0.6, 0, 100), (2, 0.5, 100, 0), (2, 0.05, 100, 0))
+_SIDE_PLACES = ((0, 0.1, 0, 100), (0, 0.6, 100, 0), (2, 0.1, 100, 100), (2, 0.1, 100, 0), (2, 0.1, 0, 100))
+#: Blocks whose place decides: all features.
+PLACED = np.array(
+    [
+        # a paragraph that is one link, and a list of links under its heading, within running text
+        *[(w, 1.0, b, 0.0, a, 0.0, m, 0, 0, 0, 2, r, x, y, 1, 1) for w in (2, 4, 9) for b, a, x, y in ((60, 50, 60, 80), (30, 8, 90, 40), (7, 40, 40, 60), (50, 3, 100, 30)) for m, r in ((0, 0.05), (1, 0.1), (0, 0.25))],
+        *[(w, 1.0, b, d, a, e, m, 0, 0, 1, 2, 0.2, x, y, 1, 1) for w in (1, 3, 6) for b, d, a, e in ((2, 0.0, 3, 1.0), (3, 1.0, 3, 1.0), (3, 1.0, 50, 0.0)) for x, y in ((60, 60), (100, 40), (30, 100)) for m in (0, 1)],
+        *[(w, 0.0, 60, 0.0, 3, 1.0, m, 0, h, 0, 2, 0.2, x, y, 0, 1) for w in (1, 3, 5) for x, y in ((60, 60), (100, 40), (30, 100)) for m, h in ((0, 1), (1, 1), (0, 0))],
+        # links after the column's last text: more to read, or a foot
+        *[(w, 1.0, b, 0.0, 0, 0.0, m, 0, 0, 0, 2, 0.05, 100, 0, n, 0) for w in (4, 7) for b in (20, 60) for m in (0, 1) for n in (1, 3, 5)],
+        # the page's title and what leads in, outside the column
+        *[(w, 0.0, b, d, a, 0.0, 0, 0, h, 0, 1, 0.05, 0, y, 0, 1) for w, h in ((6, 1), (3, 1), (25, 0), (12, 0)) for b, d in ((1, 1.0), (0, 0.0), (6, 0.0)) for a, y in ((50, 100), (12, 80))],
+        # columns of no name beside the main one: short notes, titles over links, longer text
+        *[(w, 0.0, b, d, a, e, 0, 0, h, i, 0, r, x, y, 0, 0) for w, h, i in ((2, 1, 0), (12, 0, 0), (30, 0, 0), (50, 0, 0), (6, 0, 1)) for b, d, a, e in ((60, 0.0, 3, 1.0), (3, 1.0, 0, 0.0), (20, 0.0, 25, 0.0)) for r, x, y in ((0.4, 100, 0), (0.1, 100, 0), (0.1, 0, 100))],
+        # a menu of plain links before all text, in a page that marks no parts
+        *[(w, 1.0, b, d, a, e, 0, 0, 0, i, 2, 0.05, 0, 100, n, 0) for w, n, i in ((5, 4, 0), (1, 1, 1), (2, 1, 1), (1, 1, 0)) for b, d, a, e in ((0, 0.0, 40, 0.0), (2, 1.0, 2, 1.0), (3, 0.0, 30, 0.0), (0, 0.0, 1, 1.0))],
+    ]
+)
+
+
+def _placed(shapes: np.ndarray) -> np.ndarray:
+    """Every shape in all places where its kind of block is found."""
+    out = []
+    for *shape, main in shapes.tolist():
+        density, side = shape[1], shape[7]
+        places = _TEXT_PLACES if main else _SIDE_PLACES if side else _LINK_PLACES if density >= 0.5 else _NOTE_PLACES
+        if main and density >= 0.5:
+            places = _TEXT_PLACES[2:]
+        out += [(*shape, *place, int(density > 0), main) for place in places]
+    return np.array(out)
+
+
+EXAMPLES = np.concatenate([_placed(SHAPES), PLACED])
+
+
 @dataclass
 class Node:
     main: bool
@@ -336,7 +515,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, leaf: int = 1) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, leaf: int = 1) -> Node:
     """A CART tree by Gini impurity; ties go to the earlier feature and the lower cut."""
     node = Node(main=bool(2 * y.sum() >= len(y)))
     if depth == 0 or y.min() == y.max():

@@ -10,27 +10,38 @@ import public_tokenizers
 
 from indicata.llm import decontamination, embeddings, graph, html_text, licenses, quality, secret_scan, simhash, toxicity, urls
 
-TREE = """side < 0.5
-  density < 0.65
-    density_after < 0.95
-      density_before < 0.55
-        main
-        words_after < 2.5
-          words < 9
-            main
-            main
+TREE = """\
+column < 0.5
+  rest
+  side < 0.5
+    density < 0.4
+      around < 0.4
+        text_after < 15
+          density_after < 0.95
+            density_before < 0.55
+              main
+              words_after < 2.5
+                words < 9
+                  main < 0.5
+                    rest
+                    main
+                  main
+                main
+            words < 8
+              main < 0.5
+                item < 0.5
+                  rest
+                  main
+                main
+              main
           main
-      words < 8
-        main < 0.5
-          item < 0.5
-            rest
-            main
+        rest
+      text_after < 15
+        rest
+        text_before < 15
+          rest
           main
-        main
-    main < 0.5
-      rest
-      main
-  rest
+    rest
 """
 LONG = "Some plain words of an article that goes on for a while, "
 MENU = "<ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul>"
@@ -326,8 +337,57 @@ def test_html_side_names():
         assert html(f"<article>{text}</article>" + page % f"<p>{LONG * 2}</p>") == want, page
 
 
+LINKS = "<ul><li><a href=a>First link</a></li><li><a href=b>Second</a></li><li><a href=c>Third one</a></li></ul>"
+
+
+def _said(word, k):
+    return " ".join([word] * k)
+
+
+def test_html_wrappers_and_hidden_parts():
+    body = f"<h1>Title here</h1><p>{_said('alpha', 60)}</p><p>{_said('beta', 50)}</p>"
+    want = f"Title here {_said('alpha', 60)} {_said('beta', 50)}"
+    for name in ("layout-sidebar", "page with-banner ad", "sidebar", "banner", "modal", "widget-area", "site-footer", "newsletter"):
+        assert html(f"<div class='{name}'>{body}</div>") == want
+        assert html(f"<body class='{name}'><div id='{name}'><nav><a href=x>Home</a></nav>{body}<footer>foot</footer></div></body>") == want
+    assert html(f"<h1>Title here</h1><p title='a hidden gem'>{_said('alpha', 60)}</p><p data-x='display:none' style='color:red'>{_said('beta', 50)}</p>") == want
+    assert html(f"{body}<p hidden>{_said('x', 50)}</p><div style='display: none'>{_said('x', 40)}</div><p aria-hidden=true>x</p><p hidden='until-found'>x</p>") == want
+    # a title in a part of its own
+    for head in ("<div class=h><h1>Title here</h1></div>", f"<div>{LINKS}</div><div><h2>Title here</h2></div>"):
+        assert html(f"{head}<div><p>{_said('alpha', 60)}</p><p>{_said('beta', 50)}</p></div>") == want
+
+
+def test_html_links_within_text():
+    for frame in ("<body>%s</body>", "<div>%s</div>", "<article>%s</article>", f"<div>{LINKS}</div><div>%s</div>"):
+        link = f"<h1>T x</h1><p>{_said('a', 60)}</p><p><a href=x>one link only</a></p><p>{_said('b', 50)}</p>"
+        assert html(frame % link) == f"T x {_said('a', 60)} one link only {_said('b', 50)}"
+        listed = f"<h1>T x</h1><p>{_said('a', 60)}</p><h2>See also</h2>{LINKS}<p>{_said('b', 50)}</p>"
+        assert html(frame % listed) == f"T x {_said('a', 60)} See also First link Second Third one {_said('b', 50)}"
+    menus = f"<a href=a>Home</a> <a href=b>About us</a> | <a href=c>Log</a>{LINKS}<h1>T x</h1><p>{_said('a', 60)}</p>{LINKS}<p><a href=x>Imprint</a> <a href=y>Privacy</a> <a href=z>Terms</a></p>"
+    assert html(menus) == f"T x {_said('a', 60)}"
+
+
+def test_html_unnamed_parts():
+    body = f"<h1>Title here</h1><p>{_said('alpha', 60)}</p><p>{_said('beta', 50)}</p>"
+    want = f"Title here {_said('alpha', 60)} {_said('beta', 50)}"
+    said = "".join(f"<div><p>{_said(f'comment{k}', 30)}</p><a href=r>Reply</a></div>" for k in range(5))
+    quiet = "".join(f"<div><b>anna</b><p>{_said(f'comment{k}', 30)}</p></div>" for k in range(5))
+    for part in (f"<div id='responses'>{quiet}</div>", f"<section>{said}</section>", f"<section><h2>3 Comments</h2>{quiet}</section>", f"<h3>Kommentare (5)</h3>{quiet}", f"<ol>{said}</ol>", f"<section id=comments><article>{quiet}</article></section>"):
+        assert html(f"<div class='c1'>{body}</div>{part}") == want, part
+        assert html(f"<main><article>{body}</article>{part}</main>") == want, part
+        assert html(f"<article>{body}{part}</article>") == want, part
+    assert html(f"<article>{body}</article><section>{quiet}</section>") == want
+    note = f"<h3>Popular</h3><p>{_said('x', 20)}</p><p>{_said('x', 30)}</p>"
+    assert html(f"<div class='col-left'>{body}</div><div class='col-right'>{note}</div>") == want
+    assert html(f"<div class='a'><div class='b'>{body}</div><div class='c'>{note}{LINKS}</div></div>") == want
+    # a section that only has such a word in its text, and parts of a text
+    assert html(f"<div><h1>Title here</h1><section><p>{_said('alpha', 60)}</p></section><section><p>{_said('beta', 50)}</p></section></div>") == want
+    assert html(f"<div><h2>Comments</h2><p>{_said('alpha', 60)}</p></div>") == f"Comments {_said('alpha', 60)}"
+
+
 def test_html_is_linear():
     pages = ["<a " * 333_333, "<a \"'>" * 160_000, "</p></div>" * 100_000, "<div>" * 200_000, "<div><a>" + "<b>" * 100_000 + "</i></a>" * 100_000, "<!--" * 250_000, "<p " + "class = " * 120_000 + ">", "<p title='" * 100_000, "<title>" * 100_000]
+    pages += ["<p>text</p><h2>Comments</h2>" + "<div><p>x</p>" * 100_000, "<div>" * 100_000 + "<p>x y</p><a>reply</a>" * 30_000, "<p " + "a=" * 300_000 + ">", "<p " + "a" * 900_000 + ">x", "<div><article>" * 60_000 + "x"]
     for page in pages:
         began = time.time()
         html(page)
