@@ -10,7 +10,6 @@ count and a checksum.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,6 +57,8 @@ class Forest:
 PACK = 1 << 16
 #: Nodes that a task holds before it gives out its forest and starts anew.
 FOREST_NODES = 1_000_000
+#: Edges that a task merges, about.
+MERGED = 500_000
 
 
 def reduce_edges(edges: DataFrame) -> DataFrame:
@@ -78,13 +79,13 @@ def reduce_edges(edges: DataFrame) -> DataFrame:
 
 
 def merged(packed: DataFrame) -> DataFrame:
-    """One forest (u, v) of many packed ones, which come from as many tasks as a shuffle has.
+    """One forest (u, v) of many packed ones.
 
-    Forests of one group repeat its nodes; merging as many as the root of their number
-    in each task leaves as many copies of a node as the root, before anything is dealt
-    by node.
+    Forests of one group repeat its nodes; each task merges about ``MERGED`` edges of them, so
+    that fewer copies of a node are left before anything is dealt by node. ``packed`` is read
+    twice, so it should be settled.
     """
-    tasks = max(1, math.isqrt(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    edges = packed.agg(F.coalesce(F.sum(F.size("u")), F.lit(0))).first()[0]
 
     def run(batches):
         forest = Forest()
@@ -98,7 +99,7 @@ def merged(packed: DataFrame) -> DataFrame:
         if forest.parent:
             yield forest.edges()
 
-    return packed.repartition(tasks).mapInArrow(run, "u long, v long").where("u <> v")
+    return packed.repartition(max(1, -(-edges // MERGED))).mapInArrow(run, "u long, v long").where("u <> v")
 
 
 def components(edges: DataFrame) -> DataFrame:

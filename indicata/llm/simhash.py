@@ -22,9 +22,9 @@ are verified by complete distance, and then by their exact sets.
 Scale: equal fingerprints (equal sets) fold into one class before any search, by an
 aggregate that combines before its shuffle. Links shrink to a spanning forest inside
 each task before components are sought. ``near_duplicates`` shuffles fingerprints,
-never texts. In ``similar`` a cell of more than ``HOT`` classes can only be a group of
-near copies: its members become candidates of its smallest one, which costs as much as
-it has members, and the exact comparison of a component's members is cut into pieces
+never texts. In ``similar`` a cell of many classes is mostly a group of near copies: its rows
+are compared with the leaders of clusters, and no pair that would join what isn't
+joined is passed over. The exact comparison of a component's members is cut into pieces
 of bounded size. There, pairs that other links join already are passed over. Texts
 are dealt once, if the candidates' ids are too many to send to every task.
 
@@ -54,8 +54,10 @@ SEGMENTS, WIDE_SEGMENTS, MANY = ((0, 22), (22, 21), (43, 21)), ((0, 32), (32, 32
 #: Hashes summed up at once.
 BATCH = 1 << 16
 SIMILAR_SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.97
-#: Classes in a cell above which they are candidates of its smallest one only.
-HOT = 8
+#: Classes in a cell up to which each lookup is compared with each of them at once, and rows of a cell that a task holds.
+HOT, CELL_ROWS = 32, 50_000
+#: Pairs of fingerprints compared at once.
+BLOCK = 1 << 20
 #: Lanes that go with a lookup; they decide what becomes a candidate.
 SHIPPED = 2
 #: Bytes of shingle sets, and classes, of one side of a piece of exact comparisons.
@@ -222,57 +224,126 @@ def _entries(classes: DataFrame, bits: int, count: int, lanes: int) -> DataFrame
     return classes.select("key", "fp").mapInArrow(run, ", ".join(f"{x} {'byte' if x == 'probe' else 'long'}" for x in names))
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of lanes, which broadcast."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _near_links(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links that join the same rows of lanes as all pairs do that differ in at most ``most`` bits.
+
+    Equal ones are one. A row not yet near a leader becomes one, and those near it its cluster; clusters
+    are then joined where two of their rows are near, which needs a look only where their
+    leaders aren't further apart than ``most`` and what both clusters extend to. A group
+    of near copies has few leaders, so it costs as much as it has rows.
+    """
+    _, first, of = np.unique(fps, axis=0, return_index=True, return_inverse=True)
+    of = of.ravel()
+    links = [(i, int(first[of[i]])) for i in np.flatnonzero(first[of] != np.arange(len(of))).tolist()]
+    left, clusters, extent = np.sort(first), [], []
+    while len(left):
+        far = _apart(fps[left], fps[left[0]])
+        near = far <= most
+        clusters.append(left[near])
+        extent.append(int(far[near].max()))
+        links += [(i, int(left[0])) for i in left[near][1:].tolist()]
+        left = left[~near]
+    extent, leads, joined = np.array(extent), fps[[c[0] for c in clusters]], Forest()
+    for a in np.flatnonzero(extent).tolist():
+        reach = np.flatnonzero(_apart(leads, leads[a]) <= most + extent[a] + extent)
+        for b in reach[(reach != a) & ((extent[reach] == 0) | (reach > a))].tolist():
+            if joined.find(a) != joined.find(b):
+                one, two = clusters[a], clusters[b]
+                rows = max(1, BLOCK // len(two))
+                for k in range(0, len(one), rows):
+                    hit = np.argwhere(_apart(fps[one[k : k + rows], None], fps[None, two]) <= most)
+                    if len(hit):
+                        links.append((int(one[k + hit[0][0]]), int(two[hit[0][1]])))
+                        joined.link(a, b)
+                        break
+    return links
+
+
 def _candidates(entries: DataFrame, most: int) -> DataFrame:
-    """A spanning forest (u, v) of the pairs that some lookup fetches and whose first ``SHIPPED`` lanes differ in at most ``most`` bits."""
+    """A spanning forest (u, v) of the pairs that some lookup fetches and whose first ``SHIPPED`` lanes differ in at most ``most`` bits.
+
+    A cell of many classes is compared by ``_near_links``; one of more than ``CELL_ROWS`` rows
+    leaves its task as it is, and is compared in pieces of pairs of its parts.
+    """
+    names = ["u", "v", "cell", "key", "fp"]
+    types = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
-    def pairs(cell, probe, seen: int):
-        """Positions of pairs of rows in order of cell, probe and key, and whether their cell is hot; the first cell has ``seen`` members more."""
+    def out(u=None, v=None, cell=None, key=None, lanes=None) -> pa.RecordBatch:
+        n = len(u if cell is None else cell)
+        fp = None if lanes is None else pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SHIPPED), pa.array(np.column_stack(lanes).ravel()))
+        columns = (u, v, None if cell is None else pa.array(cell), None if key is None else pa.array(key), fp)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else c for c, t in zip(columns, types)], names=names)
+
+    def compared(forest: Forest, cell, probe, key, *lanes) -> None:
+        """Links the pairs of whole cells, whose rows come in order of cell and probe."""
         table = np.flatnonzero(probe == 0)
+        if not len(table):
+            return
         cells, first, n = np.unique(cell[table], return_index=True, return_counts=True)
-        hot = n > HOT
-        hot[0] |= n[0] + seen > HOT
         of = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
-        own = cells[of] == cell
-        # a hot cell stands for its smallest class, and links its members to that
-        star = table[hot[of[table]]]
-        yield star, table[first[of[star]]], True
-        asks = np.flatnonzero(own & ((probe == 1) | ~hot[of]))
-        size = np.where(hot, 1, n)[of[asks]]
+        asks = np.flatnonzero((cells[of] == cell) & (n[of] <= HOT))
+        size = n[of[asks]]
         row = np.repeat(asks, size)
         step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
         other = table[first[of[row]] + step]
         good = other < row
-        yield row[good], other[good], False
+        i, j = row[good], other[good]
+        near = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in lanes) <= most
+        for u, v in zip(key[i[near]].tolist(), key[j[near]].tolist()):
+            forest.link(u, v)
+        for hot in cells[n > HOT].tolist():
+            a, b = np.searchsorted(cell, [hot, hot + 1])
+            own = key[a:b]
+            for i, j in _near_links(np.column_stack([x[a:b] for x in lanes]).view(np.uint64), most):
+                forest.link(int(own[i]), int(own[j]))
 
     def run(batches):
-        forest, seen = Forest(), 0
+        forest, large = Forest(), None
         held = [np.zeros(0, np.int64), np.zeros(0, np.int8), *(np.zeros(0, np.int64) for _ in range(1 + SHIPPED))]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if len(held[0]) and held[0][0] != new[0][0]:
-                held, seen = [x[:0] for x in held], 0
-            rows = cell, probe, key, *lanes = [np.concatenate(x) for x in zip(held, new)]
-            if (probe == 0).any():
-                for i, j, hot in pairs(cell, probe, seen):
-                    if not hot:
-                        near = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in lanes) <= most
-                        i, j = i[near], j[near]
-                    for u, v in zip(key[i].tolist(), key[j].tolist()):
-                        forest.link(u, v)
+            rows = [np.concatenate(x) for x in zip(held, (c.to_numpy(zero_copy_only=False) for c in batch.columns))]
+            cell = rows[0]
+            last = int(np.searchsorted(cell, cell[-1]))
+            start = int(np.searchsorted(cell, large, "right")) if large is not None else 0
+            if start:
+                yield out(cell=cell[:start], key=rows[2][:start], lanes=[x[:start] for x in rows[3:]])
+            if last > start:
+                compared(forest, *(x[start:last] for x in rows))
+            held = [x[max(start, last) :] for x in rows]
+            if len(held[0]) > CELL_ROWS:
+                large = int(cell[-1])
+                yield out(cell=held[0], key=held[2], lanes=held[3:])
+                held = [x[:0] for x in held]
             if len(forest.parent) > FOREST_NODES:
-                yield from forest.packed()
+                for packed in forest.packed():
+                    yield out(packed.column(0), packed.column(1))
                 forest = Forest()
-            # the last cell's members go with the next batch: all of a small one, the smallest of a hot one
-            last = np.flatnonzero((cell == cell[-1]) & (probe == 0))
-            seen = seen * (cell[0] == cell[-1]) + len(last)
-            last = last[:1] if seen > HOT else last
-            held, seen = [x[last] for x in rows], seen - len(last)
-        yield from forest.packed()
+        compared(forest, *held)
+        for packed in forest.packed():
+            yield out(packed.column(0), packed.column(1))
+
+    def piece(group: pa.Table) -> pa.RecordBatch | None:
+        key = group.column("key").to_numpy()
+        found = _near_links(_fps(group.column("fp").combine_chunks(), SHIPPED), most)
+        return pa.RecordBatch.from_arrays([pa.array(key[[x[side] for x in found]]) for side in (0, 1)], names=["u", "v"]) if found else None
 
     dealt = entries.repartition("cell").sortWithinPartitions("cell", "probe", "key")
-    return merged(dealt.mapInArrow(run, "u array<long>, v array<long>"))
+    done = settle(dealt.mapInArrow(run, "u array<long>, v array<long>, cell long, key long, fp array<long>"))
+    forests = merged(done.where("u is not null").select("u", "v"))
+    rest = done.where("u is null").select("cell", "key", "fp")
+    if rest.isEmpty():
+        return forests
+    sized = settle(rest.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("chunks")))
+    placed = rest.join(sized, "cell").withColumn("c", F.pmod(F.xxhash64(F.lit(SEED), "key"), F.col("chunks")).cast("int")).withColumn("d", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    placed = placed.select("key", "fp", F.xxhash64("cell", F.least("c", "d"), F.greatest("c", "d")).alias("piece"))
+    return forests.unionByName(map_groups(placed, "piece", piece, "u long, v long"))
 
 
 def _sets(texts: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
