@@ -4,10 +4,11 @@ Base kinds are an assignment to a name like ``password``, an access key and a lo
 run of hex digits. Beyond them, a run of key-like characters is random if a BPE
 vocabulary spells it with few characters per token: words and names compress well,
 random strings don't. Known digests (a run of hex digits as long as one of the usual
-digests), UUIDs, numbers and identifiers (words joined by case, ``_``, ``-`` or ``/``)
+digests), UUIDs, numbers, dates and identifiers (words joined by case, ``_``, ``-`` or ``/``)
 are excluded first, and so is what a base span already covers. Identifiers are
-excluded only where their long words compress like words. Runs of fewer than
-``SHORTEST`` characters say too little to judge and are left to the base kinds.
+excluded only where their long words compress like words. The vocabulary is one of many languages,
+and what could be a word must be spelt worse than other runs to be random. Runs of fewer than
+``shortest`` characters say too little to judge and are left to the base kinds.
 
 Scale: one pass, no shuffle; a document without any key-like run costs a few
 searches. The vocabulary (a fixed size) goes to the executors once. Time is linear in
@@ -38,22 +39,23 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Characters of a run that is judged, at least.
 SHORTEST = 20
-#: What stands between a run's separators, if it is as long as a run must be.
-PART = re.compile(rf"[A-Za-z0-9]{{{SHORTEST},}}")
 #: A long word of an identifier.
 WORD = re.compile(r"[A-Za-z]{12,}")
 DIGITS = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-#: Characters per token below which a run is random.
-EFFICIENCY = 2.2
+#: Characters per token below which a run is random; and one that could be a word, which takes more to be none.
+EFFICIENCY, WORD_EFFICIENCY = 2.2, 2.0
+#: Letters that could be a word.
+WORDLIKE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: Words with a short number after them, and numbers, between separators. Possessive: a text that doesn't match is left after one reading.
-IDENTIFIER = re.compile(r"(?:[A-Za-z]++\d{0,4}+|\d++)(?:[_/=+-]++(?:[A-Za-z]++\d{0,4}+|\d++)?+)*+")
+#: Words with a short number after them, numbers, dates and times, between separators. Possessive: a text that doesn't match is left after one reading.
+_PIECE = r"(?:[A-Za-z]++\d{0,4}+|\d++(?:T\d++)?+Z?+)"
+IDENTIFIER = re.compile(rf"{_PIECE}(?:[_/=+-]++{_PIECE}?+)*+")
 #: Characters whose tokens are counted at once: what the vocabulary's library does with one long run grows with its square.
 STEP = 4096
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MASK = "[SECRET]"
 
 Span = tuple[int, int, str]
@@ -77,13 +79,18 @@ def _order(span: Span) -> tuple[int, int, int]:
 
 
 def efficient(part: str, encoding, efficiency: float) -> bool:
-    """Whether the vocabulary spells the part with at least ``efficiency`` characters per token; long ones are counted in steps of ``STEP``."""
+    """Whether the vocabulary spells the part with at least ``efficiency`` characters per token; long ones are counted in steps of ``STEP``.
+
+    Letters that could be a word are spelt in lower case if they are capitals, and pass with ``WORD_EFFICIENCY``.
+    """
+    if WORDLIKE.fullmatch(part):
+        part, efficiency = part.lower() if part.isupper() else part, min(efficiency, WORD_EFFICIENCY)
     tokens = sum(len(encoding.encode_ordinary(part[k : k + STEP])) for k in range(0, len(part), STEP))
     return len(part) >= efficiency * tokens
 
 
 def excluded(run: str, encoding, efficiency: float = EFFICIENCY) -> bool:
-    """Whether a run is a digest, a UUID, a number or an identifier.
+    """Whether a run is a digest, a UUID, a number, a date or an identifier.
 
     An identifier's long words are words only if they compress like words; where they
     repeat few letters, any vocabulary spells them badly, and they stay identifiers.
@@ -105,49 +112,49 @@ def _merged(base: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
-def _uncovered(runs: Iterator[tuple[int, int]], base: list[Span]) -> Iterator[tuple[int, int]]:
+def _uncovered(runs: Iterator[tuple[int, int]], base: list[Span], shortest: int) -> Iterator[tuple[int, int]]:
     """What base spans leave of runs, both in order; one sweep."""
     covered, k = _merged(base), 0
     for start, end in runs:
         while k < len(covered) and covered[k][0] < end:
             s, e = covered[k]
-            if s - start >= SHORTEST:
+            if s - start >= shortest:
                 yield start, s
             start = max(start, e)
             if e >= end:
                 break  # this stretch may reach into the next run
             k += 1
-        if end - start >= SHORTEST:
+        if end - start >= shortest:
             yield start, end
 
 
-def random_spans(text: str, base: list[Span], encoding, efficiency: float = EFFICIENCY) -> list[Span]:
-    """Runs, or the parts of them between separators, that are random; of runs that base spans touch, the rest."""
-
-    def random(part: str) -> bool:
-        return not excluded(part, encoding, efficiency) and not efficient(part, encoding, efficiency)
-
-    out: list[Span] = []
-    for start, end in _uncovered(((m.start(), m.end()) for m in RUN.finditer(text)), base):
-        if random(text[start:end]):
-            out.append((start, end, "random"))
-        else:
-            out += [(start + p.start(), start + p.end(), "random") for p in PART.finditer(text[start:end]) if p.end() - p.start() < end - start and random(p[0])]
-    return out
-
-
 class Scanner:
-    def __init__(self, data: bytes, efficiency: float = EFFICIENCY):
+    def __init__(self, data: bytes, efficiency: float = EFFICIENCY, shortest: int = SHORTEST):
         import tiktoken
 
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(data), special_tokens={})
-        self.efficiency = efficiency
+        self.efficiency, self.shortest = efficiency, shortest
+        self.run = re.compile(rf"[A-Za-z0-9+/_=-]{{{shortest},}}")
+        self.part = re.compile(rf"[A-Za-z0-9]{{{shortest},}}")
+
+    def random(self, part: str) -> bool:
+        return not excluded(part, self.encoding, self.efficiency) and not efficient(part, self.encoding, self.efficiency)
+
+    def random_spans(self, text: str, base: list[Span]) -> list[Span]:
+        """Runs, or the parts of them between separators, that are random; of runs that base spans touch, the rest."""
+        out: list[Span] = []
+        for start, end in _uncovered(((m.start(), m.end()) for m in self.run.finditer(text)), base, self.shortest):
+            if self.random(text[start:end]):
+                out.append((start, end, "random"))
+            else:
+                out += [(start + p.start(), start + p.end(), "random") for p in self.part.finditer(text[start:end]) if p.end() - p.start() < end - start and self.random(p[0])]
+        return out
 
     def spans(self, raw: bytes) -> tuple[list[Span], list[Span]]:
         """Base spans and all spans."""
         text = raw.decode()
         base = base_spans(text, raw)
-        return base, sorted(base + random_spans(text, base, self.encoding, self.efficiency), key=_order)
+        return base, sorted(base + self.random_spans(text, base), key=_order)
 
 
 def listed(spans: list[Span]) -> str:
@@ -158,14 +165,14 @@ def _vocabulary(df: DataFrame, path: str | None):
     return df.sparkSession.sparkContext.broadcast(rank_file(path or public_tokenizers.path(VOCABULARY)))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, efficiency: float = EFFICIENCY) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, efficiency: float = EFFICIENCY, shortest: int = SHORTEST) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
     data = _vocabulary(docs, path)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        scanner = Scanner(data.value, efficiency)
+        scanner = Scanner(data.value, efficiency, shortest)
         for batch in pieces(batches, 1):
             found = [scanner.spans(t) for t in texts_of(batch.column(1))]
             counts = [pa.array([sum(s[2] == k for s in every) for _, every in found], pa.int64()) for k in KINDS]
@@ -175,7 +182,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
     return docs.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
-def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", path: str | None = None, efficiency: float = EFFICIENCY) -> DataFrame:
+def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", path: str | None = None, efficiency: float = EFFICIENCY, shortest: int = SHORTEST) -> DataFrame:
     """``docs`` with every span replaced by a mask (overlapping ones by one); texts without any stay as they are.
 
     ``length_col``, if there is one, gets the new length of the texts that change.
@@ -185,7 +192,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
     sized = length_col if length_col in columns else None
 
     def run(batches):
-        scanner = Scanner(data.value, efficiency)
+        scanner = Scanner(data.value, efficiency, shortest)
         for batch in pieces(batches, text_col):
             at = batch.schema.get_field_index(text_col)
             texts, arrays = batch.column(at).to_pylist(), list(batch.columns)
