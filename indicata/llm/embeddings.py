@@ -12,7 +12,8 @@ cosine 0.95 a pair is missed about once in a thousand, at 0.98 practically never
 
 Scale: what a bucket holds by chance doesn't grow with the number of vectors n, so
 comparisons of unrelated vectors grow with the number of tables only, as n ** 0.22.
-Members alone in their bucket go before vectors are sent. A bucket's members are dealt into chunks of ``chunk`` vectors by row number,
+Members alone in their bucket go before vectors are sent, and a vector takes along the bucket ids
+(32 bits each) of the tables up to its bucket's only. A bucket's members are dealt into chunks of ``chunk`` vectors by row number,
 and each pair of chunks is a task-sized piece of work of its own, so a hot bucket
 (a third of all rows that are nearly alike) spreads over the cluster. A pair that
 shares buckets of several tables is counted in the first of them only. Pieces give
@@ -22,7 +23,8 @@ label are first folded into one class, with its size as weight.
 Edge cases: a vector that is null, empty, zero, or holds null or non-finite
 components, and any with a null label, links with nothing and keeps itself.
 Vectors of different length never link. Rows that repeat an id are one vector; if
-their contents differ, the smallest (label, vector) counts.
+their contents differ, the smallest (label, vector) counts. Each row of a null id has a row, of a null
+component. Ids are whole numbers, or texts of them.
 An empty table gives an empty result.
 """
 
@@ -47,6 +49,8 @@ WIDTH, SEED, CHUNK = 2.0, 20240, 512
 RECALL, SPARSE = 0.97, 16
 #: Rows and columns of a product computed at once.
 BLOCK = 512
+#: Hashes of vectors held at once, 8 bytes each.
+HASHED = 1 << 22
 #: Rows of a group that is compared together with others, and pairs compared so at once.
 SMALL, PAIRS = 64, 1 << 15
 
@@ -70,14 +74,17 @@ def projections(dim: int, tables: int, hashes: int, width: float, seed: int) ->
 
 
 def bucket_ids(unit: np.ndarray, tables: int, hashes: int, width: float, seed: int) -> np.ndarray:
-    """A 64-bit bucket id for each vector and table."""
+    """A 32-bit bucket id for each vector and table; at most ``HASHED`` hashes are held at once."""
     a, b = projections(unit.shape[1], tables, hashes, width, seed)
-    q = np.floor((unit @ a + b) / width).astype(np.int64).astype(np.uint64).reshape(len(unit), tables, hashes)
-    out = np.full((len(unit), tables), unit.shape[1], np.uint64)
-    for k in range(hashes):
-        out = (out ^ q[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(31)
-    return out
+    parts = [np.zeros((0, tables), np.uint32)]
+    for rows in np.array_split(unit, -(-len(unit) * tables * hashes // HASHED)) if len(unit) else []:
+        q = np.floor((rows @ a + b) / width).astype(np.int64).astype(np.uint64).reshape(len(rows), tables, hashes)
+        out = np.full((len(rows), tables), unit.shape[1], np.uint64)
+        for k in range(hashes):
+            out = (out ^ q[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(31)
+        parts.append((out >> np.uint64(32)).astype(np.uint32))
+    return np.concatenate(parts)
 
 
 def _usable(df: DataFrame) -> DataFrame:
@@ -87,7 +94,7 @@ def _usable(df: DataFrame) -> DataFrame:
 
 
 def _hashed(classes: DataFrame, tables: int, hashes: int, width: float, seed: int) -> DataFrame:
-    schema = T.StructType([*classes.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*classes.schema.fields, T.StructField("keys", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         for batch in batches:
@@ -98,9 +105,9 @@ def _hashed(classes: DataFrame, tables: int, hashes: int, width: float, seed: in
                 x = np.stack([vecs[i] for i in rows])
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for i, k in zip(rows, bucket_ids(x, tables, hashes, width, seed).view(np.int64)):
+                for i, k in zip(rows, bucket_ids(x, tables, hashes, width, seed).view(np.int32)):
                     keys[i] = k
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=[*batch.schema.names, "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int32()))], names=[*batch.schema.names, "keys"])
 
     return classes.mapInArrow(run, schema)
 
@@ -157,7 +164,10 @@ def _linked(rows: pa.Table, threshold: float) -> pa.RecordBatch | None:
     ids, t, size, piece, c, d = (rows.column(k).to_numpy() for k in ("rep", "t", "size", "piece", "c", "d"))
     label = np.unique(np.asarray(rows.column("label").to_pylist(), object), return_inverse=True)[1]
     dims = pc.list_value_length(rows.column("vec")).to_numpy()
-    keys = matrix(rows.column("keys"), np.int64)
+    # keys go up to a row's own table; what lies beyond is never looked at
+    sizes = pc.list_value_length(rows.column("keys")).to_numpy()
+    keys = np.zeros((len(ids), int(sizes.max())), np.int32)
+    keys[np.arange(keys.shape[1]) < sizes[:, None]] = rows.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     forest, links = Forest(), np.zeros(len(ids), np.int64)
     first = np.flatnonzero(np.diff(piece, prepend=piece[0] - 1))
     n = np.diff(np.append(first, len(piece)))
@@ -201,7 +211,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     placed = placed.withColumn("c", F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col("chunks")).cast("int"))
     pieces = placed.select("rep", "t", "bucket", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d"))
     pieces = pieces.select("rep", "t", F.xxhash64("bucket", F.least("c", "d"), F.greatest("c", "d")).alias("piece"), F.col("c").alias("c"), F.col("d").alias("d"))
-    full = pieces.join(classes.select("rep", "label", "vec", "keys", "size"), "rep")
+    full = pieces.join(classes.select("rep", "label", "vec", "keys", "size"), "rep").withColumn("keys", F.slice("keys", F.lit(1), F.col("t") + 1))
 
     found = settle(map_whole_groups(full, "piece", lambda rows: _linked(rows, threshold), "u long, v long, n long"))
     links = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("other"))
@@ -209,6 +219,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     of_class = classes.select("h", "label", "vec", "rep", "size").join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
     of_class = of_class.select("h", "label", "vec", (F.col("size") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     per_id = member.join(of_class, ["h", "label", "vec"]).select("id", "n_links", "component")
-    out = rows.select("id").distinct().join(per_id, "id", "left")
+    # a null id is no id: each such row stays
+    out = rows.select("id").where("id is not null").distinct().join(per_id, "id", "left").unionByName(rows.select("id").where("id is null"), allowMissingColumns=True)
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

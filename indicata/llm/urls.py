@@ -2,7 +2,7 @@
 
 A rule is a host and a path: it fits its host and all subdomains, where the url's
 path starts with the rule's; of several the longest wins (host and path together,
-then the longer host). Rules are kept as a sorted array of 64-bit xxhash keys of
+then the longer host; a rule that is listed with both verdicts blocks). Rules are kept as a sorted array of 64-bit xxhash keys of
 ``host/path`` with their full strings beside them. A url is tried with each of its
 host's suffixes and each prefix of its path that is as long as some rule's path;
 these keys are looked up by vectorised binary search, and a hit counts only if the
@@ -130,7 +130,8 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, *, id
                 if batch.num_rows:
                     host, path, rule, verdict = map(list, zip(*judged.judge(batch.column(1).to_pylist())))
                     for k, (had, said) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                        if had is not None and (rule[k] is None or (len(had), _host(had)) > (len(rule[k]), _host(rule[k]))):
+                        # "block" is the greater verdict
+                        if had is not None and (rule[k] is None or (len(had), _host(had), said) > (len(rule[k]), _host(rule[k]), verdict[k])):
                             rule[k], verdict[k] = had, said
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in (rule, verdict, host, path))], names=["page_id", "url", "rule", "verdict", "host", "path"])
 

@@ -6,6 +6,7 @@ import time
 
 import corpus_pipeline
 import numpy as np
+import pytest
 import public_tokenizers
 
 from indicata.llm import decontamination, embeddings, graph, html_text, licenses, quality, secret_scan, simhash, toxicity, urls
@@ -463,3 +464,78 @@ def test_html_generated_pages():
         else:
             page = f"<div>{menu(rng.randrange(3, 8))}</div><div>{body}</div>" + (f"<div>{menu(4)}</div>" if k % 4 else "")
         assert html(f"<!doctype html><html><head><title>t</title><style>p {{}}</style></head><body>{page}</body></html>") == " ".join(want), page
+
+
+@pytest.mark.parametrize("first", ["block", "allow"])
+def test_url_rule_with_both_verdicts(spark, first):
+    """One tie rule, in whichever order and in however many arrays such rules come."""
+    other = {"block": "allow", "allow": "block"}[first]
+    rules = [("net", "/", first), ("a.net", "/x/", "allow"), ("net", "/", other), ("b.net", "/", other), ("b.net", "/", first)]
+    df = spark.createDataFrame([(1, "http://c.net/"), (2, "http://a.net/x/y"), (3, "http://b.net/"), (4, "http://c.org/")], "page_id long, url string")
+    want = {1: ("net/", "block"), 2: ("a.net/x/", "allow"), 3: ("b.net/", "block"), 4: (None, "allow")}
+    for most in (1 << 20, 60):
+        assert (len(urls.arrays(rules, most)) > 1) == (most == 60)
+        assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(df, rules, max_bytes=most).collect()} == want
+
+
+def test_embedding_rows_of_null_ids_and_sliced_hashes(spark, monkeypatch):
+    from indicata.llm import embeddings
+
+    rng = np.random.default_rng(3)
+    unit = rng.standard_normal((500, 16))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    whole = embeddings.bucket_ids(unit, 9, 5, 2.0, 1)
+    monkeypatch.setattr(embeddings, "HASHED", 100)
+    assert (embeddings.bucket_ids(unit, 9, 5, 2.0, 1) == whole).mean() > 0.999 and embeddings.bucket_ids(unit[:0], 9, 5, 2.0, 1).shape == (0, 9)
+    rows = [(None, [1.0, 0.0], "a"), (None, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), ("2", [1.0, 0.0], "a")]
+    df = spark.createDataFrame([(None if i is None else str(i), v, t) for i, v, t in rows], "vec_id string, embedding array<double>, label string")
+    got = sorted(map(tuple, embeddings.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(None, 0, None, True), (None, 0, None, True), (1, 1, 1, True), (2, 1, 1, False)], key=repr)
+
+
+def test_quality_scores_and_draw_by_brute_force(spark):
+    """Counts, scores, noise and draw in plain Python; only the hash of a token is the operator's."""
+    import math
+    import re
+    from collections import Counter
+
+    import xxhash
+
+    from indicata.llm import common, quality
+
+    rng = random.Random(21)
+    words = ["well", "Made", "text,", "is", "plain", "%%%", "WIN!!", "été", "x1", "(a-b)"]
+    texts = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 40)))) for i in range(120)] + [(120, None), (121, ""), (5, "repeated id"), (None, "no id")]
+    good = {i for i in range(0, 120, 3)}
+    labels = [(i, int(i in good), 0) for i in range(0, 120, 2)] + [(1, None, 0)]
+
+    def grams(text):
+        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x00-\x20\x7f]+", (text or "").encode())
+        own = [quality.Tokens([t]).hashes()[0] for t in tokens]
+        pairs = [common.mix(np.array([a]), np.array([b]))[0] for a, b in zip(own, own[1:])]
+        return [int(h) >> (64 - quality.BITS) for h in own + pairs]
+
+    every = [(i, grams(t)) for i, t in texts]
+    target_ids = {i for i, q, _ in labels if q == 1}
+    raw, target = Counter(), Counter()
+    for i, g in every:
+        raw.update(g)
+        if i in target_ids:
+            target.update(g)
+    size = 1 << quality.BITS
+    n_raw, n_target = sum(raw.values()) + size, sum(target.values()) + size
+    ratio = lambda b: math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw)
+    want = []
+    for i, g in every:
+        score = sum(map(ratio, g)) / len(g) if g else 0.0
+        u = ((xxhash.xxh64_intdigest(str(i), quality.SEED) >> 11) + 0.5) / (1 << 53)
+        want.append((i, len(g), score, quality.SPAN * score, quality.SPAN * score - math.log(-math.log(u))))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = quality.resample(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    key = lambda r: (repr(r[0]), r[1], round(r[2], 9))
+    assert len(got) == len(want)
+    for a, b in zip(sorted(((r.doc_id, r.n_ngrams, r.score, r.log_weight, r.key) for r in got), key=key), sorted(want, key=key)):
+        assert a[:2] == b[:2] and all(abs(x - y) < 1e-9 for x, y in zip(a[2:], b[2:]))
+    known = [q for _, q, _ in labels if q is not None]
+    k = -(-len(texts) * sum(known) // len(known))
+    assert {r.doc_id for r in got if r.kept} == {w[0] for w in sorted(want, key=lambda w: -w[4])[:k]}
