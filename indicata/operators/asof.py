@@ -5,8 +5,8 @@ of this kind. A key of many rows is cut into blocks of time, each swept by itsel
 at a block's end is carried into the next ones: per block, one record, found by an aggregate.
 
 Scale: one shuffle of events and records by (key, block). Only keys of more than ``HOT`` rows have
-several blocks; their bounds are quantiles of their own times, so a key that holds a
-third of all rows is spread like any others. Rows without a key or a time know nothing and
+several blocks, up to ``BLOCKS``; their bounds are quantiles of their own times, so a key that holds
+a third of all rows is spread over that many tasks. Rows without a key or a time know nothing and
 aren't dealt.
 """
 
@@ -19,18 +19,29 @@ from pyspark.sql import functions as F
 
 #: Rows of a key in a block, about.
 HOT = 100_000
+#: Blocks of a key at most, and large keys that are sent to all tasks.
+BLOCKS, FEW = 256, 10_000
 
 
-def _blocks(rows: DataFrame, hot: int) -> DataFrame:
-    """(_k, bounds): the times at which the blocks of a large key start, but for the first."""
+def _blocks(rows: DataFrame, hot: int) -> DataFrame | None:
+    """(_k, bounds): the times at which the blocks of a large key start, but for the first; None if no key is large.
+
+    Large keys go to all tasks where there are ``FEW`` at most, so that no table is dealt by them.
+    """
     large = rows.groupBy("_k").agg(F.count("*").alias("n")).where(F.col("n") > hot)
-    parts = F.ceil(F.col("n") / hot)
-    # 100 quantiles at once, of which a key takes as many as it needs; very large keys cut those evenly again
-    shares = F.array(*[F.lit(k / 100) for k in range(1, 100)])
-    times = rows.join(large, "_k").groupBy("_k").agg(F.percentile_approx("_us", shares, F.lit(1000)).alias("q"), F.first("n").alias("n"))
-    wanted = F.least(F.lit(100), parts)
-    picked = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(wanted - 1, F.lit(1))), lambda k: F.get("q", F.least(F.lit(98), F.floor(k * 100 / wanted).cast("int") - 1))))
-    return times.select("_k", picked.alias("bounds"))
+    known = large.limit(FEW + 1).collect()
+    if not known:
+        return None
+    few = len(known) <= FEW
+    small = lambda df: F.broadcast(df) if few else df
+    if few:
+        large = rows.sparkSession.createDataFrame(known, large.schema)
+    shares = F.array(*[F.lit(k / BLOCKS) for k in range(1, BLOCKS)])
+    times = rows.join(small(large), "_k").groupBy("_k").agg(F.percentile_approx("_us", shares, F.lit(1000)).alias("q"), F.max("n").alias("n"))
+    # of all quantiles a key takes as many as it needs
+    wanted = F.least(F.lit(BLOCKS), F.ceil(F.col("n") / hot))
+    picked = F.transform(F.sequence(F.lit(1), F.greatest(wanted - 1, F.lit(1))), lambda k: F.get("q", F.floor(k * BLOCKS / wanted).cast("int") - 1))
+    return small(times.select("_k", F.array_distinct(picked).alias("bounds")))
 
 
 def as_of(events: DataFrame, records: DataFrame, *, keys: Sequence[str], event_time: str, record_time: str, columns: Sequence[str], into: str = "known", hot: int = HOT) -> DataFrame:
@@ -47,15 +58,22 @@ def as_of(events: DataFrame, records: DataFrame, *, keys: Sequence[str], event_t
     two = usable(records, record_time).select(key.alias("_k"), F.unix_micros(F.col(record_time).cast("timestamp")).alias("_us"), payload.alias("_record"))
     both = one.unionByName(two, allowMissingColumns=True)
     bounds = _blocks(both.select("_k", "_us"), hot)
-    cut = both.join(bounds, "_k", "left")
-    block = F.when(F.col("bounds").isNull(), 0).otherwise(F.size(F.filter("bounds", lambda b: b <= F.col("_us")))).cast("long")
-    cut = cut.withColumn("_block", block).drop("bounds")
+    if bounds is None:
+        cut = both.withColumn("_block", F.lit(0).cast("long"))
+    else:
+        block = F.when(F.col("bounds").isNull(), 0).otherwise(F.size(F.filter("bounds", lambda b: b <= F.col("_us")))).cast("long")
+        cut = both.join(bounds, "_k", "left").withColumn("_block", block).drop("bounds")
     order = Window.partitionBy("_k", "_block").orderBy("_us", F.col("_event").isNotNull(), "_record").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = cut.withColumn("_own", F.last("_record", ignorenulls=True).over(order)).where(F.col("_event").isNotNull())
-    # what the blocks before one knew: a row for each block of a large key
-    ends = cut.join(bounds.select("_k"), "_k", "left_semi").groupBy("_k", "_block").agg(F.max_by("_record", F.when(F.col("_record").isNotNull(), F.struct("_us", "_record"))).alias("end"))
-    earlier = Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("_k", "_block", F.last("end", ignorenulls=True).over(earlier).alias("_before"))
-    known = swept.join(carried, ["_k", "_block"], "left").select("_event.*", F.coalesce("_own", "_before").alias(into))
+    if bounds is None:
+        known = swept.select("_event.*", F.col("_own").alias(into))
+    else:
+        # what the blocks before one knew: a row for each block of a large key
+        keys_of = bounds.select("_k")
+        ends = cut.where("_record is not null").join(keys_of, "_k", "left_semi").groupBy("_k", "_block").agg(F.max(F.struct("_us", "_record")).alias("end"))
+        starts = cut.join(keys_of, "_k", "left_semi").select("_k", "_block").distinct().join(ends, ["_k", "_block"], "left")
+        earlier = Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        carried = starts.select("_k", "_block", F.last("end._record", ignorenulls=True).over(earlier).alias("_before"))
+        known = swept.join(carried, ["_k", "_block"], "left").select("_event.*", F.coalesce("_own", "_before").alias(into))
     rest = events.where(F.col(event_time).isNull() | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)))
     return known.unionByName(rest.withColumn(into, F.lit(None).cast(known.schema[into].dataType)))
