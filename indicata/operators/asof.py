@@ -23,7 +23,7 @@ HOT = 100_000
 BLOCKS, FEW = 256, 10_000
 
 
-def _blocks(rows: DataFrame, hot: int) -> DataFrame | None:
+def time_blocks(rows: DataFrame, hot: int = HOT) -> DataFrame | None:
     """(_k, bounds): the times at which the blocks of a large key start, but for the first; None if no key is large.
 
     Large keys go to all tasks where there are ``FEW`` at most, so that no table is dealt by them.
@@ -57,7 +57,7 @@ def as_of(events: DataFrame, records: DataFrame, *, keys: Sequence[str], event_t
     one = usable(events, event_time).select(key.alias("_k"), F.unix_micros(F.col(event_time).cast("timestamp")).alias("_us"), F.struct(*events.columns).alias("_event"))
     two = usable(records, record_time).select(key.alias("_k"), F.unix_micros(F.col(record_time).cast("timestamp")).alias("_us"), payload.alias("_record"))
     both = one.unionByName(two, allowMissingColumns=True)
-    bounds = _blocks(both.select("_k", "_us"), hot)
+    bounds = time_blocks(both.select("_k", "_us"), hot)
     if bounds is None:
         cut = both.withColumn("_block", F.lit(0).cast("long"))
     else:
@@ -77,3 +77,43 @@ def as_of(events: DataFrame, records: DataFrame, *, keys: Sequence[str], event_t
         known = swept.join(carried, ["_k", "_block"], "left").select("_event.*", F.coalesce("_own", "_before").alias(into))
     rest = events.where(F.col(event_time).isNull() | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)))
     return known.unionByName(rest.withColumn(into, F.lit(None).cast(known.schema[into].dataType)))
+
+
+def running_counts(rows: DataFrame, *, keys: Sequence[str], time: str, into: str = "upto", hot: int = HOT) -> DataFrame:
+    """(keys, time, into): for each time of a key, how many of its rows are no later.
+
+    Rows are counted by time first. A large key's blocks are counted by themselves, and what earlier
+    blocks hold is added, so no key is swept by one task. Rows without a key or a time don't count.
+    """
+    there = rows.where(F.col(time).isNotNull() & ~F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)))
+    each = there.groupBy(*keys, F.col(time).alias(time)).agg(F.count("*").alias("_n"))
+    each = each.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("_k"), F.unix_micros(F.col(time).cast("timestamp")).alias("_us"), F.col(time), "_n")
+    bounds = time_blocks(each.select("_k", "_us"), hot)
+    if bounds is None:
+        cut = each.withColumn("_block", F.lit(0).cast("long"))
+    else:
+        block = F.when(F.col("bounds").isNull(), 0).otherwise(F.size(F.filter("bounds", lambda b: b <= F.col("_us")))).cast("long")
+        cut = each.join(bounds, "_k", "left").withColumn("_block", block).drop("bounds")
+    order = Window.partitionBy("_k", "_block").orderBy("_us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = cut.withColumn("_own", F.sum("_n").over(order))
+    if bounds is not None:
+        earlier = Window.partitionBy("_k").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        held = cut.join(bounds.select("_k"), "_k", "left_semi").groupBy("_k", "_block").agg(F.sum("_n").alias("_sum"))
+        before = held.select("_k", "_block", F.sum("_sum").over(earlier).alias("_before"))
+        swept = swept.join(before, ["_k", "_block"], "left").withColumn("_own", F.col("_own") + F.coalesce("_before", F.lit(0)))
+    return swept.select(*[F.col(f"_k.k{i}").alias(k) for i, k in enumerate(keys)], time, F.col("_own").alias(into))
+
+
+def counts_before(rows: DataFrame, *, keys: Sequence[str], time: str, seconds: Sequence[int], hot: int = HOT) -> DataFrame:
+    """``rows`` with last_N for each N of ``seconds``: rows of the same key within the N seconds up to the row's time, itself included.
+
+    A count is that up to the row less that before its window, both looked up in the key's running counts. Rows without
+    a key or a time keep null counts.
+    """
+    known = running_counts(rows, keys=keys, time=time, hot=hot)
+    out = as_of(rows, known, keys=keys, event_time=time, record_time=time, columns=["upto"], into="_upto", hot=hot)
+    for n in seconds:
+        start = out.withColumn("_start", F.col(time) - F.make_dt_interval(secs=F.lit(n)) - F.expr("interval 1 microsecond"))
+        out = as_of(start, known, keys=keys, event_time="_start", record_time=time, columns=["upto"], into="_from", hot=hot)
+        out = out.withColumn(f"last_{n}", F.col("_upto.upto") - F.when(F.col("_upto").isNotNull(), F.coalesce("_from.upto", F.lit(0)))).drop("_start", "_from")
+    return out.drop("_upto")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from .. import fixtures as fx
 from .. import lists
 from ..operators import artifacts, mail
-from . import joins_oracle
+from . import histories_oracle, joins_oracle
 from .factors import FACTORS
 from .queries import RISK_INPUT
 
@@ -353,4 +353,4 @@ case when b < 1024 then b || ' B' when kb < 1024 then printf('%.1f KB', floor(kb
 select ip, confidence, case when confidence > 50 then 30 when confidence > 20 then 20 when confidence >= 5 then 10 else 0 end as raw_score from x""",
 }
 
-ORACLE |= joins_oracle.ORACLE
+ORACLE |= joins_oracle.ORACLE | histories_oracle.ORACLE

@@ -12,7 +12,7 @@ from ..functions import brands, hosts, infra, intel, text, urls
 from ..operators import artifacts, display, mail, redirects
 from ..sources.tables import table
 from ..streaming import calls as call_log
-from . import artifact_queries, joins, risk
+from . import artifact_queries, histories, joins, risk
 from .lookup import check_status, classify, enrich, lookup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -328,4 +328,4 @@ QUERIES: dict[str, Query] = {
         ct_summary, dns_summary, passive_dns, risk_scores, checks, text_artifacts, artifact_counts, artifact_scores, calls_by_api, session_timeline, trailing_counts, live_sessions, call_windows, call_classes,
         redirect_chains, redirect_scores, redirect_totals, mail_verdicts, mail_hops, mail_flow, auth_records, sender_domains, display_forms,
     )
-} | artifact_queries.QUERIES | joins.QUERIES
+} | artifact_queries.QUERIES | joins.QUERIES | histories.QUERIES

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A driver table, file or folder, as a stream of its files."""
+    # a pattern, as a plain path of a stream must be a folder
+    return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet")
+
+
+def scratch(spark: SparkSession, purpose: str) -> str:
+    """A new folder for intermediate tables below the one that ``spark.checkpoint.dir`` or the session names.
+
+    Only a session in a single process gets one in the machine's own temporary folder.
+    """
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", "") or (held.get() if held.isDefined() else "")
+    if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.gettempdir()
+    return f"{base}/{purpose}-{uuid.uuid4().hex}"
+
+
 def listed(value: Column, key: str | None = None) -> Column:
     """Items of a JSON array of strings, or of one under a key: lower case, trimmed, the first of equals; none of anything else."""
     items = F.from_json(value, "array<string>" if key is None else f"struct<{key}:array<string>>")
