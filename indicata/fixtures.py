@@ -40,62 +40,6 @@ URLS = values_sql("url_id, url", [
     (19, "https://user@host.com/"), (20, "https://a.com"), (21, "https://a.com/logins/updater"), (22, "https://a.com/?URL=1"),
 ])
 
-WRAPPED = values_sql("url_id, url, destination, gateway, is_wrapper", [
-    (1, "https://nam12.safelinks.protection.outlook.com/?url=https%3A%2F%2Fevil.com%2Flogin&data=05", "https://evil.com/login", "Microsoft SafeLinks", False),
-    (2, "https://urldefense.com/v3/__https://evil.com/a__;!!abc!def$", "https://evil.com/a", "Proofpoint URLDefense", False),
-    (3, "https://urldefense.proofpoint.com/v2/url?u=https-3A__evil.com_p&d=x", "https://evil.com/p", "Proofpoint URLDefense", False),
-    (4, "https://linkprotect.cudasvc.com/url?a=https%3a%2f%2fevil.com&c=1", "https://evil.com", "Barracuda LinkProtect", False),
-    (5, "https://protect.mimecast.com/s/x?p=https%3A%2F%2Fevil.com%2Fm", "https://evil.com/m", "Mimecast Protect", False),
-    (6, "https://l.facebook.com/l.php?u=https%3A%2F%2Fevil.com%2Ff&h=1", "https://evil.com/f", "Meta Redirect", False),
-    (7, "https://click.mailer.net/?url=https%3A%2F%2Fevil.com", "https://evil.com", "Security Gateway", False),
-    (8, "https://nam12.safelinks.protection.outlook.com/?url=https%3A%2F%2Fl.facebook.com%2Fl.php%3Fu%3Dhttps%3A%2F%2Fevil.com%2Fd", "https://evil.com/d", "Microsoft SafeLinks", False),
-    (9, "https://plain.com/%41?x=1", "https://plain.com/%41?x=1", "Security Gateway", False),
-    (10, "mailto:a@b.com", "mailto:a@b.com", "Security Gateway", False),
-    (11, "https://urldefense.com/v3/nothing", "https://urldefense.com/v3/nothing", "Proofpoint URLDefense", True),
-    (12, "https://notmailchi.mp/x", "https://notmailchi.mp/x", "Security Gateway", True),
-])
-
-INFRA = values_sql("host_id, host, cname, org, issuer, tls_error, is_ip", [
-    (1, "x.vercel.app", None, None, None, None, False), (2, "a.up.railway.app", None, None, None, None, False), (3, "cdn.shop.com", "shop.netlify.app.", None, None, None, False), (4, "shop.com", "d1.cloudfront.net", "AMAZON-02, US", "Amazon", None, False),
-    (5, "shop.com", None, "CLOUDFLARENET, US", None, None, False), (6, "shop.com", None, "RENDER, US", None, None, False), (7, "shop.com", None, "GITHUB, US", None, None, False), (8, "shop.com", None, "FASTLY, US", "Cloudflare Inc", None, False),
-    (9, "shop.com", None, "FASTLY, US", "Cloudflare Inc", "timeout", False), (10, "shop.com", None, "DIGITALOCEAN-ASN", "LE", None, False), (11, "shop.com", None, "SMALLHOST LLC", None, None, False), (12, "shop.com", None, None, None, None, False),
-    (13, "1.2.3.4", None, "MICROSOFT-CORP", None, None, True), (14, "1.2.3.4", None, "HETZNER-AS", "Amazon", None, True), (15, "global.ssl.fastly.net", None, None, None, None, False), (16, "notvercel.app", "x.akamai.net", None, None, None, False), (17, "x.com", "notvercel.app", None, None, None, False),
-])
-
-PULSES = values_sql("ioc, pulse_count, tags, family, adversary, modified", [
-    ("a.com", 3, " Phishing ,c2", "Emotet", "APT1", "2024-01-01T00:00:00"), ("a.com", 3, "news", "Emotet", " ", "2024-03-01T12:00:00"), ("a.com", 3, "C2", "Qakbot", "APT1", None), ("b.com", 1, "report", None, None, "2020-05-05T00:00:00"), ("c.com", 0, "", "", "", ""), ("d.com", 9, "apt,Loader", "LockBit", "FIN7", "2024-05-30T23:59:59"),
-])
-
-DOMAINS = values_sql("domain, malware_count, dns_count, ip_count, domain_age, tls_age", [
-    ("a.com", 2, 3, 1, 4000, 200), ("b.com", 0, 25, 6, 4000, 10), ("c.com", 5, 0, 0, None, None), ("d.com", 1, 1, 1, 9000, 500),
-])
-
-CT = values_sql("domain, name_value", [
-    *[("big.com", f"h{k}.big.com|*.big.com|big.com") for k in range(30)], *[("mid.com", f"H{k}.mid.com|h0.mid.com") for k in range(11)], ("small.com", "small.com|www.small.com|WWW.small.com"), ("none.com", "none.com"),
-])
-
-DNS = values_sql("domain, rtype, value, pos", [
-    ("a.com", "A", "1.1.1.1", 0), ("a.com", "A", "1.0.0.1", 1), ("a.com", "CNAME", "x.netlify.app.", 0), ("a.com", "TXT", "google-site=1", 0), ("a.com", "TXT", "V=SPF1 -all", 1), ("a.com", "DMARC", " v=DMARC1; p=none", 0), ("a.com", "DKIM", "v=DKIM1; p=AB", 0),
-    ("b.com", "TXT", "v=spf10 bad", 0), ("b.com", "TXT", "(v=spf1 ok)", 1), ("b.com", "MX", "mx.b.com", 0), ("c.com", "TXT", "prefix v=spf1", 0),
-])
-
-PASSIVE = values_sql("ioc, address, first, last", [
-    ("a.com", "1.1.1.1", "2020-01-01T00:00:00", "2021-01-01T00:00:00"), ("a.com", " 1.1.1.1 ", "2019-01-01T00:00:00", ""), ("a.com", "", "", "2023-01-01T00:00:00"), ("b.com", "2.2.2.2", "", ""),
-])
-
-VERDICTS = values_sql("id, url_bad, url_gone, url_seen, host_bad, host_gone, host_seen, suspicious, harmless, undetected, own_score", [
-    (1, 3, False, 10, 5, False, None, 1, 50, 14, None), (2, 5, False, 10, 5, False, 20, 0, 60, 5, 0.0), (3, 7, True, 10, 2, False, 20, 0, 0, 0, None), (4, 4, False, None, 2, True, 5, 2, 3, 4, 12.5), (5, 0, False, 1, 0, False, None, 0, 70, 0, None),
-    (6, 9, False, 1, 0, False, 3, None, None, 61, None),
-])
-
-CHAINS = values_sql("url, vt_redirects, vt_final, vt_url, us_redirects, us_page, us_listed, chain, hosts, final_url", [
-    ("https://t.co/1", "https://a.com/x", "https://b.com/y", None, None, None, None, "https://t.co/1|https://a.com/x|https://b.com/y", "t.co|a.com|b.com", "https://b.com/y"),
-    ("https://t.co/2", None, None, "https://c.com/z", None, None, None, "https://t.co/2|https://c.com/z", "t.co|c.com", "https://c.com/z"),
-    ("https://t.co/3", "https://v.com/1", "https://end.com/", None, "/hop|https://d.com/q", "https://end.com/", None, "https://t.co/3|https://v.com/1|https://t.co/hop|https://d.com/q|https://end.com/", "t.co|v.com|d.com|end.com", "https://end.com/"),
-    ("https://t.co/4", None, None, None, "", "https://t.co/4", "https://fonts.gstatic.com/f|https://dest.io/favicon.ico", "https://t.co/4|https://dest.io/", "t.co|dest.io", "https://t.co/4"),
-    ("https://t.co/5", None, None, None, None, None, None, "https://t.co/5", "t.co", "https://t.co/5"),
-])
-
 MAILS = values_sql("msg_id, pos, name, value", [
     (1, 1, "Received", "from relay.protection.outlook.com (relay.protection.outlook.com [40.1.1.1]) by mx.corp.com; Mon, 1 Jan 2024 00:00:03 +0000"),
     (1, 2, "Received", "from inner.protection.outlook.com (x [10.0.0.5]) by y.protection.outlook.com; Mon, 1 Jan 2024 00:00:02 +0000"),
@@ -123,17 +67,36 @@ MAIL_RESULTS = values_sql("msg_id, origin, n_hops, spf, dkim, dmarc, source_type
     (6, None, 0, "pass", "none", "none", "fallback", False, 2, "b.c", "", "", 0),
 ])
 
-#: Feed snapshots and the indicators that meet them; the results were worked out by hand from the rules.
-FEED_VT = values_sql("ioc, malicious, suspicious, harmless, undetected, last_seen, not_found, error", [
-    ("bad.xyz", 12, 0, 50, 4, 1, False, None), ("https://u.com/a", 3, 0, 9, 9, 5, False, None), ("u.com", 3, 0, 9, 9, None, False, None), ("err.com", None, None, None, None, None, None, "timeout"), ("9.9.9.9", 6, 0, 1, 1, 1, False, None),
-    ("d41d8cd98f00b204e9800998ecf8427e", 30, 0, 10, 20, 1, False, None), ("paypal-verify.netlify.app", 1, 0, 60, 5, 1, False, None),
-])
-FEED_OTX = values_sql("ioc, pulse_count, families, tags, malware_count, recent_activity_days, passive_dns_count, unique_ip_count, asn", [
-    ("9.9.9.9", 7, "Emotet,Hive", "botnet", 0, None, 0, 0, "AS1 Vultr"), ("bad.xyz", 2, "", "phishing", 1, 10, 0, 0, None), ("d41d8cd98f00b204e9800998ecf8427e", 5, "Emotet", "trojan", 0, None, 0, 0, None), ("old.com", 4, "", "", 3, None, 0, 0, None),
-])
-FEED_WHOIS = values_sql("domain, age_days", [("bad.xyz", 5), ("old.com", 5000)])
-FEED_TLS = values_sql("host, tls_age_days, issuer, issuer_cn, error", [("bad.xyz", 3, "LE", "R3", None), ("u.com", None, None, None, "refused")])
-FEED_ABUSE = values_sql("ip, abuse_confidence_score, is_tor, error", [("9.9.9.9", 80, False, None), ("8.8.4.4", 10, True, None)])
+#: Columns and records of feed snapshots, and the indicators that meet them; templates, whose results were worked out by hand from the rules.
+FEEDS = {
+    "vt": ("ioc, malicious, suspicious, harmless, undetected, last_seen, not_found, error", (
+        ("bad.xyz", 12, 0, 50, 4, 1, False, None),
+        ("https://u.com/a", 3, 0, 9, 9, 5, False, None),
+        ("u.com", 3, 0, 9, 9, None, False, None),
+        ("err.com", None, None, None, None, None, None, "timeout"),
+        ("9.9.9.9", 6, 0, 1, 1, 1, False, None),
+        ("d41d8cd98f00b204e9800998ecf8427e", 30, 0, 10, 20, 1, False, None),
+        ("paypal-verify.netlify.app", 1, 0, 60, 5, 1, False, None),
+    )),
+    "otx": ("ioc, pulse_count, families, tags, malware_count, recent_activity_days, passive_dns_count, unique_ip_count, asn", (
+        ("9.9.9.9", 7, "Emotet,Hive", "botnet", 0, None, 0, 0, "AS1 Vultr"),
+        ("bad.xyz", 2, "", "phishing", 1, 10, 0, 0, None),
+        ("d41d8cd98f00b204e9800998ecf8427e", 5, "Emotet", "trojan", 0, None, 0, 0, None),
+        ("old.com", 4, "", "", 3, None, 0, 0, None),
+    )),
+    "whois": ("domain, age_days", (
+        ("bad.xyz", 5),
+        ("old.com", 5000),
+    )),
+    "tls": ("host, tls_age_days, issuer, issuer_cn, error", (
+        ("bad.xyz", 3, "LE", "R3", None),
+        ("u.com", None, None, None, "refused"),
+    )),
+    "abuseipdb": ("ip, abuse_confidence_score, is_tor, error", (
+        ("9.9.9.9", 80, False, None),
+        ("8.8.4.4", 10, True, None),
+    )),
+}
 FEED_ROWS = (
     # row, raw, raw score, severity, verdict, factors, error
     (1, "bad.xyz", 165, "HIGH", "HIGHLY MALICIOUS", 9, None), (2, "https://u.com/a", 25, "LOW", "LOW THREAT", 1, None), (3, "err.com", 0, "LOW", "LOW THREAT", 0, None), (4, "9.9.9.9", 188, "HIGH", "HIGHLY MALICIOUS", 11, None),

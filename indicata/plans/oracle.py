@@ -9,7 +9,7 @@ from __future__ import annotations
 from .. import fixtures as fx
 from .. import lists
 from ..operators import artifacts, mail
-from . import histories_oracle, joins_oracle
+from . import drawn, histories_oracle, joins_oracle
 from .factors import FACTORS
 from .queries import RISK_INPUT
 
@@ -184,6 +184,15 @@ select id, n as n_factors, points as factor_points, raw as raw_score, least(raw,
   case sev when 'LOW' then 'LOW THREAT' when 'MEDIUM' then 'NEEDS REVIEW' else case when mal >= 1 or otx_ok and (pulses > 0 or nf > 0 or tags <> '') or not hash and conf > 0 then 'HIGHLY MALICIOUS' else 'LIKELY MALICIOUS' end end as verdict from j
 """
 
+_TEXTS = ("origin", "from_domain", "mismatches", "sending_host", "receiving_host", "domain", "label", "hostname", "mailfrom_domain", "signing_domain")
+
+
+def _own_mails(templates: str, columns: str) -> str:
+    """Results of the mail templates for each order's mail, with the order's own domains."""
+    shown = ", ".join(f"{drawn.renamed('t.' + c)} as {c}" if c in _TEXTS else f"t.{c} as {c}" for c in columns.split(", "))
+    return f"select o_orderkey as msg_id, {shown} from orders join ({templates}) t on t.msg_id = o_orderkey % 6 + 1"
+
+
 ORACLE: dict[str, str] = {
     "input_types": f"""
 with r as (select row_id, raw from ({fx.INPUTS}) union all select page_id + 1000, url from pages), c as (select row_id, left(regexp_replace(trim(raw), '[\\x00-\\x1f\\x7f]', '', 'g'), 512) as clean from r)
@@ -209,33 +218,34 @@ case when e.same then 'Brand token in compound domain' when e.b is not null then
     "hostname_brand": f"""with {HOSTS}, {_HOSTNAME} select h.key, o.b is not null as brand_match_hostname, o.b as matched_brand, o.label as matched_label, o.t as matched_token, case when o.b is null then null when root in {_set(lists.BRAND_CDNS)} then 'cdn_subdomain' else 'subdomain' end as context,
 case when o.d <= 1 then 'High' when o.d = 2 then 'Medium' end as confidence from raw h left join one o on h.key = o.key""",
     "url_heuristics": f"with {_URL} select url_id, array_to_string(list_filter(s, lambda x: x is not null), '|') as signals, array_to_string(ks, '|') as path_keywords, length(path) as path_length, coalesce({_POINTS}, 0) as score from sig",
-    "gateway_unwrap": f"select url_id, destination, gateway, is_wrapper from ({fx.WRAPPED})",
-    "infrastructure": f"""with x as (select *, case when cname is not null then rtrim(lower(cname), '.') end as c, lower(coalesce(org, '')) as o from ({fx.INFRA})),
+    # wrapped urls are unescaped as a whole before their parameters are read, so what follows an & or # of theirs is lost
+    "gateway_unwrap": f"select page_id as url_id, case when page_id % 9 in (1, 2, 8) then url else regexp_replace(url, '[&#].*', '') end as destination, {drawn.pick('page_id', [g for _, g in drawn.WRAPS])} as gateway, false as is_wrapper from pages",
+    "infrastructure": f"""with x as (select *, case when cname is not null then rtrim(lower(cname), '.') end as c, lower(coalesce(org, '')) as o from ({drawn.INFRA})),
 direct as (select * from (values ('vercel.app', 'Vercel', 1), ('up.railway.app', 'Railway', 2), ('railway.app', 'Railway', 2), ('fastly.net', 'Fastly Edge Infrastructure', 3)) as t(s, p, k)),
 d as (select host_id, any_value(p) as p, any_value(case p when 'Vercel' then 'Direct Vercel platform domain (*.vercel.app)' when 'Railway' then 'Direct Railway platform domain (*.railway.app)' else 'Direct Fastly infrastructure endpoint' end) as m from x join direct on not is_ip and (host = s or ends_with(host, '.' || s)) group by host_id),
 y as (select x.*, d.p as dp, d.m as dm, case when is_ip or c is null then null when ends_with(c, 'vercel.app') then 'Vercel' when ends_with(c, 'netlify.app') then 'Netlify' when ends_with(c, 'akamai.net') then 'Akamai' when ends_with(c, 'cloudfront.net') then 'AWS CloudFront' end as cp,
-  case when is_ip or tls_error is not null then null when contains(lower(issuer), 'cloudflare') then 'Cloudflare' when contains(lower(issuer), 'amazon') then 'AWS CloudFront' end as tp,
+  case when is_ip or tls_error <> '' then null when contains(lower(issuer), 'cloudflare') then 'Cloudflare' when contains(lower(issuer), 'amazon') then 'AWS CloudFront' end as tp,
   case when contains(o, 'render') then 'Render' when contains(o, 'github') then 'GitHub Pages' when contains(o, 'fastly') then 'Fastly' when contains(o, 'cloudflare') then 'Cloudflare' when contains(o, 'amazon') then 'AWS CloudFront' when contains(o, 'microsoft') then 'Azure' end as op from x left join d using (host_id)),
 z as (select *, coalesce(dp, cp, tp, op) as p from y)
 select host_id, coalesce(p, case when contains(o, 'digitalocean') then 'DigitalOcean' when contains(o, 'hetzner') then 'Hetzner' when o <> '' then org else 'Unresolved' end) as provider,
   case when dp is not null then 'Rapid Deploy CDN' when p in ('Vercel', 'Netlify', 'Render', 'GitHub Pages') then 'Rapid Deploy CDN' when p in ('Akamai', 'Fastly', 'Cloudflare') then 'Enterprise CDN' when p is not null then 'Enterprise Cloud' when contains(o, 'digitalocean') or contains(o, 'hetzner') then 'Cloud Hosting Provider' when o <> '' then 'Unclassified Hosting Provider' else 'Unresolved Infrastructure' end as category,
   dp is not null or coalesce(cp in ('Vercel', 'Netlify'), false) or coalesce(cp is null and tp is null and op = 'Render', false) as rapid_deploy,
   case when dp is not null then dm when cp is not null then 'CNAME record' when tp is not null then 'TLS certificate issuer' when op is not null then 'ASN/Organization' else 'ASN/Organization (unclassified)' end as method from z""",
-    "pulse_tiers": f"""with p as ({fx.PULSES}), d as ({fx.DOMAINS}),
+    "pulse_tiers": f"""with p as ({drawn.PULSES}), d as ({drawn.DOMAINS}),
 t as (select ioc, list_sort(list(distinct g)) as hs from (select ioc, lower(trim(unnest(string_split(tags, ',')))) as g from p) where g in ('malware','phishing','ransomware','trojan','c2','botnet','stealer','spyware','rat','backdoor','exploit','infostealer','dropper','keylogger','credential-theft','apt','campaign','loader') group by ioc),
 a as (select ioc, greatest(max(pulse_count), count(*)) as told, max(pulse_count) as pc, list_sort(list(distinct family) filter (family <> '')) as fs, list_sort(list(distinct trim(adversary)) filter (trim(adversary) <> '')) as ads, max(try_cast(modified as timestamp)) as latest from p group by ioc),
 b as (select a.*, coalesce(hs, []) as hs, floor((epoch(timestamp '2024-06-01') - epoch(latest)) / 86400)::int as days, d.* from a join d on a.ioc = d.domain left join t on a.ioc = t.ioc),
 c as (select *, case when malware_count > 0 and days < 90 then 'Strong' when pc > 0 and (len(hs) > 0 or dns_count > 20 and ip_count > 5) then 'Suspicious' when pc > 0 then 'Contextual' else 'None' end as tier from b)
-select domain as ioc, told as pulses_told, coalesce(array_to_string(fs, '|'), '') as families, array_to_string(hs, '|') as high_risk_tags, coalesce(array_to_string(ads, '|'), '') as adversaries, days, tier,
+select domain as ioc, told::int as pulses_told, coalesce(array_to_string(fs, '|'), '') as families, array_to_string(hs, '|') as high_risk_tags, coalesce(array_to_string(ads, '|'), '') as adversaries, days, tier,
   case when coalesce(domain_age > 3650, false) and not coalesce(tls_age < 90, false) then case tier when 'Suspicious' then 'Contextual' when 'Contextual' then 'None' else tier end else tier end as dampened, malware_count > 0 and dns_count = 0 and len(hs) = 0 as reference_only from c""",
-    "verdict_merge": f"""with v as (select *, case when url_gone then 0 else url_bad end as u, case when host_gone then 0 else host_bad end as h, url_bad + coalesce(suspicious, 0) + coalesce(harmless, 0) + coalesce(undetected, 0) as total from ({fx.VERDICTS}))
+    "verdict_merge": f"""with v as (select *, case when url_gone then 0 else url_bad end as u, case when host_gone then 0 else host_bad end as h, url_bad + coalesce(suspicious, 0) + coalesce(harmless, 0) + coalesce(undetected, 0) as total from ({drawn.VERDICTS}))
 select id, case when h >= u then host_bad else url_bad end as malicious, case when h >= u then coalesce(host_seen, url_seen) else url_seen end as last_seen, case when h >= u then 'domain' else 'url' end as source, total,
   coalesce(nullif(own_score, 0), case when total > 0 and url_bad > 0 then round_even(30.0::double * url_bad / total, 1) end)::double as file_score from v""",
-    "ct_summary": f"""with n as (select domain, lower(trim(unnest(string_split(name_value, '|')))) as name from ({fx.CT})), u as (select distinct domain, name from n where name <> '' and name <> domain and name[1] <> '*')
+    "ct_summary": f"""with n as (select domain, lower(trim(unnest(string_split(name_value, '|')))) as name from ({drawn.CT})), u as (select distinct domain, name from n where name <> '' and name <> domain and name[1] <> '*')
 select domain, count(*) as subdomain_count, case when count(*) > 25 then 'High' when count(*) > 10 then 'Elevated' else 'None' end as explosion_level, array_to_string(list_sort(list(name))[:50], '|') as subdomains from u group by domain""",
-    "dns_summary": f"""with d as ({fx.DNS}) select domain, coalesce(string_agg(value, '|' order by pos) filter (rtype = 'A'), '') as a, coalesce(string_agg(value, '|' order by pos) filter (rtype = 'CNAME'), '') as cname, coalesce(string_agg(value, '|' order by pos) filter (rtype = 'MX'), '') as mx,
+    "dns_summary": f"""with d as ({drawn.DNS}) select domain, coalesce(string_agg(value, '|' order by pos) filter (rtype = 'A'), '') as a, coalesce(string_agg(value, '|' order by pos) filter (rtype = 'CNAME'), '') as cname, coalesce(string_agg(value, '|' order by pos) filter (rtype = 'MX'), '') as mx,
 coalesce(arg_min(value, pos) filter (rtype = 'TXT' and regexp_matches(value, '(?i)^v=spf1\\b')), arg_min(value, pos) filter (rtype = 'TXT' and regexp_matches(value, '(?i)^[^a-z0-9]*v=spf1\\b'))) as spf, arg_min(value, pos) filter (rtype = 'DMARC') as dmarc, arg_min(value, pos) filter (rtype = 'DKIM') as dkim from d group by domain""",
-    "passive_dns": f"""with p as (select ioc, nullif(trim(address), '') as a, nullif(trim(first), '') as f, nullif(trim(last), '') as l from ({fx.PASSIVE}))
+    "passive_dns": f"""with p as (select ioc, nullif(trim(address), '') as a, nullif(trim(first), '') as f, nullif(trim(last), '') as l from ({drawn.PASSIVE}))
 select ioc, count(*) as passive_dns_count, count(distinct a) as unique_ip_count, min(least(coalesce(f, l), coalesce(l, f))) as first_seen, max(greatest(coalesce(f, l), coalesce(l, f))) as last_seen from p group by ioc""",
     "risk_scores": _RISK,
     "text_artifacts": f"with {_ART} select doc_id, len(urls) as n_urls, coalesce(array_to_string(ds, '|'), '') as domains, coalesce(array_to_string(xs, '|'), '') as ips from url left join doms using (doc_id) left join ips using (doc_id)",
@@ -250,28 +260,28 @@ select *, row_number() over (partition by session_id order by (api = 'violation'
     "trailing_counts": f"""with {_CALLS} select coalesce(api, 'all') as api, {', '.join(f"count(*) filter (ts >= timestamp '2024-01-15' - interval {n} second and ts <= timestamp '2024-01-15') as last_{n}" for n in (60, 3600, 86400))} from calls group by rollup (api)""",
     "live_sessions": f"with {_CALLS} select session_id, count(*) as total from calls group by session_id having min(ts) >= timestamp '2024-01-01 01:00:00'",
     "call_windows": f"with {_CALLS} select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, api, count(*) as calls, count(*) filter (violation) as violations from calls group by all",
-    "call_classes": fx.values_sql("host, api, violation", [("www.virustotal.com", "virustotal", False), ("api.abuseipdb.com", "abuseipdb", False), ("otx.alienvault.com", "otx", False), ("urlscan.io", "urlscan", False), ("crt.sh", "crt_sh", False), ("sub.crt.sh", "other", False), ("whois.team-cymru.com", "dns_whois", False), ("rdap.arin.net", "dns_whois", False), ("evil.com", "violation", True), ("notvirustotal.com", "violation", True)]),
-    "redirect_chains": f"select url, chain, hosts, final_url from ({fx.CHAINS})",
+    "call_classes": f"select o_orderkey as call_id, {drawn.pick('o_orderkey', [h for h, _ in drawn.CALL_KINDS])} as host, {drawn.pick('o_orderkey', [a for _, a in drawn.CALL_KINDS])} as api, o_orderkey % {len(drawn.CALL_KINDS)} in (8, 9) as violation from orders",
+    "redirect_chains": f"select 'https://t.co/' || o_orderkey as url, {', '.join(f'{drawn.pick(drawn.K, [drawn.numbered(kind[1][i]) for kind in drawn.CHAIN_KINDS])} as {name}' for i, name in enumerate(('chain', 'hosts', 'final_url')))} from orders",
     "redirect_scores": """
 with p as (select page_id as pos, url, (page_id % 70)::int as score, regexp_extract(url, '^[a-z]+://[^/?#]*') as origin from pages), canon as (select origin, arg_min(pos, pos) as pos from p where score > 25 group by origin),
 j as (select p.*, c.pos % 5 as k, c.pos % 2 = 0 as redirects, p.score > 25 as live from p left join canon c using (origin)),
 e as (select *, live and redirects and 20 * k > score as up from j)
 select pos, case when up then (20 * k)::int else score end as score, case when (case when up then 20 * k else score end) <= 25 then 'LOW' when (case when up then 20 * k else score end) <= 60 then 'MEDIUM' else 'HIGH' end as severity, live and (20 * k >= 60 or k = 1) as chain_suspicious, up as elevated
 from (select pos, score, k, live, coalesce(up, false) as up from e)""",
-    "mail_verdicts": f"select * from ({fx.MAIL_RESULTS})",
-    "mail_hops": fx.values_sql("msg_id, ix, sending_host, receiving_host, ip, gateway, is_internal", [
+    "mail_verdicts": _own_mails(fx.MAIL_RESULTS, "origin, n_hops, spf, dkim, dmarc, source_type, chain_valid, trusted_instance, from_domain, bulk_sender, mismatches, n_anomalies"),
+    "mail_hops": _own_mails(fx.values_sql("msg_id, ix, sending_host, receiving_host, ip, gateway, is_internal", [
         (1, 0, "a27.us-west-2.amazonses.com", "mx1.pphosted.com", "54.240.27.57", "amazon_ses", False), (1, 1, "mx1.pphosted.com", "z.protection.outlook.com", "143.55.149.216", "proofpoint", False), (1, 2, "inner.protection.outlook.com", "y.protection.outlook.com", "10.0.0.5", "microsoft", True),
         (1, 3, "relay.protection.outlook.com", "mx.corp.com", "40.1.1.1", "microsoft", False), (2, 0, "mail.sender.net", "mx1.example.org", "9.9.9.9", "", False),
-    ]),
-    "sender_domains": fx.values_sql("msg_id, domain, fields, mismatch", [(1, "shop.com", "from", True), (1, "evil.org", "reply_to", True), (1, "us-west-2.amazonses.com", "return_path", True), (2, "bank.com", "from", True), (2, "sender.net", "return_path", True), (3, "a.com", "from", False), (4, "spf.com", "from", False), (6, "b.c", "from", False)]),
-    "mail_flow": fx.values_sql("msg_id, pos, label, hostname", [
+    ]), "ix, sending_host, receiving_host, ip, gateway, is_internal"),
+    "sender_domains": _own_mails(fx.values_sql("msg_id, domain, fields, mismatch", [(1, "shop.com", "from", True), (1, "evil.org", "reply_to", True), (1, "us-west-2.amazonses.com", "return_path", True), (2, "bank.com", "from", True), (2, "sender.net", "return_path", True), (3, "a.com", "from", False), (4, "spf.com", "from", False), (6, "b.c", "from", False)]), "domain, fields, mismatch"),
+    "mail_flow": _own_mails(fx.values_sql("msg_id, pos, label, hostname", [
         (1, 0, "Internet", ""), (1, 1, "Amazon SES", "a27.us-west-2.amazonses.com"), (1, 2, "Proofpoint", "mx1.pphosted.com"), (1, 3, "Microsoft 365", "inner.protection.outlook.com"), (1, 4, "Microsoft 365", "relay.protection.outlook.com"), (1, 5, "Mailbox", ""),
         (2, 0, "Internet", ""), (2, 1, "mail.sender.net", "mail.sender.net"), (2, 2, "Mailbox", ""), *[(m, k, label, "") for m in (3, 4, 5, 6) for k, label in ((0, "Internet"), (1, "Mailbox"))],
-    ]),
-    "auth_records": fx.values_sql("msg_id, ix, type, spf, dkim, dmarc, mailfrom_domain, signing_domain", [
+    ]), "pos, label, hostname"),
+    "auth_records": _own_mails(fx.values_sql("msg_id, ix, type, spf, dkim, dmarc, mailfrom_domain, signing_domain", [
         (1, 0, "AR", "fail", "pass", "pass", "us-west-2.amazonses.com", "shop.com"), (1, 1, "ARC", "fail", "pass", "pass", None, "shop.com"), (2, 0, "AR", "softfail", "fail", "fail", "sender.net", "other.net"),
         (3, 0, "AR-Original", "pass", "none", "none", "a.com", None), (3, 1, "AR", "fail", "pass", "pass", None, "a.com"), (6, 0, "AR", "pass", "none", "none", None, None), (6, 1, "ARC", "pass", "pass", "pass", None, None),
-    ]),
+    ]), "ix, type, spf, dkim, dmarc, mailfrom_domain, signing_domain"),
 }
 
 #: The pages' hosts have neither brands nor risky suffixes; what they can score by is spelled out here.
@@ -284,16 +294,17 @@ f as (select row_id, list_concat(list_filter([case when es >= 3.8 then 'high_ent
 r as (select row_id, array_to_string(fs, '|') as factors, coalesce(list_sum(list_transform(fs, lambda x: string_split(x, '=')[2]::int)), 0)::int as raw_score from f)
 select row_id, factors, raw_score, case when raw_score <= 25 then 'LOW' when raw_score <= 60 then 'MEDIUM' else 'HIGH' end as severity, case when raw_score <= 25 then 'LOW THREAT' when raw_score <= 60 then 'NEEDS REVIEW' else 'LIKELY MALICIOUS' end as verdict from r
 """
-ORACLE["lookup_feeds"] = fx.values_sql("row_id, raw_score, severity, verdict, n_factors, error", [(r[0], *r[2:]) for r in fx.FEED_ROWS])
+ORACLE["lookup_feeds"] = f"select o_orderkey as row_id, {', '.join(f'{drawn.pick(drawn.K, [r[i] for r in fx.FEED_ROWS])} as {name}' for i, name in enumerate(('raw_score', 'severity', 'verdict', 'n_factors', 'error'), 2))} from orders"
 ORACLE["severity_histogram"] = f"select severity, count(*) as n from ({ORACLE['url_risk']}) group by severity"
+_KINDS = f"(select row_id, trim(raw) as clean, {drawn.pick('row_id', drawn.KINDS)} as input_type from ({drawn.INDICATORS}))"
 ORACLE["checks"] = f"""
 select row_id, case input_type when 'ip' then 'Infrastructure' when 'hash' then '' when 'url' then 'TLD|Entropy|URL Heuristics|Infrastructure' else 'TLD|Entropy|Infrastructure' end as passed,
-case input_type when 'ip' then 'VT|OTX|AbuseIPDB' when 'hash' then 'VT|OTX' else 'VT|OTX|Age|TLS|Subdomains' end as failed, '' as skipped from ({ORACLE['input_types']}) where input_type <> 'unknown' and row_id < 1000
+case input_type when 'ip' then 'VT|OTX|AbuseIPDB' when 'hash' then 'VT|OTX' else 'VT|OTX|Age|TLS|Subdomains' end as failed, '' as skipped from {_KINDS} where input_type <> 'unknown'
 """
 ORACLE["display_forms"] = f"""
 select row_id, case when input_type = 'ip' then 'https://www.abuseipdb.com/check/' || replace(replace(clean, ':', '%3A'), '/', '%2F') else 'https://www.abuseipdb.com/' end as abuse_link, rtrim(translate(to_base64(encode(clean)), '+/', '-_'), '=') as url_key,
-case when regexp_matches(clean, '(?i)^https?://') then 'url' when regexp_full_match(clean, '(\\d{{1,3}}\\.){{3}}\\d{{1,3}}') then 'ip' else 'domain' end as guess, case when length(clean) <= 8 then repeat('•', length(clean)) else left(clean, 4) || repeat('•', length(clean) - 8) || right(clean, 4) end as masked,
-case when row_id * 1000 < 1024 then row_id * 1000 || ' B' else printf('%.1f KB', row_id * 1000 / 1024.0::double) end as size from ({ORACLE['input_types']}) where input_type <> 'unknown' and row_id < 1000
+case when starts_with(clean, 'http') then 'url' when row_id % 9 = 0 then 'ip' else 'domain' end as guess, case when length(clean) <= 8 then repeat('•', length(clean)) else left(clean, 4) || repeat('•', length(clean) - 8) || right(clean, 4) end as masked,
+case when b < 1024 then b || ' B' when b < 1048576 then printf('%.1f KB', floor(b / 1024.0::double * 10 + 0.5) / 10) else printf('%.1f MB', floor(b / 1048576.0::double * 10 + 0.5) / 10) end as size from (select *, row_id % 3000 * 1000 as b from {_KINDS}) where input_type <> 'unknown'
 """
 
 _LABEL = "case verdict when 'HIGHLY MALICIOUS' then 'Highly Malicious' when 'LIKELY MALICIOUS' then 'Likely Malicious' when 'NEEDS REVIEW' then 'Needs Review' when 'LOW THREAT' then 'Low Threat' else verdict end"

@@ -12,7 +12,7 @@ from ..functions import brands, hosts, infra, intel, text, urls
 from ..operators import artifacts, display, mail, redirects
 from ..sources.tables import table
 from ..streaming import calls as call_log
-from . import artifact_queries, histories, joins, risk
+from . import artifact_queries, drawn, histories, joins, risk
 from .lookup import check_status, classify, enrich, lookup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,26 +75,26 @@ def url_heuristics(spark, sf_dir):
 
 
 def gateway_unwrap(spark, sf_dir):
-    df = urls.with_unwrapped(spark.sql(fx.WRAPPED).select("url_id", "url"), "url", "destination")
+    df = urls.with_unwrapped(drawn.read(spark, sf_dir, drawn.WRAPPED), "url", "destination")
     return df.select("url_id", "destination", urls.gateway_name(F.col("url")).alias("gateway"), urls.is_wrapper(F.col("destination")).alias("is_wrapper"))
 
 
 def infrastructure(spark, sf_dir):
     c = F.col
-    df = spark.sql(fx.INFRA).withColumn("i", infra.infrastructure(c("host"), F.when(c("cname").isNotNull(), F.array("cname")), c("org"), c("issuer"), F.lit(None).cast("string"), c("tls_error").cast("string")))
+    df = drawn.read(spark, sf_dir, drawn.INFRA).withColumn("i", infra.infrastructure(c("host"), F.when(c("cname").isNotNull(), F.array("cname")), c("org"), c("issuer"), F.lit(None).cast("string"), c("tls_error").cast("string")))
     return df.select("host_id", "i.provider", "i.category", "i.rapid_deploy", "i.method")
 
 
-def _pulses(spark):
-    p = spark.sql(fx.PULSES).withColumn("pulse", F.struct(F.split("tags", ",").alias("tags"), F.array("family").alias("malware_families"), "adversary", F.col("modified").alias("modified")))
+def _pulses(spark, sf_dir):
+    p = drawn.read(spark, sf_dir, drawn.PULSES).withColumn("pulse", F.struct(F.split("tags", ",").alias("tags"), F.array("family").alias("malware_families"), "adversary", F.col("modified").alias("modified")))
     return p.groupBy("ioc").agg(F.max("pulse_count").alias("pulse_count"), F.array_sort(F.collect_list("pulse")).alias("pulses"))
 
 
 def pulse_tiers(spark, sf_dir):
     c = F.col
-    p = _pulses(spark).withColumn("i", intel.pulse_info(c("pulse_count"), F.lit(None).cast("int"), c("pulses")))
+    p = _pulses(spark, sf_dir).withColumn("i", intel.pulse_info(c("pulse_count"), F.lit(None).cast("int"), c("pulses")))
     p = p.withColumn("days", intel.recent_days(c("pulses"), F.lit("2024-06-01 00:00:00").cast("timestamp")))
-    df = p.join(spark.sql(fx.DOMAINS), c("ioc") == c("domain"))
+    df = p.join(drawn.read(spark, sf_dir, drawn.DOMAINS), c("ioc") == c("domain"))
     tier = intel.confidence_tier(c("malware_count"), c("i.high_risk_tags"), c("pulse_count"), c("days"), c("dns_count"), c("ip_count"))
     df = df.withColumn("tier", tier)
     return df.select(
@@ -106,24 +106,24 @@ def pulse_tiers(spark, sf_dir):
 def verdict_merge(spark, sf_dir):
     c = F.col
     one = lambda p: F.struct(c(f"{p}_bad").alias("malicious"), c(f"{p}_gone").alias("not_found"), c(f"{p}_seen").alias("last_seen"))
-    df = spark.sql(fx.VERDICTS).withColumn("m", intel.merged_verdict(one("url"), one("host")))
+    df = drawn.read(spark, sf_dir, drawn.VERDICTS).withColumn("m", intel.merged_verdict(one("url"), one("host")))
     df = df.withColumn("n", intel.verdict_counts(F.struct(c("url_bad").alias("malicious"), "suspicious", "harmless", "undetected")))
     score = intel.derived_file_score(F.when(c("own_score") != 0, c("own_score")).cast("double"), c("n"))
     return df.select("id", "m.malicious", "m.last_seen", "m.source", "n.total", score.alias("file_score"))
 
 
 def ct_summary(spark, sf_dir):
-    df = intel.ct_summary(spark.sql(fx.CT).withColumn("name_value", F.replace("name_value", F.lit("|"), F.lit("\n"))))
+    df = intel.ct_summary(drawn.read(spark, sf_dir, drawn.CT).withColumn("name_value", F.replace("name_value", F.lit("|"), F.lit("\n"))))
     return df.select("domain", "subdomain_count", "explosion_level", _joined("subdomains").alias("subdomains"))
 
 
 def dns_summary(spark, sf_dir):
-    df = intel.dns_summary(spark.sql(fx.DNS))
+    df = intel.dns_summary(drawn.read(spark, sf_dir, drawn.DNS))
     return df.select("domain", _joined("a_records").alias("a"), _joined("cname_records").alias("cname"), _joined("mx_records").alias("mx"), "spf", "dmarc", "dkim")
 
 
 def passive_dns(spark, sf_dir):
-    return intel.passive_dns_summary(spark.sql(fx.PASSIVE))
+    return intel.passive_dns_summary(drawn.read(spark, sf_dir, drawn.PASSIVE))
 
 
 #: Feature rows for the score, drawn from order keys so that every rule meets many combinations. Plain SQL, for both engines.
@@ -182,20 +182,19 @@ def url_risk(spark, sf_dir):
     return out.select("row_id", _joined(F.transform("factors", lambda x: F.concat(x["key"], F.lit("="), x["points"].cast("string")))).alias("factors"), "raw_score", "severity", "verdict")
 
 
-def _feeds(spark) -> dict[str, DataFrame]:
+def _feeds(spark, sf_dir) -> dict[str, DataFrame]:
     listed = lambda c: F.filter(F.split(c, ","), lambda x: x != "").alias(c)
-    otx = spark.sql(fx.FEED_OTX)
+    feeds = {name: drawn.read(spark, sf_dir, sql) for name, sql in drawn.FEEDS.items()}
     none = lambda c, t: F.lit(None).cast(t).alias(c)
-    return {
-        "vt": spark.sql(fx.FEED_VT), "whois": spark.sql(fx.FEED_WHOIS), "tls": spark.sql(fx.FEED_TLS), "abuseipdb": spark.sql(fx.FEED_ABUSE),
+    otx = feeds["otx"]
+    return feeds | {
         "otx": otx.select("ioc", "pulse_count", listed("families").alias("malware_families"), listed("tags").alias("high_risk_tags"), none("all_tags", "array<string>"), "malware_count", F.col("recent_activity_days").cast("int"), "passive_dns_count", "unique_ip_count", none("file_score", "double"), "asn", none("error", "string")),
     }
 
 
 def lookup_feeds(spark, sf_dir):
-    """Indicators of every type against feed snapshots."""
-    rows = spark.sql(fx.values_sql("row_id, raw", [r[:2] for r in fx.FEED_ROWS]))
-    out = lookup(rows, _feeds(spark))
+    """Indicators of every type, drawn from orders, against feed snapshots of all customers."""
+    out = lookup(drawn.read(spark, sf_dir, drawn.ASKED), _feeds(spark, sf_dir))
     return out.select("row_id", "raw_score", "severity", "verdict", F.when(F.col("factors").isNotNull(), F.size("factors")).alias("n_factors"), "error")
 
 
@@ -204,7 +203,7 @@ def severity_histogram(spark, sf_dir):
 
 
 def checks(spark, sf_dir):
-    df = check_status(enrich(classify(spark.sql(fx.INPUTS)), {}))
+    df = check_status(enrich(classify(drawn.read(spark, sf_dir, drawn.INDICATORS)), {}))
     return df.where("input_type <> 'unknown'").select("row_id", _joined("passed").alias("passed"), _joined("failed").alias("failed"), _joined("skipped").alias("skipped"))
 
 
@@ -254,14 +253,13 @@ def call_windows(spark, sf_dir):
 
 
 def call_classes(spark, sf_dir):
-    sql = fx.values_sql("host", [(h,) for h in ("www.virustotal.com", "api.abuseipdb.com", "otx.alienvault.com", "urlscan.io", "crt.sh", "sub.crt.sh", "whois.team-cymru.com", "rdap.arin.net", "evil.com", "notvirustotal.com")])
-    return spark.sql(sql).withColumn("c", call_log.call_class(F.col("host"))).select("host", "c.api", "c.violation")
+    return drawn.read(spark, sf_dir, drawn.CALLED).withColumn("c", call_log.call_class(F.col("host"))).select("call_id", "host", "c.api", "c.violation")
 
 
 def redirect_chains(spark, sf_dir):
     c = F.col
     parts = lambda x: F.filter(F.split(x, r"\|"), lambda v: v != "")
-    df = spark.sql(fx.CHAINS).select("url", parts("vt_redirects").alias("vt_redirects"), c("vt_final").alias("vt_last_final_url"), "vt_url", F.transform(parts("us_redirects"), lambda v: F.struct(v.alias("redirect_url"), F.lit(None).cast("string").alias("location"))).alias("us_requests"), c("us_page").alias("us_page_url"), parts("us_listed").alias("us_list_urls"))
+    df = drawn.read(spark, sf_dir, drawn.CHAINS).select("url", parts("vt_redirects").alias("vt_redirects"), c("vt_final").alias("vt_last_final_url"), "vt_url", F.transform(parts("us_redirects"), lambda v: F.struct(v.alias("redirect_url"), F.lit(None).cast("string").alias("location"))).alias("us_requests"), c("us_page").alias("us_page_url"), parts("us_listed").alias("us_list_urls"))
     out = redirects.chains(df)
     return out.select("url", _joined("url_chain").alias("chain"), _joined("domains").alias("hosts"), "final_url")
 
@@ -285,40 +283,40 @@ def redirect_totals(spark, sf_dir):
     return redirects.redirect_summary(_elevated(spark, sf_dir))
 
 
-def _mails(spark):
-    rows = spark.sql(fx.MAILS)
+def _mails(spark, sf_dir):
+    rows = drawn.read(spark, sf_dir, drawn.MAILS)
     return rows.groupBy("msg_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "value"))), lambda h: F.struct(h["name"].alias("name"), h["value"].alias("value"))).alias("headers"))
 
 
 def mail_verdicts(spark, sf_dir):
-    df = mail.analyse(_mails(spark))
+    df = mail.analyse(_mails(spark, sf_dir))
     flat = F.transform("sender.mismatches", lambda m: F.concat(m["field"], F.lit("="), m["value"], F.lit("/"), m["severity"]))
     return df.select("msg_id", F.col("origin.hostname").alias("origin"), F.size("hops").alias("n_hops"), "verdict.spf", "verdict.dkim", "verdict.dmarc", "verdict.source_type", "arc.chain_valid", "arc.trusted_instance", "sender.from_domain", "sender.bulk_sender", _joined(flat).alias("mismatches"), F.size("anomalies").alias("n_anomalies"))
 
 
 def mail_hops(spark, sf_dir):
-    df = mail.with_transport(_mails(spark))
+    df = mail.with_transport(_mails(spark, sf_dir))
     rows = df.select("msg_id", F.posexplode("hops").alias("ix", "h"))
     return rows.select("msg_id", "ix", "h.sending_host", "h.receiving_host", "h.ip", F.coalesce("h.gateway", F.lit("")).alias("gateway"), "h.is_internal")
 
 
 def mail_flow(spark, sf_dir):
-    return mail.mail_flow(mail.with_transport(_mails(spark))).select("msg_id", "pos", "label", "hostname")
+    return mail.mail_flow(mail.with_transport(_mails(spark, sf_dir))).select("msg_id", "pos", "label", "hostname")
 
 
 def auth_records(spark, sf_dir):
-    return mail.auth_records(mail.with_auth_timeline(mail.with_transport(_mails(spark)))).select("msg_id", "ix", "type", "spf", "dkim", "dmarc", "mailfrom_domain", "signing_domain")
+    return mail.auth_records(mail.with_auth_timeline(mail.with_transport(_mails(spark, sf_dir)))).select("msg_id", "ix", "type", "spf", "dkim", "dmarc", "mailfrom_domain", "signing_domain")
 
 
 def sender_domains(spark, sf_dir):
-    return mail.sender_domains(_mails(spark)).select("msg_id", "domain", _joined("fields").alias("fields"), "mismatch")
+    return mail.sender_domains(_mails(spark, sf_dir)).select("msg_id", "domain", _joined("fields").alias("fields"), "mismatch")
 
 
 def display_forms(spark, sf_dir):
     c = F.col
-    df = spark.sql(fx.INPUTS).withColumn("clean", text.sanitize(c("raw"))).withColumn("t", text.input_type(c("clean"))).where("t <> 'unknown'")
+    df = drawn.read(spark, sf_dir, drawn.INDICATORS).withColumn("clean", text.sanitize(c("raw"))).withColumn("t", text.input_type(c("clean"))).where("t <> 'unknown'")
     links = display.external_links(c("clean"), c("t"))
-    return df.select("row_id", links["abuseipdb"].alias("abuse_link"), links["url_id"].alias("url_key"), display.indicator_guess(c("clean")).alias("guess"), text.masked_key(c("clean")).alias("masked"), display.format_bytes(c("row_id") * 1000).alias("size"))
+    return df.select("row_id", links["abuseipdb"].alias("abuse_link"), links["url_id"].alias("url_key"), display.indicator_guess(c("clean")).alias("guess"), text.masked_key(c("clean")).alias("masked"), display.format_bytes(c("row_id") % 3000 * 1000).alias("size"))
 
 
 QUERIES: dict[str, Query] = {
