@@ -184,6 +184,9 @@ select id, n as n_factors, points as factor_points, raw as raw_score, least(raw,
   case sev when 'LOW' then 'LOW THREAT' when 'MEDIUM' then 'NEEDS REVIEW' else case when mal >= 1 or otx_ok and (pulses > 0 or nf > 0 or tags <> '') or not hash and conf > 0 then 'HIGHLY MALICIOUS' else 'LIKELY MALICIOUS' end end as verdict from j
 """
 
+#: Points of an address by the two feeds on addresses: its last octet's confidence, and a twelfth's rest of the second one as verdicts.
+_ADDRESS_POINTS = """(case when string_split(ip, '.')[4]::int > 50 then 30 when string_split(ip, '.')[4]::int > 20 then 20 when string_split(ip, '.')[4]::int >= 5 then 10 else 0 end
+  + case when string_split(ip, '.')[2]::int % 12 = 0 then 0 when string_split(ip, '.')[2]::int % 12 = 1 then 10 when string_split(ip, '.')[2]::int % 12 <= 3 then 25 when string_split(ip, '.')[2]::int % 12 <= 7 then 40 else 45 end)"""
 _TEXTS = ("origin", "from_domain", "mismatches", "sending_host", "receiving_host", "domain", "label", "hostname", "mailfrom_domain", "signing_domain")
 
 
@@ -253,7 +256,7 @@ select ioc, count(*) as passive_dns_count, count(distinct a) as unique_ip_count,
 s as (select doc_id, string_split(ip, '.')[-1]::int % 100 as score from (select doc_id, unnest(xs) as ip from ips)),
 m as (select doc_id, count_if(score > 60) as high, count_if(score between 26 and 60) as medium, max(score) as top from s group by doc_id)
 select doc_id, n_url, n_domain, n_ip, coalesce(high, 0)::bigint as total_high, coalesce(medium, 0)::bigint as total_medium, coalesce(top, 0)::int as max_score, (n_url + n_domain + n_ip)::bigint as total_artifacts from n left join m using (doc_id) where n_url + n_domain + n_ip > 0""",
-    "artifact_scores": f"with {_ART} select doc_id, ip as ioc, 'ip' as ioc_type, 0 as score, 'LOW' as severity from pub",
+    "artifact_scores": f"with {_ART}, s as (select doc_id, ip, {_ADDRESS_POINTS} as score from pub) select doc_id, ip as ioc, 'ip' as ioc_type, score, case when score <= 25 then 'LOW' when score <= 60 then 'MEDIUM' else 'HIGH' end as severity from s",
     "calls_by_api": f"""with {_CALLS}, m as (select session_id, api, method, count(*) as n from calls group by all), s as (select session_id, api, sum(n)::bigint as calls, string_agg(method || '=' || n, ',' order by method) as methods from m group by all)
 select *, row_number() over (partition by session_id order by (api = 'violation')::int, calls desc, api) as ord from s""",
     "session_timeline": f"with {_CALLS} select event_id, session_id, round_even((epoch_us(ts) - epoch_us(min(ts) over (partition by session_id))) / 1e6, 2) as t from calls",
@@ -295,7 +298,8 @@ r as (select row_id, array_to_string(fs, '|') as factors, coalesce(list_sum(list
 select row_id, factors, raw_score, case when raw_score <= 25 then 'LOW' when raw_score <= 60 then 'MEDIUM' else 'HIGH' end as severity, case when raw_score <= 25 then 'LOW THREAT' when raw_score <= 60 then 'NEEDS REVIEW' else 'LIKELY MALICIOUS' end as verdict from r
 """
 ORACLE["lookup_feeds"] = f"select o_orderkey as row_id, {', '.join(f'{drawn.pick(drawn.K, [r[i] for r in fx.FEED_ROWS])} as {name}' for i, name in enumerate(('raw_score', 'severity', 'verdict', 'n_factors', 'error'), 2))} from orders"
-ORACLE["severity_histogram"] = f"select severity, count(*) as n from ({ORACLE['url_risk']}) group by severity"
+ORACLE["severity_histogram"] = f"""with r as (select row_id, raw_score, row_id % 30 as bad from ({ORACLE['url_risk']})), s as (select row_id, raw_score + case when bad = 0 then 0 when bad = 1 then 10 when bad <= 4 then 25 when bad <= 9 then 35 when bad <= 19 then 45 else 55 end as score from r)
+select case when row_id % 50 = 49 then 'ERROR' when score <= 25 then 'LOW' when score <= 60 then 'MEDIUM' else 'HIGH' end as severity, count(*) as n from s group by 1"""
 _KINDS = f"(select row_id, trim(raw) as clean, {drawn.pick('row_id', drawn.KINDS)} as input_type from ({drawn.INDICATORS}))"
 ORACLE["checks"] = f"""
 select row_id, case input_type when 'ip' then 'Infrastructure' when 'hash' then '' when 'url' then 'TLD|Entropy|URL Heuristics|Infrastructure' else 'TLD|Entropy|Infrastructure' end as passed,
@@ -316,9 +320,8 @@ _CHAINED = """chained as (select page_id as pos, regexp_extract(url, '^[a-z]+://
 #: Queries of ``artifact_queries``: their inputs are made from keys, and so are these results.
 ORACLE |= {
     "mail_parts": """select doc_id as msg_id, 'doc-' || doc_id || '.txt' as filename, octet_length(encode(coalesce(text, '')))::bigint as size, sha256(coalesce(text, '')) as sha256, sha256(coalesce(text, '')) as body_sha256 from documents""",
-    "mail_scores": f"""with {_ART}, s as (select doc_id, string_split(ip, '.')[-1]::int as c from (select doc_id, unnest(xs) as ip from ips)),
-p as (select doc_id, case when c > 50 then 30 when c > 20 then 20 when c >= 5 then 10 else 0 end as score from s union all select doc_id, 0 from documents)
-select doc_id as msg_id, max(score) as overall_score, {_SEVERITY.format("max(score)")} as severity, 0::bigint as n_high, count_if(score > 25) as n_medium from p group by doc_id""",
+    "mail_scores": f"""with {_ART}, p as (select doc_id, {_ADDRESS_POINTS} as score from (select doc_id, unnest(xs) as ip from ips) union all select doc_id, 0 from documents)
+select doc_id as msg_id, max(score) as overall_score, {_SEVERITY.format("max(score)")} as severity, count_if(score > 60)::bigint as n_high, count_if(score between 26 and 60)::bigint as n_medium from p group by doc_id""",
     "mail_links": """select page_id as msg_id, 'www.other' || page_id % 7 || '.org now' as display, 'www.other' || page_id % 7 || '.org' as display_domain, 'site' || page_id % 50 || '.com' as href_domain,
 case when page_id % 2 = 0 then '' else 'https://site' || page_id % 50 || '.com/p' end as unwrapped_href from pages where page_id % 3 = 1""",
     "received_addresses": """with x as (select o_orderkey, o_orderkey % 256 || '.7.1.' || o_orderkey % 3 as one, o_orderkey % 5 + 1 || '.7.1.' || o_orderkey % 3 as two from orders)
@@ -341,7 +344,10 @@ select 'f' || doc_id || case k when 0 then '.html' when 1 then '.csv' else '.TXT
     "json_rows": "select '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' as value from nation",
     "hop_view": f"""with {_CHAINED}, h as (select pos as page_id, unnest(case when leads then [host, 'mid.net', last] else [host] end) as domain, unnest(case when leads then [0, 1, 2] else [0] end) as ix, leads from chained)
 select page_id, ix, domain, ix = 0 as is_first, ix = case when leads then 2 else 0 end as is_final from h""",
-    "final_hosts": f"""with {_CHAINED} select pos, case when ends_with(last, '.xyz') then 15 else 0 end as final_score, case when ends_with(last, '.xyz') then 'High' else 'Low' end as final_tld_level, ends_with(last, '.xyz') as chain_suspicious from chained where leads""",
+    "final_hosts": f"""with {_CHAINED}, k as (select pos, last, last[5]::int as k from chained where leads),
+s as (select pos, last, (case when ends_with(last, '.xyz') then 15 else 0 end + case k when 0 then 0 when 1 then 35 when 2 then 45 when 3 then 45 else 55 end + -- age; and of the youngest one, its risky suffix and the pattern that both make
+  case k when 0 then 30 + 10 + 10 when 2 then 10 when 4 then 5 else 0 end)::int as final_score from k)
+select pos, final_score, case when ends_with(last, '.xyz') then 'High' else 'Low' end as final_tld_level, final_score >= 60 or ends_with(last, '.xyz') as chain_suspicious from s""",
     "redirect_totals": """with p as (select page_id as pos, page_id % 70 > 25 as live, regexp_extract(url, '^[a-z]+://[^/?#]*') as origin from pages), c as (select origin, min(pos) % 5 as k from p where live group by origin)
 select count(distinct case when live then origin end) as analysed, count_if(not live) as skipped, count(*) as total_url_results, count_if(live and (20 * k >= 60 or k = 1)) as suspicious_chains from p left join c using (origin)""",
     "source_badges": f"""with x as (select o_custkey % 100 as msg_id, case o_orderkey % 3 when 0 then 'QR Code' when 1 then 'Email Body' else 'Attachment' end as source, {_SEVERITY.format("o_orderkey * 37 % 101")} as s from orders)

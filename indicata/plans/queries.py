@@ -199,7 +199,11 @@ def lookup_feeds(spark, sf_dir):
 
 
 def severity_histogram(spark, sf_dir):
-    return display.severity_histogram(url_risk(spark, sf_dir))
+    """Severities of the pages' urls with a feed of verdicts on them; broken rows come from one page in fifty without a url."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    feed = pages.select(F.col("url").alias("ioc"), (F.col("page_id") % 30).cast("int").alias("malicious"), F.lit(0).alias("suspicious"), F.lit(50).alias("harmless"), F.lit(9).alias("undetected"), F.col("page_id").alias("last_seen"), F.lit(False).alias("not_found"), F.lit(None).cast("string").alias("error"))
+    asked = pages.select(F.col("page_id").alias("row_id"), F.when(F.col("page_id") % 50 != 49, F.col("url")).alias("raw"))
+    return display.severity_histogram(lookup(asked, {"vt": feed}))
 
 
 def checks(spark, sf_dir):
@@ -222,9 +226,9 @@ def artifact_counts(spark, sf_dir):
 
 
 def artifact_scores(spark, sf_dir):
-    """Documents' indicators scored once each and joined back."""
+    """Documents' indicators scored once each with two feeds and joined back."""
     found = artifacts.extract(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return artifacts.score_fan_out(artifacts.long_form(found), {}, "doc_id").select("doc_id", "ioc", "ioc_type", "score", "severity")
+    return artifacts.score_fan_out(artifacts.long_form(found), artifact_queries.address_feeds(spark, sf_dir), "doc_id").select("doc_id", "ioc", "ioc_type", "score", "severity")
 
 
 def _calls(spark, sf_dir):
