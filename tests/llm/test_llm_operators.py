@@ -354,16 +354,29 @@ def _dice(text):
     for raw in re.split(r"[.!?][^\w \t\r\n]*[ \t\r\n]+|\n", text or ""):
         words = re.sub(r"[\W_]+", " ", raw.lower()).split()
         own = {f"{a} {b}" for a, b in zip(words, words[1:])}
-        best = min(((-2 * len(own & set(t)) / (len(own) + len(t)), n) for n, t in ((n, licenses.bigrams(s)) for n, s in licenses.TEMPLATES)), default=None)
+        numbers = lambda t: {g for g in t if g.split()[1].isdigit()}
+        best = min(((-2 * len(own & set(t)) / (len(own) + len(t)), n) for n, t in ((n, licenses.bigrams(s)) for n, s in licenses.TEMPLATES) if numbers(t) <= own), default=(0, ""))
         if own and -best[0] >= licenses.THRESHOLD:
             found.append(best)
+    # long notices are looked for over the ends of sentences, too; here only where no sentence holds one
+    words = re.sub(r"[\W_]+", " ", (text or "").lower()).split()[:500]
+    grams, spans = [f"{a} {b}" for a, b in zip(words, words[1:])], []
+    for n, s in licenses.TEMPLATES if not found else ():
+        t, length = licenses.bigrams(s), len(re.sub(r"[\W_]+", " ", s).split()) - 1
+        for k in range(len(grams)) if len(t) >= licenses.SPAN_BIGRAMS else ():
+            span = grams[k : k + length]
+            common, other = len(set(span) & set(t)), sum(g not in t for g in span)
+            dice = 2 * common / (common + other + len(t))
+            if grams[k] in t and dice >= licenses.THRESHOLD and {g for g in t if g.split()[1].isdigit()} <= set(span):
+                spans.append((len(t) + other - 2 * common, -dice, n))
+    found += [min(spans)[1:]] if spans else []
     best = min(found, default=None)
     return len(found), ",".join(sorted({n for _, n in found})), best and best[1], -best[0] if best else 0.0
 
 
 def test_licenses(spark):
     notices = [t for _, t in licenses.TEMPLATES]
-    texts = [(k, f"Some words here. {t}! More words.\nLast") for k, t in enumerate(notices)] + [(100, "Licensed under the Apache Licence, Version 2.0."), (101, "this work is *licensed* under the GNU general public license version 3"), (102, None), (103, ""), (104, "license " * 30_000), (105, "Released under the MIT License.\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License."), (105, "Released under the MIT License.\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License."), (106, "under the license of nothing at all")]
+    texts = [(1000 + k, f"Some words here. {t}! More words.\nLast") for k, t in enumerate(notices)] + [(100, "Licensed under the Apache Licence, Version 2.0."), (101, "this work is *licensed* under the GNU general public license version 3"), (102, None), (103, ""), (104, "license " * 30_000), (105, "Released under the MIT License.\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License."), (105, "Released under the MIT License.\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License."), (106, "under the license of nothing at all")]
     got = {r[0]: tuple(r)[1:] for r in licenses.scan(docs(spark, texts)).collect()}
     assert set(got) == {i for i, _ in texts}
     for i, t in texts:
