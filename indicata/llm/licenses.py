@@ -251,7 +251,7 @@ seg as (select doc_id, generate_subscripts(s, 1) as seg, unnest(s) as raw from (
 cut as (select doc_id, seg, {grams} as g from (select doc_id, seg, {words.format("raw")} as w from seg)),
 a as (select doc_id, seg, len(g) as size_a, unnest(g) as gram from cut where len(g) between 1 and 200),
 b as (select k, license, len(g) as size_b, len(list_filter(g, lambda x: {number.format("x")})) as nums, unnest(g) as gram from tpl),
-dice as (select doc_id, seg, license, 2.0::double * count(*) / (any_value(size_a) + any_value(size_b)) as dice from a join b using (gram) group by doc_id, seg, k, license having count_if({number.format("gram")}) = any_value(nums)),
+dice as (select doc_id, seg, license, 2.0::double * count(distinct gram) / (any_value(size_a) + any_value(size_b)) as dice from a join b using (gram) group by doc_id, seg, k, license having count(distinct case when {number.format("gram")} then gram end) = any_value(nums)),
 best as (select doc_id, seg, arg_min(license, (-dice, license)) as license, max(dice) as dice from dice where dice >= {threshold} group by doc_id, seg),
 clauses(k, license, clause) as (values {rows((*templates, *clauses))}),
 cl as (select k, license, len(w) - 1 as length, {grams} as g from (select k, license, {words.format("clause")} as w from clauses)),
