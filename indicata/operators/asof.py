@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settled
+
 #: Rows of a key in a block, about.
 HOT = 100_000
 #: Blocks of a key at most, and large keys that are sent to all tasks.
@@ -86,7 +88,7 @@ def running_counts(rows: DataFrame, *, keys: Sequence[str], time: str, into: str
     blocks hold is added, so no key is swept by one task. Rows without a key or a time don't count.
     """
     there = rows.where(F.col(time).isNotNull() & ~F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)))
-    each = there.groupBy(*keys, F.col(time).alias(time)).agg(F.count("*").alias("_n"))
+    each = settled(there.groupBy(*keys, F.col(time).alias(time)).agg(F.count("*").alias("_n")))
     each = each.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("_k"), F.unix_micros(F.col(time).cast("timestamp")).alias("_us"), F.col(time), "_n")
     bounds = time_blocks(each.select("_k", "_us"), hot)
     if bounds is None:
@@ -107,13 +109,16 @@ def running_counts(rows: DataFrame, *, keys: Sequence[str], time: str, into: str
 def counts_before(rows: DataFrame, *, keys: Sequence[str], time: str, seconds: Sequence[int], hot: int = HOT) -> DataFrame:
     """``rows`` with last_N for each N of ``seconds``: rows of the same key within the N seconds up to the row's time, itself included.
 
-    A count is that up to the row less that before its window, both looked up in the key's running counts. Rows without
-    a key or a time keep null counts.
+    A count is that up to the time less that before its window. Each time of a key is looked up once, for itself and for
+    the starts of its windows, in the key's running counts. Rows without a key or a time keep null counts.
     """
-    known = running_counts(rows, keys=keys, time=time, hot=hot)
-    out = as_of(rows, known, keys=keys, event_time=time, record_time=time, columns=["upto"], into="_upto", hot=hot)
-    for n in seconds:
-        start = out.withColumn("_start", F.col(time) - F.make_dt_interval(secs=F.lit(n)) - F.expr("interval 1 microsecond"))
-        out = as_of(start, known, keys=keys, event_time="_start", record_time=time, columns=["upto"], into="_from", hot=hot)
-        out = out.withColumn(f"last_{n}", F.col("_upto.upto") - F.when(F.col("_upto").isNotNull(), F.coalesce("_from.upto", F.lit(0)))).drop("_start", "_from")
-    return out.drop("_upto")
+    known = settled(running_counts(rows, keys=keys, time=time, hot=hot))
+    starts = [F.struct(F.lit(n).alias("_window"), (F.col(time) - F.make_dt_interval(secs=F.lit(n)) - F.expr("interval 1 microsecond")).alias("_start")) for n in seconds]
+    probes = known.select(*keys, F.col(time).alias("_at"), F.col("upto").alias("_upto"), F.explode(F.array(*starts)).alias("s")).select(*keys, "_at", "_upto", "s.*")
+    met = as_of(probes, known, keys=keys, event_time="_start", record_time=time, columns=["upto"], into="_from", hot=hot)
+    counts = met.groupBy(*keys, "_at").agg(*[F.max(F.when(F.col("_window") == n, F.col("_upto") - F.coalesce("_from.upto", F.lit(0)))).alias(f"last_{n}") for n in seconds])
+    counts = counts.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_at", *[f"last_{n}" for n in seconds])
+    same = F.col(time) == F.col("_at")
+    for i, k in enumerate(keys):
+        same &= F.col(k) == F.col(f"_key{i}")
+    return rows.join(counts, same, "left").select(*[rows[c] for c in rows.columns], *[f"last_{n}" for n in seconds])

@@ -94,3 +94,11 @@ def pasted(df: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
 def as_json(df: DataFrame) -> DataFrame:
     """Each row as one JSON text, for any text or message sink."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` materialised in the shared checkpoint folder, its lineage cut: for tables that a plan reads many times."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(scratch(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)
