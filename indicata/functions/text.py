@@ -43,6 +43,11 @@ def ends_with_any(value: Column, suffixes) -> Column:
     return F.rlike(value, F.lit("(?:" + "|".join(map(re.escape, suffixes)) + r")\z"))
 
 
+def matches(value: Column, pattern: str, held: str) -> Column:
+    """All matches of a pattern in a text; ``held`` is what each of them holds: one cheap search, after which most texts are done with."""
+    return F.when(value.rlike(held), F.regexp_extract_all(value, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once: expressions that use it often stay small."""
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DOMAIN as NAME
-from ..functions.text import any_of, ends_with_any, member, percent_decoded, pinned, text_or_empty
+from ..functions.text import any_of, ends_with_any, let, matches, member, percent_decoded, pinned, text_or_empty
 from ..functions.urls import gateway_name, is_wrapper, unwrapped_once, url_host, url_parts
 
 #: Caps: urls shown, domains, addresses, hashes.
@@ -48,8 +48,13 @@ IPV6 = (
 DOMAIN = rf"\b{NAME}\b"
 
 
+#: What every match of a pattern holds: one cheap search that most texts end with.
+_HELD = {URL: "(?i)https?://", IPV4: r"\d\.\d{1,3}\.\d", IPV6: ":[0-9a-fA-F]{0,4}:", DOMAIN: r"[a-zA-Z0-9]\.[a-zA-Z]{2}"}
+
+
 def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """All matches of one of the patterns above."""
+    return matches(text, pattern, _HELD[pattern])
 
 
 def is_private_ip(ip: Column) -> Column:
@@ -120,21 +125,24 @@ def extract(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ht
     are displayed; the rest are scored all the same.
     """
     c = F.col
-    df = df.select(c(id_col), percent_decoded(text_or_empty(c(text_col))).alias("_t"), (text_or_empty(c(html_col)) if html_col else F.lit("")).alias("_h"))
-    df = pinned(df)
-    df = df.withColumn("_full", F.when(c("_h") == "", c("_t")).otherwise(F.concat("_t", F.lit("\n"), "_h")))
-    df = df.withColumn("_raw", F.array_distinct(F.concat(urls_in(c("_full")), F.transform(hrefs_in(c("_h")), lambda u: F.regexp_replace(u, r"""[.,;)>"']+$""", "")))))
-    df = df.withColumn("_u", F.transform("_raw", lambda u: F.struct(u.alias("original"), u.alias("url"))))
-    for _ in range(layers):
-        df = pinned(df.withColumn("_u", F.transform("_u", lambda x: F.struct(x["original"].alias("original"), _unwrapped(x["url"]).alias("url")))))
-    df = df.withColumn("_u", F.filter("_u", lambda x: ~is_wrapper(x["url"])))
-    df = df.withColumn("_k", F.transform("_u", lambda x: x["url"]))
-    df = pinned(df)
-    df = df.withColumn("_u", F.filter("_u", lambda x, i: F.array_position(c("_k"), x["url"]) == i + 1))
-    urls = F.transform("_u", lambda x, i: F.struct(x["original"].alias("original"), x["url"].alias("url"), F.when(x["original"] != x["url"], gateway_name(x["original"])).alias("gateway"), (i < MAX_URLS).alias("displayed")))
-    df = df.withColumn("urls", urls).withColumn("_hosts", F.transform("_u", lambda x: url_host(x["url"])))
-    df = pinned(df)
-    return df.select(id_col, "urls", domains_in(c("_t"), c("_hosts")).alias("domains"), ips_in(c("_full")).alias("ips"))
+    html = text_or_empty(c(html_col)) if html_col else F.lit("")
+
+    def peeled(url: Column, left: int) -> Column:
+        return url if not left else let(_unwrapped(url), lambda u: peeled(u, left - 1))
+
+    def found(x: Column) -> Column:
+        raw = F.array_distinct(F.concat(urls_in(x["full"]), F.transform(hrefs_in(x["h"]), lambda u: F.regexp_replace(u, r"""[.,;)>"']+$""", ""))))
+        each = F.filter(F.transform(raw, lambda u: F.struct(u.alias("original"), peeled(u, layers).alias("url"))), lambda u: ~is_wrapper(u["url"]))
+        return let(each, lambda us: let(F.struct(us.alias("us"), F.transform(us, lambda u: u["url"]).alias("keys")), lambda k: named(x, F.filter(k["us"], lambda u, i: F.array_position(k["keys"], u["url"]) == i + 1))))
+
+    def named(x: Column, unique: Column) -> Column:
+        shown = lambda us: F.transform(us, lambda u, i: F.struct(u["original"].alias("original"), u["url"].alias("url"), F.when(u["original"] != u["url"], gateway_name(u["original"])).alias("gateway"), (i < MAX_URLS).alias("displayed")))
+        return let(unique, lambda us: F.struct(shown(us).alias("urls"), domains_in(x["t"], F.transform(us, lambda u: url_host(u["url"]))).alias("domains"), ips_in(x["full"]).alias("ips")))
+
+    # one expression over the text: nothing of it is copied from stage to stage
+    texts = let(F.struct(percent_decoded(text_or_empty(c(text_col))).alias("t"), html.alias("h")), lambda y: F.struct(y["t"].alias("t"), y["h"].alias("h"), F.when(y["h"] == "", y["t"]).otherwise(F.concat(y["t"], F.lit("\n"), y["h"])).alias("full")))
+    out = df.select(c(id_col), F.explode(F.array(let(texts, found))).alias("_found"))
+    return out.select(id_col, "_found.urls", "_found.domains", "_found.ips")
 
 
 def long_form(extracted: DataFrame, id_col: str = "doc_id", source: str = "Email Body") -> DataFrame:

@@ -13,6 +13,22 @@ from pyspark.sql import functions as F
 
 from ..functions.text import any_of, contains_any, pinned, present, strings, text_or_empty
 
+#: What headers look like of which hosts, addresses, times and results are read.
+MAIL_DOMAIN = r"@([\w.\-]+)"
+NAMED = r'"?([^"<]+)"?\s*<([^>]+)>'
+BARE_ADDRESS = r"[\w.\-+]+@[\w.\-]+"
+FROM_HOST = r"(?i)from\s+([\w.\-]+)"
+BY_HOST = r"(?i)by\s+([\w.\-]+)"
+FROM_IP = r"(?i)from\s+[\w.\-]+\s*\([^)]*?\[?([0-9a-fA-F.:]{3,})\]?\)"
+STAMP = r"(?is);\s*(.+)$"
+INSTANCE = r"(?i)^\s*i\s*=\s*\d+\s*;?\s*"
+METHOD = r"^(?i)(spf|dkim|dmarc|compauth)\s*="
+MAILFROM = r"(?i)smtp\.mailfrom\s*=\s*([\w.\-@]+)"
+ENVELOPE = r"(?i)envelope-from\s*=\s*<?[\w.\-]*@([\w.\-]+)>?"
+EVALUATED_IP = r"(?i)(?:sender\s+IP\s+is|client-ip\s*=|designates)\s+((?:\d{1,3}\.){3}\d{1,3}|[0-9a-fA-F:]{3,})"
+SIGNED_BY = r"(?i)header\.d\s*=\s*([\w.\-]+)"
+SHOWN_FROM = r"(?i)header\.from\s*=\s*([\w.\-]+)"
+
 #: Fixed values, in priority order: gateway, its name, and parts of its hosts' names.
 GATEWAYS = (
     ("proofpoint", "Proofpoint", ("pphosted.com", "proofpoint.com", "proofpointessentials.com", "pps.filterd", "ppops.net")),
@@ -87,17 +103,17 @@ def first_value(headers: Column, name: str) -> Column:
 
 
 def mail_domain(value: Column) -> Column:
-    d = F.lower(F.regexp_extract(text_or_empty(value), r"@([\w.\-]+)", 1))
+    d = F.lower(F.regexp_extract(text_or_empty(value), MAIL_DOMAIN, 1))
     return F.when(d != "", d)
 
 
 def name_and_address(value: Column) -> Column:
     """Struct of display name and lower-case address."""
     v = text_or_empty(value)
-    both = v.rlike(r'"?([^"<]+)"?\s*<([^>]+)>')
-    bare = F.regexp_extract(v, r"[\w.\-+]+@[\w.\-]+", 0)
-    name = F.when(both, F.trim(F.regexp_extract(v, r'"?([^"<]+)"?\s*<([^>]+)>', 1))).otherwise("")
-    address = F.when(both, F.trim(F.regexp_extract(v, r'"?([^"<]+)"?\s*<([^>]+)>', 2))).when(bare != "", bare).otherwise(F.trim(v))
+    both = v.rlike(NAMED)
+    bare = F.regexp_extract(v, BARE_ADDRESS, 0)
+    name = F.when(both, F.trim(F.regexp_extract(v, NAMED, 1))).otherwise("")
+    address = F.when(both, F.trim(F.regexp_extract(v, NAMED, 2))).when(bare != "", bare).otherwise(F.trim(v))
     return F.struct(name.alias("display_name"), F.lower(address).alias("address"))
 
 
@@ -107,10 +123,10 @@ def address_domain(address: Column) -> Column:
 
 def received_hop(raw: Column) -> Column:
     """One Received header as a hop."""
-    sending = F.lower(F.regexp_extract(raw, r"(?i)from\s+([\w.\-]+)", 1))
-    receiving = F.lower(F.regexp_extract(raw, r"(?i)by\s+([\w.\-]+)", 1))
-    ip = F.regexp_extract(raw, r"(?i)from\s+[\w.\-]+\s*\([^)]*?\[?([0-9a-fA-F.:]{3,})\]?\)", 1)
-    stamp = F.trim(F.regexp_extract(F.trim(raw), r"(?is);\s*(.+)$", 1))
+    sending = F.lower(F.regexp_extract(raw, FROM_HOST, 1))
+    receiving = F.lower(F.regexp_extract(raw, BY_HOST, 1))
+    ip = F.regexp_extract(raw, FROM_IP, 1)
+    stamp = F.trim(F.regexp_extract(F.trim(raw), STAMP, 1))
     stamp = F.substring(F.trim(F.regexp_replace(F.substring_index(stamp, "\n", 1), r"\s+", " ")), 1, 60)
     gateway = F.coalesce(gateway_of(sending), gateway_of(receiving))
     return F.struct(
@@ -143,19 +159,19 @@ def _or_null(value: Column) -> Column:
 
 def auth_fields(raw: Column) -> Column:
     """Struct of what one authentication header says."""
-    body = F.regexp_replace(F.trim(raw), r"(?i)^\s*i\s*=\s*\d+\s*;?\s*", "")
+    body = F.regexp_replace(F.trim(raw), INSTANCE, "")
     server = F.regexp_replace(F.trim(F.substring_index(body, ";", 1)), "^[<>\"']+|[<>\"']+$", "")
     server = F.trim(F.regexp_replace(server, r"\s+\d+$", ""))
-    server = F.when(server.rlike(r"^(?i)(spf|dkim|dmarc|compauth)\s*="), "").otherwise(server)
-    mail = F.regexp_extract(raw, r"(?i)smtp\.mailfrom\s*=\s*([\w.\-@]+)", 1)
-    envelope = F.regexp_extract(raw, r"(?i)envelope-from\s*=\s*<?[\w.\-]*@([\w.\-]+)>?", 1)
+    server = F.when(server.rlike(METHOD), "").otherwise(server)
+    mail = F.regexp_extract(raw, MAILFROM, 1)
+    envelope = F.regexp_extract(raw, ENVELOPE, 1)
     mail_from = F.when(mail != "", F.when(F.contains(mail, F.lit("@")), F.regexp_replace(mail, "^[^@]*@", "")).otherwise(mail)).otherwise(envelope)
     return F.struct(
         server.alias("server"), _result(raw, "spf").alias("spf"), _result(raw, "dkim").alias("dkim"), _result(raw, "dmarc").alias("dmarc"),
-        _or_null(F.regexp_extract(raw, r"(?i)(?:sender\s+IP\s+is|client-ip\s*=|designates)\s+((?:\d{1,3}\.){3}\d{1,3}|[0-9a-fA-F:]{3,})", 1)).alias("eval_ip"),
+        _or_null(F.regexp_extract(raw, EVALUATED_IP, 1)).alias("eval_ip"),
         _or_null(F.lower(mail_from)).alias("mailfrom_domain"),
-        _or_null(F.lower(F.regexp_extract(raw, r"(?i)header\.d\s*=\s*([\w.\-]+)", 1))).alias("signing_domain"),
-        _or_null(F.lower(F.regexp_extract(raw, r"(?i)header\.from\s*=\s*([\w.\-]+)", 1))).alias("header_from"),
+        _or_null(F.lower(F.regexp_extract(raw, SIGNED_BY, 1))).alias("signing_domain"),
+        _or_null(F.lower(F.regexp_extract(raw, SHOWN_FROM, 1))).alias("header_from"),
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import DOMAIN, IPV4
+from ..functions.text import DOMAIN, IPV4, matches
 from ..operators.asof import as_of
 from ..operators.neighbours import nearest_name
 from ..operators.patterns import first_pattern
@@ -45,7 +45,7 @@ def _drawn(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
 def suffix_splits(spark, sf_dir):
     """The hosts of the pages' urls and those in documents, split by a table of suffix rules."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"))
-    named = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(DOMAIN), F.lit(0)))).alias("host"))
+    named = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(matches(F.col("text"), DOMAIN, r"[a-zA-Z0-9]\.[a-zA-Z]{2}"))).alias("host"))
     rows = pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("key"), "host").unionByName(named.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "host"))
     out = with_suffix_split(rows, _drawn(spark, SUFFIX_RULES, hosts=pages))
     return out.select("key", "host", "split.registrable_domain", F.array_join("split.subdomain_labels", "|").alias("subdomain_labels"), "split.domain", "split.suffix")
@@ -80,7 +80,7 @@ def known_states(spark, sf_dir):
 
 def address_ranges(spark, sf_dir):
     """The addresses in documents with the narrowest of the customers' networks."""
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"\b{IPV4}\b"), F.lit(0)))).alias("address"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(matches(F.col("text"), rf"\b{IPV4}\b", r"\d\.\d{1,3}\.\d"))).alias("address"))
     networks = _drawn(spark, NETWORKS, customer=table(spark, sf_dir, "customer"))
     return covering(found, prefixes_of(networks, "id", cidr_col="cidr"))
 

@@ -47,44 +47,63 @@ def classify(rows: DataFrame, raw_col: str = "raw") -> DataFrame:
     return pinned(rows.withColumn("host", host))
 
 
-def _feed(df: DataFrame, feeds: dict[str, DataFrame], name: str, key: Column, alias: str) -> DataFrame:
-    """Left join with one struct of a feed; null where it has no record.
+def _names(feed: str) -> list[str]:
+    return [f.split()[0] for f in SCHEMAS[feed].split(", ")]
 
-    Of a key's records the newest counts, by ``as_of`` where the feed has that column,
-    then by ``last_seen``; of equally new ones one without an error, then the greatest
-    by its fields. Rows without a key are spread over all tasks.
+
+def _kind(feed: str) -> str:
+    return "struct<" + ",".join(f.replace(" ", ":", 1) for f in SCHEMAS[feed].split(", ")[1:]) + ">"
+
+
+def _newest(feed: str, table: DataFrame) -> DataFrame:
+    """(feed, key, and the struct named like the feed): a key's newest record (``as_of``, ``last_seen``), one without an error before others."""
+    names = _names(feed)
+    known = table.where(F.col(names[0]).isNotNull())
+    newest = [F.col(x) for x in ("as_of", "last_seen") if x in known.columns] + ([F.col("error").isNull()] if "error" in names else [])
+    one = known.groupBy(F.col(names[0]).alias("_key")).agg(F.max_by(F.struct(*names[1:]), F.struct(*newest, *names[1:])).cast(_kind(feed)).alias(f"_{feed}"))
+    return one.select(F.lit(feed).alias("_feed"), "_key", f"_{feed}")
+
+
+def _records(rows: DataFrame, feeds: dict[str, DataFrame], asked: dict[str, tuple[str, Column]]) -> DataFrame:
+    """(indicator, and a struct for each alias of ``asked``) of the indicators (clean, input_type, host) that some feed knows.
+
+    ``asked`` has the feed and the key of each alias. Each distinct indicator asks all feeds in one narrow join by
+    feed and key, and its answers are brought together by an aggregate; rows themselves aren't dealt for that.
     """
-    names = [f.split()[0] for f in SCHEMAS[name].split(", ")]
-    if name not in feeds:
-        kind = "struct<" + ",".join(f.replace(" ", ":", 1) for f in SCHEMAS[name].split(", ")[1:]) + ">"
-        return df.withColumn(alias, F.lit(None).cast(kind))
-    feed, own = feeds[name].where(F.col(names[0]).isNotNull()), f"_key_{alias}"
-    newest = [F.col(x) for x in ("as_of", "last_seen") if x in feed.columns] + ([F.col("error").isNull()] if "error" in names else [])
-    one = feed.groupBy(F.col(names[0]).alias(own)).agg(F.max_by(F.struct(*names[1:]), F.struct(*newest, *names[1:])).alias(alias))
-    spread = F.coalesce(key, F.concat(F.lit("\0"), F.xxhash64("clean").cast("string")))
-    return df.join(one, spread == F.col(own), "left").drop(own)
+    keys = [F.struct(F.lit(a).alias("alias"), F.lit(feed).alias("_feed"), key.alias("_key")) for a, (feed, key) in asked.items()]
+    long = rows.select("_indicator", F.explode(F.filter(F.array(*keys), lambda k: k["_key"].isNotNull())).alias("k")).select("_indicator", "k.*")
+    every = None
+    for feed in dict.fromkeys(feed for feed, _ in asked.values()):
+        one = _newest(feed, feeds[feed])
+        every = one if every is None else every.unionByName(one, allowMissingColumns=True)
+    met = long.join(every, ["_feed", "_key"])
+    return met.groupBy("_indicator").agg(*[F.any_value(F.when(F.col("alias") == a, F.col(f"_{feed}")), ignoreNulls=True).alias(a) for a, (feed, _) in asked.items()])
 
 
 def enrich(rows: DataFrame, feeds: dict[str, DataFrame], *, with_subdomains: bool = True) -> DataFrame:
     """Classified rows with one struct for each check."""
     c = F.col
-    low = F.lower("clean")
-    root = F.when(c("input_type") == "url", hosts.host_context(c("host"))["registrable_domain"])
-    df = pinned(rows.withColumn("_root", root))
-    df = _feed(df, feeds, "vt", F.when(c("input_type") == "url", c("clean")).otherwise(low), "vt_own")
-    df = _feed(df, feeds, "vt", F.when(c("input_type") == "url", c("host")), "vt_host")
-    df = _feed(df, feeds, "abuseipdb", F.when(c("input_type") == "ip", c("clean")), "abuse")
-    df = _feed(df, feeds, "otx", F.coalesce("host", low), "otx")
-    df = _feed(df, feeds, "otx", c("_root"), "otx_root").drop("_root")
-    df = _feed(df, feeds, "whois", c("host"), "whois")
-    df = _feed(df, feeds, "tls", c("host"), "tls")
-    df = _feed(df, feeds, "dns", c("host"), "dns")
-    df = _feed(df, feeds, "asn", F.get(c("dns")["a_records"], F.lit(0)), "owner")
-    if with_subdomains:
-        df = _feed(df, feeds, "ct", c("host"), "ct")
-    else:
-        df = _feed(df, {}, "ct", c("host"), "ct")
-    df = _feed(df, feeds, "redirects", F.when(c("input_type") == "url", c("clean")), "redirects")
+    low, is_url = F.lower("clean"), c("input_type") == "url"
+    asked = {
+        "vt_own": ("vt", F.when(is_url, c("clean")).otherwise(low)), "vt_host": ("vt", F.when(is_url, c("host"))), "abuse": ("abuseipdb", F.when(c("input_type") == "ip", c("clean"))),
+        "otx": ("otx", F.coalesce("host", low)), "otx_root": ("otx", c("_root")), "whois": ("whois", c("host")), "tls": ("tls", c("host")), "dns": ("dns", c("host")), "ct": ("ct", c("host")), "redirects": ("redirects", F.when(is_url, c("clean"))),
+    }
+    present = {a: x for a, x in asked.items() if x[0] in feeds and (with_subdomains or a != "ct")}
+    absent = {a: F.lit(None).cast(_kind(feed)) for a, (feed, _) in asked.items() if a not in present} | {"owner": F.lit(None).cast(_kind("asn"))}
+    df = rows
+    if present:
+        # a text that is the same for the same indicator, and never null
+        df = df.withColumn("_indicator", F.concat_ws("\x1f", c("input_type"), c("clean"), F.coalesce("host", F.lit("\0"))))
+        root = F.when(is_url, hosts.host_context(c("host"))["registrable_domain"]) if "otx_root" in present else F.lit(None).cast("string")
+        distinct = df.select("_indicator", "input_type", "clean", "host").dropDuplicates(["_indicator"]).withColumn("_root", root)
+        told = _records(pinned(distinct), feeds, present)
+        if "asn" in feeds and "dns" in present:
+            first = F.get(c("dns")["a_records"], F.lit(0))
+            owners = _newest("asn", feeds["asn"]).select(F.col("_key").alias("_address"), F.col("_asn").alias("owner"))
+            told = told.withColumn("_address", first).join(owners, "_address", "left").drop("_address")
+            absent.pop("owner")
+        df = df.join(told, "_indicator", "left").drop("_indicator")
+    df = pinned(df.withColumns(absent))
     # a url's intelligence falls back to the registrable domain on an error only
     df = df.withColumn("otx", F.when(c("otx")["error"].isNotNull() & c("otx_root").isNotNull(), c("otx_root")).otherwise(c("otx"))).drop("otx_root")
     url = c("input_type") == "url"

@@ -22,11 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pdf
+from .batches import by_bytes
 
 #: What an extracted url looks like.
 URL = re.compile(r"https?://[^\s\"'<>\)\]]+", re.I)
 BARE = re.compile(r"\b(?:www\.)?(?:[a-zA-Z0-9-]+\.)+[a-zA-Z]{2,6}(?:/[^\s\"'<>\)\]]*)?", re.I)
+#: Endings and types of the documents that are read, and of attachments without a name.
 OFFICE_ZIP = (".docx", ".dotx", ".docm", ".xlsx", ".xlsm", ".xltx", ".pptx", ".ppsx", ".pptm")
+ATTACHED = ("application/pdf", "application/msword", "application/vnd.ms-word", "application/vnd.ms-excel", "application/vnd.ms-powerpoint")
 LINK_CAP = 50
 
 MESSAGE = (
@@ -60,7 +63,7 @@ def read_message(raw: bytes) -> dict:
                 plain.append(_decoded(part))
             elif kind == "text/html":
                 html.append(_decoded(part))
-        known = kind.startswith("image/") or kind == "application/pdf" or "officedocument" in kind or kind in ("application/msword", "application/vnd.ms-word", "application/vnd.ms-excel", "application/vnd.ms-powerpoint")
+        known = kind.startswith("image/") or "officedocument" in kind or kind in ATTACHED
         if "attachment" in disposition or name or known:
             payload = part.get_payload(decode=True) or b""
             parts.append({"ix": ix, "content_type": kind, "disposition": disposition, "filename": name or "unknown", "size": len(payload), "sha256": hashlib.sha256(payload).hexdigest(), "payload": payload})
@@ -77,10 +80,9 @@ def _mapped(df: DataFrame, id_col: str, content_col: str, schema: str, row) -> D
     arrow = to_arrow_schema(_parse_datatype_string(spark_schema))
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, "_content"):
             rows = [row(x or b"") | {id_col: i} for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            if rows:
-                yield from pa.Table.from_pylist(rows, schema=arrow).to_batches()
+            yield from pa.Table.from_pylist(rows, schema=arrow).to_batches()
 
     return df.mapInArrow(run, spark_schema)
 
@@ -277,9 +279,8 @@ def files(df: DataFrame, noise_tlds, *, name_col: str = "filename", type_col: st
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, "payload"):
             rows = [{"filename": n, "content_type": t} | read_file(p or b"", n or "", t or "", noise) for n, t, p in zip(*(batch.column(k).to_pylist() for k in range(3)))]
-            if rows:
-                yield from pa.Table.from_pylist(rows, schema=arrow).to_batches()
+            yield from pa.Table.from_pylist(rows, schema=arrow).to_batches()
 
     return df.mapInArrow(run, schema)

@@ -33,6 +33,7 @@ ALLOWED = tuple(
     whois.team-cymru.com whois.iana.org rdap.arin.net rdap.ripe.net rdap.apnic.net rdap.lacnic.net rdap.afrinic.net
     """.split()
 )
+#: Names of the APIs as shown, and the seconds after its first call for which a session is kept.
 NAMES = {"virustotal": "VirusTotal", "otx": "AlienVault OTX", "abuseipdb": "AbuseIPDB", "urlscan": "URLScan.io", "crt_sh": "crt.sh", "dns_whois": "DNS / WHOIS", "violation": "Direct Infra Contact", "other": "Other"}
 SESSION_TTL = 3600
 
