@@ -15,7 +15,7 @@ four thousand million, with balls of radius 2.
 more. SimHash estimates the angle between the sets: at 0.8, 15 % of all bits differ,
 too many for balls that miss nothing. Fingerprints are longer there, and the number and
 width of segments follow from the number of documents (``layout``), so that a cell
-holds less than one unrelated text and a pair at exactly 0.8 shares a ball of radius 1
+holds few unrelated texts and a pair at exactly 0.8 shares a ball of radius 1
 with a probability of ``RECALL``; more similar pairs practically always do. Candidates
 are verified by complete distance, and then by their exact sets.
 
@@ -54,8 +54,11 @@ SEGMENTS, WIDE_SEGMENTS, MANY = ((0, 22), (22, 21), (43, 21)), ((0, 32), (32, 32
 #: Hashes summed up at once.
 BATCH = 1 << 16
 SIMILAR_SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.97
+#: Bits by which a segment is shorter than the documents are many: a lookup meets about 2 ** SPARE unrelated texts, which
+#: two words of fingerprint tell apart, and each bit less saves a tenth of the lookups that are dealt.
+SPARE = 4
 #: Classes in a cell up to which each lookup is compared with each of them at once, and rows of a cell that a task holds.
-HOT, CELL_ROWS = 32, 50_000
+HOT, CELL_ROWS = 128, 50_000
 #: Pairs of fingerprints compared at once.
 BLOCK = 1 << 20
 #: Lanes that go with a lookup; they decide what becomes a candidate.
@@ -157,7 +160,7 @@ def layout(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tu
     """For n documents: bits of a segment, number of segments, lanes, and the most differing bits of the shipped lanes and of all."""
     # sets of one size with Jaccard similarity j have the cosine 2 j / (1 + j); a bit differs with angle / pi
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = min(32, max(8, math.ceil(math.log2(max(n, 2)))))
+    bits = min(32, max(8, math.ceil(math.log2(max(n, 2))) - SPARE))
     ball = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
     count = max(1, math.ceil(math.log(1 - recall) / math.log(1 - ball)))
     lanes = max(SHIPPED, math.ceil(bits * count / 64))
