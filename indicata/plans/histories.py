@@ -17,9 +17,9 @@ _START = "timestamp_ntz'2024-01-01 00:00:00'"
 
 def _calls(events: DataFrame, documents: DataFrame) -> DataFrame:
     """Calls drawn from events and, one each, from documents: id, ts, session_id, api, violation."""
-    one = events.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), "ts", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_type").alias("api"), (F.col("event_id") % 11 == 0).alias("violation"), F.col("user_id").alias("caller"), F.col("value").alias("value"))
+    one = events.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), "ts", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_type").alias("api"), (F.col("event_id") % 11 == 0).alias("violation"), F.col("user_id").alias("caller"), F.col("value").alias("value"), F.floor(F.col("event_id") / 500).alias("team"))
     at = F.expr(f"{_START} + make_dt_interval(0, 0, 0, (doc_id * 7919) % 2592000)")
-    two = documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), at.alias("ts"), F.concat(F.lit("s"), (F.col("doc_id") % 40).cast("string")).alias("session_id"), F.col("lang").alias("api"), (F.col("doc_id") % 7 == 0).alias("violation"), (F.col("doc_id") * 31 % 5003).alias("caller"), F.col("n_chars").cast("double").alias("value"))
+    two = documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), at.alias("ts"), F.concat(F.lit("s"), (F.col("doc_id") % 40).cast("string")).alias("session_id"), F.col("lang").alias("api"), (F.col("doc_id") % 7 == 0).alias("violation"), (F.col("doc_id") * 31 % 5003).alias("caller"), F.col("n_chars").cast("double").alias("value"), F.floor(F.col("doc_id") / 500).alias("team"))
     return one.unionByName(two)
 
 
@@ -108,25 +108,25 @@ def pulse_reports(spark, sf_dir):
 
 
 def merged_sketches(spark, sf_dir):
-    """Callers and values of each API over three spans of days, from sketches by day; each estimate held against the exact figures of its span."""
-    calls = _calls(table(spark, sf_dir, "events"), table(spark, sf_dir, "documents")).select("api", "ts", "caller", "value")
-    days = sketches.by_day(calls, ["api"], "ts", "caller", "value")
+    """Callers and values of each API and team over three spans of days, from sketches by day; each estimate held against the exact figures of its span."""
+    calls = _calls(table(spark, sf_dir, "events"), table(spark, sf_dir, "documents")).select("api", "team", "ts", "caller", "value")
+    days = sketches.by_day(calls, ["api", "team"], "ts", "caller", "value")
     spans = {"whole": (None, None), "second_week": ("2024-01-08", "2024-01-14"), "one_day": ("2024-01-20", "2024-01-20")}
     out = None
     for name, (first, last) in spans.items():
         day = lambda d: None if d is None else F.lit(d).cast("date")
-        told = sketches.estimates(sketches.over_span(days, ["api"], day(first), day(last)), ["api"], (0.5, 0.95))
+        told = sketches.estimates(sketches.over_span(days, ["api", "team"], day(first), day(last)), ["api", "team"], (0.5, 0.95))
         at = F.to_date("ts")
         inside = calls.where(F.lit(True) if first is None else at.between(day(first), day(last)))
         # of an estimated quantile, the share of values below it and up to it must hold the quantile, but for the error of its rank
-        met = inside.join(F.broadcast(told), "api")
+        met = inside.join(told, ["api", "team"])
         rank = lambda q: [F.count_if(F.col("value") < F.col(q)) / F.count("value"), F.count_if(F.col("value") <= F.col(q)) / F.count("value")]
         ok = lambda q, share: (rank(q)[0] <= share + sketches.RANK_ERROR) & (rank(q)[1] >= share - sketches.RANK_ERROR)
         off = F.abs(F.any_value("n_distinct") / F.countDistinct("caller") - 1)
-        held = met.groupBy("api").agg(F.any_value("n").alias("n"), F.countDistinct("caller").alias("callers"), (off <= 4 * sketches.DISTINCT_ERROR).alias("callers_ok"), ok("q_50", 0.5).alias("median_ok"), ok("q_95", 0.95).alias("high_ok"))
+        held = met.groupBy("api", "team").agg(F.any_value("n").alias("n"), F.countDistinct("caller").alias("callers"), (off <= 4 * sketches.DISTINCT_ERROR).alias("callers_ok"), ok("q_50", 0.5).alias("median_ok"), ok("q_95", 0.95).alias("high_ok"))
         held = held.withColumn("span", F.lit(name))
         out = held if out is None else out.unionByName(held)
-    return out.select("span", "api", "n", "callers", "callers_ok", "median_ok", "high_ok")
+    return out.select("span", "api", "team", "n", "callers", "callers_ok", "median_ok", "high_ok")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (session_logs, counts_at_calls, list_history, list_changes, old_lookups, provider_reports, pulse_reports, merged_sketches)}

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 _CALLS = """
 calls as (
-  select 'e' || event_id as id, ts, 'u' || user_id as session_id, event_type as api, event_id % 11 = 0 as violation, user_id as caller, value from events
+  select 'e' || event_id as id, ts, 'u' || user_id as session_id, event_type as api, event_id % 11 = 0 as violation, user_id as caller, value, event_id // 500 as team from events
   union all
-  select 'd' || doc_id, timestamp '2024-01-01 00:00:00' + to_seconds((doc_id * 7919) % 2592000), 's' || doc_id % 40, lang, doc_id % 7 = 0, doc_id * 31 % 5003, n_chars::double from documents
+  select 'd' || doc_id, timestamp '2024-01-01 00:00:00' + to_seconds((doc_id * 7919) % 2592000), 's' || doc_id % 40, lang, doc_id % 7 = 0, doc_id * 31 % 5003, n_chars::double, doc_id // 500 from documents
 )"""
 _VERSIONS = """
 v1 as (select doc_id, source, lang, n_chars from documents where doc_id % 10 <> 3),
@@ -67,5 +67,5 @@ select doc_id, broken, case when broken then 0 else greatest(doc_id % 4, listed)
   case when broken or listed = 0 then '' else (select string_agg(t, '|' order by t) from (select distinct unnest(['botnet', lower(trim(source))]) as t) where t <> '') end as tags from b""",
     "merged_sketches": f"""
 with {_CALLS}, s as (select * from {_SPANS} as t(span, a, b))
-select span, api, count(*) as n, count(distinct caller) as callers, true as callers_ok, true as median_ok, true as high_ok from calls join s on ts::date between a and b group by span, api""",
+select span, api, team, count(*) as n, count(distinct caller) as callers, true as callers_ok, true as median_ok, true as high_ok from calls join s on ts::date between a and b group by span, api, team""",
 }

@@ -21,6 +21,7 @@ from .calls import SESSION_TTL
 RING = 5
 OUT = "session_id string, first_us long, total long, violations long, apis string, recent string, expired boolean"
 STORE = "spark.sql.streaming.stateStore.providerClass"
+FALLOCATE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -105,16 +106,18 @@ def run_to_end(stream: DataFrame, folder: str, partitions: int | None = None) ->
     ``partitions`` are those of the stream's state, which stay as they are at its first start.
     """
     spark = stream.sparkSession
-    held = {k: spark.conf.get(k) for k in (STORE, "spark.sql.shuffle.partitions")}
+    held = {k: spark.conf.get(k, None) for k in (STORE, FALLOCATE, "spark.sql.shuffle.partitions")}
     try:
         spark.conf.set(STORE, ROCKS)
+        # else each partition's store takes megabytes of disk for a log that is nearly empty
+        spark.conf.set(FALLOCATE, "false")
         if partitions:
             spark.conf.set("spark.sql.shuffle.partitions", partitions)
         query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in held.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
