@@ -4,7 +4,7 @@ Events and records are put into one table by key and swept in order of time; Spa
 of this kind. A key of many rows is cut into blocks of time, each swept by itself, and what is known
 at a block's end is carried into the next ones: per block, one record, found by an aggregate.
 
-Scale: one shuffle of events and records by (key, block). Only keys of more than ``HOT`` rows have
+Scale: one shuffle of events and records by (key, block). Only large keys (``time_blocks``) have
 several blocks, up to ``BLOCKS``; their bounds are quantiles of their own times, so a key that holds
 a third of all rows is spread over that many tasks. Rows without a key or a time know nothing and
 aren't dealt.
@@ -19,17 +19,20 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import settled
 
-#: Rows of a key in a block, about.
-HOT = 100_000
+#: A key is large if it has more rows than a share of all, which a quarter of a task has on average, and than so many.
+LEAST_LARGE = 1_000
 #: Blocks of a key at most, and large keys that are sent to all tasks.
 BLOCKS, FEW = 256, 10_000
 
 
-def time_blocks(rows: DataFrame, hot: int = HOT) -> DataFrame | None:
+def time_blocks(rows: DataFrame, hot: int | None = None) -> DataFrame | None:
     """(_k, bounds): the times at which the blocks of a large key start, but for the first; None if no key is large.
 
-    Large keys go to all tasks where there are ``FEW`` at most, so that no table is dealt by them.
+    There are at most four times as many large keys as the shuffle has partitions, whatever the data. They go to all
+    tasks where they are ``FEW`` at most, so that no table is dealt by them.
     """
+    if hot is None:
+        hot = max(LEAST_LARGE, rows.count() // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     large = rows.groupBy("_k").agg(F.count("*").alias("n")).where(F.col("n") > hot)
     known = large.limit(FEW + 1).collect()
     if not known:
@@ -46,7 +49,7 @@ def time_blocks(rows: DataFrame, hot: int = HOT) -> DataFrame | None:
     return small(times.select("_k", F.array_distinct(picked).alias("bounds")))
 
 
-def as_of(events: DataFrame, records: DataFrame, *, keys: Sequence[str], event_time: str, record_time: str, columns: Sequence[str], into: str = "known", hot: int = HOT) -> DataFrame:
+def as_of(events: DataFrame, records: DataFrame, *, keys: Sequence[str], event_time: str, record_time: str, columns: Sequence[str], into: str = "known", hot: int | None = None) -> DataFrame:
     """``events`` with the struct ``into`` of the record's time and ``columns``; null where none was known.
 
     A record counts for events of its own time and later, until the next one. Of several records
@@ -81,7 +84,7 @@ def as_of(events: DataFrame, records: DataFrame, *, keys: Sequence[str], event_t
     return known.unionByName(rest.withColumn(into, F.lit(None).cast(known.schema[into].dataType)))
 
 
-def running_counts(rows: DataFrame, *, keys: Sequence[str], time: str, into: str = "upto", hot: int = HOT) -> DataFrame:
+def running_counts(rows: DataFrame, *, keys: Sequence[str], time: str, into: str = "upto", hot: int | None = None) -> DataFrame:
     """(keys, time, into): for each time of a key, how many of its rows are no later.
 
     Rows are counted by time first. A large key's blocks are counted by themselves, and what earlier
@@ -106,7 +109,7 @@ def running_counts(rows: DataFrame, *, keys: Sequence[str], time: str, into: str
     return swept.select(*[F.col(f"_k.k{i}").alias(k) for i, k in enumerate(keys)], time, F.col("_own").alias(into))
 
 
-def counts_before(rows: DataFrame, *, keys: Sequence[str], time: str, seconds: Sequence[int], hot: int = HOT) -> DataFrame:
+def counts_before(rows: DataFrame, *, keys: Sequence[str], time: str, seconds: Sequence[int], hot: int | None = None) -> DataFrame:
     """``rows`` with last_N for each N of ``seconds``: rows of the same key within the N seconds up to the row's time, itself included.
 
     A count is that up to the time less that before its window. Each time of a key is looked up once, for itself and for

@@ -127,6 +127,24 @@ FEEDS = {name: _feed(columns, rows, CONSTANT) for name, (columns, rows) in fx.FE
 ASKED = f"select {K} as row_id, {pick(K, [_indicator(r[1], C) for r in fx.FEED_ROWS])} as raw from orders"
 
 
+#: Hosts of customers as urls, names and addresses, and what four more feeds say of them.
+_HOME, _PLACE = "'h' || {0} || '.com'", "'1.2.' || {1} || '.' || {2}"
+
+
+def _of(template: str, key: str) -> str:
+    return template.format(text(key), text(key + " % 256"), text(part(key, 256)))
+
+
+HOSTED = f"""select {K} as row_id, {pick(K, [_Sql(f"'https://' || {_of(_HOME, C)} || '/p'"), _Sql(_of(_HOME, C)), _Sql(_of(_PLACE, C))])} as raw from orders"""
+_N = "c_custkey"
+HOST_FEEDS = {
+    "dns": f"select {_of(_HOME, _N)} as domain, {_of(_PLACE, _N)} as address, case when {_N} % 6 = 0 then 'x.netlify.app' end as cname from customer where {_N} % 2 = 0",
+    "asn": f"select {_of(_PLACE, _N)} as ip, 'ORG' || {text(_N + ' % 7')} as org from customer where {_N} % 4 = 0",
+    "ct": f"select {_of(_HOME, _N)} as domain, cast({_N} % 40 as int) as subdomain_count, case when {_N} % 40 > 25 then 'High' when {_N} % 40 > 10 then 'Elevated' else 'None' end as explosion_level, cast(null as varchar(9)) as error from customer where {_N} % 3 = 0",
+    "redirects": f"select 'https://' || {_of(_HOME, _N)} || '/p' as url, {_N} % 10 = 0 as suspicious from customer where {_N} % 5 = 0",
+}
+
+
 def read(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of one of the statements, over the tables that it names."""
     for name in ("orders", "customer", "pages"):

@@ -370,4 +370,9 @@ case when b < 1024 then b || ' B' when kb < 1024 then printf('%.1f KB', floor(kb
 select ip, confidence, case when confidence > 50 then 30 when confidence > 20 then 20 when confidence >= 5 then 10 else 0 end as raw_score from x""",
 }
 
+ORACLE["enriched_hosts"] = f"""
+with a as (select row_id, raw, row_id % 3 as k, regexp_extract(raw, '^(?:https://)?([^/]*)', 1) as host from ({drawn.HOSTED})), dns as ({drawn.HOST_FEEDS['dns']}), asn as ({drawn.HOST_FEEDS['asn']}), ct as ({drawn.HOST_FEEDS['ct']}), red as ({drawn.HOST_FEEDS['redirects']})
+select row_id, address, org, subdomain_count, explosion_level, suspicious as redirect, case when k = 2 then 'Unresolved' when cname is not null then 'Netlify' when org is not null then org else 'Unresolved' end as provider
+from a left join dns on k < 2 and dns.domain = host left join asn on asn.ip = address left join ct on k < 2 and ct.domain = host left join red on k = 0 and red.url = raw
+"""
 ORACLE |= joins_oracle.ORACLE | histories_oracle.ORACLE

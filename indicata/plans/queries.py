@@ -198,6 +198,15 @@ def lookup_feeds(spark, sf_dir):
     return out.select("row_id", "raw_score", "severity", "verdict", F.when(F.col("factors").isNotNull(), F.size("factors")).alias("n_factors"), "error")
 
 
+def enriched_hosts(spark, sf_dir):
+    """Customers' hosts with what the feeds of addresses, owners, certificates and redirects say, and the infrastructure that follows."""
+    feeds = {name: drawn.read(spark, sf_dir, sql) for name, sql in drawn.HOST_FEEDS.items()}
+    c = F.col
+    feeds["dns"] = feeds["dns"].select("domain", F.array("address").alias("a_records"), F.when(c("cname").isNotNull(), F.array("cname")).alias("cname_records"))
+    out = enrich(classify(drawn.read(spark, sf_dir, drawn.HOSTED)), feeds)
+    return out.select("row_id", F.get("dns.a_records", F.lit(0)).alias("address"), c("owner.org").alias("org"), "ct.subdomain_count", "ct.explosion_level", c("redirects.suspicious").alias("redirect"), c("infrastructure.provider").alias("provider"))
+
+
 def severity_histogram(spark, sf_dir):
     """Severities of the pages' urls with a feed of verdicts on them; broken rows come from one page in fifty without a url."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -326,7 +335,7 @@ def display_forms(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        url_risk, lookup_feeds, severity_histogram, input_types, host_context, tld_risk, host_entropy, host_signals, brand_similarity, hostname_brand, url_heuristics, gateway_unwrap, infrastructure, pulse_tiers, verdict_merge,
+        url_risk, lookup_feeds, enriched_hosts, severity_histogram, input_types, host_context, tld_risk, host_entropy, host_signals, brand_similarity, hostname_brand, url_heuristics, gateway_unwrap, infrastructure, pulse_tiers, verdict_merge,
         ct_summary, dns_summary, passive_dns, risk_scores, checks, text_artifacts, artifact_counts, artifact_scores, calls_by_api, session_timeline, trailing_counts, live_sessions, call_windows, call_classes,
         redirect_chains, redirect_scores, redirect_totals, mail_verdicts, mail_hops, mail_flow, auth_records, sender_domains, display_forms,
     )

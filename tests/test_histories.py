@@ -54,7 +54,7 @@ def test_history_answers_for_every_version(spark):
 # counts up to each row
 
 
-@pytest.mark.parametrize("hot", [100_000, 7])
+@pytest.mark.parametrize("hot", [None, 7])
 def test_counts_before(spark, hot):
     rng = random.Random(2)
     rows = [(n, rng.choice(["a", "a", "a", "b", "c", None]), START + dt.timedelta(seconds=rng.randint(0, 500)) if rng.random() > 0.05 else None) for n in range(300)]
