@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hosts import host_suffixes, looks_like_ip, normal_host, without_www
 from ..functions.text import let, strings
+from ..sources.tables import settled
 
 
 def rule_file(spark: SparkSession, path: str, rule_col: str = "rule") -> DataFrame:
@@ -63,5 +64,6 @@ def with_suffix_split(rows: DataFrame, rules: DataFrame, host_col: str = "host",
     met = tails.join(parsed_rules(rules, rule_col), "base").where("labels <= _n")
     best = met.groupBy("_host").agg(F.max(F.struct("exception", "labels")).alias("_best"))
     split = let(F.when(named, F.coalesce(F.col("_best.labels"), F.lit(1))).otherwise(0), lambda k: _split(F.col("_host"), k))
-    done = hosts.join(best, "_host", "left").select("_host", split.alias(into))
+    # written first, so that the join stands alone in its stage and a host of very many rows can be split
+    done = settled(hosts.join(best, "_host", "left").select("_host", split.alias(into)))
     return keyed.join(done, "_host", "left").select(*rows.columns, into)

@@ -11,7 +11,6 @@ from .. import lists
 from ..operators import artifacts, mail
 from . import drawn, histories_oracle, joins_oracle
 from .factors import FACTORS
-from .queries import RISK_INPUT
 
 
 def _set(values) -> str:
@@ -162,7 +161,7 @@ _STRUCTURAL = _lines("f_similar_high", "f_hb", "f_tls", "case when f_age >= 10 t
 _URL_POINTS = "case signals when 'suspicious_scheme,ip_host' then 23 when 'path_keywords_high,very_long_path,encoded_params' then 20 when 'path_keywords_present,long_path,open_redirect_param,base64_in_query' then 18 when 'double_slash_path,brand_in_path,random_token_in_path,url_in_query' then 31 else 0 end"
 _URL_COUNT = "case when signals = '' then 0 else len(string_split(signals, ',')) end"
 _RISK = f"""
-with a as ({RISK_INPUT}),
+with a as ({drawn.RISK_INPUT}),
 b as (select *, vt_ok and input_type = 'hash' as hash, case when vt_ok then vt_malicious else 0 end as mal, case when abuse_ok then abuse_confidence else 0 end as conf, otx_pulses as pulses,
   case when families = '' then 0 else len(string_split(families, ',')) end as nf, case when brand_list = '' then 0 else len(string_split(brand_list, ',')) end as nb, lure_list <> '' as lure,
   case when not otx_ok then 'None' when input_type = 'ip' and otx_tier = 'None' and tags <> '' then 'Suspicious' else otx_tier end as tier, input_type = 'ip' and otx_ok as ipotx,

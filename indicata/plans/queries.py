@@ -126,47 +126,9 @@ def passive_dns(spark, sf_dir):
     return intel.passive_dns_summary(drawn.read(spark, sf_dir, drawn.PASSIVE))
 
 
-#: Feature rows for the score, drawn from order keys so that every rule meets many combinations. Plain SQL, for both engines.
-RISK_INPUT = """
-select o_orderkey as id,
-  case o_orderkey % 5 when 0 then 'ip' when 1 then 'hash' when 2 then 'url' else 'domain' end as input_type,
-  case when o_orderkey % 3 = 0 then 'a.b.evil.com' else '1.2.3.4' end as query,
-  o_orderkey % 13 <> 0 as vt_ok,
-  cast(case when (o_orderkey // 7) % 3 = 0 then 0 else (o_orderkey // 3) % 61 end as int) as vt_malicious,
-  o_orderkey % 4 <> 1 as abuse_ok, cast((o_orderkey // 11) % 90 as int) as abuse_confidence, (o_orderkey // 2) % 17 = 0 as is_tor,
-  cast(case when o_custkey % 3 = 0 then null else (o_custkey * 7) % 400 end as int) as age_days,
-  cast(case when o_custkey % 4 = 0 then null else (o_custkey * 3) % 60 end as int) as tls_age_days,
-  o_custkey % 9 = 0 as rapid_deploy,
-  case o_custkey % 5 when 0 then 'Vultr' when 1 then 'Unresolved' when 2 then 'Google Cloud' when 3 then 'SmallHost' else 'IBM' end as provider,
-  o_custkey % 6 <> 0 as otx_ok,
-  case (o_orderkey // 5) % 4 when 0 then 'None' when 1 then 'Contextual' when 2 then 'Suspicious' else 'Strong' end as otx_tier,
-  o_custkey % 5 = 0 as otx_reference_only,
-  case (o_custkey // 3) % 4 when 0 then '' when 1 then 'botnet' when 2 then 'phishing' else 'lockbit,trojan' end as tags,
-  case (o_custkey // 5) % 5 when 0 then '' when 1 then 'Emotet' when 2 then 'Hive,Qakbot' when 3 then 'A,B,C' else 'A,B,C,D' end as families,
-  cast((o_orderkey // 13) % 15 as int) as otx_pulses, cast((o_custkey // 2) % 30 as double) as otx_file_score,
-  case (o_orderkey // 17) % 3 when 0 then 'Low' when 1 then 'Moderate' else 'High' end as entropy_level,
-  case (o_orderkey // 19) % 4 when 0 then null when 1 then 'Low' when 2 then 'Moderate' else 'High' end as sub_level,
-  (o_orderkey // 23) % 2 = 0 as sub_old_scored,
-  case (o_orderkey // 29) % 3 when 0 then '' when 1 then 'a' else 'a,b,c' end as labels,
-  case (o_orderkey // 31) % 3 when 0 then 'fastly.net' when 1 then 'evil.com' else '' end as registrable_domain,
-  case (o_orderkey // 37) % 3 when 0 then 'Low' when 1 then 'Medium' else 'High' end as tld_level,
-  (o_orderkey // 41) % 2 = 0 as similar_flag, case (o_orderkey // 43) % 2 when 0 then 'High' else 'Medium' end as similar_confidence,
-  (o_orderkey // 47) % 2 = 0 as hostname_brand_match, case (o_orderkey // 53) % 2 when 0 then 'High' else 'Medium' end as hostname_brand_confidence,
-  case (o_orderkey // 59) % 2 when 0 then 'cdn_subdomain' else 'subdomain' end as hostname_brand_context,
-  (o_orderkey // 61) % 3 <> 0 as ct_ok, case (o_orderkey // 67) % 3 when 0 then 'None' when 1 then 'Elevated' else 'High' end as ct_level,
-  case (o_custkey // 7) % 4 when 0 then 'paypal' when 1 then 'paypal,okta' else '' end as brand_list,
-  case (o_custkey // 11) % 3 when 0 then 'root' when 1 then 'subdomain' else 'cdn_subdomain' end as brand_context,
-  case (o_custkey // 13) % 2 when 0 then 'login,verify' else '' end as lure_list,
-  case (o_custkey // 17) % 3 when 0 then 'fastly.net' end as cdn_provider, case (o_custkey // 19) % 3 when 0 then 'netlify.app' end as abused_platform,
-  case (o_custkey // 23) % 5 when 0 then 'suspicious_scheme,ip_host' when 1 then 'path_keywords_high,very_long_path,encoded_params' when 2 then 'path_keywords_present,long_path,open_redirect_param,base64_in_query' when 3 then 'double_slash_path,brand_in_path,random_token_in_path,url_in_query' else '' end as signals,
-  (o_orderkey // 71) % 7 = 0 as redirect_suspicious
-from orders
-"""
-
-
 def risk_scores(spark, sf_dir):
     table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").createOrReplaceTempView("_risk_orders")
-    rows = spark.sql(RISK_INPUT.replace("//", "div").replace("from orders", "from _risk_orders"))
+    rows = spark.sql(drawn.RISK_INPUT.replace("//", "div").replace("from orders", "from _risk_orders"))
     listed = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
     rows = rows.withColumns({
         "otx_tags": listed("tags"), "otx_families": listed("families"), "subdomain_labels": listed("labels"), "brands": listed("brand_list"), "brand_count": F.size(listed("brand_list")), "lures": listed("lure_list"), "url_signals": listed("signals"),
