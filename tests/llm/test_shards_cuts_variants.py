@@ -197,3 +197,11 @@ def test_variants(spark, hot):
 def test_no_variants(spark):
     assert spelling.variants(docs(spark, [])).collect() == []
     assert spelling.variants(docs(spark, [(1, "short words only here")])).collect() == []
+
+
+def test_cuts_never_take_another_text(spark, monkeypatch):
+    """Where a group's text isn't the document's own, the job fails."""
+    wrong = spark.createDataFrame([(1, "one text")], "doc_id long, text string").withColumn("sha", F.unhex(F.sha2(F.lit("another"), 256)))
+    monkeypatch.setattr(fill_middle, "_paired", lambda *_: wrong)
+    with pytest.raises(Exception, match="two texts have the same length"):
+        fill_middle.digests(wrong).collect()
