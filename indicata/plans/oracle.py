@@ -369,6 +369,17 @@ case when b < 1024 then b || ' B' when kb < 1024 then printf('%.1f KB', floor(kb
 select ip, confidence, case when confidence > 50 then 30 when confidence > 20 then 20 when confidence >= 5 then 10 else 0 end as raw_score from x""",
 }
 
+ORACLE["session_views"] = f"""
+with {_CALLS}, c as (select *, round_even((epoch_us(ts) - epoch_us(min(ts) over (partition by session_id))) / 1e6, 2) as t, row_number() over (partition by session_id order by ts, api, method) as ord from calls),
+m as (select session_id, string_agg(method || '=' || n, ',' order by n desc, method) as methods, sum(n)::bigint as calls from (select session_id, method, count(*) as n from calls group by all) group by session_id),
+l as (select session_id, string_agg(api || '@' || printf('%.2f', t), ',' order by ord) as timeline from c where ord <= 40 group by session_id)
+select m.session_id, methods, sha256(timeline) as timeline_sha256, greatest(calls - 40, 0)::bigint as more from m join l using (session_id)
+"""
+ORACLE["relay_hops"] = f"""
+with h as ({ORACLE["mail_hops"]})
+select msg_id, (row_number() over (partition by msg_id order by ix) - 1)::int as ix, sending_host, case gateway when 'amazon_ses' then 'Amazon SES' when 'proofpoint' then 'Proofpoint' when 'microsoft' then 'Microsoft 365' end as gateway_name from h where gateway <> ''
+"""
+ORACLE["attachment_urls"] = "select page_id as msg_id, url || '&attached=1' as ioc from pages union all select page_id, url from pages where page_id % 3 = 0"
 ORACLE["enriched_hosts"] = f"""
 with a as (select row_id, raw, row_id % 3 as k, regexp_extract(raw, '^(?:https://)?([^/]*)', 1) as host from ({drawn.HOSTED})), dns as ({drawn.HOST_FEEDS['dns']}), asn as ({drawn.HOST_FEEDS['asn']}), ct as ({drawn.HOST_FEEDS['ct']}), red as ({drawn.HOST_FEEDS['redirects']})
 select row_id, address, org, subdomain_count, explosion_level, suspicious as redirect, case when k = 2 then 'Unresolved' when cname is not null then 'Netlify' when org is not null then org else 'Unresolved' end as provider

@@ -214,6 +214,11 @@ def session_timeline(spark, sf_dir):
     return call_log.session_timeline(_calls(spark, sf_dir)).select("event_id", "session_id", F.col("t").alias("t"))
 
 
+def session_views(spark, sf_dir):
+    """Sessions as shown: methods, their first forty calls, and how many more there are."""
+    return call_log.session_views(_calls(spark, sf_dir)).select("session_id", "methods", F.sha2("timeline", 256).alias("timeline_sha256"), "more")
+
+
 def trailing_counts(spark, sf_dir):
     return call_log.trailing_counts(_calls(spark, sf_dir), F.lit("2024-01-15 00:00:00").cast("timestamp")).select(F.coalesce("api", F.lit("all")).alias("api"), "last_60", "last_3600", "last_86400")
 
@@ -275,6 +280,21 @@ def mail_hops(spark, sf_dir):
     return rows.select("msg_id", "ix", "h.sending_host", "h.receiving_host", "h.ip", F.coalesce("h.gateway", F.lit("")).alias("gateway"), "h.is_internal")
 
 
+def relay_hops(spark, sf_dir):
+    """The hops of messages that a known gateway relayed."""
+    df = mail.with_transport(_mails(spark, sf_dir))
+    rows = df.select("msg_id", F.posexplode(F.filter("hops", lambda h: h["gateway"].isNotNull())).alias("ix", "h"))
+    return rows.select("msg_id", "ix", "h.sending_host", "h.gateway_name")
+
+
+def attachment_urls(spark, sf_dir):
+    """Urls of attachments that the body of their message doesn't have: of pages as messages, each with its own url and another one attached."""
+    k, url = F.col("page_id").alias("msg_id"), F.col("url")
+    pages = table(spark, sf_dir, "pages")
+    attached = pages.select(k, F.explode(F.array(url, F.concat(url, F.lit("&attached=1")))).alias("ioc"))
+    return artifacts.without(attached, pages.where(F.col("page_id") % 3 != 0).select(k, url.alias("ioc"))).select("msg_id", "ioc")
+
+
 def mail_flow(spark, sf_dir):
     return mail.mail_flow(mail.with_transport(_mails(spark, sf_dir))).select("msg_id", "pos", "label", "hostname")
 
@@ -298,7 +318,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         url_risk, lookup_feeds, enriched_hosts, severity_histogram, input_types, host_context, tld_risk, host_entropy, host_signals, brand_similarity, hostname_brand, url_heuristics, gateway_unwrap, infrastructure, pulse_tiers, verdict_merge,
-        ct_summary, dns_summary, passive_dns, risk_scores, checks, text_artifacts, artifact_counts, artifact_scores, calls_by_api, session_timeline, trailing_counts, live_sessions, call_windows, call_classes,
-        redirect_chains, redirect_scores, redirect_totals, mail_verdicts, mail_hops, mail_flow, auth_records, sender_domains, display_forms,
+        ct_summary, dns_summary, passive_dns, risk_scores, checks, text_artifacts, artifact_counts, artifact_scores, calls_by_api, session_timeline, session_views, trailing_counts, live_sessions, call_windows, call_classes,
+        redirect_chains, redirect_scores, redirect_totals, mail_verdicts, mail_hops, relay_hops, attachment_urls, mail_flow, auth_records, sender_domains, display_forms,
     )
 } | artifact_queries.QUERIES | joins.QUERIES | histories.QUERIES

@@ -63,6 +63,22 @@ def session_timeline(calls: DataFrame) -> DataFrame:
     return calls.join(first, same).withColumn("t", F.bround(t, 2)).drop("_t0", "_session")
 
 
+def session_views(calls: DataFrame, cap: int = 40) -> DataFrame:
+    """(session_id, methods, timeline, more): methods as method=count, most calls first; a session's first calls as api@seconds; how many more there are.
+
+    The first calls are a limit within each session, which Spark applies in every task before it deals rows.
+    """
+    per = calls.groupBy("session_id", "method").agg(F.count("*").alias("n"))
+    methods = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "method")))
+    totals = per.groupBy("session_id").agg(F.array_join(F.transform(methods, lambda m: F.concat(m["method"], F.lit("="), (-m["less"]).cast("string"))), ",").alias("methods"), F.sum("n").alias("calls"))
+    order = W.partitionBy("session_id").orderBy("ts", "api", "method")
+    first = session_timeline(calls).withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= cap)
+    shown = first.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ord", "api", "t"))).alias("rows"))
+    line = F.array_join(F.transform("rows", lambda r: F.concat(r["api"], F.lit("@"), F.format_string("%.2f", r["t"]))), ",")
+    same = totals["session_id"].eqNullSafe(shown["session_id"])
+    return totals.join(shown, same).select(totals["session_id"], "methods", line.alias("timeline"), F.greatest(F.col("calls") - cap, F.lit(0)).alias("more"))
+
+
 def trailing_counts(calls: DataFrame, as_of: Column, seconds=(60, 3600, 86400)) -> DataFrame:
     """(api, last_60, last_3600, last_86400): calls within so many seconds before ``as_of``; api null is all together."""
     recent = {f"last_{n}": F.count_if((F.col("ts") >= as_of - F.make_dt_interval(secs=F.lit(n))) & (F.col("ts") <= as_of)) for n in seconds}
