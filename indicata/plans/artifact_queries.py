@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..operators import artifacts, display, mail, redirects
 from ..sources import decoders, tables
-from ..sources.tables import table
+from ..sources.tables import settled, table
 from . import risk
 from .lookup import SCHEMAS, lookup
 
@@ -53,7 +53,7 @@ def mail_parts(spark, sf_dir):
 
 def address_feeds(spark, sf_dir) -> dict[str, DataFrame]:
     """Two feeds on the addresses in documents: confidence drawn from their last octets, verdicts from their second ones."""
-    ips = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(artifacts.IPV4), F.lit(0))).alias("ip")).distinct()
+    ips = settled(table(spark, sf_dir, "documents").select(F.explode(text.matches(F.col("text"), artifacts.IPV4, r"\d\.\d{1,3}\.\d")).alias("ip")).distinct())
     octet = lambda k: F.get(F.split("ip", "[.]"), k).cast("int")
     none = lambda kind: F.lit(None).cast(kind)
     bad = octet(1) % 12
@@ -66,7 +66,8 @@ def address_feeds(spark, sf_dir) -> dict[str, DataFrame]:
 def mail_scores(spark, sf_dir):
     """From the bytes of messages to the highest score of their indicators, which two feeds on addresses give."""
     rows = artifacts.long_form(artifacts.extract(_messages(spark, sf_dir), id_col="msg_id", text_col="plain_text", html_col="html_text"), "msg_id")
-    scored = artifacts.score_fan_out(rows, address_feeds(spark, sf_dir))
+    # read twice, so that messages are decoded once
+    scored = artifacts.score_fan_out(settled(rows), address_feeds(spark, sf_dir))
     return mail.message_scores(scored).select("msg_id", "overall_score", "severity", "n_high", "n_medium")
 
 
