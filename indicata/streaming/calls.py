@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import any_of
+from ..functions.text import any_of, round2
 
 #: Hosts of feeds, by ending or exactly, and other hosts that may be called.
 ROUTES = (
@@ -60,7 +60,7 @@ def session_timeline(calls: DataFrame) -> DataFrame:
     first = calls.groupBy(F.col("session_id").alias("_session")).agg(F.min("ts").alias("_t0"))
     t = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_t0").cast("timestamp"))) / F.lit(1e6)
     same = F.col("session_id").eqNullSafe(F.col("_session"))
-    return calls.join(first, same).withColumn("t", F.bround(t, 2)).drop("_t0", "_session")
+    return calls.join(first, same).withColumn("t", round2(t)).drop("_t0", "_session")
 
 
 def session_views(calls: DataFrame, cap: int = 40) -> DataFrame:
