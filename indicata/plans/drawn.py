@@ -102,13 +102,18 @@ MAILS = f"select {K} as msg_id, t.pos as pos, t.name as name, {renamed('t.value'
 _OWN = {"bad.xyz": "bad{n}.xyz", "https://u.com/a": "https://u{n}.com/a", "u.com": "u{n}.com", "err.com": "err{n}.com", "old.com": "old{n}.com"}
 
 
+def address(first: int, second: int, key: str) -> _Sql:
+    """An address for each key: three octets are its digits to base 256, the second one counted from ``second``, so that it stays an address for any number of keys."""
+    return _Sql(f"'{first}.' || {text(f'({second} + {part(key, 65536)}) % 256')} || '.' || {text(key + ' % 256')} || '.' || {text(part(key, 256) + ' % 256')}")
+
+
 def _indicator(value: str, key: str) -> _Sql:
-    address = f" || {text(key + ' % 256')} || '.' || {text(part(key, 256))}"
     if value in ("9.9.9.9", "8.8.4.4"):
-        return _Sql(f"'{value[:4]}'{address}")
+        return address(int(value[0]), int(value[2]), key)
     if len(value) == 32:
         return _Sql(f"upper(md5({text(key)}))" if value.isupper() else f"md5({text(key)})")
-    return numbered(_OWN[value], text(key)) if value in _OWN else _Sql(fx.literal(value))
+    # a number in two digits, so that no number of customers makes a name look random
+    return numbered(_OWN[value], f"bin({key})") if value in _OWN else _Sql(fx.literal(value))
 
 
 def _feed(columns: str, rows, constant: tuple[str, ...] = ()) -> str:
@@ -173,6 +178,8 @@ def _of(template: str, key: str) -> str:
 
 
 HOSTED = f"""select {K} as row_id, {pick(K, [_Sql(f"'https://' || {_of(_HOME, C)} || '/p'"), _Sql(_of(_HOME, C)), _Sql(_of(_PLACE, C))])} as raw from orders"""
+#: The same with addresses for any number of customers, as places stop being addresses at the 65536th; its SQL tells the kinds apart by the rows' keys.
+HOSTED_ANY = HOSTED.replace(_of(_PLACE, C), address(1, 2, C))
 _N = "c_custkey"
 HOST_FEEDS = {
     "dns": f"select {_of(_HOME, _N)} as domain, {_of(_PLACE, _N)} as address, case when {_N} % 6 = 0 then 'x.netlify.app' end as cname from customer where {_N} % 2 = 0",
