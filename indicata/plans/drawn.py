@@ -119,13 +119,13 @@ def _indicator(value: str, key: str) -> _Sql:
 
 
 def _feed(columns: str, rows, constant: tuple[str, ...] = ()) -> str:
-    """A feed with a customer's own records for each of the template's; those of constant indicators once."""
+    """A feed with a customer's own records for each of the template's; those of constant indicators once, whatever the customers' keys."""
     names = columns.split(", ")
     out = []
     for row in rows:
         others = ", ".join(f"{fx.literal(v)} as {n}" for n, v in zip(names[1:], row[1:]))
-        where = " where c_custkey = 0" if row[0] in constant else ""
-        out.append(f"select {_indicator(row[0], 'c_custkey')} as {names[0]}, {others} from customer{where}")
+        once = "distinct " if row[0] in constant else ""
+        out.append(f"select {once}{_indicator(row[0], 'c_custkey')} as {names[0]}, {others} from customer")
     return " union all ".join(out)
 
 
