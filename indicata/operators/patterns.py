@@ -3,9 +3,10 @@
 All patterns of a block make one automaton, so a text is read once whatever their number.
 A worker builds a block's automaton once and keeps it for its later tasks.
 
-Scale: no shuffle for a single block. Patterns are cut into blocks of about ``BLOCK_BYTES``, so
-what goes to the workers at once is bounded; several blocks are several passes, whose findings
-(a row for each text with any) are brought together by id.
+Scale: texts aren't shuffled for a single block. Repeated patterns are brought together first, so only
+different ones count. They are cut into blocks of about ``BLOCK_BYTES``, so what goes to the workers at
+once is bounded; several blocks are several passes, whose findings (a row for each text with any) are
+brought together by id.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ _held: dict[str, object] = {}
 
 
 def automaton(block: str, rows: list[tuple[str, int, str | None]]):
-    """The automaton of (pattern, priority, label); of a repeated pattern, the least (priority, label) counts."""
+    """The automaton of (pattern, priority, label) of different patterns."""
     import ahocorasick
 
     if block not in _held:
         _held.clear()
         built = ahocorasick.Automaton()
-        for pattern, priority, label in sorted(rows, key=lambda r: (r[0], -r[1], r[2] is None, [-ord(c) for c in r[2] or ""])):
+        for pattern, priority, label in rows:
             built.add_word(pattern, (priority, label, pattern))
         built.make_automaton()
         _held[block] = built
@@ -58,6 +59,8 @@ def first_pattern(rows: DataFrame, patterns: DataFrame, *, id_col: str, text_col
     """
     spark = rows.sparkSession
     usable = patterns.select(F.col("pattern").cast("string"), F.col("priority").cast("long"), F.col("label").cast("string")).where("pattern <> '' and priority is not null")
+    # of a repeated pattern, the least (priority, label) counts, null labels last
+    usable = usable.groupBy("pattern").agg(F.min(F.struct("priority", F.col("label").isNull().alias("unnamed"), "label")).alias("b")).select("pattern", "b.priority", "b.label")
     total = usable.agg(F.coalesce(F.sum(F.octet_length("pattern") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -108,6 +108,14 @@ def test_first_pattern(spark, block_bytes):
     assert len(out) == len(texts)
 
 
+def test_repeated_patterns_are_one(spark):
+    """However often a pattern is repeated, it goes to the workers once, with the least (priority, label)."""
+    held = spark.range(6000).selectExpr("concat('w', id % 3) as pattern", "3 + id % 7 as priority", "case id % 4 when 0 then 'ab' when 1 then 'a' end as label")
+    out = patterns.first_pattern(spark.createDataFrame([(1, "w2 w1"), (2, "x")], "key long, text string"), held, id_col="key", text_col="text", block_bytes=1000)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, 3, "a", "w1", 2), (2, None, None, None, 0)]
+
+
 # as-of
 
 
